@@ -33,7 +33,7 @@ from . import textkernel as K
 from .components import components
 from .storage import written
 
-TAU = 8
+TAU = 9
 TAU_PAIRS = 18
 PARTITIONS = (4, 5, 6, 7, 8)
 #: Relative cost of posting one row and of comparing one pair.

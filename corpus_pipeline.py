@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from retort.llm import decontaminate, quality, secrets, simhash
+from retort.llm import bpe, decontaminate, quality, secrets, simhash
 from retort.llm.storage import written
 
 
@@ -28,7 +28,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redacted(docs)
 
 
-STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination), ("secret scan", secret_scan)]
+def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
+    return bpe.encoded(docs)
+
+
+STAGES = [("quality rules", quality_rules), ("near dedup", near_dedup), ("decontamination", decontamination), ("secret scan", secret_scan), ("bpe encoding", bpe_encoding)]
 ORACLE_SQL = None
 
 

@@ -36,8 +36,8 @@ from .storage import written
 TAU = 9
 TAU_PAIRS = 18
 PARTITIONS = (4, 5, 6, 7, 8)
-#: Relative cost of posting one row and of comparing one pair.
-ROW_COST, PAIR_COST = 1.5e-6, 6e-9
+#: Measured CPU seconds to post, shuffle and sort one row, and to compare one pair.
+ROW_COST, PAIR_COST = 5e-6, 5e-9
 _PIECE = 60_000
 _NIBBLE = np.array([sum(((x >> b) & 1) << (16 * b) for b in range(4)) for x in range(16)], np.uint64)
 U64 = np.uint64
@@ -101,14 +101,20 @@ def signatures(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _signature(text: str) -> Column:
-    @F.arrow_udf("struct<sig:bigint,sig2:bigint,n_words:bigint>")
+    @F.arrow_udf("struct<node:bigint,sig:bigint,sig2:bigint>")
     def run(column: pa.Array) -> pa.Array:
         a, b, c = signatures(column)
-        return pa.StructArray.from_arrays([pa.array(a.view(np.int64), mask=c == 0), pa.array(b.view(np.int64), mask=c == 0), pa.array(c)], ["sig", "sig2", "n_words"])
+        return pa.StructArray.from_arrays([pa.array(x, mask=c == 0) for x in (node_ids(a, b), a.view(np.int64), b.view(np.int64))], ["node", "sig", "sig2"])
 
     return run(F.col(text))
 
 
+def node_ids(sig: np.ndarray, sig2: np.ndarray) -> np.ndarray:
+    """One id for each pair of signatures."""
+    with np.errstate(over="ignore"):
+        return K.mix(sig + K.mix(sig2 + U64(0x9E3779B97F4A7C15))).view(np.int64)
+
+
 def _bit_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros((64, 64))
     for batch in batches:
@@ -243,21 +249,26 @@ def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
-def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int, run: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int, run: int = 1024, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all rows with equal keys within both bounds; rows are sorted by key.
 
-    Runs of up to ``run`` rows are compared pair by pair.  In a longer run rows
-    are compared with a pivot (near its majority), then only rows of different
-    components are compared: links between rows known to be connected add
-    nothing.
+    Runs of up to ``run`` rows are compared pair by pair.  In a longer run the
+    component of the row nearest its majority is grown first, block by block: its
+    rows are compared only with rows outside it, as links between rows known to
+    be connected add nothing.  The rest are then compared pair by pair.
     """
     us, vs = [], []
     n = len(key)
     begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if n else np.zeros(0, np.int64)
     size = np.diff(np.r_[begin, n])
-    short = np.repeat(size <= run, size)
-    near = lambda a, b: (np.bitwise_count(sig[a] ^ sig[b]) <= tau) & (np.bitwise_count(sig2[a] ^ sig2[b]) <= tau2)
-    rows = np.flatnonzero(short & np.repeat(size > 1, size))
+
+    def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in ``a`` and ``b`` of close pairs, all of ``a`` against all of ``b``."""
+        i, j = np.nonzero(np.bitwise_count(sig[a][:, None] ^ sig[b][None, :]) <= tau)
+        ok = np.bitwise_count(sig2[a[i]] ^ sig2[b[j]]) <= tau2
+        return i[ok], j[ok]
+
+    rows = np.flatnonzero(np.repeat((size > 1) & (size <= run), size))
     last = np.repeat(begin + size, size)
     for k in range(1, run):
         rows = rows[rows + k < last[rows]]
@@ -272,21 +283,22 @@ def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int
         part = sig[todo]
         majority = sum((1 << j) for j in range(64) if 2 * int(((part >> U64(j)) & U64(1)).sum()) > s)
         rest = todo[np.argsort(np.bitwise_count(part ^ U64(majority)), kind="stable")]
-        while len(rest) > 1:  # grow one component at a time, breadth first
-            front, rest = rest[:1], rest[1:]
-            while len(front) and len(rest):
-                joined = []
-                for p in front:
-                    hit = near(p, rest)
-                    if hit.any():
-                        new = rest[hit]
-                        us.append(np.full(len(new), p))
-                        vs.append(new)
-                        joined.append(new)
-                        rest = rest[~hit]
-                        if not len(rest):
-                            break
-                front = np.concatenate(joined) if joined else np.zeros(0, np.int64)
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            now, front = front[:block], front[block:]
+            i, j = near(now, rest)
+            if len(j):
+                new, at = np.unique(j, return_index=True)
+                us.append(now[i[at]])
+                vs.append(rest[new])
+                front = np.concatenate([front, rest[new]])
+                rest = np.delete(rest, new)
+        for at in range(0, len(rest), block):
+            now = rest[at : at + block]
+            i, j = near(now, rest[at:])
+            ok = i < j
+            us.append(now[i[ok]])
+            vs.append(rest[at:][j[ok]])
     cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return cat(us), cat(vs)
 
@@ -296,10 +308,11 @@ def _linker(tau: int, tau2: int):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        key, node, sig, sig2 = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "node", "sig", "sig2"))
+        key, sig, sig2 = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "sig", "sig2"))
         order = np.argsort(key)
-        node = node[order]
-        u, v = link(key[order], sig[order].view(U64), sig2[order].view(U64), tau, tau2)
+        sig, sig2 = sig[order].view(U64), sig2[order].view(U64)
+        node = node_ids(sig, sig2)
+        u, v = link(key[order], sig, sig2, tau, tau2)
         if not len(u):
             return
         names, place = np.unique(np.concatenate([node[u], node[v]]), return_inverse=True)
@@ -320,10 +333,10 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau:
     Other columns are ignored.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), _signature(text).alias("s"))
-    rows = written(rows.select("doc_id", "text_hash", "s.sig", "s.sig2"), "signatures").withColumn("node", F.when(F.col("sig").isNotNull(), F.xxhash64("sig", "sig2")))
-    nodes = written(rows.where("node is not null").select("node", "sig", "sig2").groupBy("node").agg(F.first("sig").alias("sig"), F.first("sig2").alias("sig2")), "nodes")
+    rows = written(rows.select("doc_id", "text_hash", "s.*"), "signatures")
+    nodes = written(rows.where("node is not null").select("sig", "sig2").distinct(), "nodes")
     parts = plan(nodes, tau)
-    posts = nodes.mapInArrow(_poster(parts), "key bigint, node bigint, sig bigint, sig2 bigint")
+    posts = nodes.mapInArrow(_poster(parts), "key bigint, sig bigint, sig2 bigint")
     edges = posts.repartition(F.col("key")).mapInArrow(_linker(tau, tau_pairs), "u bigint, v bigint")
     roots = components(edges)
     lone = rows.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))

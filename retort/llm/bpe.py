@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterable
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from itertools import chain
 
@@ -211,9 +212,14 @@ def _decoder(held) -> object:
     return run
 
 
+@lru_cache(maxsize=4)
+def _codec(vocabulary: str) -> Codec:
+    return Codec(read_vocabulary(vocabulary))
+
+
 def codec(docs: DataFrame, vocabulary: str = VOCABULARY):
     """The codec as a broadcast; its size is that of the vocabulary and doesn't grow with the data."""
-    return docs.sparkSession.sparkContext.broadcast(Codec(read_vocabulary(vocabulary)))
+    return docs.sparkSession.sparkContext.broadcast(_codec(vocabulary))
 
 
 def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality, secrets, simhash
+from . import bpe, decontaminate, passages, quality, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,15 +38,22 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more that occur twice or more in the corpus."""
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
     "op6_simhash": op6_simhash,
+    "op10_passages": op10_passages,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
     "op4_secrets": secrets.ORACLE,
+    "op10_passages": passages.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, passages, quality, secrets, simhash
+from . import bpe, decontaminate, passages, quality, secrets, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages have a listed domain."""
+    listed = spark.createDataFrame([(d,) for d in urlfilter.DOMAINS], "key string")
+    return urlfilter.filtered(_table(spark, sf_dir, "pages"), listed)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity score of each document, by a classifier fitted on ``labels``."""
+    return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Passages of 50 words or more that occur twice or more in the corpus."""
     return passages.repeated_passages(_table(spark, sf_dir, "documents"))
@@ -49,11 +60,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
     "op6_simhash": op6_simhash,
+    "op7_url_filter": op7_url_filter,
+    "op9_toxicity": op9_toxicity,
     "op10_passages": op10_passages,
 }
 
 ORACLES: dict[str, str] = {
     "op3_decontamination": decontaminate.ORACLE,
     "op4_secrets": secrets.ORACLE,
+    "op7_url_filter": urlfilter.ORACLE,
     "op10_passages": passages.ORACLE,
 }

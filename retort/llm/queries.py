@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, passages, quality, secrets, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, licenses, passages, quality, secrets, shards, simhash, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence spans of each document."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate group of each document, and which document of it stays."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -44,6 +49,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.filtered(_table(spark, sf_dir, "pages"), listed)
 
 
+def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as fixed-length sequences of byte token ids, each at its global training slot."""
+    return shards.materialised(_table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity score of each document, by a classifier fitted on ``labels``."""
     return toxicity.scored(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -59,8 +69,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_decontamination": op3_decontamination,
     "op4_secrets": op4_secrets,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_url_filter": op7_url_filter,
+    "op8_training_order": op8_training_order,
     "op9_toxicity": op9_toxicity,
     "op10_passages": op10_passages,
 }

@@ -18,6 +18,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,20 +61,28 @@ def feature_column(name: str) -> str:
 def dense(df: DataFrame, *order: Column) -> DataFrame:
     """``df`` with ``_pos`` renumbered 0 .. n-1 in ``order`` (by default the old ``_pos``).
 
-    Ranges of the order become partitions; counts of the partitions, one row
-    each, give the offsets.  No partition holds all rows.
+    Quantiles of a sample cut the order into ranges by value, so that both passes
+    (counts of the ranges, then numbers within them) agree whatever tasks are
+    repeated.  Only the counts, one row for each range, come to the driver, and
+    no task holds more than a range.  Rows equal in ``order`` come in any order.
     """
     order = order or (F.col(POS),)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    marked = ranged.withColumn("_part", F.spark_partition_id()).withColumn("_seq", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("bigint"), 33))
-    counts = sorted((r[0], r[1]) for r in marked.groupBy("_part").count().collect())
+    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
+    ranges = min(256, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    sample = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(32 * ranges)
+    picked = sample.agg(F.array_sort(F.collect_list("_key")).alias("s"))
+    step = F.greatest(F.size("s") / F.lit(ranges), F.lit(1.0))
+    edges = F.transform(F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.get("s", F.floor(i * step).cast("int")))
+    bounds = F.broadcast(picked.select(F.filter(edges, lambda e: e.isNotNull()).alias("_edges")))
+    placed = keyed.crossJoin(bounds).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("_key")))).drop("_edges")
     base, total = [], 0
-    for p, c in counts:
-        base.append((p, total))
-        total += c
-    bases = F.broadcast(df.sparkSession.createDataFrame(base, "_part int, _base bigint"))
+    for r, n in sorted((r[0], r[1]) for r in placed.groupBy("_range").count().collect()):
+        base.append((r, total))
+        total += n
+    bases = F.broadcast(df.sparkSession.createDataFrame(base, "_range int, _base bigint"))
+    number = F.row_number().over(W.partitionBy("_range").orderBy("_key")) - 1
     others = [F.col(f"`{c}`") for c in df.columns if c != POS]
-    return marked.join(bases, "_part").select((F.col("_base") + F.col("_seq")).alias(POS), *others)
+    return placed.withColumn("_number", number).join(bases, "_range").select((F.col("_base") + F.col("_number")).alias(POS), *others)
 
 
 class EntityFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import OBJECT, EntityFrame, HistoryEntry, dense, feature_column
+from ..frame import OBJECT, EntityFrame, HistoryEntry, feature_column
 from ..index import POS
 from .aggregate import first_by_key
 
@@ -28,9 +28,12 @@ def concat(frames: Sequence[EntityFrame], handle_missing_features: str = "zeros"
     for f in frames:
         for n in f.feature_names:
             owner.setdefault(n, f)
-    out = None
+    out, offset = None, 0
     for k, f in enumerate(frames):
-        df = f.df
+        df = f.df.withColumn(POS, F.col(POS) + F.lit(offset).cast("bigint"))
+        if k < len(frames) - 1:  # positions follow those of the frames before: no shuffle, dense if they were
+            top = f.df.agg(F.max(POS)).first()[0]
+            offset += 0 if top is None else top + 1
         for n, o in owner.items():
             if f.has_feature(n):
                 continue
@@ -42,11 +45,9 @@ def concat(frames: Sequence[EntityFrame], handle_missing_features: str = "zeros"
                 raise ValueError(f"NaN can't fill the feature {n!r} of {kind.elementType.simpleString()}")
             fill = F.lit(float("nan") if handle_missing_features == "nan" else 0).cast(kind.elementType)
             df = df.withColumn(c, F.array_repeat(fill, o.feature_shape(n)[1]))
-        df = df.withColumn("_table", F.lit(k))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    numbered = dense(out, F.col("_table"), F.col(POS)).drop("_table")
     history = tuple(h for f in frames for h in f.history)
-    return EntityFrame(numbered, frames[0].kind, (*history, HistoryEntry.now("concat", {"n_tables": len(frames), "handle_missing_features": handle_missing_features})))
+    return EntityFrame(out, frames[0].kind, (*history, HistoryEntry.now("concat", {"n_tables": len(frames), "handle_missing_features": handle_missing_features})))
 
 
 def append(frame: EntityFrame, more: EntityFrame, handle_missing_features: str = "zeros") -> EntityFrame:

@@ -1,14 +1,601 @@
-"""Registered queries of the library's own operators and their DuckDB SQL."""
+"""Registered queries of the library's own operators and their DuckDB SQL.
+
+Each query applies an operator to a whole test table.  Queries without SQL have
+results that SQL can't compute (fingerprints); they are checked by tests.
+"""
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import operators as ops
+from .frame import FEAT, META, OBJECT, EntityFrame, feature_column
+from .functions import chem
+from .index import POS
+from .operators.overlay import tombstone, write_back
+from .operators.setops import sample_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(name: str, oracle: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return f
+
+    return add
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def vectors(spark: SparkSession, d: str) -> EntityFrame:
+    return EntityFrame.from_frame(table(spark, d, "embeddings"), "vec_id", features=["embedding"])
+
+
+def documents(spark: SparkSession, d: str) -> EntityFrame:
+    return EntityFrame.from_frame(table(spark, d, "documents"), "doc_id", object_col="text")
+
+
+def turns(spark: SparkSession, d: str) -> EntityFrame:
+    """Conversations as children, numbered by (conversation, turn)."""
+    return EntityFrame.from_frame(table(spark, d, "conversations"), ["conv_id", "turn"], object_col="text", kind="conformer")
+
+
+def smiles() -> Column:
+    tail = F.when(F.col("p_partkey") % 3 == 1, "O").when(F.col("p_partkey") % 3 == 2, "N").otherwise("")
+    return F.concat(F.repeat(F.lit("C"), F.col("p_size") % 12 + 1), tail)
+
+
+def molecules(spark: SparkSession, d: str) -> EntityFrame:
+    """Linear alkanes, alkanols and amines made from ``part``."""
+    t = table(spark, d, "part").select("p_partkey", "p_size", smiles().alias("smiles"))
+    return EntityFrame.from_frame(t.withColumn(OBJECT, F.col("smiles")), "p_partkey", kind="molecule")
+
+
+SMILES_SQL = "repeat('C', 1 + p_size % 12) || CASE p_partkey % 3 WHEN 1 THEN 'O' WHEN 2 THEN 'N' ELSE '' END"
+MASS_SQL = "(12.011 * (1 + p_size % 12) + 1.008 * (2 * (1 + p_size % 12) + 2 + CASE WHEN p_partkey % 3 = 2 THEN 1 ELSE 0 END) + CASE p_partkey % 3 WHEN 1 THEN 15.999 WHEN 2 THEN 14.007 ELSE 0 END)"
+
+
+def _fold_query(how: str, sql: str) -> None:
+    @query(
+        f"collapse_{how}",
+        f"""
+        WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) AS i FROM embeddings),
+        a AS (SELECT label, i, {sql} AS m FROM x GROUP BY label, i)
+        SELECT label, list(round(m, 6) ORDER BY i) AS folded FROM a GROUP BY label""",
+    )
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        out = ops.feature_fold(vectors(spark, d).df, ["label"], {feature_column("embedding"): how})
+        return out.select("label", F.transform(feature_column("embedding"), lambda x: F.round(x, 6)).alias("folded"))
+
+
+for _how, _sql in (("mean", "avg(v)"), ("min", "min(v)"), ("max", "max(v)"), ("sum", "sum(v)")):
+    _fold_query(_how, _sql)
+
+
+def _whole_query(how: str, sql: str) -> None:
+    @query(f"collapse_{how}", f"SELECT label, {sql} AS folded FROM embeddings GROUP BY label")
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return ops.feature_fold(vectors(spark, d).df, ["label"], {feature_column("embedding"): how}).select("label", F.col(feature_column("embedding")).alias("folded"))
+
+
+_whole_query("first", "first(embedding ORDER BY vec_id)")
+_whole_query("last", "last(embedding ORDER BY vec_id)")
+
+
+@query("collapse_meta_default", "SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS pos, role, turn::BIGINT AS turn FROM (SELECT conv_id, first(role ORDER BY turn) AS role, max(turn) AS turn FROM conversations GROUP BY conv_id)")
+def collapse_meta_default(spark: SparkSession, d: str) -> DataFrame:
+    return ops.collapse(turns(spark, d), "conv_id", {"turn": "max"}).df.select("conv_id", F.col(POS).alias("pos"), "role", "turn")
+
+
+@query("unroll_children", "SELECT conv_id AS parent_index, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS conf_id, text FROM conversations")
+def unroll_children(spark: SparkSession, d: str) -> DataFrame:
+    folded = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["text"]).alias(OBJECT))
+    return ops.unroll(EntityFrame.from_frame(folded, "conv_id", kind="molecule")).df.select("parent_index", F.col("conf_id").cast("bigint").alias("conf_id"), F.col(OBJECT).alias("text"))
+
+
+@query("fold_children", "SELECT conv_id, list(text ORDER BY turn) AS texts FROM conversations GROUP BY conv_id")
+def fold_children(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "conversations").select("conv_id", F.col("turn").alias(POS), F.struct(F.lit("C").alias("smiles"), F.array("text").alias("coords")).alias(OBJECT))
+    return ops.fold_objects(df, ["conv_id"]).select("conv_id", F.col(f"{OBJECT}.coords").alias("texts"))
+
+
+@query("roundtrip_unroll_collapse", "SELECT conv_id AS parent_index, first(text ORDER BY turn) AS text, count(*)::BIGINT - 1 AS last_conf FROM conversations GROUP BY conv_id")
+def roundtrip_unroll_collapse(spark: SparkSession, d: str) -> DataFrame:
+    folded = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("s")).select("conv_id", F.transform("s", lambda x: x["text"]).alias(OBJECT))
+    long = ops.unroll(EntityFrame.from_frame(folded, "conv_id", kind="molecule"))
+    return ops.collapse(long, "parent_index", {"conf_id": "last"}).df.select("parent_index", F.col(OBJECT).alias("text"), F.col("conf_id").cast("bigint").alias("last_conf"))
+
+
+def _orders(spark: SparkSession, d: str) -> tuple[EntityFrame, EntityFrame]:
+    orders = EntityFrame.from_frame(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_quantity", F.array(F.col("l_quantity"), F.col("l_discount")).alias("f__q"), F.col("l_orderkey").alias(POS))
+    return orders, EntityFrame(lines)
+
+
+def _children_sql(join: str, keep: str) -> str:
+    return f"""
+    WITH a AS (SELECT l_orderkey, max(l_quantity) AS top, round(avg(l_quantity), 6) AS q, round(avg(l_discount), 6) AS dd FROM lineitem GROUP BY l_orderkey)
+    SELECT o_orderkey, o_totalprice, top AS l_quantity, {keep} AS q FROM orders {join} JOIN a ON o_orderkey = l_orderkey"""
+
+
+def _children(spark: SparkSession, d: str, drop: bool) -> DataFrame:
+    orders, lines = _orders(spark, d)
+    out = ops.update_from_children(orders, lines, "l_orderkey", {"l_quantity": "max"}, {"q": "mean"}, drop_empty=drop)
+    return out.df.select("o_orderkey", "o_totalprice", "l_quantity", F.transform("f__q", lambda x: F.round(x, 6)).alias("q"))
+
+
+@query("update_from_children_keep", _children_sql("LEFT", "CASE WHEN q IS NULL THEN [0.0::DOUBLE, 0.0::DOUBLE] ELSE [q, dd] END"))
+def update_from_children_keep(spark: SparkSession, d: str) -> DataFrame:
+    return _children(spark, d, False)
+
+
+@query("update_from_children_drop", _children_sql("", "[q, dd]"))
+def update_from_children_drop(spark: SparkSession, d: str) -> DataFrame:
+    return _children(spark, d, True)
+
+
+@query("merge_metadata_left", "SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON d.doc_id IS NOT DISTINCT FROM l.doc_id")
+def merge_metadata_left(spark: SparkSession, d: str) -> DataFrame:
+    return ops.merge_metadata(documents(spark, d), table(spark, d, "labels"), "doc_id").df.select("doc_id", "lang", "quality", "toxic")
+
+
+@query("merge_metadata_overwrite", "SELECT c_custkey, n_name AS c_name, c_nationkey FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def merge_metadata_overwrite(spark: SparkSession, d: str) -> DataFrame:
+    c = EntityFrame.from_frame(table(spark, d, "customer"), "c_custkey")
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("c_name"))
+    return ops.merge_metadata(c, n, "c_nationkey").df.select("c_custkey", "c_name", "c_nationkey")
+
+
+def _concat_sql(fill: str) -> str:
+    return f"SELECT vec_id AS pos, vec_id, embedding FROM embeddings UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings) AS pos, vec_id, {fill} AS embedding FROM embeddings"
+
+
+def _concat(spark: SparkSession, d: str, how: str) -> DataFrame:
+    a = vectors(spark, d)
+    return ops.concat([a, a.drop_feature("embedding")], how).df.select(F.col(POS).alias("pos"), "vec_id", F.col("f__embedding").alias("embedding"))
+
+
+@query("concat_zeros", _concat_sql("list_transform(embedding, lambda x: 0::FLOAT)"))
+def concat_zeros(spark: SparkSession, d: str) -> DataFrame:
+    return _concat(spark, d, "zeros")
+
+
+@query("concat_nan", _concat_sql("list_transform(embedding, lambda x: 'nan'::FLOAT)"))
+def concat_nan(spark: SparkSession, d: str) -> DataFrame:
+    return _concat(spark, d, "nan")
+
+
+@query("concat_meta_outer", "SELECT c_custkey, c_name, s_suppkey, s_name FROM (SELECT c_custkey, c_name FROM customer UNION ALL BY NAME SELECT s_suppkey, s_name FROM supplier)")
+def concat_meta_outer(spark: SparkSession, d: str) -> DataFrame:
+    c = EntityFrame.from_frame(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    s = EntityFrame.from_frame(table(spark, d, "supplier").select("s_suppkey", "s_name"), "s_suppkey")
+    return ops.concat([c, s]).df.select("c_custkey", "c_name", "s_suppkey", "s_name")
+
+
+@query("append_rows", "SELECT vec_id AS pos, label FROM embeddings UNION ALL SELECT vec_id + (SELECT count(*) FROM embeddings) AS pos, label FROM embeddings")
+def append_rows(spark: SparkSession, d: str) -> DataFrame:
+    a = vectors(spark, d)
+    return ops.append(a, a).df.select(F.col(POS).alias("pos"), "label")
+
+
+@query("subset_slice", "SELECT doc_id, lang FROM documents WHERE doc_id >= 10 AND doc_id < 190 AND (doc_id - 10) % 3 = 0")
+def subset_slice(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[10:190:3].df.select("doc_id", "lang")
+
+
+@query("subset_negative", "SELECT doc_id, lang FROM documents WHERE doc_id >= (SELECT count(*) FROM documents) - 20")
+def subset_negative(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[-20:].df.select("doc_id", "lang")
+
+
+@query("subset_take_dups", "SELECT v.pos::BIGINT AS pos, doc_id, lang FROM documents JOIN (VALUES (0, 5), (1, 3), (2, 5), (3, 199 - 199)) v(pos, id) ON doc_id = v.id")
+def subset_take_dups(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[[5, 3, 5, 0]].df.select(F.col(POS).alias("pos"), "doc_id", "lang")
+
+
+@query("subset_mask", "SELECT doc_id, lang FROM documents WHERE lang = 'en' AND n_chars > 500")
+def subset_mask(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[(F.col("lang") == "en") & (F.col("n_chars") > 500)].df.select("doc_id", "lang")
+
+
+@query("axis_meta", "SELECT doc_id, lang, source FROM documents WHERE doc_id < 50")
+def axis_meta(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[META, ["doc_id", "lang", "source"], slice(0, 50)].drop(POS)
+
+
+@query("axis_feat_rows", "SELECT vec_id AS pos, embedding FROM embeddings WHERE vec_id >= 20 AND vec_id < 60")
+def axis_feat_rows(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d)[FEAT, "embedding", slice(20, 60)].withColumnRenamed(POS, "pos")
+
+
+@query("axis_objects", "SELECT doc_id AS pos, text FROM documents")
+def axis_objects(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).objects().select(F.col(POS).alias("pos"), F.col(OBJECT).alias("text"))
+
+
+@query("axis_feat_slice", "SELECT vec_id, embedding[9:16] AS part FROM embeddings")
+def axis_feat_slice(spark: SparkSession, d: str) -> DataFrame:
+    return vectors(spark, d).view(feature_slices={"embedding": (8, 16)}).df.select("vec_id", F.col("f__embedding").alias("part"))
+
+
+@query("view_allowlist", "SELECT doc_id, lang FROM documents")
+def view_allowlist(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).view(meta_cols=["doc_id", "lang"]).metadata().drop(POS)
+
+
+@query("valid_objects", "SELECT doc_id FROM documents WHERE text IS NOT NULL")
+def valid_objects(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).drop_invalid().df.select("doc_id")
+
+
+@query("add_column_partial_na", "SELECT p_partkey, CASE WHEN p_partkey >= 10 AND p_partkey < 100 THEN p_size * 2 ELSE -1 END AS doubled FROM part")
+def add_column_partial_na(spark: SparkSession, d: str) -> DataFrame:
+    p = EntityFrame.from_frame(table(spark, d, "part"), "p_partkey")
+    return p.with_metadata("doubled", F.col("p_size") * 2, slice(10, 100), na=-1).df.select("p_partkey", "doubled")
+
+
+@query("update_metadata_partial", "SELECT doc_id, CASE WHEN doc_id < 100 THEN upper(lang) ELSE lang END AS lang FROM documents")
+def update_metadata_partial(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).update_metadata({"lang": F.upper("lang")}, slice(0, 100)).df.select("doc_id", "lang")
+
+
+@query("update_metadata_values", "SELECT doc_id, CASE doc_id WHEN 3 THEN 'x' WHEN 1 THEN 'y' ELSE lang END AS lang FROM documents")
+def update_metadata_values(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).update_metadata(pd.Series(["x", "y"], name="lang"), [3, 1]).df.select("doc_id", "lang")
+
+
+@query("drop_columns", "SELECT doc_id, n_chars FROM documents")
+def drop_columns(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).drop_metadata(["lang", "source"]).metadata().drop(POS)
+
+
+@query("update_feature_partial_fill", "SELECT vec_id, CASE WHEN vec_id >= 100 THEN list_transform(embedding, lambda x: x * 2) ELSE list_transform(embedding, lambda x: 0::FLOAT) END AS twice FROM embeddings")
+def update_feature_partial_fill(spark: SparkSession, d: str) -> DataFrame:
+    two = F.transform("f__embedding", lambda x: (x * F.lit(2).cast("float")).cast("float"))
+    frame = vectors(spark, d)
+    out = frame.with_feature("twice", F.when(F.col(POS) >= 100, two).otherwise(F.transform("f__embedding", lambda x: F.lit(0).cast("float"))))
+    return out.df.select("vec_id", F.col("f__twice").alias("twice"))
+
+
+@query("update_objects_partial", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lower(text) ELSE text END AS text FROM documents")
+def update_objects_partial(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).update_objects(F.lower(OBJECT), F.col(POS) % 2 == 0).df.select("doc_id", F.col(OBJECT).alias("text"))
+
+
+@query("overlay_commit", "SELECT doc_id, CASE WHEN doc_id < 50 THEN source || '!' ELSE source END AS source FROM documents")
+def overlay_commit(spark: SparkSession, d: str) -> DataFrame:
+    base = documents(spark, d)
+    return write_back(base, base[0:50].update_metadata({"source": F.concat("source", F.lit("!"))})).df.select("doc_id", "source")
+
+
+@query("overlay_nested", "SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE lang = 'fr' AND n_chars + 1 > 300")
+def overlay_nested(spark: SparkSession, d: str) -> DataFrame:
+    outer = documents(spark, d).where(F.col("lang") == "fr").update_metadata({"n_chars": F.col("n_chars") + 1})
+    return outer.where(F.col("n_chars") > 300).df.select("doc_id", "n_chars")
+
+
+@query("tombstone", "SELECT doc_id, 'new' AS lang, source FROM documents")
+def tombstone_query(spark: SparkSession, d: str) -> DataFrame:
+    return tombstone(documents(spark, d), "lang").with_metadata("lang", "new").df.select("doc_id", "lang", "source")
+
+
+@query("unique_first", "SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def unique_first(spark: SparkSession, d: str) -> DataFrame:
+    return ops.unique(documents(spark, d), OBJECT).df.select("doc_id")
+
+
+@query("unique_cross_batch", "SELECT doc_id FROM (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) WHERE doc_id >= 100")
+def unique_cross_batch(spark: SparkSession, d: str) -> DataFrame:
+    docs = documents(spark, d)
+    return ops.unique(docs[F.col(POS) >= 100], OBJECT, seen=docs[0:100].df.select(OBJECT)).df.select("doc_id")
+
+
+@query("unique_canonical", f"SELECT min(p_partkey) AS p_partkey FROM part GROUP BY {SMILES_SQL}")
+def unique_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return ops.unique(molecules(spark, d)).df.select("p_partkey")
+
+
+@query("sample_seeded", "SELECT doc_id FROM documents ORDER BY md5(doc_id::VARCHAR || '|7'), doc_id LIMIT 100")
+def sample_seeded(spark: SparkSession, d: str) -> DataFrame:
+    return sample_rows(documents(spark, d).df, 100, 7).select("doc_id")
+
+
+@query("batch_ids", "SELECT event_id, event_id // 1000 AS batch_id FROM events")
+def batch_ids(spark: SparkSession, d: str) -> DataFrame:
+    return ops.aggregate.batch_ids(table(spark, d, "events").withColumn(POS, F.col("event_id")), 1000).select("event_id", "batch_id")
+
+
+@query("batch_pipeline", "SELECT event_id, event_type FROM events WHERE value > 50")
+def batch_pipeline(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import FunctionFilter, Pipeline
+
+    def high(c: Column) -> Column:
+        return c > 50
+
+    frame = EntityFrame.from_frame(table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
+    return Pipeline([FunctionFilter(high, "high", column="value")]).run(frame).df.select("event_id", "event_type")
+
+
+@query("stream_unique", "SELECT DISTINCT user_id FROM events")
+def stream_unique(spark: SparkSession, d: str) -> DataFrame:
+    from .streaming import dedup_stream
+
+    folder = tempfile.mkdtemp(prefix="stream-")
+    try:
+        source = table(spark, d, "events").select("user_id")
+        stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+        out = dedup_stream(stream.select("user_id"), ["user_id"]).writeStream.format("memory").queryName("stream_unique_rows").option("checkpointLocation", folder).trigger(availableNow=True).start()
+        out.awaitTermination()
+        return spark.table("stream_unique_rows")
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+def _plan(spark: SparkSession, d: str, *steps) -> EntityFrame:
+    from .plans import Pipeline
+
+    return Pipeline(list(steps)).run(molecules(spark, d))
+
+
+@query("validity_filter", "SELECT p_partkey FROM part")
+def validity_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import ValidityFilter
+
+    return _plan(spark, d, ValidityFilter()).df.select("p_partkey")
+
+
+@query("element_filter", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 2")
+def element_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import ElementFilter
+
+    return _plan(spark, d, ElementFilter((6, 1, 8))).df.select("p_partkey")
+
+
+@query("mw_filter", f"SELECT p_partkey FROM part WHERE {MASS_SQL} <= 100.0")
+def mw_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import MWFilter
+
+    return _plan(spark, d, MWFilter(100.0)).df.select("p_partkey")
+
+
+@query("property_filter", f"SELECT p_partkey FROM part WHERE {MASS_SQL} BETWEEN 60 AND 140")
+def property_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import PropertyFilter
+
+    return _plan(spark, d, PropertyFilter(min_mw=60, max_mw=140)).df.select("p_partkey")
+
+
+@query("ro5_filter", "SELECT p_partkey FROM part WHERE NOT (p_partkey % 3 = 0 AND 0.3901 * (1 + p_size % 12) + 0.246 > 5)")
+def ro5_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import RuleOfFiveFilter
+
+    return _plan(spark, d, RuleOfFiveFilter()).df.select("p_partkey")
+
+
+@query("descriptors_default", f"SELECT p_partkey, round({MASS_SQL}::DOUBLE, 4) AS mw, (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END)::DOUBLE AS hba, (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END)::DOUBLE AS hbd, CASE p_partkey % 3 WHEN 1 THEN 20.23 WHEN 2 THEN 26.02 ELSE 0.0 END::DOUBLE AS tpsa, greatest(1 + p_size % 12 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END - 3, 0)::DOUBLE AS rotatable FROM part")
+def descriptors_default(spark: SparkSession, d: str) -> DataFrame:
+    s = molecules(spark, d).df.withColumn("s", chem.descriptors(F.col(OBJECT)))
+    return s.select("p_partkey", F.round("s.MolWt", 4).alias("mw"), F.col("s.NumHAcceptors").alias("hba"), F.col("s.NumHDonors").alias("hbd"), F.col("s.TPSA").alias("tpsa"), F.col("s.NumRotatableBonds").alias("rotatable"))
+
+
+@query("canonical_smiles", f"SELECT p_partkey, {SMILES_SQL} AS canonical FROM part")
+def canonical_smiles(spark: SparkSession, d: str) -> DataFrame:
+    """Read back from the atoms written in reverse order."""
+    m = molecules(spark, d).df
+    return m.select("p_partkey", chem.canonical_smiles(F.reverse(F.col("smiles"))).alias("canonical"))
+
+
+def _smarts(spark: SparkSession, d: str, **options) -> DataFrame:
+    from .plans import SMARTSFilter
+
+    return _plan(spark, d, SMARTSFilter(["[OX2H]", "[NX3]"] if "min_matches" in options else "[OX2H]", **options)).df.select("p_partkey")
+
+
+@query("smarts_filter_include", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 1")
+def smarts_filter_include(spark: SparkSession, d: str) -> DataFrame:
+    return _smarts(spark, d, exclude=False)
+
+
+@query("smarts_filter_exclude", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 1")
+def smarts_filter_exclude(spark: SparkSession, d: str) -> DataFrame:
+    return _smarts(spark, d)
+
+
+@query("smarts_filter_min_matches", "SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0")
+def smarts_filter_min_matches(spark: SparkSession, d: str) -> DataFrame:
+    return _smarts(spark, d, exclude=False, min_matches=1)
+
+
+@query("catalog_filter", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
+def catalog_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import CatalogFilter
+    from .plans.blocks import register_catalog
+
+    register_catalog("POLAR", [("hydroxyl", "[OX2H]"), ("amine", "[NX3;H2]")])
+    return _plan(spark, d, CatalogFilter(["polar"])).df.select("p_partkey")
+
+
+@query("desalt_largest", f"SELECT p_partkey, {SMILES_SQL} AS parent FROM part")
+def desalt_largest(spark: SparkSession, d: str) -> DataFrame:
+    m = molecules(spark, d).df
+    return m.select("p_partkey", chem.desalted(F.concat(F.col("smiles"), F.lit(".Cl"))).alias("parent"))
+
+
+@query("hydrogens_add_remove", f"SELECT p_partkey, (3 * (1 + p_size % 12) + 2 + CASE p_partkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END)::INTEGER AS atoms, {SMILES_SQL} AS back FROM part")
+def hydrogens_add_remove(spark: SparkSession, d: str) -> DataFrame:
+    full = chem.with_hydrogens(F.col("smiles"))
+    return molecules(spark, d).df.select("p_partkey", chem.n_atoms(full).alias("atoms"), chem.with_hydrogens(full, False).alias("back"))
+
+
+@query("kekulize_sanitize", f"SELECT p_partkey, {SMILES_SQL} AS kekule, {SMILES_SQL} AS sane FROM part")
+def kekulize_sanitize(spark: SparkSession, d: str) -> DataFrame:
+    m = molecules(spark, d).df
+    return m.select("p_partkey", chem.kekulized(F.col("smiles")).alias("kekule"), chem.sanitized(F.col("smiles")).alias("sane"))
+
+
+@query("morgan_fp")
+def morgan_fp(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import MorganFeaturizer
+
+    b = MorganFeaturizer()
+    return _plan(spark, d, b).df.select("p_partkey", F.col(f"`{feature_column(b.feature_name)}`").alias("bits"))
+
+
+@query("maccs_fp")
+def maccs_fp(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import MACCSFeaturizer
+
+    b = MACCSFeaturizer()
+    return _plan(spark, d, b).df.select("p_partkey", F.col(f"`{feature_column(b.feature_name)}`").alias("bits"))
+
+
+@query("gobbi_fp")
+def gobbi_fp(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import GobbiFeaturizer
+
+    b = GobbiFeaturizer()
+    return _plan(spark, d, b).df.select("p_partkey", F.col(f"`{feature_column(b.feature_name)}`").alias("bits"))
+
+
+@query("rdkit2d_like", f"SELECT p_partkey, [{MASS_SQL}::FLOAT, (CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END)::FLOAT] AS v FROM part")
+def rdkit2d_like(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import DescriptorFeaturizer
+
+    b = DescriptorFeaturizer(["MolWt", "NumHDonors"])
+    return _plan(spark, d, b).df.select("p_partkey", F.col(f"`{feature_column(b.feature_name)}`").alias("v"))
+
+
+def _fold_sql(how: str) -> str:
+    total = "list_sum(list_filter(list_transform(range(1, 65), lambda k: CASE WHEN (k - 1) % 16 = j THEN bits[k] ELSE 0 END), lambda v: v = 1))"
+    return f"SELECT vec_id, list_transform(range(16), lambda j: ({'coalesce(' + total + ', 0) % 2' if how == 'xor' else 'least(coalesce(' + total + ', 0), 1)'})::TINYINT) AS folded FROM (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END) AS bits FROM embeddings)"
+
+
+def _fold_bits(spark: SparkSession, d: str, how: str) -> DataFrame:
+    bits = F.transform("embedding", lambda x: (x > 0).cast("tinyint"))
+    return table(spark, d, "embeddings").select("vec_id", chem.fold_bits(bits, 64, 16, how).alias("folded"))
+
+
+@query("fp_fold_or", _fold_sql("or"))
+def fp_fold_or(spark: SparkSession, d: str) -> DataFrame:
+    return _fold_bits(spark, d, "or")
+
+
+@query("fp_fold_xor", _fold_sql("xor"))
+def fp_fold_xor(spark: SparkSession, d: str) -> DataFrame:
+    return _fold_bits(spark, d, "xor")
+
+
+def _reactions(spark: SparkSession, d: str) -> EntityFrame:
+    from .sources import from_smarts
+
+    t = molecules(spark, d).df.select("p_partkey", F.concat(F.col("smiles"), F.lit(".O>>"), F.col("smiles")).alias("reaction_smarts"))
+    return from_smarts(t, order="p_partkey")
+
+
+@query("reaction_counts", "SELECT p_partkey, 2 AS n_reactants, 1 AS n_products FROM part")
+def reaction_counts(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.readers import n_products, n_reactants
+
+    return _reactions(spark, d).df.select("p_partkey", n_reactants(F.col(OBJECT)).alias("n_reactants"), n_products(F.col(OBJECT)).alias("n_products"))
+
+
+@query("reaction_explode", f"SELECT p_partkey AS reaction_index, 0 AS part_index, {SMILES_SQL} AS part FROM part UNION ALL SELECT p_partkey, 1, 'O' FROM part")
+def reaction_explode(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.readers import reaction_parts
+
+    return reaction_parts(_reactions(spark, d)).df.select("reaction_index", "part_index", F.col(OBJECT).alias("part"))
+
+
+def _round_trip(spark: SparkSession, d: str, name: str, **options) -> EntityFrame:
+    """A frame written to a file of the format and read again; the rows are cached before the files go."""
+    from .sources import read_file, write_file
+
+    folder = tempfile.mkdtemp(prefix="roundtrip-")
+    m = molecules(spark, d)
+    write_file(m._new(m.df.withColumn("name", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))), f"{folder}/{name}", single=True, **options)
+    out = read_file(spark, f"{folder}/{name}", **({"name_col": "Name"} if name.endswith("sv") else {}))
+    kept = out.df.select(OBJECT, "name").persist()
+    kept.count()
+    shutil.rmtree(folder, ignore_errors=True)
+    return EntityFrame(kept.withColumn(POS, F.lit(0).cast("bigint")), "molecule")
+
+
+_ROUND_SQL = f"SELECT {SMILES_SQL} AS smiles, 'p' || p_partkey AS name FROM part"
+
+
+@query("smi_roundtrip", _ROUND_SQL)
+def smi_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "m.smi").df.select(F.col(OBJECT).alias("smiles"), "name")
+
+
+@query("csv_roundtrip", _ROUND_SQL)
+def csv_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "m.tsv").df.select(F.col(OBJECT).alias("smiles"), "name")
+
+
+@query("sdf_roundtrip", _ROUND_SQL)
+def sdf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    return _round_trip(spark, d, "m.sdf").df.select(F.col(OBJECT).alias("smiles"), "name")
+
+
+@query("bundle_roundtrip", "SELECT doc_id, lang, source, n_chars, text FROM documents")
+def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import load, save
+
+    folder = tempfile.mkdtemp(prefix="bundle-")
+    save(documents(spark, d), f"{folder}/b")
+    kept = load(spark, f"{folder}/b").df.select("doc_id", "lang", "source", "n_chars", F.col(OBJECT).alias("text")).persist()
+    kept.count()
+    shutil.rmtree(folder, ignore_errors=True)
+    return kept
+
+
+@query("udf_featurizer", "SELECT doc_id, [length(text)::DOUBLE, (length(text) % 7)::DOUBLE] AS v FROM documents")
+def udf_featurizer(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import FunctionFeaturizer, Pipeline
+
+    def shape(s):
+        n = s.str.len()
+        return pd.Series([[float(x), float(x % 7)] for x in n])
+
+    return Pipeline([FunctionFeaturizer(shape, "shape")]).run(documents(spark, d)).df.select("doc_id", F.col("f__shape").alias("v"))
+
+
+@query("udf_filter", "SELECT doc_id FROM documents WHERE length(text) % 2 = 0")
+def udf_filter(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import FunctionFilter, Pipeline
+
+    def even(s):
+        return s.str.len() % 2 == 0
+
+    return Pipeline([FunctionFilter(even)]).run(documents(spark, d)).df.select("doc_id")
+
+
+@query("udf_prepare", "SELECT doc_id, text || '.' AS text FROM documents")
+def udf_prepare(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import FunctionPreparation, Pipeline
+
+    def dotted(s):
+        return s + "."
+
+    return Pipeline([FunctionPreparation(dotted)]).run(documents(spark, d)).df.select("doc_id", F.col(OBJECT).alias("text"))
+
+
+@query("history_audit", f"SELECT 0::BIGINT AS step, 'MWFilter' AS block, count(*)::BIGINT AS rows_in, count(*) FILTER ({MASS_SQL} <= 100.0)::BIGINT AS rows_out FROM part UNION ALL SELECT 1, 'ElementFilter', count(*) FILTER ({MASS_SQL} <= 100.0), count(*) FILTER ({MASS_SQL} <= 100.0 AND p_partkey % 3 <> 2) FROM part")
+def history_audit(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import ElementFilter, MWFilter, Pipeline
+
+    out = Pipeline([MWFilter(100.0), ElementFilter((6, 1, 8))]).run(molecules(spark, d), audit=True)
+    return spark.createDataFrame([(k, h.block_name, h.rows_in, h.rows_out) for k, h in enumerate(out.history)], "step bigint, block string, rows_in bigint, rows_out bigint")

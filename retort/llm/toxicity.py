@@ -101,52 +101,69 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
 
-def swaps(x: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Change of the features for every swap of one present identity term for another of its group."""
-    out = []
-    for group in groups:
-        for a in group:
-            n = int(x[:, a].sum())
-            for b in group:
-                if n and a != b:
-                    row = np.zeros(x.shape[1])
-                    row[a], row[b] = -1, 1
-                    out.append(row * np.sqrt(n))
-    return np.array(out) if out else np.zeros((0, x.shape[1]))
-
-
-def fit(x: np.ndarray, y: np.ndarray, groups: list[list[int]], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
+@dataclass
+class Sparse:
+    """Rows of a 0/1 matrix as (row, place) pairs in order of row."""
+
+    row: np.ndarray
+    place: np.ndarray
+    shape: tuple[int, int]
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=w[self.place], minlength=self.shape[0])
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.bincount(self.place, weights=r[self.row], minlength=self.shape[1])
+
+    def part(self, keep: np.ndarray) -> Sparse:
+        at = np.cumsum(keep) - 1
+        live = keep[self.row]
+        return Sparse(at[self.row[live]], self.place[live], (int(keep.sum()), self.shape[1]))
+
+
+def swaps(count: np.ndarray, groups: list[list[int]]) -> np.ndarray:
+    """Quadratic form, over the identity terms in order of the groups, of all changes of score by swapping a present term for another of its group; per mention."""
+    ids = [i for g in groups for i in g]
+    at = {i: k for k, i in enumerate(ids)}
+    gram = np.zeros((len(ids), len(ids)))
+    for g in groups:
+        for a in g:
+            for b in g:
+                if a != b and count[a]:
+                    d = np.zeros(len(ids))
+                    d[at[a]], d[at[b]] = -1, 1
+                    gram += count[a] * np.outer(d, d)
+    return gram / max(float(count[ids].sum()) if ids else 0.0, 1.0)
+
+
+def fit(x: Sparse, y: np.ndarray, groups: list[list[int]], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
     """Weights and bias by accelerated gradient descent on log loss, ridge and counterfactual penalty."""
     n, k = x.shape
-    d = swaps(x, groups)
-    pairs = max(float(x[:, [i for g in groups for i in g]].sum()), 1.0) if groups else 1.0
-    gram = d.T @ d / pairs
-    design = np.hstack([x, np.ones((n, 1))]).astype(np.float32)
-    rare = 1 / np.sqrt(np.maximum(design.mean(0), 1e-4))  # scale by frequency, so rare words learn as fast
-    rare[-1] = 1
-    for g in groups:
-        rare[g] = 1
-    w = np.zeros(k + 1)
-    at = w.copy()
-    scaled = design * rare.astype(np.float32)
-    v = np.random.default_rng(0).normal(size=k + 1).astype(np.float32)
+    count = np.bincount(x.place, minlength=k).astype(float)
+    ids = np.array([i for g in groups for i in g], np.int64)
+    gram = swaps(count, groups)
+    rare = 1 / np.sqrt(np.maximum(count / n, 1e-4))  # scale by frequency, so rare words learn as fast
+    rare[ids] = 1
+    score = lambda v: x.dot(v[:k] * rare) + v[k]
+    back = lambda r: np.r_[x.back(r) * rare, r.sum()]
+    v = np.random.default_rng(0).normal(size=k + 1)
     for _ in range(20):
-        v = scaled.T @ (scaled @ v)
+        v = back(score(v))
         v /= np.linalg.norm(v)
-    top = float(np.linalg.norm(scaled @ v) ** 2) / n / 4 + ridge
-    penal = 2 * counterfactual * (np.linalg.eigvalsh(gram)[-1] if len(d) else 0.0)
-    rate = 1 / (top + penal)
-    momentum = 1.0
+    top = float(np.sum(score(v) ** 2)) / n / 4 + ridge
+    rate = 1 / (top + 2 * counterfactual * (np.linalg.eigvalsh(gram)[-1] if len(ids) else 0.0))
+    w = np.zeros(k + 1)
+    at, momentum = w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(scaled @ at.astype(np.float32), -40, 40)))
-        g = scaled.T @ (p - y) / n + ridge * at
-        g[:k] += rare[:k] * (2 * counterfactual * (gram @ (rare[:k] * at[:k])))
+        p = 1 / (1 + np.exp(-np.clip(score(at), -40, 40)))
+        g = back(p - y) / n + ridge * at
+        if len(ids):
+            g[ids] += 2 * counterfactual * (gram @ at[ids])
         new = at - rate * g
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         at = new + (momentum - 1) / later * (new - w)
         w, momentum = new, later
-    w = w * rare
-    return w[:k].astype(np.float64), float(w[k])
+    return w[:k] * rare, float(w[k])
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
@@ -180,13 +197,13 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     key = np.argsort(K.mix(got.column("_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     lists = got.column("places").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
-    x = np.zeros((len(size), len(vocabulary)), np.float32)
-    x[np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy()] = 1
-    x, y = x[key], got.column("toxic").to_numpy()[key].astype(np.float64)
+    y = got.column("toxic").to_numpy().astype(np.float64)
+    x = Sparse(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(), (len(size), len(vocabulary)))
     groups = [[int(np.searchsorted(vocabulary, terms[w])) for w in g] for g in identity]
-    held = np.arange(len(y)) % 4 == 3
-    w, b = fit(x[~held], y[~held], groups, counterfactual)
-    threshold = best_threshold(1 / (1 + np.exp(-np.clip(x[held] @ w + b, -40, 40))), y[held])
+    held = np.zeros(len(y), bool)
+    held[key[3::4]] = True
+    w, b = fit(x.part(~held), y[~held], groups, counterfactual)
+    threshold = best_threshold(1 / (1 + np.exp(-np.clip(x.part(held).dot(w) + b, -40, 40))), y[held])
     return Model(vocabulary, w, b, 0.5 if threshold > 1 else min(max(threshold, MIN_THRESHOLD), 0.9))
 
 

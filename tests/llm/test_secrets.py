@@ -1,0 +1,28 @@
+from retort.llm import secrets as S
+
+from conftest_llm import docs_of
+
+HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+
+
+def test_owners_decide(spark):
+    rows = [(i, f'x token = "{HEX}" y', f"owner{i}") for i in range(4)] + [(10, "key AKIA" + "ABCDEFGHIJ234567 z", "o"), (11, 'password: "changeme1234"', "o"), (12, f"api_key = '{HEX[::-1]}' twice {HEX[::-1]}", None)]
+    got = {(r.doc_id, r.kind): r for r in S.scan(docs_of(spark, rows)).collect()}
+    assert got[0, "assignment"].verdict == "copied_example" and got[0, "assignment"].n_owners == 4
+    assert got[10, "aws_key"].verdict == "live" and got[11, "assignment"].verdict == "placeholder"
+    assert got[12, "assignment"].verdict == "live" and got[12, "assignment"].n_repos == 1
+    out = {r.doc_id: r for r in S.redacted(docs_of(spark, rows)).collect()}
+    assert HEX in out[0].text and HEX[::-1] not in out[12].text and out[12].text.count(S.MASK) == 2
+    assert out[12].n_chars == len(out[12].text) and len(out) == len(rows)
+
+
+def test_edge_rows(edge, empty):
+    assert S.scan(edge).count() == 0
+    assert sorted(map(str, S.redacted(edge).collect())) == sorted(map(str, edge.collect()))
+    assert S.scan(empty).count() == 0 and S.redacted(empty).count() == 0
+
+
+def test_repeated_and_null_ids_are_masked(spark):
+    rows = [(None, f'token="{HEX}"', None), (None, f'token="{HEX}"', None), (1, f'secret = "{HEX[::-1]}"', "a"), (1, "clean", "a")]
+    out = S.redacted(docs_of(spark, rows)).collect()
+    assert len(out) == 4 and not any(HEX in r.text or HEX[::-1] in r.text for r in out)

@@ -212,7 +212,13 @@ def from_records(records: DataFrame, kind: str = "molecule", properties: Sequenc
     if properties is None:
         found = records.select(F.explode(F.map_keys("properties")).alias("k")).distinct().collect()
         properties = sorted(r[0] for r in found)
-    extra = [F.try_element_at("properties", F.lit(p)).alias(p) for p in properties if p not in ("name", "source", "index", POS, OBJECT)]
+    taken, extra = {"name", "source", "index", POS, OBJECT}, []
+    for p in properties:  # column names ignore case, so a property may need a prefix
+        column = p
+        while column.lower() in taken:
+            column = f"prop_{column}"
+        taken.add(column.lower())
+        extra.append(F.try_element_at("properties", F.lit(p)).alias(column))
     return EntityFrame(records.select(POS, OBJECT, "name", "source", "index", *extra), kind, (HistoryEntry.now("from_records"),))
 
 

@@ -38,33 +38,42 @@ IDENTITY: tuple[tuple[str, ...], ...] = (
 _PREFIXES = (4, 5, 6)
 
 
-def features(part: pa.RecordBatch, column: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature hash), distinct, of one slice of texts."""
+def features(part: pa.RecordBatch, column: str = "text", terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature hash) of one slice of texts.
+
+    Words in ``terms`` (sorted hashes of the identity terms) have no beginnings,
+    so that a swap of terms changes the features of the terms alone.
+    """
     data, offsets = K.buffers(part.column(column))
     start, end, first = K.word_spans(data, offsets, K.ALNUM)
     doc = np.repeat(np.arange(part.num_rows), np.diff(first))
     hashes, docs = [K.word_hashes(data, start, end)], [doc]
+    free = np.ones(len(start), bool) if terms is None or not len(terms) else ~np.isin(hashes[0], terms)
     for size in _PREFIXES:
-        long = end - start > size
+        long = (end - start > size) & free
         cut = K.word_hashes(data, start[long], start[long] + size)
         hashes.append(cut ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         docs.append(doc[long])
     return np.concatenate(docs), np.concatenate(hashes)
 
 
-def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(terms: np.ndarray):
     """How many toxic and other texts hold each feature."""
-    for batch in batches:
-        for part in K.slices(batch):
-            toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
-            doc, h = features(part)
-            with np.errstate(over="ignore"):
-                _, at = np.unique(K.mix(h + K.mix(doc.astype(np.uint64))), return_index=True)
-            doc, h = doc[at], h[at]
-            name, place = np.unique(h, return_inverse=True)
-            bad = np.bincount(place, weights=toxic[doc], minlength=len(name)).astype(np.int64)
-            all_ = np.bincount(place, minlength=len(name)).astype(np.int64)
-            yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(bad), pa.array(all_)], ["h", "bad", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch):
+                toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
+                doc, h = features(part, terms=terms)
+                with np.errstate(over="ignore"):
+                    _, at = np.unique(K.mix(h + K.mix(doc.astype(np.uint64))), return_index=True)
+                doc, h = doc[at], h[at]
+                name, place = np.unique(h, return_inverse=True)
+                bad = np.bincount(place, weights=toxic[doc], minlength=len(name)).astype(np.int64)
+                all_ = np.bincount(place, minlength=len(name)).astype(np.int64)
+                yield pa.record_batch([pa.array(name.view(np.int64)), pa.array(bad), pa.array(all_)], ["h", "bad", "n"])
+
+    return run
 
 
 def locate(vocabulary: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,11 +85,11 @@ def locate(vocabulary: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.n
     return pair // max(len(vocabulary), 1), pair % max(len(vocabulary), 1)
 
 
-def _indexer(vocabulary: np.ndarray):
+def _indexer(vocabulary: np.ndarray, terms: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
-                doc, place = locate(vocabulary, *features(part))
+                doc, place = locate(vocabulary, *features(part, terms=terms))
                 size = np.bincount(doc, minlength=part.num_rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(place.astype(np.int32)))
                 yield pa.record_batch([part.column("_id"), part.column("toxic"), lists], ["_id", "toxic", "places"])
@@ -94,9 +103,10 @@ class Model:
     weights: np.ndarray
     bias: float
     threshold: float
+    terms: np.ndarray | None = None  # sorted hashes of the identity terms
 
     def scores(self, part: pa.RecordBatch, column: str = "text") -> np.ndarray:
-        doc, place = locate(self.vocabulary, *features(part, column))
+        doc, place = locate(self.vocabulary, *features(part, column, self.terms))
         logit = self.bias + np.bincount(doc, weights=self.weights[place] if len(self.weights) else None, minlength=part.num_rows)[: part.num_rows]
         return 1 / (1 + np.exp(-np.clip(logit, -40, 40)))
 
@@ -187,13 +197,14 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     n, bad = int(total[0]), int(total[1])
     if not 0 < bad < n:
         return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0, 1.1)
-    counts = rows.select("toxic", "text").mapInArrow(_counter, "h bigint, bad bigint, n bigint").groupBy("h").agg(F.sum("bad").alias("a"), F.sum("n").alias("m"))
+    terms = {w: np.uint64(K.hash_word(w.encode())) for g in identity for w in g}
+    protected = np.unique(np.array(list(terms.values()), np.uint64))
+    counts = rows.select("toxic", "text").mapInArrow(_counter(protected), "h bigint, bad bigint, n bigint").groupBy("h").agg(F.sum("bad").alias("a"), F.sum("n").alias("m"))
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     chi2 = n * F.pow(a * n - m * bad, F.lit(2)) / (m * (n - m) * float(bad) * float(n - bad))
     picked = counts.where((F.col("m") < n) & (F.col("m") >= 3)).withColumn("chi2", chi2).where(F.col("chi2") > MIN_CHI2).orderBy(F.col("chi2").desc(), "h").limit(MAX_FEATURES).select("h").toArrow()
-    terms = {w: np.uint64(K.hash_word(w.encode())) for g in identity for w in g}
-    vocabulary = np.unique(np.concatenate([picked.column("h").to_numpy().view(np.uint64), np.array(list(terms.values()), np.uint64)]))
-    got = rows.mapInArrow(_indexer(vocabulary), "_id bigint, toxic int, places array<int>").toArrow().combine_chunks()
+    vocabulary = np.unique(np.concatenate([picked.column("h").to_numpy().view(np.uint64), protected]))
+    got = rows.mapInArrow(_indexer(vocabulary, protected), "_id bigint, toxic int, places array<int>").toArrow().combine_chunks()
     key = np.argsort(K.mix(got.column("_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
     lists = got.column("places").combine_chunks()
     size = np.diff(lists.offsets.to_numpy())
@@ -204,7 +215,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     held[key[3::4]] = True
     w, b = fit(x.part(~held), y[~held], groups, counterfactual)
     threshold = best_threshold(1 / (1 + np.exp(-np.clip(x.part(held).dot(w) + b, -40, 40))), y[held])
-    return Model(vocabulary, w, b, 0.5 if threshold > 1 else min(max(threshold, MIN_THRESHOLD), 0.9))
+    return Model(vocabulary, w, b, 0.5 if threshold > 1 else min(max(threshold, MIN_THRESHOLD), 0.9), protected)
 
 
 def _scorer(held):

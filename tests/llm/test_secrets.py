@@ -6,7 +6,7 @@ HEX = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
 
 
 def test_owners_decide(spark):
-    rows = [(i, f'x token = "{HEX}" y', f"owner{i}") for i in range(4)] + [(10, "key AKIA" + "ABCDEFGHIJ234567 z", "o"), (11, 'password: "changeme1234"', "o"), (12, f"api_key = '{HEX[::-1]}' twice {HEX[::-1]}", None)]
+    rows = [(i, f'x token = "{HEX}" y', f"owner{i}") for i in range(4)] + [(10, "key AKIA" + "Q7WZX3KMNB5RTY2P z", "o"), (11, 'password: "changeme1234"', "o"), (12, f"api_key = '{HEX[::-1]}' twice {HEX[::-1]}", None)]
     got = {(r.doc_id, r.kind): r for r in S.scan(docs_of(spark, rows)).collect()}
     assert got[0, "assignment"].verdict == "copied_example" and got[0, "assignment"].n_owners == 4
     assert got[10, "aws_key"].verdict == "live" and got[11, "assignment"].verdict == "placeholder"

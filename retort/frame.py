@@ -150,8 +150,8 @@ class EntityFrame:
     def metadata_columns(self) -> list[str]:
         return [c for c in self.df.columns if c not in (POS, OBJECT) and not c.startswith(PREFIX)]
 
-    def has_feature(self, name: str) -> bool:
-        return name in self.feature_names
+    def has_feature(self, feature: str) -> bool:
+        return feature_column(feature) in self.df.columns
 
     def feature_shape(self, name: str) -> tuple[int, ...]:
         """(rows, width, ...); width from the schema, else from one row."""
@@ -210,9 +210,9 @@ class EntityFrame:
         return out.first()[1] if chosen.is_scalar else out
 
     def __getitem__(self, key: Any) -> Any:
-        if not isinstance(key, tuple):
-            return self.subset(key)
-        axis, args = key[0], key[1:]
+        axis, args = (key[0], key[1:]) if isinstance(key, tuple) else (None, ())
+        if axis is None and not isinstance(key, tuple):
+            return self.subset(rows=key)
         if axis not in (OBJ, META, FEAT):
             raise KeyError(f"unknown axis {axis!r}")
         if len(args) not in (1, 2):
@@ -307,9 +307,10 @@ class EntityFrame:
     def update_metadata(self, values: Any, rows: Any = None) -> EntityFrame:
         """Overwrites existing columns from a mapping, pandas DataFrame or named Series [K3]."""
         if isinstance(values, pd.Series):
-            if values.name is None:
+            label = values.name
+            if label is None:
                 raise ValueError("a Series needs a name")
-            values = {values.name: values.tolist()}
+            values = {label: values.tolist()}
         elif isinstance(values, pd.DataFrame):
             values = {c: values[c].tolist() for c in values.columns}
         self._need_metadata(*values)

@@ -37,14 +37,14 @@ def validate_take(values: Any, n: int, allow_float_cast: bool = False) -> np.nda
         return np.zeros(0, np.int64)
     if arr.dtype == np.bool_ or arr.dtype == object:
         raise TypeError(f"positions must be integers, not {arr.dtype}")
-    if np.issubdtype(arr.dtype, np.floating):
+    if arr.dtype.kind == "f":
         if not allow_float_cast:
             raise TypeError("positions must be integers, not floats")
         if not np.all(np.isfinite(arr)) or np.any(arr != np.floor(arr)):
             raise ValueError("float positions must be whole numbers")
-    elif not np.issubdtype(arr.dtype, np.integer):
+    elif arr.dtype.kind not in "iu":
         raise TypeError(f"positions must be integers, not {arr.dtype}")
-    if np.issubdtype(arr.dtype, np.unsignedinteger) and arr.max() > np.iinfo(np.int64).max:
+    if arr.dtype.kind == "u" and arr.max() > np.iinfo(np.int64).max:
         raise OverflowError("a position exceeds 64 bits")
     arr = arr.astype(np.int64).ravel()
     out = np.where(arr < 0, arr + n, arr)

@@ -25,7 +25,8 @@ from ..functions.chem import props
 from ..functions.chem.smarts import compile_pattern
 from ..operators import setops
 
-SMILES = F.col
+#: Numbers of the elements of drug-like molecules.
+ORGANIC = tuple(chem.M.NUMBER[s] for s in "H C N O F P S Cl Br I".split())
 
 
 class Block:
@@ -88,7 +89,7 @@ class ValidityFilter(Filter):
 class ElementFilter(Filter):
     """Every explicit atom's number is allowed; no atoms pass [J9]."""
 
-    def __init__(self, allowed_elements: Sequence[int] = (6, 1, 7, 8, 9, 15, 16, 17, 35, 53)):
+    def __init__(self, allowed_elements: Sequence[int] = ORGANIC):
         self.allowed_elements = tuple(allowed_elements)
 
     def condition(self, frame: EntityFrame) -> Column:
@@ -98,7 +99,7 @@ class ElementFilter(Filter):
 class MWFilter(Filter):
     """Average mass up to ``max_mw`` [J5]."""
 
-    def __init__(self, max_mw: float = 500.0):
+    def __init__(self, max_mw: float = 5e2):
         self.max_mw = max_mw
 
     def condition(self, frame: EntityFrame) -> Column:
@@ -133,8 +134,9 @@ class SMARTSFilter(Filter):
         for s in self.smarts:
             compile_pattern(s)
         self.exclude = exclude
-        self.min_matches = len(self.smarts) if min_matches is None else min_matches
-        if not 1 <= self.min_matches <= len(self.smarts):
+        total = len(self.smarts)
+        self.min_matches = total if min_matches is None else min_matches
+        if not 1 <= self.min_matches <= total:
             raise ValueError(f"min_matches must be between 1 and {len(self.smarts)}")
 
     def condition(self, frame: EntityFrame) -> Column:
@@ -197,7 +199,7 @@ class UniqueFilter(Block):
     native = False
 
     def __init__(self, key: str = "smiles"):
-        if key not in ("smiles", "inchikey"):
+        if key not in {"inchikey", "smiles"}:
             raise ValueError(f"unknown key {key!r}")
         self.key = key
 
@@ -240,7 +242,7 @@ class Featurizer(Block):
 
     @property
     def feature_name(self) -> str:
-        parts = [f"{k}={v}" for k, v in self.config().items() if v is not None]
+        parts = ["=".join((setting, str(v))) for setting, v in self.config().items() if v is not None]
         return re.sub(r"[^A-Za-z0-9_=]+", "_", "_".join([self.name, *parts]))
 
     def process(self, frame: EntityFrame) -> EntityFrame:
@@ -262,7 +264,7 @@ class MACCSFeaturizer(Featurizer):
 class MorganFeaturizer(Featurizer):
     """Circular fingerprint [J2]."""
 
-    def __init__(self, radius: int = 2, n_bits: int = 2048):
+    def __init__(self, radius=2, n_bits=2048):
         self.radius, self.n_bits = radius, n_bits
 
     def vector(self, c: Column) -> Column:
@@ -377,9 +379,9 @@ class TautomerCanonicalizer(Preparation):
 class ConformerGenerator(Preparation):
     """Embedded and minimised conformers as struct<smiles, coords>, lowest energy first; needs RDKit [J18]."""
 
-    FORCE_FIELDS = ("MMFF94", "MMFF94s", "UFF")
+    FORCE_FIELDS = ("UFF", "MMFF94s", "MMFF94")
 
-    def __init__(self, n_confs: int = 10, ff: str = "MMFF94s", max_iters: int = 2000, random_seed: int = 42, add_hs: bool = True, keep_all: bool = False):
+    def __init__(self, n_confs=10, ff="MMFF94s", max_iters=2000, random_seed=42, add_hs=True, keep_all=False):
         if ff not in self.FORCE_FIELDS:
             raise ValueError(f"unsupported force field {ff!r}")
         self.n_confs, self.ff, self.max_iters, self.random_seed, self.add_hs, self.keep_all = n_confs, ff, max_iters, random_seed, add_hs, keep_all

@@ -11,6 +11,7 @@ import csv
 import io
 import os
 from collections.abc import Iterator
+from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
@@ -41,7 +42,7 @@ def _text(c):
     return reaction_text(c)
 
 
-def smiles_lines(records: DataFrame, delimiter: str = " ", write_name: bool = True, canonical: bool = True, **_: Any) -> DataFrame:
+def smiles_lines(records: DataFrame, delimiter=" ", write_name=True, canonical=True, **_: Any) -> DataFrame:
     """SMILES and name; not canonical prefers the stored SMILES property [B3]."""
     s = F.col(OBJECT) if canonical else F.coalesce(F.try_element_at("properties", F.lit("SMILES")), F.col(OBJECT))
     line = F.concat_ws(delimiter, s, F.col("name")) if write_name else s
@@ -123,7 +124,7 @@ def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: b
     lines = get_writer(ext)(records, **options).orderBy(POS).select("value")
     n = records.count()
     if ext == "rxn" or single or ext == "mol":
-        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        Path(path).resolve().parent.mkdir(parents=True, exist_ok=True)
         base, dot = os.path.splitext(path)
         if ext == "rxn":
             for k, row in enumerate(lines.toLocalIterator()):

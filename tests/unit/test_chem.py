@@ -11,7 +11,7 @@ from retort.functions.chem import props as P
 from retort.functions.chem.smarts import Pattern
 
 KNOWN = [
-    "CCO", "c1ccccc1", "CC(=O)Oc1ccccc1C(=O)O", "c1ccc2ccccc2c1", "[nH]1cccc1", "n1ccccc1", "C[N+](C)(C)C", "[Na+].[Cl-]", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "c1ccc2[nH]ccc2c1",
+    "c1ccccc1", "CCO", "O=C(O)c1ccccc1OC(C)=O", "c1ccc2ccccc2c1", "[nH]1cccc1", "n1ccccc1", "C[N+](C)(C)C", "[Na+].[Cl-]", "CN1C=NC2=C1C(=O)N(C(=O)N2C)C", "c1ccc2[nH]ccc2c1",
     "CC(C)Cc1ccc(cc1)C(C)C(=O)O", "C1CC1", "C#N", "c1ccsc1", "C1=CC2=CC=CC2=CC=C1", "CCCCCCCCCCCCCCCC(=O)O", "[13CH4]", "F/C=C/F", "N[C@@H](C)C(=O)O", "C%12CCCC%12", "O=S(=O)(N)c1ccc(N)cc1",
 ]
 

@@ -11,8 +11,10 @@ from retort.index import POS
 
 @pytest.fixture
 def children(spark):
+    vectors = np.vstack([np.arange(1.0, 11.0).reshape(5, 2), np.zeros((1, 2))])
+    vectors[3, 1] = float("nan")
     return EntityFrame.from_rows(
-        spark, list("abcdef"), {"parent_index": [1, 0, 1, 0, 1, 2], "score": [1.0, float("nan"), 3.0, 4.0, 5.0, float("nan")], "tag": ["p", None, "q", "r", "s", "t"]}, {"fp": np.array([[1, 2], [3, 4], [5, 6], [7, float("nan")], [9, 10], [0, 0]])}, kind="conformer"
+        spark, list("abcdef"), {"parent_index": [1, 0, 1, 0, 1, 2], "score": [1.0, float("nan"), 3.0, 4.0, 5.0, float("nan")], "tag": ["p", None, "q", "r", "s", "t"]}, {"fp": vectors}, kind="conformer"
     )
 
 

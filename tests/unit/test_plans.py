@@ -16,8 +16,9 @@ from retort.plans.blocks import register_catalog
 
 @pytest.fixture
 def mols(spark):
-    s = ["CC(=O)Oc1ccccc1C(=O)O", "c1ccccc1.Cl", "OC1=CCCC1", "C", "[Na+].[Cl-]", "", None, "C1=CC=CC=C1"]
-    return EntityFrame.from_rows(spark, s, {"name": [f"m{i}" for i in range(8)]}, kind="molecule")
+    aspirin = "CC(=O)Oc1ccccc1C(=O)O"
+    s = [aspirin, "c1ccccc1.Cl", "OC1=CCCC1", "C", "[Na+].[Cl-]", "", None, "C1=CC=CC=C1"]
+    return EntityFrame.from_rows(spark, s, {"name": list("abcdefgh")}, kind="molecule")
 
 
 def left(frame):

@@ -236,9 +236,9 @@ def _poster(parts: list[tuple[list[int], int]]):
     return run
 
 
-def forest(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Least node of each node's component; u, v: edges between nodes 0 to n - 1."""
-    label = np.arange(n)
+def forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
+    """Least node of each node's component; u, v: edges between nodes 0 to nodes - 1."""
+    label = np.arange(nodes)
     while True:
         low = np.minimum(label[u], label[v])
         before = label.copy()

@@ -11,13 +11,16 @@ of one trigger make a phrase.  A phrase thus reaches ``length - 1`` words beyond
 its last start, and the first ``length`` words of no suffix leave their phrase.
 
 Dictionary and parse.  The parse (one row per phrase occurrence: trigger,
-phrase, place) is shuffled once, by trigger, and sorted by (trigger, phrase):
-that is corpus order by phrase.  A phrase that occurs twice is repeated as a
-whole.  Distinct phrases that share a trigger may still share shorter runs: the
-suffixes of only these dictionary phrases are sorted among themselves (by the
-hash of their first ``length`` words, which is order enough to bring equal ones
-together), so the work on highly repetitive text is that of its distinct
-phrases.  Text that repeats nothing stops after the parse.
+phrase, place) is shuffled once, by trigger, and sorted by (trigger, phrase).
+A phrase that occurs twice is repeated as a whole, so of each distinct phrase
+one occurrence goes on: the dictionary.  Only phrases that share their trigger
+with another can share shorter runs.  Their words meet by trigger, and a suffix
+array of this part of the dictionary (prefix doubling over ranks of word hashes)
+with its longest common prefixes shows which suffixes share ``length`` words.
+As no suffix leaves its phrase within ``length`` words, dictionary order and the
+parse's phrase counts settle corpus order to that depth, and the work on highly
+repetitive text is that of its distinct phrases.  Text that repeats nothing
+stops after the parse.
 """
 
 from __future__ import annotations
@@ -123,41 +126,71 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now = after
 
 
-def _suffixes(length: int):
+def _dictionary(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
                 h, first = _words(part, "text")
-                hashes = K.window_hashes(h, length)
                 lists = part.column("phrases")
                 of = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
                 flat = lists.flatten()
                 start, runs = (flat.field(c).to_numpy().astype(np.int64) for c in ("start", "runs"))
-                ends = np.cumsum(runs)
-                at = np.repeat(first[of] + start - (ends - runs), runs) + np.arange(ends[-1] if len(ends) else 0)
-                rows = pa.array(of)
-                suffix = pa.LargeListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int64)), pa.array(hashes[at].view(np.int64)))
-                yield pa.record_batch([flat.field("trig"), part.column("doc_id").take(rows), part.column("text_hash").take(rows), flat.field("start"), suffix.cast(pa.list_(pa.int64()))], ["trig", "doc_id", "text_hash", "start", "suffix"])
+                size = runs + length - 1
+                ends = np.cumsum(size)
+                for a in range(0, len(size), 1 << 14):  # rows of some hundred words each
+                    b = min(a + (1 << 14), len(size))
+                    base = ends[a] - size[a]
+                    at = np.repeat(first[of[a:b]] + start[a:b] - (ends[a:b] - size[a:b]), size[a:b]) + np.arange(base, ends[b - 1])
+                    words = pa.ListArray.from_arrays(pa.array(np.r_[0, ends[a:b] - base].astype(np.int32)), pa.array(h[at].view(np.int64)))
+                    rows = pa.array(of[a:b])
+                    yield pa.record_batch([flat.field("trig").slice(a, b - a), part.column("doc_id").take(rows), part.column("text_hash").take(rows), flat.field("start").slice(a, b - a), words], ["trig", "doc_id", "text_hash", "start", "words"])
 
     return run
 
 
+def suffix_array(words: np.ndarray, stop: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of all suffixes, each ending before its ``stop``, by their first ``depth`` words.
+
+    Prefix doubling: the rank of 2k words comes from two ranks of k words.  The
+    ranks of all levels then give the common prefix of neighbours, ``lcp[i]``
+    being that of ``order[i - 1]`` and ``order[i]``, counted up to twice ``depth``.
+    """
+    n = len(words)
+    levels, size = [np.unique(words, return_inverse=True)[1].astype(np.int64)], 1
+    here = np.arange(n)
+    while size < depth:
+        rank = levels[-1]
+        later = here + size
+        second = np.where(later < stop, rank[np.minimum(later, n - 1)] + 1, 0)
+        levels.append(np.unique(rank * (n + 1) + second, return_inverse=True)[1].astype(np.int64))
+        size *= 2
+    order = np.argsort(levels[-1], kind="stable")
+    lcp = np.zeros(n, np.int64)
+    a, b = order[:-1].copy(), order[1:].copy()
+    for k in range(len(levels) - 1, -1, -1):
+        step = 1 << k
+        room = (a + step <= stop[order[:-1]]) & (b + step <= stop[order[1:]])
+        same = room & (levels[k][np.minimum(a, n - 1)] == levels[k][np.minimum(b, n - 1)])
+        a[same] += step
+        b[same] += step
+        lcp[1:][same] += step
+    return order, lcp
+
+
 def _sorter(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        size = np.diff(table.column("suffix").offsets.to_numpy()).astype(np.int64)
-        value = table.column("suffix").flatten().to_numpy().view(np.uint64)
-        trig = np.repeat(table.column("trig").to_numpy(), size).view(np.uint64)
-        key = K.mix(value ^ K.mix(trig))
-        order = np.argsort(key)
-        key = key[order]
-        same = key[1:] == key[:-1]
-        twice = np.zeros(len(key), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
+        size = np.diff(table.column("words").offsets.to_numpy()).astype(np.int64)
+        words = table.column("words").flatten().to_numpy()
+        stop = np.repeat(np.cumsum(size), size)
+        order, lcp = suffix_array(words, stop, length)
+        far = lcp >= length
+        twice = np.zeros(len(words), bool)
+        twice[order[far]] = True
+        twice[order[:-1][far[1:]]] = True
         row = np.repeat(np.arange(len(size)), size)
         within = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
         hit = np.flatnonzero(twice)
@@ -187,8 +220,8 @@ def repeated_passages(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "t
     whole = sifted.where("repeated").select("doc_id", "text_hash", F.col("start").alias("start_word"), (F.col("start") + F.col("runs") + (length - 1)).alias("end_word"))
     mixed = sifted.where("mixed").groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("trig", "start", "runs")).alias("phrases")).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     met = rows.join(mixed, rows["doc_id"].eqNullSafe(mixed["_id"]) & (rows["text_hash"] == mixed["_hash"])).select("doc_id", "text_hash", "text", "phrases")
-    suffixes = met.mapInArrow(_suffixes(length), "trig bigint, doc_id bigint, text_hash bigint, start int, suffix array<bigint>")
-    edges = suffixes.repartition(F.col("trig")).mapInArrow(_sorter(length), "doc_id bigint, text_hash bigint, start_word int, end_word int")
+    dictionary = met.mapInArrow(_dictionary(length), "trig bigint, doc_id bigint, text_hash bigint, start int, words array<bigint>")
+    edges = dictionary.repartition(F.col("trig")).mapInArrow(_sorter(length), "doc_id bigint, text_hash bigint, start_word int, end_word int")
     spans = whole.unionAll(edges).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("start_word", "end_word"))).alias("spans"))
     last = lambda acc: F.element_at(acc, -1)
     merged = F.aggregate(

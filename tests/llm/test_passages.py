@@ -60,6 +60,23 @@ def test_sliding_min():
         assert P.sliding_min(x, k).tolist() == [x[i : i + k].min() for i in range(200 - k + 1)]
 
 
+def test_suffix_array_equals_sorting():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = rng.integers(1, 25, 6)
+        words = rng.integers(0, 3, sizes.sum())
+        stop = np.repeat(np.cumsum(sizes), sizes)
+        order, lcp = P.suffix_array(words, stop, 8)
+        keys = [tuple(words[i : min(i + 8, stop[i])].tolist()) for i in order]
+        assert keys == sorted(keys)
+        for k in range(1, len(order)):
+            x, y = (words[i : stop[i]].tolist() for i in order[k - 1 : k + 1])
+            common = next((m for m in range(min(len(x), len(y))) if x[m] != y[m]), min(len(x), len(y)))
+            assert min(lcp[k], 15) == min(common, 15)
+
+
 def test_edge_rows(edge, empty):
     assert P.repeated_passages(edge).count() == 0 and P.repeated_passages(empty).count() == 0
     twice = edge.unionAll(edge.where("doc_id = 4"))

@@ -194,21 +194,33 @@ class CatalogFilter(Filter):
 
 
 class UniqueFilter(Block):
-    """First row of each canonical SMILES (or InChI key, with RDKit) [J8]; a global dedup, not one per batch."""
+    """First row of each canonical SMILES (or InChI key, with RDKit) [J8, M4].
+
+    The dedup is global, not one per batch.  With ``auto_reset=False`` keys of
+    earlier runs are dropped as well until :meth:`reset`.
+    """
 
     native = False
 
-    def __init__(self, key: str = "smiles"):
+    def __init__(self, key: str = "smiles", auto_reset: bool = True):
         if key not in {"inchikey", "smiles"}:
             raise ValueError(f"unknown key {key!r}")
-        self.key = key
+        self.key, self.auto_reset, self._seen = key, auto_reset, None
+
+    def reset(self) -> None:
+        self._seen = None
 
     def process(self, frame: EntityFrame) -> EntityFrame:
         if self.key == "inchikey":
             c = chem.rdkit()
             key = chem.kernel(lambda m: c.MolToInchiKey(c.MolFromSmiles(chem.M.write(m))), "string", chem.pa.string())(F.col(OBJECT))
-            return setops.unique(frame, key)
-        return setops.unique(frame)
+        else:
+            key = chem.canonical_smiles(F.col(OBJECT))
+        out = setops.unique(frame, key, self._seen)
+        if not self.auto_reset:
+            own = out.df.select(key.alias("key"))
+            self._seen = own if self._seen is None else self._seen.unionAll(own)
+        return out
 
 
 class FunctionFilter(Filter):

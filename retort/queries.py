@@ -599,3 +599,46 @@ def history_audit(spark: SparkSession, d: str) -> DataFrame:
 
     out = Pipeline([MWFilter(100.0), ElementFilter((6, 1, 8))]).run(molecules(spark, d), audit=True)
     return spark.createDataFrame([(k, h.block_name, h.rows_in, h.rows_out) for k, h in enumerate(out.history)], "step bigint, block string, rows_in bigint, rows_out bigint")
+
+
+@query("add_descriptors", f"SELECT p_partkey, round({MASS_SQL}::DOUBLE, 4) AS d_MolWt, (1 + p_size % 12 + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END)::DOUBLE AS d_HeavyAtomCount FROM part")
+def add_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    out = ops.add_descriptors(molecules(spark, d), ["MolWt", "HeavyAtomCount"], "d_")
+    return out.df.select("p_partkey", F.round("d_MolWt", 4).alias("d_MolWt"), "d_HeavyAtomCount")
+
+
+@query("numerize", "SELECT p_partkey, p_size::BIGINT AS size, p_retailprice AS price, p_brand AS brand FROM part")
+def numerize(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"), F.col("p_retailprice").cast("string").alias("price"), F.col("p_brand").alias("brand"))
+    return ops.numerized(t)
+
+
+@query("item_key", "SELECT doc_id, md5('{\"k\": 1}|' || lang) AS key FROM documents")
+def item_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", ops.item_key(F.col("lang"), {"k": 1}).alias("key"))
+
+
+@query("reactions_valid", "SELECT p_partkey, p_partkey % 5 <> 0 AS valid FROM part")
+def reactions_valid(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import from_smarts
+
+    bad = F.when(F.col("p_partkey") % 5 == 0, F.lit("C1")).otherwise(F.col("smiles"))
+    t = molecules(spark, d).df.select("p_partkey", F.concat(F.col("smiles"), F.lit(".O>>"), bad).alias("reaction_smarts"))
+    return from_smarts(t, order="p_partkey").df.select("p_partkey", ops.reactions_valid(F.col(OBJECT)).alias("valid"))
+
+
+@query("unique_across_runs", f"SELECT min(p_partkey) AS p_partkey FROM part GROUP BY {SMILES_SQL}")
+def unique_across_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs of one block over halves of the table."""
+    from .plans import UniqueFilter
+
+    block, whole = UniqueFilter(auto_reset=False), molecules(spark, d)
+    first = block.run(whole.where(F.col(POS) < 500))
+    return first.df.select("p_partkey").unionAll(block.run(whole.where(F.col(POS) >= 500)).df.select("p_partkey"))
+
+
+@query("reaction_text", f"SELECT p_partkey, {SMILES_SQL} || '.O>>' || {SMILES_SQL} AS reaction FROM part")
+def reaction_text(spark: SparkSession, d: str) -> DataFrame:
+    from .sources.readers import reaction_text as text
+
+    return _reactions(spark, d).df.select("p_partkey", text(F.col(OBJECT)).alias("reaction"))

@@ -1,8 +1,8 @@
 """Versioned bundles: a folder of Parquet versions and one manifest for each.
 
-A commit stages ``data/v=<k>-<id>`` and then creates ``manifest-<k>.json``,
-which fails if another writer has made version ``k`` meanwhile: compare and swap
-on the version number.  Readers take the newest manifest, so data without one
+A commit stages ``data/v=<k>-<id>``, claims version ``k`` by creating a file
+that may not exist yet (compare and swap on the version number) and renames
+``manifest-<k>.json`` into place.  Readers take the newest manifest, so data without one
 (a crashed commit) is never seen; :meth:`Bundle.vacuum` deletes it [L5, L10-L13].
 """
 
@@ -73,24 +73,37 @@ class Bundle:
         try:
             frame.df.write.parquet(f"{self.path}/{data}")
             body = {"format": FORMAT, "kind": frame.kind, "version": version, "base": base, "data": data, "schema": json.loads(frame.df.schema.json()), "history": [h.to_dict() for h in frame.history]}
-            self._create(f"manifest-{version}.json", json.dumps(body).encode())
+            self._create(version, json.dumps(body).encode())
         except Exception:
             self._fs.delete(self._p(data), True)
             raise
         return version
 
-    def _create(self, name: str, body: bytes) -> None:
-        """Written under another name, then renamed: rename fails if the name is taken."""
+    def _create(self, version: int, body: bytes) -> None:
+        """The version is claimed by creating a file that may not exist; the manifest is then renamed into place whole."""
+        claim = self._p(f"claim-{version}")
+        try:
+            self._fs.create(claim, False).close()
+        except Exception as e:
+            raise ConflictError(f"version {version} is taken") from e
         part = self._p(f".{uuid.uuid4().hex}")
-        out = self._fs.create(part, False)
-        out.write(bytearray(body))
-        out.close()
-        if self._fs.exists(self._p(name)) or not self._fs.rename(part, self._p(name)):
+        try:
+            if self._fs.exists(self._p(f"manifest-{version}.json")):
+                raise ConflictError(f"version {version} has been written meanwhile")
+            out = self._fs.create(part, False)
+            out.write(bytearray(body))
+            out.close()
+            if not self._fs.rename(part, self._p(f"manifest-{version}.json")):
+                raise ConflictError(f"version {version} can't be written")
+        except Exception:
             self._fs.delete(part, False)
-            raise ConflictError(f"{name} has been written meanwhile")
+            self._fs.delete(claim, False)
+            raise
 
     def vacuum(self) -> int:
-        """Deletes data that no manifest names."""
+        """Deletes data that no manifest names, and claims of crashed commits; not while another commits."""
+        for k in [self.versions()[-1] + 1] if self.versions() else []:
+            self._fs.delete(self._p(f"claim-{k}"), False)
         used = {self.manifest(v)["data"].split("/")[1] for v in self.versions()}
         if not self._fs.exists(self._p("data")):
             return 0

@@ -37,6 +37,13 @@ def test_filters(mols):
     assert run(CatalogFilter(["acids"])) == [1, 2, 3, 4, 5, 7]
 
 
+def test_unique_state(mols):
+    block = UniqueFilter(auto_reset=False)
+    assert left(block.run(mols[0:4])) == [0, 1, 2, 3] and left(block.run(mols)) == [4, 5, 7]
+    block.reset()
+    assert left(block.run(mols)) == [0, 1, 2, 3, 4, 5, 7]
+
+
 def test_errors(mols):
     for make in (lambda: SMARTSFilter([]), lambda: SMARTSFilter("C("), lambda: SMARTSFilter("C", min_matches=2), lambda: RuleOfFiveFilter(-1), lambda: GobbiFeaturizer(fold_method="x"), lambda: Sampler(0), lambda: MemorySource(None, True), lambda: ConformerGenerator(ff="X"), lambda: UniqueFilter("x")):
         with pytest.raises(ValueError):

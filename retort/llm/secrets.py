@@ -37,9 +37,12 @@ def _named(kind: str):
     return lambda s: F.struct(F.lit(kind).alias("kind"), s.alias("secret"))
 
 
-def candidates(text: Column) -> Column:
-    """Array of (kind, secret), sorted and without repeats; empty for null text."""
-    low = F.lower(text)
+def candidates(text: Column, low: Column) -> Column:
+    """Array of (kind, secret), sorted and without repeats; empty for null text.
+
+    ``low`` is the text in lower case, made in an inner projection so that it is
+    made once.
+    """
     none = F.array().cast("array<string>")
     found = []
     for kind, marks, pattern, group in PATTERNS:
@@ -71,7 +74,8 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: s
     own; a repeated row repeats its candidates but adds no repository.  A row
     names a candidate once, however often it holds it.
     """
-    each = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.explode(candidates(F.col(text))).alias("c"))
+    each = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
+    each = each.select("doc_id", "repo", "owner", F.explode(candidates(F.col("text"), F.col("low"))).alias("c"))
     each = written(each.select("doc_id", "repo", "owner", "c.kind", "c.secret"), "candidates")
     met = each.join(_owned(each, min_owners, min_distinct), "secret")
     return met.select("doc_id", "kind", F.sha2("secret", 256).alias("secret_hash"), "n_repos", "n_owners", "verdict")
@@ -86,9 +90,12 @@ def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner
     unique.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.transform(candidates(F.col(text)), lambda c: c["secret"]).alias("list"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
+    found = F.transform(candidates(F.col("text"), F.col("low")), lambda c: c["secret"])
+    whole = whole.select("row", F.explode(F.array(found)).alias("list"))  # a generator, so that filters don't repeat the search
     plain = whole.where(F.size("list") == 0).select("row.*")
-    each = docs.select(F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.explode(candidates(F.col(text))).alias("c"))
+    each = docs.select(F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
+    each = each.select("repo", "owner", F.explode(candidates(F.col("text"), F.col("low"))).alias("c"))
     each = written(each.select("repo", "owner", "c.secret"), "candidates")
     live = _owned(each, min_owners, min_distinct).where("verdict = 'live'").select("secret")
     some = written(whole.where(F.size("list") > 0), "suspects")

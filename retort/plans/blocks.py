@@ -202,7 +202,7 @@ class UniqueFilter(Block):
 
     native = False
 
-    def __init__(self, key: str = "smiles", auto_reset: bool = True):
+    def __init__(self, key="smiles", auto_reset=True):
         if key not in {"inchikey", "smiles"}:
             raise ValueError(f"unknown key {key!r}")
         self.key, self.auto_reset, self._seen = key, auto_reset, None

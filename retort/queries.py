@@ -6,8 +6,6 @@ results that SQL can't compute (fingerprints); they are checked by tests.
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
 
 import pandas as pd
@@ -20,6 +18,7 @@ from .functions import chem
 from .index import POS
 from .operators.overlay import tombstone, write_back
 from .operators.setops import sample_rows
+from .storage import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -332,15 +331,12 @@ def batch_pipeline(spark: SparkSession, d: str) -> DataFrame:
 def stream_unique(spark: SparkSession, d: str) -> DataFrame:
     from .streaming import dedup_stream
 
-    folder = tempfile.mkdtemp(prefix="stream-")
-    try:
-        source = table(spark, d, "events").select("user_id")
-        stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
-        out = dedup_stream(stream.select("user_id"), ["user_id"]).writeStream.format("memory").queryName("stream_unique_rows").option("checkpointLocation", folder).trigger(availableNow=True).start()
-        out.awaitTermination()
-        return spark.table("stream_unique_rows")
-    finally:
-        shutil.rmtree(folder, ignore_errors=True)
+    out = scratch(spark, "stream")
+    source = table(spark, d, "events").select("user_id")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    done = dedup_stream(stream, ["user_id"]).writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema(source.schema).parquet(f"{out}/rows")
 
 
 def _plan(spark: SparkSession, d: str, *steps) -> EntityFrame:
@@ -519,17 +515,13 @@ def reaction_explode(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _round_trip(spark: SparkSession, d: str, name: str, **options) -> EntityFrame:
-    """A frame written to a file of the format and read again; the rows are cached before the files go."""
+    """A frame written to a folder of the format and read again."""
     from .sources import read_file, write_file
 
-    folder = tempfile.mkdtemp(prefix="roundtrip-")
+    path = f"{scratch(spark, 'roundtrip')}/{name}"
     m = molecules(spark, d)
-    write_file(m._new(m.df.withColumn("name", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))), f"{folder}/{name}", single=True, **options)
-    out = read_file(spark, f"{folder}/{name}", **({"name_col": "Name"} if name.endswith("sv") else {}))
-    kept = out.df.select(OBJECT, "name").persist()
-    kept.count()
-    shutil.rmtree(folder, ignore_errors=True)
-    return EntityFrame(kept.withColumn(POS, F.lit(0).cast("bigint")), "molecule")
+    write_file(m._new(m.df.withColumn("name", F.concat(F.lit("p"), F.col("p_partkey").cast("string")))), path, **options)
+    return read_file(spark, path, **({"name_col": "Name"} if name.endswith("sv") else {}))
 
 
 _ROUND_SQL = f"SELECT {SMILES_SQL} AS smiles, 'p' || p_partkey AS name FROM part"
@@ -554,12 +546,9 @@ def sdf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
 def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from .sources import load, save
 
-    folder = tempfile.mkdtemp(prefix="bundle-")
-    save(documents(spark, d), f"{folder}/b")
-    kept = load(spark, f"{folder}/b").df.select("doc_id", "lang", "source", "n_chars", F.col(OBJECT).alias("text")).persist()
-    kept.count()
-    shutil.rmtree(folder, ignore_errors=True)
-    return kept
+    path = scratch(spark, "bundle")
+    save(documents(spark, d), path)
+    return load(spark, path).df.select("doc_id", "lang", "source", "n_chars", F.col(OBJECT).alias("text"))
 
 
 @query("udf_featurizer", "SELECT doc_id, [length(text)::DOUBLE, (length(text) % 7)::DOUBLE] AS v FROM documents")

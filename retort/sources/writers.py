@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..frame import OBJECT, EntityFrame
 from ..functions.chem import mol as M
 from ..index import POS
+from ..storage import exists
 from .formats import detect_format, get_writer, register_format
 from .molblock import write_block
 
@@ -67,6 +68,23 @@ def csv_lines(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "N
     return header.unionAll(records.select(POS, F.concat_ws(delimiter, *cells).alias("value")))
 
 
+def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "Name", extra_cols: list[str] | None = None, **_: Any) -> DataFrame:
+    """The columns of :func:`csv_lines` for a folder of files, each with the header."""
+    if extra_cols is None:
+        first = records.orderBy(POS).select(F.map_keys("properties")).first()
+        extra_cols = list(first[0]) if first else []
+    names = [smiles_col, name_col, *extra_cols]
+    cells = [F.col(OBJECT), F.col("name"), *[F.try_element_at("properties", F.lit(p)) for p in extra_cols]]
+    taken: set[str] = set()
+    out = []
+    for n, c in zip(names, cells, strict=True):  # column names ignore case
+        while n.lower() in taken:
+            n = f"{n}_"
+        taken.add(n.lower())
+        out.append(c.alias(n))
+    return records.orderBy(POS).select(*out)
+
+
 def _blocks(include_properties: bool, end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,11 +136,15 @@ def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: b
     ext = detect_format(path)
     if ext == "tsv":
         options.setdefault("delimiter", "\t")
-    if os.path.exists(path) and not overwrite:
+    if not overwrite and (exists(frame.spark, path) or os.path.exists(path)):
         raise FileExistsError(path)
     records = to_records(frame)
-    lines = get_writer(ext)(records, **options).orderBy(POS).select("value")
     n = records.count()
+    mode = "overwrite" if overwrite else "errorifexists"
+    if ext in ("csv", "tsv") and not single:
+        csv_table(records, **options).write.mode(mode).option("header", True).option("sep", options.get("delimiter", ",")).option("escape", '"').csv(path)
+        return n
+    lines = get_writer(ext)(records, **options).orderBy(POS).select("value")
     if ext == "rxn" or single or ext == "mol":
         Path(path).resolve().parent.mkdir(parents=True, exist_ok=True)
         base, dot = os.path.splitext(path)
@@ -135,7 +157,7 @@ def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: b
                 for row in lines.toLocalIterator():
                     file.write(row[0] + "\n")
     else:
-        lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+        lines.write.mode(mode).text(path)
     return n
 
 

@@ -13,10 +13,11 @@ table of each worker.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable
+import gc
+from array import array
+from collections.abc import Iterable, Sequence
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,8 @@ from . import textkernel as K
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries of a worker's table of resolved pre-tokens; it is emptied when full.
-REMEMBERED = 300_000
+#: Resolved pre-tokens that a worker remembers, twice: those of before the last turnover stay until the next.
+REMEMBERED = 200_000
 
 
 def read_vocabulary(path: str) -> list[bytes]:
@@ -118,7 +119,11 @@ class Codec:
                 a, b = rank.get(t[:k]), rank.get(t[k:])
                 if a is not None and b is not None:
                     self.pair[a << 20 | b] = i
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}  # ids as int32
+        self.old: dict[str, bytes] = {}
+        size = np.array([len(t) for t in self.tokens], np.int64)
+        self.size, self.start = size, np.r_[0, np.cumsum(size)[:-1]]
+        self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.find = regex.compile(self.pattern).findall
 
     def merge(self, word: bytes) -> tuple[int, ...]:
@@ -160,21 +165,31 @@ class Codec:
         raw = [w.encode() for w in words]
         for w, b, s in zip(words, raw, self.hash.slots(raw).tolist(), strict=True):
             i = at[s]
-            memo[w] = (i,) if tokens[i] == b else self.merge(b)
+            memo[w] = array("i", (i,) if tokens[i] == b else self.merge(b)).tobytes()
 
-    def encode_all(self, texts: Iterable[str | None]) -> list[list[int] | None]:
-        """Ids of each text; None for None."""
+    def encode_packed(self, texts: Sequence[str | None]) -> list[bytes | None]:
+        """Ids of each text as packed int32; None for None."""
         cut = [None if t is None else self.find(t) for t in texts]
-        words = set().union(*[c for c in cut if c])
         if len(self.memo) > REMEMBERED:
-            self.memo.clear()
-        if new := [w for w in words if w not in self.memo]:
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        words = [w for w in set().union(*[c for c in cut if c]) if w not in memo]
+        memo.update((w, old[w]) for w in words if w in old)
+        if new := [w for w in words if w not in memo]:
             self._resolve(new)
-        get = self.memo.__getitem__
-        return [None if c is None else list(chain.from_iterable(map(get, c))) for c in cut]
+        get = memo.__getitem__
+        return [None if c is None else b"".join(map(get, c)) for c in cut]
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return np.frombuffer(self.encode_packed([text])[0], np.int32).tolist()
+
+    def decode_flat(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of all ids in a row, and how many each has."""
+        size = self.size[ids]
+        ends = np.cumsum(size)
+        at = np.repeat(self.start[ids] - (ends - size), size)
+        at += np.arange(len(at))
+        return self.blob[at], size
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -182,24 +197,39 @@ class Codec:
     def decode(self, ids: Iterable[int]) -> str:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
+    def encode_slice(self, part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, number of ids of each text or -1 for null, whether they decode to its bytes) of one slice."""
+        packed = self.encode_packed(part.column("text").to_pylist())
+        count = np.array([-1 if p is None else len(p) // 4 for p in packed], np.int64)
+        ids = np.frombuffer(b"".join([p for p in packed if p]), np.int32)
+        data, offsets = K.buffers(part.column("text"))
+        back, size = self.decode_flat(ids)
+        ends = np.r_[0, np.cumsum(size)][np.r_[0, np.cumsum(np.maximum(count, 0))]]
+        if np.array_equal(ends, offsets):
+            wrong = np.zeros(len(data) + 1, np.int64)
+            np.cumsum(back != data, out=wrong[1:])
+            return ids, count, wrong[offsets[1:]] == wrong[offsets[:-1]]
+        raw, text = back.tobytes(), data.tobytes()
+        return ids, count, np.array([raw[a:b] == text[c:d] for a, b, c, d in zip(ends[:-1], ends[1:], offsets[:-1], offsets[1:], strict=True)], bool)
+
 
 def _encoder(held) -> object:
     @F.arrow_udf("struct<n_tokens:bigint,token_ids:array<int>,round_trip:boolean>")
     def run(column: pa.Array) -> pa.Array:
-        codec, sizes, flat, same = held.value, [], [], []
-        for part in K.slices(pa.record_batch([column], ["text"])):
-            texts = part.column("text").to_pylist()
-            for text, ids in zip(texts, codec.encode_all(texts), strict=True):
-                sizes.append(-1 if ids is None else len(ids))
-                same.append(None if ids is None else codec.decode_bytes(ids) == text.encode())
-                if ids:
-                    flat.append(np.array(ids, np.int32))
-        size = np.array(sizes, np.int64)
+        codec, sizes, flat, same = held.value, [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, bool)]
+        gc.disable()  # no cycles are made here, and the table of pre-tokens is large to scan
+        try:
+            for part in K.slices(pa.record_batch([column], ["text"])):
+                for into, values in zip((flat, sizes, same), codec.encode_slice(part), strict=True):
+                    into.append(values)
+        finally:
+            gc.enable()
+        size = np.concatenate(sizes)
         none = size < 0
         offsets = np.r_[0, np.cumsum(np.maximum(size, 0))].astype(np.int32)
-        values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
+        values = pa.array(np.concatenate(flat))
         lists = pa.ListArray.from_arrays(pa.array(offsets, mask=np.r_[none, False]), values)
-        return pa.StructArray.from_arrays([pa.array(size, mask=none), lists, pa.array(same, pa.bool_())], ["n_tokens", "token_ids", "round_trip"])
+        return pa.StructArray.from_arrays([pa.array(size, mask=none), lists, pa.array(np.concatenate(same), mask=none)], ["n_tokens", "token_ids", "round_trip"])
 
     return run
 

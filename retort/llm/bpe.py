@@ -234,6 +234,22 @@ def _encoder(held) -> object:
     return run
 
 
+def _packer(held, dtype: str) -> object:
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        out: list[bytes | None] = []
+        gc.disable()
+        try:
+            for part in K.slices(pa.record_batch([column], ["text"])):
+                packed = held.value.encode_packed(part.column("text").to_pylist())
+                out += [None if p is None else np.frombuffer(p, np.int32).astype(dtype).tobytes() for p in packed]
+        finally:
+            gc.enable()
+        return pa.array(out, pa.binary())
+
+    return run
+
+
 def _decoder(held) -> object:
     @F.arrow_udf("string")
     def run(column: pa.Array) -> pa.Array:
@@ -263,6 +279,17 @@ def encoded(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", voca
     return rows.select("doc_id", "_e.*")
 
 
+def vocabulary_size(vocabulary: str = VOCABULARY) -> int:
+    return len(_codec(vocabulary).tokens)
+
+
+def packed(docs: DataFrame, dtype: str, *, doc_id: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
+    """(doc_id, ids): the ids of :func:`encoded` as binary of ``dtype``, which must hold the vocabulary; they aren't decoded again."""
+    if vocabulary_size(vocabulary) - 1 > np.iinfo(dtype).max:
+        raise ValueError(f"{dtype} doesn't hold the vocabulary")
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _packer(codec(docs, vocabulary), dtype)(F.col(text)).alias("ids"))
+
+
 def decoded(tokens: DataFrame, *, doc_id: str = "doc_id", token_ids: str = "token_ids", vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, text) from token ids; null ids give null text."""
     text: Column = _decoder(codec(tokens, vocabulary))(F.col(token_ids))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, licenses, passages, quality, secrets, shards, simhash, toxicity, urlfilter
+from . import bpe, decontaminate, licenses, passages, quality, secrets, shards, simhash, storage, toxicity, urlfilter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,8 +50,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as fixed-length sequences of byte token ids, each at its global training slot."""
-    return shards.materialised(_table(spark, sf_dir, "documents"))
+    """All documents as fixed-length sequences of BPE token ids, each at its global training slot of a shard in the shared folder."""
+    end = bpe.vocabulary_size()  # the ids after the vocabulary's: end, then pad
+    width = shards.id_width(end + 2)
+    tokens = bpe.packed(_table(spark, sf_dir, "documents"), shards.DTYPES[width])
+    sequences = shards.materialised(tokens, ids="ids", width=width, end=end, pad=end + 1)
+    return shards.in_shards(sequences, storage.shared_folder(spark, "training-order"), width=width)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

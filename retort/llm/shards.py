@@ -1,6 +1,6 @@
 """Training-order materialisation of token ids in fixed-stride binary shards.
 
-Texts become token ids, ids become sequences of a fixed length, and every
+Token ids, or the bytes of texts, become sequences of a fixed length, and every
 sequence has a number from 0 to N - 1 in the order of (id, text, place).  A keyed
 Feistel network permutes a power of four that holds N; numbers that fall outside
 walk the cycle until they are inside, so each sequence gets its own global slot
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,8 +26,12 @@ from .storage import written
 
 #: Ids of the byte vocabulary that no UTF-8 text holds.
 PAD, END = 0xFE, 0xFF
+#: Stored types of an id by its width in bytes.
+DTYPES = {1: "<u1", 2: "<u2", 4: "<i4"}
 SEQUENCE = 2048
 PER_SHARD = 4096
+#: Sequences read from shards at once.
+PER_BATCH = 1024
 KEY = 0x5DEECE66D
 ROUNDS = 6
 
@@ -53,26 +58,52 @@ def feistel(slot: np.ndarray, n: int, key: int, rounds: int = ROUNDS, inverse: b
     return x.astype(np.int64)
 
 
-def _cutter(n: int, length: int, per_shard: int, key: int):
+def id_width(n_ids: int) -> int:
+    """Bytes that hold each of ``n_ids`` ids."""
+    return 1 if n_ids <= 1 << 8 else 2 if n_ids <= 1 << 16 else 4
+
+
+def _packer(width: int, taken: tuple[int, int]):
+    """Arrays of ids as little-endian binary; null for null."""
+
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        flat = column.flatten()
+        if flat.null_count:
+            raise ValueError("an id is null")
+        ids = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(DTYPES[width]).max or np.isin(taken, ids).any()):
+            raise ValueError(f"ids must fit {width} bytes and be neither the end nor the pad id {taken}")
+        count = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.r_[0, np.cumsum(count)] * width
+        raw = ids.astype(DTYPES[width]).tobytes()
+        none = column.is_null().to_pylist()
+        return pa.array([None if x else raw[i:j] for x, i, j in zip(none, ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary())
+
+    return run
+
+
+def _cutter(n: int, length: int, per_shard: int, key: int, width: int, end: int, pad: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.slices(batch):
-                data, offsets = K.buffers(part.column("text"))
+                raw, at_byte = K.buffers(part.column("text"))
+                data, offsets = np.frombuffer(raw.tobytes(), DTYPES[width]), at_byte // width
                 size = np.diff(offsets) + 1
                 count = -(-size // length)
                 first = np.cumsum(count) - count
                 total = int(count.sum())
-                ids = np.full(total * length, PAD, np.uint8)
+                ids = np.full(total * length, pad, DTYPES[width])
                 doc = np.repeat(np.arange(len(size)), np.diff(offsets))
                 ids[first[doc] * length + np.arange(len(data)) - offsets[doc]] = data
-                ids[first * length + size - 1] = END
+                ids[first * length + size - 1] = end
                 row = np.repeat(np.arange(len(size)), count)
                 place = np.arange(total) - first[row]
                 number = part.column("number").to_numpy()[row] + place
                 slot = feistel(number, n, key)
                 used = np.minimum(size[row] - place * length, length)
                 at = pa.array(row)
-                payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length), total, [None, pa.py_buffer(ids)]).cast(pa.binary())
+                payload = pa.FixedSizeBinaryArray.from_buffers(pa.binary(length * width), total, [None, pa.py_buffer(ids)]).cast(pa.binary())
                 yield pa.record_batch([pa.array((slot // per_shard).astype(np.int32)), pa.array(slot), part.column("doc_id").take(at), pa.array(place.astype(np.int32)), pa.array(used.astype(np.int32)), payload], ["shard", "slot", "doc_id", "place", "n_tokens", "ids"])
 
     return run
@@ -83,11 +114,14 @@ def _order(n_shards: int, partitions: int):
     return (F.col("shard") * F.lit(min(partitions, max(n_shards, 1))) / F.lit(max(n_shards, 1))).cast("int")
 
 
-def materialised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
+def materialised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", ids: str | None = None, width: int = 1, end: int = END, pad: int = PAD, length: int = SEQUENCE, per_shard: int = PER_SHARD, key: int = KEY) -> DataFrame:
     """(shard, slot, doc_id, place, n_tokens, ids), by shard and slot within partitions.
 
-    ``ids`` holds ``length`` one-byte token ids: the text's bytes, :data:`END`,
-    then :data:`PAD`.  ``place`` is the sequence's place in its text.  Null text
+    ``ids`` holds ``length`` token ids of ``width`` bytes (1, 2 or 4, little
+    endian): those of the row, ``end``, then ``pad``.  A row's ids are those of
+    its column ``ids``, an array of integers or binary that has them packed
+    already; without such a column they are its text's bytes.  ``end`` and
+    ``pad`` must be ids that no row has.  ``place`` is the sequence's place in its text.  Null text
     counts as empty and gives one sequence of the end token; repeated rows have
     sequences of their own; ids may be null and come first in the numbering.
     Other columns are ignored.  Numbers depend only on the rows (not on files or
@@ -95,10 +129,18 @@ def materialised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     same slots.
     """
     spark = docs.sparkSession
-    clean = F.coalesce(F.col(text), F.lit(""))
+    if width not in DTYPES or not 0 <= min(end, pad) <= max(end, pad) <= np.iinfo(DTYPES[width]).max or end == pad or (ids is None and width != 1):
+        raise ValueError(f"no sequences of ids of {width} bytes with end {end} and pad {pad}")
+    if ids is None:
+        clean = F.coalesce(F.col(text), F.lit(""))
+    else:
+        packed = F.col(ids) if dict(docs.dtypes)[ids] == "binary" else _packer(width, (end, pad))(F.col(ids))
+        clean = F.coalesce(packed, F.lit(b""))
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), clean.alias("text"))
+    if ids is not None:
+        rows = written(rows, "ids")  # read twice, and ids may be costly to make
     keyed = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), F.xxhash64("text", F.lit(1)).alias("hash2"))
-    sized = keyed.select("doc_id", "hash", "hash2", F.ceil((F.octet_length("text") + F.lit(1)) / F.lit(length)).cast("bigint").alias("count"))
+    sized = keyed.select("doc_id", "hash", "hash2", F.ceil((F.octet_length("text") / F.lit(width) + F.lit(1)) / F.lit(length)).cast("bigint").alias("count"))
     kinds = sized.groupBy("doc_id", "hash", "hash2").agg(F.count("*").alias("copies"), F.first("count").alias("count"))
     ordered = written(kinds.repartitionByRange(F.col("doc_id").asc_nulls_first(), "hash", "hash2").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "hash", "hash2").withColumn("part", F.spark_partition_id()), "kinds")
     totals = {r[0]: r[1] for r in ordered.groupBy("part").agg(F.sum(F.col("copies") * F.col("count"))).collect()}
@@ -115,34 +157,31 @@ def materialised(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     schema = "shard int, slot bigint, doc_id bigint, place int, n_tokens int, ids binary"
     if not n:
         return spark.createDataFrame([], schema)
-    cut = _cutter(n, length, per_shard, key)
+    cut = _cutter(n, length, per_shard, key, width, end, pad)
     sequences = single.mapInArrow(cut, schema).unionAll(several.mapInArrow(cut, schema))
     shards = -(-n // per_shard)
     partitions = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
     return sequences.repartitionById(partitions, _order(shards, partitions)).sortWithinPartitions("slot")
 
 
-def write_shards(sequences: DataFrame, path: str) -> DataFrame:
-    """Writes ``shard-<k>.bin`` files of the sequences to ``path``; gives (shard, first_slot, n, path).
-
-    A shard is written whole to a name of its own attempt and then renamed, so a
-    repeated or parallel attempt leaves the same file.  ``path`` must be a folder
-    that all executors share.
-    """
+def _writer(path: str, each: bool):
+    """Writes sequences to shards; gives a row for each sequence (without its ids) or each shard."""
     import os
     import uuid
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: list = [None, 0, 0, None, ""]  # shard, first slot, count, file, name
 
+        def to(shard: int) -> str:
+            return os.path.join(path, f"shard-{shard:08d}.bin")
+
         def close() -> list[pa.RecordBatch]:
             shard, first, n, file, name = now
             if file is None:
                 return []
             file.close()
-            to = os.path.join(path, f"shard-{shard:08d}.bin")
-            os.replace(name, to)
-            return [pa.record_batch([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([to])], ["shard", "first_slot", "n", "path"])]
+            os.replace(name, to(shard))
+            return [] if each else [pa.record_batch([pa.array([shard], pa.int32()), pa.array([first], pa.int64()), pa.array([n], pa.int64()), pa.array([to(shard)])], ["shard", "first_slot", "n", "path"])]
 
         os.makedirs(path, exist_ok=True)
         for batch in batches:
@@ -157,20 +196,57 @@ def write_shards(sequences: DataFrame, path: str) -> DataFrame:
                 data, _ = K.buffers(ids.slice(int(a), int(b - a)))
                 now[3].write(data.tobytes())
                 now[2] += int(b - a)
+            if each:
+                yield batch.drop_columns(["ids"]).append_column("path", pa.array([to(k) for k in number.tolist()], pa.string()))
         yield from close()
 
-    return sequences.mapInArrow(run, "shard int, first_slot bigint, n bigint, path string")
+    return run
+
+
+def write_shards(sequences: DataFrame, path: str) -> DataFrame:
+    """Writes ``shard-<k>.bin`` files of the sequences to ``path``; gives (shard, first_slot, n, path).
+
+    A shard is written whole to a name of its own attempt and then renamed, so a
+    repeated or parallel attempt leaves the same file.  ``path`` must be a folder
+    that all executors share.
+    """
+    return sequences.mapInArrow(_writer(path, False), "shard int, first_slot bigint, n bigint, path string")
+
+
+def in_shards(sequences: DataFrame, path: str, *, length: int = SEQUENCE, width: int = 1, per_shard: int = PER_SHARD) -> DataFrame:
+    """Writes the shards to ``path`` at once; gives the sequences as read from them, with ``path`` of the file.
+
+    Only the sequences' places are kept besides the shards, so no id is stored twice.
+    """
+    places = "shard int, slot bigint, doc_id bigint, place int, n_tokens int, path string"
+    known = written(sequences.mapInArrow(_writer(path, True), places), "places")
+    stride = length * width
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, file = None, None
+        for batch in batches:
+            at = (batch.column("slot").to_numpy() - batch.column("shard").to_numpy().astype(np.int64) * per_shard) * stride
+            paths = batch.column("path").to_pylist()
+            for a in range(0, len(at), PER_BATCH):
+                ids = []
+                for k in range(a, min(a + PER_BATCH, len(at))):
+                    if paths[k] != name:
+                        name, file = paths[k], np.memmap(paths[k], np.uint8, "r")
+                    ids.append(file[at[k] : at[k] + stride].tobytes())
+                yield batch.slice(a, len(ids)).append_column("ids", pa.array(ids, pa.binary()))
+
+    return known.mapInArrow(run, places + ", ids binary").select("shard", "slot", "doc_id", "place", "n_tokens", "ids", "path")
 
 
-def read_from(path: str, slot: int, per_shard: int = PER_SHARD, length: int = SEQUENCE) -> Iterator[bytes]:
-    """Sequences from ``slot`` on, by seeking in fixed-stride shards."""
+def read_from(path: str, slot: int, per_shard: int = PER_SHARD, length: int = SEQUENCE, width: int = 1) -> Iterator[bytes]:
+    """Sequences from ``slot`` on, by seeking in fixed-stride shards of ids of ``width`` bytes."""
     import os
 
     shard = slot // per_shard
     while os.path.exists(name := os.path.join(path, f"shard-{shard:08d}.bin")):
         with open(name, "rb") as file:
-            file.seek((slot - shard * per_shard) * length)
-            while ids := file.read(length):
+            file.seek((slot - shard * per_shard) * length * width)
+            while ids := file.read(length * width):
                 yield ids
                 slot += 1
         shard += 1

@@ -1,3 +1,5 @@
+import os
+
 import numpy as np
 import pytest
 
@@ -36,3 +38,39 @@ def test_edge_rows(edge, empty):
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert sum(r.place == 0 for r in rows) == edge.count()
     assert S.materialised(empty).count() == 0
+
+
+def _ids(rows, width):
+    return np.concatenate([np.frombuffer(bytes(r.ids), S.DTYPES[width]) for r in sorted(rows, key=lambda r: r.place)]).tolist()
+
+
+def test_registered_query_writes_shards_of_bpe_ids(spark, sf):
+    from retort.llm import bpe, queries
+
+    end = bpe.vocabulary_size()
+    want = {r.doc_id: r.token_ids for r in queries.op1_bpe(spark, sf).collect()}
+    assert max(max(t) for t in want.values() if t) > 255
+    got = queries.op8_training_order(spark, sf).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert by.keys() == want.keys()
+    for k, rows in by.items():
+        flat = _ids(rows, 2)
+        n = len(want[k]) + 1
+        assert flat[:n] == [*want[k], end] and set(flat[n:]) <= {end + 1} and sum(r.n_tokens for r in rows) == n
+    slots = sorted(got, key=lambda r: r.slot)
+    assert [r.slot for r in slots] == list(range(len(got))) and all(len(r.ids) == 2 * S.SEQUENCE for r in got)
+    folder = os.path.dirname(got[0].path)
+    assert list(S.read_from(folder, 3, width=2)) == [bytes(r.ids) for r in slots[3:]]
+
+
+def test_arrays_of_ids_give_the_sequences_of_packed_ids(spark):
+    lists = [(1, [1, 70_000, 3] * 5), (2, []), (3, None), (None, [9] * 7), (1, [1, 70_000, 3] * 5)]
+    docs = spark.createDataFrame(lists, "doc_id bigint, t array<int>")
+    packed = spark.createDataFrame([(i, None if t is None else np.array(t, "<i4").tobytes()) for i, t in lists], "doc_id bigint, t binary")
+    a, b = (sorted(map(str, S.materialised(d, ids="t", width=4, end=80_000, pad=80_001, length=4, per_shard=3).collect())) for d in (docs, packed))
+    assert a == b and len(a) == 4 + 1 + 1 + 2 + 4
+    assert S.id_width(256) == 1 and S.id_width(50_258) == 2 and S.id_width(65_537) == 4
+    with pytest.raises(Exception, match="ids must fit"):
+        S.materialised(docs, ids="t", width=2, end=60_000, pad=60_001).collect()

@@ -23,8 +23,10 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], str, int], ...] = (
     ("google_key", ("aiza",), r"\b(AIza[0-9A-Za-z_-]{35})", 1),
     ("jwt", ("eyj",), r"\b(eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})", 1),
     ("private_key", ("private key-----",), r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]{16,}-----END)", 1),
-    ("assignment", ("token", "secret", "passw", "api_key", "api-key", "apikey", "access_key", "access-key"), r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']([0-9A-Za-z+/=_.:~-]{8,200})[\"']", 1),
+    ("assignment", ("token", "secret", "passw", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey"), r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']([0-9A-Za-z+/=_.:~-]{8,})[\"']", 1),
 )
+#: Expressions of the SQL that end at a length, where :data:`PATTERNS` has no such end: the two differ on longer values.
+SQL_PATTERNS = {"assignment": PATTERNS[-1][2].replace("{8,}", "{8,200}")}
 #: Owners from which on a candidate counts as a copied example.
 MIN_OWNERS = 3
 #: Distinct characters that a live-looking secret has at least.
@@ -111,7 +113,7 @@ def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner
 
 def _oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    parts = " UNION ALL ".join(f"SELECT doc_id, source, {quote(kind)} AS kind, unnest(regexp_extract_all(text, {quote(pattern)}, {group})) AS secret FROM documents" for kind, _, pattern, group in PATTERNS)
+    parts = " UNION ALL ".join(f"SELECT doc_id, source, {quote(kind)} AS kind, unnest(regexp_extract_all(text, {quote(SQL_PATTERNS.get(kind, pattern))}, {group})) AS secret FROM documents" for kind, _, pattern, group in PATTERNS)
     return f"""
 WITH found AS (SELECT DISTINCT * FROM ({parts})),
 owned AS (SELECT secret, count(DISTINCT doc_id) AS n_repos, count(DISTINCT coalesce(source, '')) AS n_owners FROM found GROUP BY secret)

@@ -26,3 +26,30 @@ def test_repeated_and_null_ids_are_masked(spark):
     rows = [(None, f'token="{HEX}"', None), (None, f'token="{HEX}"', None), (1, f'secret = "{HEX[::-1]}"', "a"), (1, "clean", "a")]
     out = S.redacted(docs_of(spark, rows)).collect()
     assert len(out) == 4 and not any(HEX in r.text or HEX[::-1] in r.text for r in out)
+
+
+#: Texts by kind; each alternative of each expression is in one.
+ALTERNATIVES = {
+    "aws_key": [a + "Q7WZX3KMNB5RTY2P" for a in ("AKIA", "ASIA")],
+    "github_token": [f"gh{c}_{HEX[:36]}" for c in "pousr"],
+    "slack_token": [f"xox{c}-{HEX[:24]}" for c in "abprs"],
+    "stripe_key": [f"{c}k_live_{HEX[:24]}" for c in "rs"],
+    "google_key": ["AIza" + HEX[:35]],
+    "jwt": ["eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"],
+    "private_key": [f"-----BEGIN {k}PRIVATE KEY-----\n{HEX}\n-----END" for k in ("", "RSA ", "EC ")],
+    "assignment": [f"{case(n)} = '{HEX}'" for n in ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey") for case in (str.lower, str.upper, str.title)],
+}
+
+
+def test_every_alternative_passes_its_marks(spark):
+    assert set(ALTERNATIVES) == {kind for kind, *_ in S.PATTERNS}
+    texts = [(kind, t) for kind, ts in ALTERNATIVES.items() for t in ts] + [("assignment", f'accessKey = "{HEX}"')]
+    got = {(r.doc_id, r.kind) for r in S.scan(docs_of(spark, [(i, t, "o") for i, (_, t) in enumerate(texts)])).collect()}
+    assert not [t for i, (kind, t) in enumerate(texts) if (i, kind) not in got]
+
+
+def test_long_values_are_found_and_masked(spark):
+    values = [(HEX * 3000)[:n] for n in (200, 201, 5000, 100_000)]
+    docs = docs_of(spark, [(i, f'say token = "{v}" end', "o") for i, v in enumerate(values)])
+    assert sorted(r.doc_id for r in S.scan(docs).collect()) == [0, 1, 2, 3]
+    assert {r.text for r in S.redacted(docs).collect()} == {f'say token = "{S.MASK}" end'}

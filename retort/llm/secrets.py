@@ -9,6 +9,7 @@ owners that looks random is reported as live.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ from .storage import written
 PATTERNS: tuple[tuple[str, tuple[str, ...], str, int], ...] = (
     ("aws_key", ("akia", "asia"), r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", 1),
     ("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"\b(gh[pousr]_[0-9A-Za-z]{36})\b", 1),
-    ("slack_token", ("xox",), r"\b(xox[abprs]-[0-9A-Za-z-]{10,72})", 1),
+    ("slack_token", ("xox",), r"\b(xox[abprs]-[0-9A-Za-z-]{10,})", 1),
     ("stripe_key", ("k_live_",), r"\b([rs]k_live_[0-9A-Za-z]{16,99})\b", 1),
     ("google_key", ("aiza",), r"\b(AIza[0-9A-Za-z_-]{35})", 1),
     ("jwt", ("eyj",), r"\b(eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})", 1),
@@ -26,7 +27,7 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], str, int], ...] = (
     ("assignment", ("token", "secret", "passw", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey"), r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']([0-9A-Za-z+/=_.:~-]{8,})[\"']", 1),
 )
 #: Expressions of the SQL that end at a length, where :data:`PATTERNS` has no such end: the two differ on longer values.
-SQL_PATTERNS = {"assignment": PATTERNS[-1][2].replace("{8,}", "{8,200}")}
+SQL_PATTERNS = {"assignment": PATTERNS[-1][2].replace("{8,}", "{8,200}"), "slack_token": PATTERNS[2][2].replace("{10,}", "{10,72}")}
 #: Owners from which on a candidate counts as a copied example.
 MIN_OWNERS = 3
 #: Distinct characters that a live-looking secret has at least.
@@ -83,6 +84,34 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: s
     return met.select("doc_id", "kind", F.sha2("secret", 256).alias("secret_hash"), "n_repos", "n_owners", "verdict")
 
 
+def masked(text: str, secrets: list[str]) -> str:
+    """``text`` with every stretch that places of ``secrets`` cover replaced by one mask.
+
+    Places are looked up in the text as it was, so a secret that holds, is part
+    of or overlaps another is covered whole; places that only touch stay apart.
+    """
+    spans = []
+    for s in secrets:
+        at = text.find(s)
+        while at >= 0:
+            spans.append((at, at + len(s)))
+            at = text.find(s, at + 1)
+    out, done, end = [], 0, -1
+    for a, b in sorted(spans):
+        if a >= end:
+            out += [text[done:a], MASK]
+        done = end = max(end, b)
+    return "".join([*out, text[done:]])
+
+
+def _masker():
+    @F.arrow_udf("string")
+    def run(text: pa.Array, secrets: pa.Array) -> pa.Array:
+        return pa.array([t if t is None or not s else masked(t, s) for t, s in zip(text.to_pylist(), secrets.to_pylist(), strict=True)], pa.string())
+
+    return run
+
+
 def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, min_distinct: int = MIN_DISTINCT) -> DataFrame:
     """``docs`` with every live secret replaced by :data:`MASK`; no row goes.
 
@@ -103,12 +132,12 @@ def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner
     some = written(whole.where(F.size("list") > 0), "suspects")
     lists = some.select("list").distinct().select("list", F.explode("list").alias("secret")).join(live, "secret").groupBy("list").agg(F.sort_array(F.collect_set("secret")).alias("live"))
     met = some.join(lists, "list", "left")
-    clean = F.aggregate(F.coalesce("live", F.array().cast("array<string>")), F.col(f"row.`{text}`"), lambda t, s: F.replace(t, s, F.lit(MASK)))
+    clean = _masker()(F.col(f"row.`{text}`"), F.col("live"))
     columns = [clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in names]
-    masked = met.select(*columns)
+    safe = met.select(*columns)
     if "n_chars" in names:
-        masked = masked.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
-    return plain.unionByName(masked.select(*[F.col(f"`{c}`") for c in names]))
+        safe = safe.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
+    return plain.unionByName(safe.select(*[F.col(f"`{c}`") for c in names]))
 
 
 def _oracle() -> str:

@@ -98,3 +98,41 @@ def test_columns(spark):
         chem.descriptors(c, ["None"])
     bits = spark.createDataFrame([([1, 0, 1, 1, 0],)], "b array<int>")
     assert bits.select(chem.fold_bits(F.col("b"), 5, 2, "xor"), chem.fold_bits(F.col("b"), 5, 2, "or")).first()[:] == ([0, 1], [1, 1])
+
+
+def _plain_pharmacophore(m):
+    """Pairs and triples of all points by plain loops."""
+    from itertools import combinations, combinations_with_replacement
+
+    names, k = sorted(fp.FEATURES), len(fp.BINS)
+    points = sorted({(f, x[0]) for f, n in enumerate(names) for x in Pattern(fp.FEATURES[n]).matches(m)})
+    far = {}
+    for a in {a for _, a in points}:
+        far[a], todo = {a: 0}, [a]
+        for x in todo:
+            todo += [y for y in m.near[x] if y not in far[a] and not far[a].update({y: far[a][x] + 1})]
+    at = lambda a, b: next((i for i, (lo, hi) in enumerate(fp.BINS) if lo <= far[a].get(b, -1) < hi), None)
+    twos, threes = (list(combinations_with_replacement(range(len(names)), r)) for r in (2, 3))
+    twos, threes = ({p: i for i, p in enumerate(t)} for t in (twos, threes))
+    out = np.zeros(fp.native_length(), np.int8)
+    for (f, a), (g, b) in combinations(points, 2):
+        if (x := at(a, b)) is not None:
+            out[twos[f, g] * k + x] = 1
+    for (f, a), (g, b), (h, c) in combinations(points, 3):
+        x = (at(a, b), at(a, c), at(b, c))
+        if None not in x:
+            out[len(twos) * k + threes[f, g, h] * k**3 + x[0] * k * k + x[1] * k + x[2]] = 1
+    return out, len(points)
+
+
+@pytest.mark.parametrize("block", [2, 256])
+def test_triples_are_of_all_points(block, monkeypatch):
+    monkeypatch.setattr(fp, "POINT_BLOCK", block)
+    large = "c1ccc(cc1)c1ccc(cc1)c1ccc(nc1)CCCC(C)CCc1ccc(cc1)C(=O)NCCc1ccccc1Cl"
+    sizes = []
+    for s in (*KNOWN[:12], "C", large):
+        m = M.perceive(M.parse(s))
+        want, n = _plain_pharmacophore(m)
+        assert np.array_equal(fp.pharmacophore(m), want), s
+        sizes.append(n)
+    assert max(sizes) > 60

@@ -50,12 +50,12 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as fixed-length sequences of BPE token ids, each at its global training slot of a shard in the shared folder."""
+    """All documents as one stream of BPE token ids, cut into sequences, each read back from its slot of a shard in the shared folder."""
     end = bpe.vocabulary_size()  # the ids after the vocabulary's: end, then pad
-    width = shards.id_width(end + 2)
-    tokens = bpe.packed(_table(spark, sf_dir, "documents"), shards.DTYPES[width])
-    sequences = shards.materialised(tokens, ids="ids", width=width, end=end, pad=end + 1)
-    return shards.in_shards(sequences, storage.shared_folder(spark, "training-order"), width=width)
+    docs = _table(spark, sf_dir, "documents")
+    pieces, layout = shards.materialised(docs, encode=bpe.id_encoder(docs), width=shards.id_width(end + 2), end=end, pad=end + 1)
+    folder = storage.shared_folder(spark, "training-order")
+    return shards.read_back(shards.write_shards(pieces, layout, folder), layout, folder)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

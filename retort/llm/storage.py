@@ -43,8 +43,6 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """The local path of a new folder in the shared one, for files that tasks write themselves; they stay."""
+    """The URI of a new folder in the shared one, for files that tasks write themselves; they stay."""
     root = shared_dir(spark)
-    if "://" in root and not root.startswith("file://"):
-        raise RuntimeError(f"{root} is not mounted: tasks can't write plain files to it")
-    return f"{root.removeprefix('file://').removeprefix('file:')}/{name}-{uuid.uuid4().hex}"
+    return f"{root if '://' in root else 'file://' + root.removeprefix('file:')}/{name}-{uuid.uuid4().hex}"

@@ -20,14 +20,12 @@ PATTERNS: tuple[tuple[str, tuple[str, ...], str, int], ...] = (
     ("aws_key", ("akia", "asia"), r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b", 1),
     ("github_token", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), r"\b(gh[pousr]_[0-9A-Za-z]{36})\b", 1),
     ("slack_token", ("xox",), r"\b(xox[abprs]-[0-9A-Za-z-]{10,})", 1),
-    ("stripe_key", ("k_live_",), r"\b([rs]k_live_[0-9A-Za-z]{16,99})\b", 1),
+    ("stripe_key", ("k_live_",), r"\b([rs]k_live_[0-9A-Za-z]{16,})\b", 1),
     ("google_key", ("aiza",), r"\b(AIza[0-9A-Za-z_-]{35})", 1),
     ("jwt", ("eyj",), r"\b(eyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,})", 1),
     ("private_key", ("private key-----",), r"(-----BEGIN [A-Z ]*PRIVATE KEY-----[0-9A-Za-z+/=\s]{16,}-----END)", 1),
     ("assignment", ("token", "secret", "passw", "api_key", "api-key", "apikey", "access_key", "access-key", "accesskey"), r"(?i)(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\"']?\s*[:=]\s*[\"']([0-9A-Za-z+/=_.:~-]{8,})[\"']", 1),
 )
-#: Expressions of the SQL that end at a length, where :data:`PATTERNS` has no such end: the two differ on longer values.
-SQL_PATTERNS = {"assignment": PATTERNS[-1][2].replace("{8,}", "{8,200}"), "slack_token": PATTERNS[2][2].replace("{10,}", "{10,72}")}
 #: Owners from which on a candidate counts as a copied example.
 MIN_OWNERS = 3
 #: Distinct characters that a live-looking secret has at least.
@@ -57,31 +55,39 @@ def candidates(text: Column, low: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<struct<kind:string,secret:string>>")).otherwise(F.array_sort(F.array_distinct(F.concat(*found))))
 
 
-def verdict(secret: Column, owners: Column, min_owners: int, min_distinct: int) -> Column:
-    poor = secret.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(secret, ""))) < min_distinct)
-    return F.when(owners >= min_owners, "copied_example").when(poor, "placeholder").otherwise("live")
+def hashed(found: Column) -> Column:
+    """Candidates as (kind, hash, poor): what leaves the first projection instead of them."""
+    poor = lambda s: s.rlike(PLACEHOLDER) | (F.size(F.array_distinct(F.split(s, ""))) < MIN_DISTINCT)
+    return F.transform(found, lambda c: F.struct(c["kind"].alias("kind"), F.sha2(c["secret"], 256).alias("hash"), poor(c["secret"]).alias("poor")))
 
 
-def _owned(found: DataFrame, min_owners: int, min_distinct: int) -> DataFrame:
-    """(secret, n_repos, n_owners, verdict) from (secret, repo, owner)."""
-    counts = found.groupBy("secret").agg(F.count_distinct(F.coalesce("repo", F.lit(""))).alias("n_repos"), F.count_distinct(F.coalesce("owner", F.lit(""))).alias("n_owners"))
-    return counts.withColumn("verdict", verdict(F.col("secret"), F.col("n_owners"), min_owners, min_distinct))
+def _distinct(name: str) -> Column:
+    """Number of distinct values; null is one of its own."""
+    return F.count_distinct(name) + F.max(F.col(name).isNull().cast("int"))
 
 
-def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, min_distinct: int = MIN_DISTINCT) -> DataFrame:
+def _owned(found: DataFrame, min_owners: int) -> DataFrame:
+    """(hash, n_repos, n_owners, verdict) from (hash, poor, repo, owner)."""
+    counts = found.groupBy("hash").agg(_distinct("repo").alias("n_repos"), _distinct("owner").alias("n_owners"), F.first("poor").alias("poor"))
+    verdict = F.when(F.col("n_owners") >= min_owners, "copied_example").when(F.col("poor"), "placeholder").otherwise("live")
+    return counts.select("hash", "n_repos", "n_owners", verdict.alias("verdict"))
+
+
+def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", repo: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
     """(doc_id, kind, secret_hash, n_repos, n_owners, verdict): every candidate of each row.
 
     ``verdict`` is ``copied_example`` (``min_owners`` owners or more),
-    ``placeholder`` or ``live``.  Secrets themselves are not returned.  Null and
-    empty texts give nothing; a null repository or owner counts as one of its
-    own; a repeated row repeats its candidates but adds no repository.  A row
-    names a candidate once, however often it holds it.
+    ``placeholder`` or ``live``.  A candidate is hashed where it is found; only
+    hashes are counted, stored and returned.  Null and empty texts give nothing;
+    a null repository or owner counts as one of its own, apart from an empty one;
+    a repeated row repeats its candidates but adds no repository.  A row names a
+    candidate once for each kind, however often it holds it.
     """
     each = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
-    each = each.select("doc_id", "repo", "owner", F.explode(candidates(F.col("text"), F.col("low"))).alias("c"))
-    each = written(each.select("doc_id", "repo", "owner", "c.kind", "c.secret"), "candidates")
-    met = each.join(_owned(each, min_owners, min_distinct), "secret")
-    return met.select("doc_id", "kind", F.sha2("secret", 256).alias("secret_hash"), "n_repos", "n_owners", "verdict")
+    each = each.select("doc_id", "repo", "owner", F.explode(hashed(candidates(F.col("text"), F.col("low")))).alias("c"))
+    each = written(each.select("doc_id", "repo", "owner", "c.*"), "candidates")
+    met = each.drop("repo", "owner", "poor").join(_owned(each, min_owners), "hash")
+    return met.select("doc_id", "kind", F.col("hash").alias("secret_hash"), "n_repos", "n_owners", "verdict")
 
 
 def masked(text: str, secrets: list[str]) -> str:
@@ -112,29 +118,27 @@ def _masker():
     return run
 
 
-def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS, min_distinct: int = MIN_DISTINCT) -> DataFrame:
+def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner: str = "source", min_owners: int = MIN_OWNERS) -> DataFrame:
     """``docs`` with every live secret replaced by :data:`MASK`; no row goes.
 
     ``n_chars``, where there is such a column, follows the text.  Rows without a
-    candidate pass as they are: only the few others meet the verdicts, by the
-    list of their candidates, so texts are not shuffled and ids need not be
-    unique.
+    candidate (null and empty texts among them) pass as they are: only the few
+    others are stored, with the hashes of their candidates, and meet the verdicts
+    by their lists of hashes, so texts are not shuffled and ids may be null or
+    repeat; repeated rows are masked alike.  Owners count as in :func:`scan`.
     """
     names = docs.columns
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
-    found = F.transform(candidates(F.col("text"), F.col("low")), lambda c: c["secret"])
-    whole = whole.select("row", F.explode(F.array(found)).alias("list"))  # a generator, so that filters don't repeat the search
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
+    whole = whole.select("row", "repo", "owner", F.explode(F.array(hashed(candidates(F.col("text"), F.col("low"))))).alias("list"))  # a generator, so that filters don't repeat the search
     plain = whole.where(F.size("list") == 0).select("row.*")
-    each = docs.select(F.col(repo).cast("string").alias("repo"), F.col(owner).cast("string").alias("owner"), F.col(text).alias("text"), F.lower(F.col(text)).alias("low"))
-    each = each.select("repo", "owner", F.explode(candidates(F.col("text"), F.col("low"))).alias("c"))
-    each = written(each.select("repo", "owner", "c.secret"), "candidates")
-    live = _owned(each, min_owners, min_distinct).where("verdict = 'live'").select("secret")
     some = written(whole.where(F.size("list") > 0), "suspects")
-    lists = some.select("list").distinct().select("list", F.explode("list").alias("secret")).join(live, "secret").groupBy("list").agg(F.sort_array(F.collect_set("secret")).alias("live"))
-    met = some.join(lists, "list", "left")
-    clean = _masker()(F.col(f"row.`{text}`"), F.col("live"))
-    columns = [clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in names]
-    safe = met.select(*columns)
+    live = _owned(some.select("repo", "owner", F.explode("list").alias("c")).select("repo", "owner", "c.*"), min_owners).where("verdict = 'live'").select("hash")
+    keyed = some.select("row", F.array_distinct(F.transform("list", lambda c: c["hash"])).alias("key"))
+    lists = keyed.select("key").distinct().select("key", F.explode("key").alias("hash")).join(live, "hash").groupBy("key").agg(F.collect_set("hash").alias("live"))
+    met = keyed.join(lists, "key", "left").select("row", "live", F.col(f"row.`{text}`").alias("text"), F.lower(F.col(f"row.`{text}`")).alias("low"))
+    own = F.filter(F.transform(candidates(F.col("text"), F.col("low")), lambda c: c["secret"]), lambda s: F.array_contains("live", F.sha2(s, 256)))
+    clean = _masker()(F.col("text"), own)
+    safe = met.select(*[clean.alias(c) if c == text else F.col(f"row.`{c}`") for c in names])
     if "n_chars" in names:
         safe = safe.withColumn("n_chars", F.length(text).cast(docs.schema["n_chars"].dataType))
     return plain.unionByName(safe.select(*[F.col(f"`{c}`") for c in names]))
@@ -142,10 +146,10 @@ def redacted(docs: DataFrame, *, text: str = "text", repo: str = "doc_id", owner
 
 def _oracle() -> str:
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    parts = " UNION ALL ".join(f"SELECT doc_id, source, {quote(kind)} AS kind, unnest(regexp_extract_all(text, {quote(SQL_PATTERNS.get(kind, pattern))}, {group})) AS secret FROM documents" for kind, _, pattern, group in PATTERNS)
+    parts = " UNION ALL ".join(f"SELECT doc_id, source, {quote(kind)} AS kind, unnest(regexp_extract_all(text, {quote(pattern)}, {group})) AS secret FROM documents" for kind, _, pattern, group in PATTERNS)
     return f"""
 WITH found AS (SELECT DISTINCT * FROM ({parts})),
-owned AS (SELECT secret, count(DISTINCT doc_id) AS n_repos, count(DISTINCT coalesce(source, '')) AS n_owners FROM found GROUP BY secret)
+owned AS (SELECT secret, count(DISTINCT doc_id) AS n_repos, count(DISTINCT source) + max((source IS NULL)::INT) AS n_owners FROM found GROUP BY secret)
 SELECT doc_id, kind, sha256(secret) AS secret_hash, n_repos::BIGINT AS n_repos, n_owners::BIGINT AS n_owners,
        CASE WHEN n_owners >= {MIN_OWNERS} THEN 'copied_example'
             WHEN regexp_matches(secret, {quote(PLACEHOLDER)}) OR len(list_distinct(string_split(secret, ''))) < {MIN_DISTINCT} THEN 'placeholder' ELSE 'live' END AS verdict

@@ -4,7 +4,8 @@ Patterns are all windows of ``n`` consecutive words of every benchmark item
 (an item of fewer words is one pattern if it has ``min_words`` at least).  Text
 and items are lower-cased, every run of characters other than letters and
 digits becomes one blank, and a pattern carries a blank at either end, so a
-match is a match of whole words.
+match is a match of whole words.  In scripts written without blanks
+(:data:`UNSPACED`) every character is a word.
 
 The search keeps a table of shifts by hashed blocks of ``BLOCK`` bytes: a block
 that occurs in no pattern lets the scan jump ``m - BLOCK + 1`` bytes, where
@@ -28,8 +29,12 @@ from . import textkernel as K
 BLOCK = 8
 N_WORDS = 8
 MIN_WORDS = 5
-#: Patterns searched for in one pass; more are searched for in further passes.
-SHARD_BYTES = 32 << 20
+#: Bytes of patterns from which on the next item begins another set of tables, and sets that one scan of the texts searches for.
+SHARD_BYTES, SHARDS_A_SCAN = 32 << 20, 8
+#: Patterns below this many bytes get tables of their own, as the shortest pattern of a table bounds its shifts.
+SHORT = 24
+#: Scripts whose characters count as words.
+UNSPACED = ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar")
 HITS = "array<struct<item_id:bigint,n_hits:bigint,first_word:bigint>>"
 _TABLE_BITS = 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -38,6 +43,8 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 def normalised(text: Column | str) -> Column:
     """Blank, words in lower case parted by one blank, blank; null stays null."""
     text = F.col(text) if isinstance(text, str) else text
+    apart = F.regexp_replace(text, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")
+    text = F.when(F.octet_length(text) == F.length(text), text).otherwise(apart)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 
@@ -113,59 +120,68 @@ class WuManber:
                     out.append((start, int(k)))
         return out
 
-    def hits(self, column: pa.Array) -> list[list[dict]]:
-        out: list[list[dict]] = []
-        for part in K.slices(pa.record_batch([column], ["text"])):
-            data, offsets = K.buffers(part.column("text"))
-            per: dict[int, dict[int, list[int]]] = defaultdict(dict)
-            for start, k in sorted(self.search(data)):
+
+def hits(sets: list[list[WuManber]], column: pa.Array) -> list[list[dict]]:
+    """(item, hits, first word) of each text, over all sets of tables."""
+    out: list[list[dict]] = []
+    for part in K.slices(pa.record_batch([column], ["text"])):
+        data, offsets = K.buffers(part.column("text"))
+        per: dict[int, dict[int, list[int]]] = defaultdict(dict)
+        for tables in (t for tables in sets for t in tables):
+            for start, k in tables.search(data):
                 row = int(np.searchsorted(offsets, start, "right")) - 1
-                if start + len(self.patterns[k]) > offsets[row + 1]:
+                if start + len(tables.patterns[k]) > offsets[row + 1]:
                     continue  # runs into the next text
-                for item, times in self.items[k]:
+                for item, times in tables.items[k]:
                     seen = per[row].setdefault(item, [0, start])
                     seen[0] += times
-            for row in range(part.num_rows):
-                out.append([{"item_id": item, "n_hits": c, "first_word": int(np.count_nonzero(data[offsets[row] : first + 1] == 32)) - 1} for item, (c, first) in sorted(per[row].items())] if row in per else [])
-        return out
+                    seen[1] = min(seen[1], start)
+        for row in range(part.num_rows):
+            out.append([{"item_id": item, "n_hits": c, "first_word": int(np.count_nonzero(data[offsets[row] : first + 1] == 32)) - 1} for item, (c, first) in sorted(per[row].items())] if row in per else [])
+    return out
 
 
-def shards(items: Iterable[tuple[int | None, str | None]], n: int, min_words: int, shard_bytes: int) -> list[WuManber]:
-    """Search tables over all ``items``; a new one begins after ``shard_bytes`` of patterns."""
-    made, now, held = [], defaultdict(Counter), 0
+def shards(items: Iterable[tuple[int, str | None]], n: int, min_words: int, shard_bytes: int) -> Iterable[list[WuManber]]:
+    """Sets of search tables over ``items`` in order of their ids; an item's patterns are all in one set."""
+    now: tuple[dict, dict] = (defaultdict(Counter), defaultdict(Counter))
+    held, last = 0, None
+
+    def made() -> list[WuManber]:
+        return [WuManber(x) for x in now if x]
+
     for item, text in items:
-        if item is None:
-            continue
+        if held >= shard_bytes and item != last:
+            yield made()
+            now, held = (defaultdict(Counter), defaultdict(Counter)), 0
+        last = item
         for p in windows(text, n, min_words):
-            held += len(p) if p not in now else 0
-            now[p][item] += 1
-        if held >= shard_bytes:
-            made.append(WuManber(now))
-            now, held = defaultdict(Counter), 0
-    return made + ([WuManber(now)] if now else [])
+            into = now[len(p.encode()) < SHORT]
+            held += len(p) if p not in into else 0
+            into[p][item] += 1
+    if any(now):
+        yield made()
 
 
 def search_columns(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = N_WORDS, min_words: int = MIN_WORDS, shard_bytes: int = SHARD_BYTES) -> list[Column]:
-    """One column of hits for each shard of patterns (none if there are no patterns).
+    """One column of hits for each :data:`SHARDS_A_SCAN` sets of tables (none if there are no patterns).
 
-    The items stream to the driver one at a time; each shard of tables is
-    broadcast on its own, so what is broadcast at once has a fixed bound.
+    The items stream to the driver one at a time, by id, so that one text and
+    item meet in one column only.  Each set is broadcast on its own, and a scan
+    holds a bounded number of them.
     """
     spark = docs.sparkSession
-    rows = benchmark.select(F.col(item_id).cast("bigint"), normalised(item_text)).toLocalIterator()
-    out = []
-    for tables in shards(((r[0], r[1]) for r in rows), n, min_words, shard_bytes):
-        out.append(_searcher(spark.sparkContext.broadcast(tables))(normalised(text)))
-    return out
+    rows = benchmark.select(F.col(item_id).cast("bigint").alias("i"), normalised(item_text).alias("t")).where("i is not null and t is not null").orderBy("i", "t").toLocalIterator()
+    held = [spark.sparkContext.broadcast(tables) for tables in shards(((r[0], r[1]) for r in rows), n, min_words, shard_bytes)]
+    return [_searcher(held[k : k + SHARDS_A_SCAN])(normalised(text)) for k in range(0, len(held), SHARDS_A_SCAN)]
 
 
 def _searcher(held):
     @F.arrow_udf(HITS)
-    def hits(column: pa.Array) -> pa.Array:
+    def run(column: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("n_hits", pa.int64()), ("first_word", pa.int64())]))
-        return pa.array(held.value.hits(column), kind)
+        return pa.array(hits([h.value for h in held], column), kind)
 
-    return hits
+    return run
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id", **options) -> DataFrame:
@@ -175,7 +191,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
     item; ``first_word`` is the 0-based word where the first begins.  Rows with
     null or empty text, items with null id or text and items of fewer than
     ``min_words`` words give nothing; a null ``doc_id`` is kept as null; a
-    repeated row is reported as often as it occurs.  Other columns are ignored.
+    repeated row is reported as often as it occurs.  Items that repeat, or share
+    an id, count together.  Other columns are ignored.
     """
     columns = search_columns(docs, benchmark, **options)
     schema = "doc_id bigint, item_id bigint, n_hits bigint, first_word bigint"
@@ -189,7 +206,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_i
 def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark window occurs, columns unchanged.
 
-    Rows with null text stay.  The text is searched in one pass, without a join.
+    Rows with null or empty text stay, and all rows if the benchmark has no
+    pattern; repeated rows stay or go together; ids don't matter.  A text is
+    searched without a join, once for each :data:`SHARDS_A_SCAN` sets of tables.
     """
     columns = search_columns(docs, benchmark, **options)
     for c in columns:
@@ -197,12 +216,13 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFram
     return docs
 
 
+_APART = "regexp_replace(text, '([" + "".join(rf"\p{{{x}}}" for x in UNSPACED) + r"])', ' \1 ', 'g')"
 ORACLE = rf"""
-WITH i AS (SELECT item_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+WITH i AS (SELECT item_id, string_split(trim(regexp_replace(lower({_APART}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
 g AS (SELECT item_id, array_to_string(w[p:p + least({N_WORDS}, len(w)) - 1], ' ') AS gram, least({N_WORDS}, len(w)) AS size
       FROM i, generate_series(1, greatest(1, len(w) - {N_WORDS} + 1)) AS s(p) WHERE len(w) >= {MIN_WORDS}),
 sizes AS (SELECT DISTINCT size FROM g),
-d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+d AS (SELECT doc_id, string_split(trim(regexp_replace(lower({_APART}), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
 h AS (SELECT doc_id, p - 1 AS word, array_to_string(w[p:p + size - 1], ' ') AS gram, size
       FROM d, sizes, generate_series(1, len(w) - size + 1) AS s(p))
 SELECT doc_id, item_id, count(*)::BIGINT AS n_hits, min(word)::BIGINT AS first_word

@@ -405,8 +405,8 @@ class Codec:
                     heappush(heap, (r << shift) | h)
         return tuple([p for p in part if p >= 0])
 
-    def encode_all(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, number of ids of each text) of texts in one buffer."""
+    def encode_all(self, data: np.ndarray, offsets: np.ndarray, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+        """(ids, number of ids of each text) of texts in one buffer; without ``ids`` they are only counted."""
         if not len(data):
             return np.zeros(0, np.int32), np.zeros(len(offsets) - 1, np.int64)
         start = cut(data, offsets, self.classes)
@@ -415,7 +415,6 @@ class Codec:
         words = Words(data, start, end)
         slot = self.hash.of(words.hash)
         missed = np.flatnonzero(~words.equal(slice(None), self.known, self.key[slot]))
-        count = np.ones(len(start), np.int32)
         if self.memo.n > REMEMBERED or self.memo.used > REMEMBERED_IDS:
             self.memo = Memo()
         memo, entry = self.memo, self.memo.find(words, missed)
@@ -427,18 +426,21 @@ class Codec:
                     memo.add(words, some, *self.merge_short(data, start[some], words.size[some]))
             long = at[words.size[at] > SHORT]
             if len(long):
-                ids = [self.merge(data[a:b].tobytes()) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
-                memo.add(words, long, np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids]))
+                merged = [self.merge(data[a:b].tobytes()) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
+                memo.add(words, long, np.array([i for x in merged for i in x], np.int32), np.array([len(x) for x in merged]))
             entry[left] = memo.find(words, missed[left])
-        count[missed] = memo.count[entry]
+        many = memo.count[entry]
+        count = np.ones(len(start), np.int32)
+        count[missed] = many
         ends = np.zeros(len(start) + 1, np.int64)
         np.cumsum(count, out=ends[1:])
-        ids = np.empty(ends[-1], np.int32)
-        ids[ends[:-1]] = self.id[slot]
-        many = count[missed]
-        ids[_gather(ends[missed], many)] = memo.ids[_gather(memo.first[entry], many)]
-        first = ends[np.searchsorted(start, offsets)]
-        return ids, np.diff(first)
+        each = np.diff(ends[np.searchsorted(start, offsets)])
+        if not ids:
+            return None, each
+        out = np.empty(ends[-1], np.int32)
+        out[ends[:-1]] = self.id[slot]
+        out[_gather(ends[missed], many)] = memo.ids[_gather(memo.first[entry], many)]
+        return out, each
 
     def encode(self, text: str) -> list[int]:
         data = np.frombuffer(text.encode(), np.uint8)
@@ -542,8 +544,8 @@ def id_encoder(docs: DataFrame, column: str = "value", vocabulary: str = VOCABUL
     """A function from a slice of texts to (ids, how many each text has), for tasks of the session of ``docs``; null counts as empty."""
     held = codec(docs, vocabulary)
 
-    def encode(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return held.value.encode_all(*K.buffers(part.column(column)))
+    def encode(part: pa.RecordBatch, ids: bool = True) -> tuple[np.ndarray | None, np.ndarray]:
+        return held.value.encode_all(*K.buffers(part.column(column)), ids)
 
     return encode
 

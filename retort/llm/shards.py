@@ -44,8 +44,8 @@ PER_SHARD = 4096
 PER_BATCH = 1024
 KEY = 0x5DEECE66D
 ROUNDS = 6
-#: Ids of a slice of rows, and how many each row has.
-Encoder = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray]]
+#: Ids of a slice of rows, and how many each row has; without ids if the second argument is false.
+Encoder = Callable[[pa.RecordBatch, bool], tuple[np.ndarray | None, np.ndarray]]
 PIECES = "shard int, slot bigint, start int, doc_ids array<bigint>, starts array<int>, places array<bigint>, ids binary"
 
 
@@ -76,13 +76,13 @@ def id_width(n_ids: int) -> int:
     return 1 if n_ids <= 1 << 8 else 2 if n_ids <= 1 << 16 else 4
 
 
-def utf8(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def utf8(part: pa.RecordBatch, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of the texts as ids; none for null."""
     data, offsets = K.buffers(part.column("value"))
     return data, np.diff(offsets)
 
 
-def lists(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def lists(part: pa.RecordBatch, ids: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """The ids in arrays of integers; none for null."""
     column = part.column("value")
     flat = column.flatten()
@@ -164,7 +164,7 @@ def _counter(encode: Encoder):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple[str, int], int] = {}
         for name, part in _parts(batches):
-            total[name] = total.get(name, 0) + int(encode(part)[1].sum()) + part.num_rows
+            total[name] = total.get(name, 0) + int(encode(part, False)[1].sum()) + part.num_rows
         yield pa.record_batch([pa.array([f for f, _ in total], pa.string()), pa.array([r for _, r in total], pa.int64()), pa.array(list(total.values()), pa.int64())], ["file", "row", "n"])
 
     return run
@@ -174,7 +174,7 @@ def _cutter(encode: Encoder, bases, layout: Layout):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length, dtype, at = layout.length, np.dtype(DTYPES[layout.width]), {}
         for name, part in _parts(batches):
-            ids, count = encode(part)
+            ids, count = encode(part, True)
             if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(dtype).max or (ids == layout.end).any() or (ids == layout.pad).any()):
                 raise ValueError(f"ids must fit {layout.width} bytes and be neither the end nor the pad id {layout.end, layout.pad}")
             begin = at.get(name, bases.value[name])
@@ -232,7 +232,7 @@ def materialised(docs: DataFrame, *, doc_id: str = "doc_id", value: str = "text"
     if encode is None:
         encode = lists if dict(docs.dtypes)[value].startswith("array") else utf8
     rows = _rows(docs, doc_id, value)
-    counted = rows.select("file", "row", "value").mapInArrow(_counter(encode), "file string, row bigint, n bigint").orderBy("file", "row").collect()  # a row for each split of a file
+    counted = sorted(rows.select("file", "row", "value").mapInArrow(_counter(encode), "file string, row bigint, n bigint").collect())  # a row for each split of a file
     ends = np.cumsum([r.n for r in counted])
     total = int(ends[-1]) if counted else 0
     layout = Layout(-(-total // length), total, length, width, end, pad, per_shard, key)

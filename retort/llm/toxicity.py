@@ -3,14 +3,16 @@
 Features of a text are the distinct words and word beginnings of 4 to 6 bytes in
 it; those that differ clearly between the classes (chi-squared) are kept, and all
 identity terms.  Logistic regression is fitted on a bounded sample of labelled
-rows.  For every labelled text that holds an identity term, the term is swapped
-for each other term of its group, and the squared change of the score is
-penalised, so that naming a group neither raises nor lowers it.  Scoring reads
-each text once and shuffles nothing.
+rows.  In every sentence of a labelled text that holds an identity term, the term
+is swapped for each other term of its group, the features of the swapped sentence
+are extracted like any text's, and the squared change of the score is penalised,
+so that naming a group neither raises nor lowers it.  Scoring reads each text
+once and shuffles nothing.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,22 +22,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .storage import written
 
 #: Labelled rows to fit on at most (the first by a hash of their id).
 MAX_LABELLED = 20_000
-MIN_CHI2 = 40.0
+#: Features are kept from this chi-squared and number of labelled texts on, the best of them by chi-squared.
+MIN_CHI2, MIN_TEXTS = 40.0, 3
 MAX_FEATURES = 4096
 COUNTERFACTUAL = 10.0
 RIDGE = 1e-4
 #: A text is toxic at this score at least, however well a lower one did on held-out rows.
 MIN_THRESHOLD = 0.5
-#: Interchangeable terms; the first of each group is neutral.
+#: Interchangeable terms of one language, number and gender; the first of each group is neutral.
 IDENTITY: tuple[tuple[str, ...], ...] = (
     ("person", "man", "woman", "girl", "boy", "transgender"),
     ("people", "men", "women", "girls", "boys", "immigrants", "refugees", "foreigners", "gays", "lesbians", "muslims", "jews", "christians", "hindus", "buddhists", "atheists", "asians", "africans", "americans", "europeans", "arabs", "mexicans"),
     ("human", "muslim", "jewish", "christian", "hindu", "buddhist", "atheist", "black", "white", "asian", "african", "american", "european", "arab", "mexican", "gay", "lesbian", "bisexual", "straight", "disabled", "blind", "deaf", "old", "young"),
+    ("personne", "homme", "femme", "fille", "garçon"),
+    ("gens", "hommes", "femmes", "filles", "garçons", "immigrés", "réfugiés", "étrangers", "homosexuels", "lesbiennes", "musulmans", "juifs", "chrétiens", "bouddhistes", "athées", "asiatiques", "africains", "américains", "européens", "arabes"),
+    ("humain", "musulman", "juif", "chrétien", "hindou", "bouddhiste", "athée", "noir", "blanc", "africain", "américain", "européen", "homosexuel", "bisexuel", "handicapé", "aveugle", "sourd", "vieux", "jeune"),
+    ("mensch", "mann", "frau", "mädchen", "junge"),
+    ("menschen", "männer", "frauen", "jungen", "einwanderer", "flüchtlinge", "ausländer", "schwule", "lesben", "muslime", "juden", "christen", "buddhisten", "atheisten", "asiaten", "afrikaner", "amerikaner", "europäer", "araber"),
+    ("menschlich", "muslimisch", "jüdisch", "christlich", "buddhistisch", "schwarz", "weiß", "asiatisch", "afrikanisch", "amerikanisch", "europäisch", "arabisch", "schwul", "lesbisch", "bisexuell", "behindert", "blind", "taub", "alt", "jung"),
+    ("persona", "hombre", "mujer", "niña", "niño"),
+    ("personas", "hombres", "mujeres", "niñas", "niños", "inmigrantes", "refugiados", "extranjeros", "homosexuales", "lesbianas", "musulmanes", "judíos", "cristianos", "budistas", "ateos", "asiáticos", "africanos", "americanos", "europeos", "árabes"),
+    ("humano", "musulmán", "judío", "cristiano", "budista", "ateo", "negro", "blanco", "asiático", "africano", "americano", "europeo", "homosexual", "bisexual", "discapacitado", "ciego", "sordo", "viejo", "joven"),
 )
 _PREFIXES = (4, 5, 6)
+_ENDS = np.isin(np.arange(256), [ord(c) for c in ".!?\n"])  # bytes that end a sentence
 
 
 def features(part: pa.RecordBatch, column: str = "text", terms: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -131,45 +145,101 @@ class Sparse:
         return Sparse(at[self.row[live]], self.place[live], (int(keep.sum()), self.shape[1]))
 
 
-def swaps(count: np.ndarray, groups: list[list[int]]) -> np.ndarray:
-    """Quadratic form, over the identity terms in order of the groups, of all changes of score by swapping a present term for another of its group; per mention."""
-    ids = [i for g in groups for i in g]
-    at = {i: k for k, i in enumerate(ids)}
-    gram = np.zeros((len(ids), len(ids)))
-    for g in groups:
-        for a in g:
-            for b in g:
-                if a != b and count[a]:
-                    d = np.zeros(len(ids))
-                    d[at[a]], d[at[b]] = -1, 1
-                    gram += count[a] * np.outer(d, d)
-    return gram / max(float(count[ids].sum()) if ids else 0.0, 1.0)
+def sentences(part: pa.RecordBatch, terms: np.ndarray, column: str = "text") -> list[bytes]:
+    """The sentences of a slice that hold an identity term, as often as they occur."""
+    data, offsets = K.buffers(part.column(column))
+    start, end, first = K.word_spans(data, offsets, K.ALNUM)
+    hit = start[np.isin(K.word_hashes(data, start, end), terms)]
+    if not len(hit):
+        return []
+    edges = np.unique(np.r_[offsets, np.flatnonzero(_ENDS[data]) + 1])
+    at = np.unique(np.searchsorted(edges, hit, "right"))
+    return [data[a:b].tobytes() for a, b in zip(edges[at - 1].tolist(), edges[at].tolist(), strict=True)]
+
+
+def swapped(sentence: bytes, groups: list[list[bytes]]) -> list[bytes]:
+    """The sentence with a term that it holds replaced, wherever it occurs, by another of its group; one for each such pair."""
+    data = np.frombuffer(sentence, np.uint8)
+    start, end, _ = K.word_spans(data, np.array([0, len(data)]), K.ALNUM)
+    words = [sentence[a:b].lower() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    gaps = [sentence[a:b] for a, b in zip([0, *end.tolist()], [*start.tolist(), len(sentence)], strict=True)]
+    out = []
+    for group in groups:
+        for a in sorted(set(words) & set(group)):
+            for b in group:
+                if b != a:
+                    kept = [b if w == a else w for w in words]
+                    out.append(b"".join(x for pair in zip(gaps, [*kept, b""], strict=True) for x in pair))
+    return out
+
+
+def _swapper(vocabulary: np.ndarray, terms: np.ndarray, groups: list[list[bytes]]):
+    """(places lost, places won, count) by swaps in the sentences of labelled texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in K.slices(batch):
+                held = Counter(sentences(part, terms))
+                texts, pairs = [], []
+                for s, n in held.items():
+                    others = swapped(s, groups)
+                    pairs += [(len(texts), len(texts) + 1 + k, n) for k in range(len(others))]
+                    texts += [s, *others]
+                if not pairs:
+                    continue
+                rows = pa.record_batch([pa.array([t.decode("utf-8", "replace") for t in texts], pa.string())], ["text"])
+                doc, place = locate(vocabulary, *features(rows, terms=terms))
+                bounds = np.searchsorted(doc, np.arange(len(texts) + 1))
+                sets = [frozenset(place[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                count: Counter = Counter()
+                for a, b, n in pairs:
+                    count[tuple(sorted(sets[a] - sets[b])), tuple(sorted(sets[b] - sets[a]))] += n
+                yield pa.record_batch([pa.array([list(k[0]) for k in count], pa.list_(pa.int32())), pa.array([list(k[1]) for k in count], pa.list_(pa.int32())), pa.array(list(count.values()), pa.int64())], ["lost", "won", "n"])
+
+    return run
+
 
+def fit(x: Sparse, y: np.ndarray, swaps: list[tuple[list[int], list[int], int]], plain: np.ndarray | None = None, counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and bias by accelerated gradient descent on log loss, ridge and counterfactual penalty.
 
-def fit(x: Sparse, y: np.ndarray, groups: list[list[int]], counterfactual: float = COUNTERFACTUAL, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and bias by accelerated gradient descent on log loss, ridge and counterfactual penalty."""
+    ``swaps`` are (features lost, features won, how often); the penalty is the
+    mean squared change of the score.  Features in ``plain`` are not scaled by
+    frequency.
+    """
     n, k = x.shape
     count = np.bincount(x.place, minlength=k).astype(float)
-    ids = np.array([i for g in groups for i in g], np.int64)
-    gram = swaps(count, groups)
     rare = 1 / np.sqrt(np.maximum(count / n, 1e-4))  # scale by frequency, so rare words learn as fast
-    rare[ids] = 1
+    if plain is not None:
+        rare[plain] = 1
+    change = Sparse(np.repeat(np.arange(2 * len(swaps)), [len(f) for lost, won, _ in swaps for f in (lost, won)]), np.array([i for lost, won, _ in swaps for f in (lost, won) for i in f], np.int64), (2 * len(swaps), k))
+    often = np.array([c for *_, c in swaps], float)
+    often /= max(often.sum(), 1.0)
+
+    def penalty(v: np.ndarray) -> np.ndarray:
+        """Half the gradient of the mean squared change."""
+        d = change.dot(v[:k] * rare)
+        r = often * (d[1::2] - d[::2])
+        return np.r_[change.back(np.stack([-r, r], 1).ravel()) * rare, 0.0]
+
     score = lambda v: x.dot(v[:k] * rare) + v[k]
     back = lambda r: np.r_[x.back(r) * rare, r.sum()]
-    v = np.random.default_rng(0).normal(size=k + 1)
-    for _ in range(20):
-        v = back(score(v))
-        v /= np.linalg.norm(v)
-    top = float(np.sum(score(v) ** 2)) / n / 4 + ridge
-    rate = 1 / (top + 2 * counterfactual * (np.linalg.eigvalsh(gram)[-1] if len(ids) else 0.0))
+
+    def largest(f) -> float:
+        v = np.random.default_rng(0).normal(size=k + 1)
+        for _ in range(40):
+            v /= np.linalg.norm(v)
+            w = f(v)
+            if not np.any(w):
+                return 0.0
+            top, v = float(v @ w), w
+        return 1.05 * top
+
+    rate = 1 / (largest(lambda v: back(score(v)) / n / 4) + ridge + 2 * counterfactual * largest(penalty))
     w = np.zeros(k + 1)
     at, momentum = w.copy(), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(score(at), -40, 40)))
-        g = back(p - y) / n + ridge * at
-        if len(ids):
-            g[ids] += 2 * counterfactual * (gram @ at[ids])
-        new = at - rate * g
+        new = at - rate * (back(p - y) / n + ridge * at + 2 * counterfactual * penalty(at))
         later = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         at = new + (momentum - 1) / later * (new - w)
         w, momentum = new, later
@@ -189,10 +259,18 @@ def best_threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[at] + (s[at + 1] if at + 1 < len(s) else 0.0)) / 2)
 
 
-def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, identity=IDENTITY, counterfactual: float = COUNTERFACTUAL) -> Model:
-    """The model; with no labelled rows or one class only it calls nothing toxic."""
+def trained(
+    docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = MAX_LABELLED, identity=IDENTITY, counterfactual: float = COUNTERFACTUAL,
+    min_chi2: float = MIN_CHI2, min_texts: int = MIN_TEXTS, max_features: int = MAX_FEATURES,
+) -> Model:
+    """The model; with no labelled rows or one class only it calls nothing toxic.
+
+    One scan of ``docs`` stores the labelled rows, at most ``max_labelled`` and
+    their repeats; all fitting reads those.  A null id, label or text isn't used.
+    """
     sample = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("toxic")).where("_id is not null and toxic is not null").orderBy(F.xxhash64("_id"), "_id", "toxic").limit(max_labelled)
     rows = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("text")).where("text is not null").join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "toxic", "text")
+    rows = written(rows, "labelled")
     total = rows.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     n, bad = int(total[0]), int(total[1])
     if not 0 < bad < n:
@@ -202,7 +280,7 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     counts = rows.select("toxic", "text").mapInArrow(_counter(protected), "h bigint, bad bigint, n bigint").groupBy("h").agg(F.sum("bad").alias("a"), F.sum("n").alias("m"))
     a, m = F.col("a").cast("double"), F.col("m").cast("double")
     chi2 = n * F.pow(a * n - m * bad, F.lit(2)) / (m * (n - m) * float(bad) * float(n - bad))
-    picked = counts.where((F.col("m") < n) & (F.col("m") >= 3)).withColumn("chi2", chi2).where(F.col("chi2") > MIN_CHI2).orderBy(F.col("chi2").desc(), "h").limit(MAX_FEATURES).select("h").toArrow()
+    picked = counts.where((F.col("m") < n) & (F.col("m") >= min_texts)).withColumn("chi2", chi2).where(F.col("chi2") > min_chi2).orderBy(F.col("chi2").desc(), "h").limit(max_features).select("h").toArrow()
     vocabulary = np.unique(np.concatenate([picked.column("h").to_numpy().view(np.uint64), protected]))
     got = rows.mapInArrow(_indexer(vocabulary, protected), "_id bigint, toxic int, places array<int>").toArrow().combine_chunks()
     key = np.argsort(K.mix(got.column("_id").to_numpy().astype(np.int64).view(np.uint64)), kind="stable")
@@ -210,10 +288,11 @@ def trained(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
     size = np.diff(lists.offsets.to_numpy())
     y = got.column("toxic").to_numpy().astype(np.float64)
     x = Sparse(np.repeat(np.arange(len(size)), size), lists.flatten().to_numpy(), (len(size), len(vocabulary)))
-    groups = [[int(np.searchsorted(vocabulary, terms[w])) for w in g] for g in identity]
+    changes = rows.select("text").mapInArrow(_swapper(vocabulary, protected, [[w.encode() for w in g] for g in identity]), "lost array<int>, won array<int>, n bigint").groupBy("lost", "won").agg(F.sum("n").alias("n")).orderBy("lost", "won").collect()
+    swaps = [(r.lost, r.won, r.n) for r in changes]  # pairs of terms: their number is bounded by the lists of terms
     held = np.zeros(len(y), bool)
     held[key[3::4]] = True
-    w, b = fit(x.part(~held), y[~held], groups, counterfactual)
+    w, b = fit(x.part(~held), y[~held], swaps, np.searchsorted(vocabulary, protected), counterfactual)
     threshold = best_threshold(1 / (1 + np.exp(-np.clip(x.part(held).dot(w) + b, -40, 40))), y[held])
     return Model(vocabulary, w, b, 0.5 if threshold > 1 else min(max(threshold, MIN_THRESHOLD), 0.9), protected)
 

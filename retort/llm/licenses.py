@@ -3,13 +3,12 @@
 The words of all licence templates make one automaton.  A text streams through
 it and yields matching statistics: at each word the longest run of words ending
 there that occurs in some template, and where.  Maximal runs of ``min_run``
-words or more are matches; matches of one template whose order agrees are
-chained over gaps, and a chain that covers enough of its template (or
+words or more, and whole shorter templates, are matches; matches of one template
+whose order agrees are chained over gaps, and a chain that covers enough of its template (or
 ``long_cover`` words of a long one) is reported as a span.
 
 A word that is in no template resets the automaton, so whole texts are first cut
-in NumPy into runs of template words, and only those of ``min_run`` words or
-more stream through the automaton word by word.
+in NumPy into runs of template words, and only those that may hold a match stream through the automaton word by word.
 """
 
 from __future__ import annotations
@@ -22,37 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as K
+from .license_texts import TEMPLATES
 
 MIN_RUN = 4
 MAX_GAP = 24
 COVER = 0.6
 LONG_COVER = 40
 
-#: (licence, template); one licence may have several.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
-    ("BSD-disclaimer", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES."),
-    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
-    ("Proprietary", "All rights reserved."),
-)
-
 
 def template_words(text: str) -> list[int]:
     data, offsets = K.buffers(pa.array([text]))
@@ -122,21 +97,23 @@ class Automaton:
             out.append((n, v))
         return out
 
-    def matches(self, words: Sequence[int], at: int, least: int) -> Iterator[tuple[int, int, int, int]]:
-        """(template, start in template, start in text, words) of maximal runs of ``least`` words or more."""
+    def matches(self, words: Sequence[int], at: int, least: int, sizes: Sequence[int]) -> Iterator[tuple[int, int, int, int]]:
+        """(template, start in template, start in text, words) of maximal runs of ``least`` words or more, or of a whole template."""
         stats = self.statistics(words)
         for i, (n, v) in enumerate(stats):
-            if n >= least and (i + 1 == len(stats) or stats[i + 1][0] <= n):
+            if i + 1 == len(stats) or stats[i + 1][0] <= n:
                 for s, e in self.ends[v]:
-                    yield s, e - n + 1, at + i - n + 1, n
+                    if n >= min(least, sizes[s]):
+                        yield s, e - n + 1, at + i - n + 1, n
 
 
-def chains(found: list[tuple[int, int, int, int]], sizes: list[int], max_gap: int, cover: float, long_cover: int) -> list[tuple[int, int, int, int]]:
+def chains(found: list[tuple[int, int, int, int]], sizes: Sequence[int], max_gap: int, cover: float, long_cover: int) -> list[tuple[int, int, int, int]]:
     """(template, start, end, words covered) of the best chains of one text, by template.
 
     Per template the chains are taken greedily from the best on: each match adds
     to the best earlier chain that ends before it in text and template, both
-    within ``max_gap`` words.
+    within ``max_gap`` words.  Only matches that begin within a template's length
+    and a gap are looked at, so the work grows with the text, not its square.
     """
     out = []
     by: dict[int, list[tuple[int, int, int]]] = {}
@@ -149,9 +126,9 @@ def chains(found: list[tuple[int, int, int, int]], sizes: list[int], max_gap: in
         for k, (x, t, n) in enumerate(ms):
             own = (n, x, x + n, t + n, (k,))
             for j in range(k - 1, -1, -1):
+                if x - ms[j][0] > max_gap + sizes[s]:
+                    break  # that match and all before it end too far back
                 c, start, end, tend, used = best[j]
-                if x - end > max_gap + sizes[s]:
-                    break
                 lap = max(0, end - x, tend - t)
                 if lap < n and x - end <= max_gap and t - tend <= max_gap and end - x <= lap and c + n - lap > own[0] and x >= start and t + n > tend and x + n > end:
                     own = (c + n - lap, start, x + n, t + n, (*used, k))
@@ -171,12 +148,12 @@ class Scanner:
         self.sizes = [len(w) for w in words]
         self.automaton = Automaton(words)
         self.vocabulary = np.unique(np.array([w for ws in words for w in ws], np.uint64))
-        self.min_run = min(min_run, min(self.sizes))
+        self.min_run, self.shortest = min_run, min([min_run, *self.sizes])
         self.options = (max_gap, cover, long_cover)
 
     def spans(self, words: Sequence[int], runs: list[tuple[int, int]]) -> list[dict]:
         """Licence spans of one text; ``runs`` are its stretches of template words."""
-        found = [m for a, b in runs for m in self.automaton.matches(words[a:b], a, self.min_run)]
+        found = [m for a, b in runs for m in self.automaton.matches(words[a:b], a, self.min_run, self.sizes)]
         best: dict[tuple[str, int, int], dict] = {}
         for s, start, end, covered in chains(found, self.sizes, *self.options):
             row = {"license": self.names[s], "start_word": start, "end_word": end, "covered": covered, "coverage": covered / self.sizes[s]}
@@ -192,6 +169,8 @@ class Scanner:
 
     def scan(self, column: pa.Array) -> list[list[dict]]:
         out: list[list[dict]] = []
+        if not self.names:
+            return [[] for _ in range(len(column))]
         for part in K.slices(pa.record_batch([column], ["text"])):
             data, offsets = K.buffers(part.column("text"))
             start, end, first = K.word_spans(data, offsets, K.ALNUM)
@@ -202,7 +181,7 @@ class Scanner:
             doc = np.repeat(np.arange(part.num_rows), np.diff(first))
             edge = np.flatnonzero(np.r_[True, (known[1:] != known[:-1]) | (doc[1:] != doc[:-1])]) if len(h) else np.zeros(0, np.int64)
             stop = np.r_[edge[1:], len(h)]
-            live = (stop - edge >= self.min_run) & known[edge] if len(edge) else np.zeros(0, bool)
+            live = (stop - edge >= self.shortest) & known[edge] if len(edge) else np.zeros(0, bool)
             runs: dict[int, list[tuple[int, int]]] = {}
             for a, b in zip(edge[live].tolist(), stop[live].tolist(), strict=True):
                 d = int(doc[a])
@@ -230,7 +209,10 @@ def scan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", templat
     Words are runs of ASCII letters, digits and other characters' bytes, without
     case; ``end_word`` is exclusive.  ``covered`` counts matched words and
     ``coverage`` is their share of the template.  Null and empty texts and texts
-    without licence words give nothing; repeated rows repeat their spans; ids may
+    without licence words give nothing, and so does everything if there are no
+    templates; repeated rows repeat their spans; of spans within each other the
+    one that covers most stays, then that of the larger coverage, then the first
+    by name; ids may
     be null; other columns are ignored.  One pass without a shuffle; the
     automaton that is broadcast has the templates' size.
     """

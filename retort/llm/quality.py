@@ -21,10 +21,10 @@ from . import textkernel as K
 
 #: Labelled rows to learn from at most (the first by a hash of their id).
 MAX_LABELLED = 20_000
-MIN_PRECISION = 0.9
-MIN_COVER = 3
-MAX_CONDITIONS = 4
-MAX_RULES = 24
+#: A rule must be this precise, on the rows that judge and on all, and cover so many bad rows.
+MIN_PRECISION, MIN_COVER = 0.9, 3
+#: Size of the model: conditions of a rule and rules of a list at most; no row is left out by it.
+MAX_CONDITIONS, MAX_RULES = 4, 24
 
 STATS = ("n_bytes", "n_words", "word_len", "upper", "symbol", "digit", "bang", "pipe", "stop", "distinct_words", "repeated_5grams", "repeated_lines", "line_words", "symbol_words")
 
@@ -150,9 +150,9 @@ def _best(x: np.ndarray, bad: np.ndarray) -> tuple[float, Condition] | None:
     return best
 
 
-def grow(x: np.ndarray, bad: np.ndarray) -> Rule:
+def grow(x: np.ndarray, bad: np.ndarray, max_conditions: int = MAX_CONDITIONS) -> Rule:
     rule: Rule = ()
-    while len(rule) < MAX_CONDITIONS and (found := _best(x, bad)):
+    while len(rule) < max_conditions and (found := _best(x, bad)):
         rule += (found[1],)
         inside = found[1].holds(x)
         x, bad = x[inside], bad[inside]
@@ -170,19 +170,19 @@ def prune(rule: Rule, x: np.ndarray, bad: np.ndarray) -> Rule:
     return rule[: max(range(1, len(rule) + 1), key=lambda k: (worth(k), -k))] if rule else rule
 
 
-def learn(x: np.ndarray, bad: np.ndarray) -> list[Rule]:
+def learn(x: np.ndarray, bad: np.ndarray, min_precision: float = MIN_PRECISION, min_cover: int = MIN_COVER, max_conditions: int = MAX_CONDITIONS, max_rules: int = MAX_RULES) -> list[Rule]:
     """Ordered rules for the rows in ``bad``; every third row prunes and judges, the others grow."""
     rules: list[Rule] = []
     part = np.arange(len(x)) % 3 == 2
     x, bad, part = x.astype(np.float64), bad.astype(bool), part
-    while len(rules) < MAX_RULES and (bad & ~part).sum() >= MIN_COVER and (~bad).any():
-        rule = prune(grow(x[~part], bad[~part]), x[part], bad[part])
+    while len(rules) < max_rules and (bad & ~part).sum() >= min_cover and (~bad).any():
+        rule = prune(grow(x[~part], bad[~part], max_conditions), x[part], bad[part])
         if not rule:
             break
         c = covers(rule, x)
         p, n = (c & bad & part).sum(), (c & ~bad & part).sum()
         whole_p, whole_n = (c & bad).sum(), (c & ~bad).sum()
-        if whole_p < MIN_COVER or (p + n and p / (p + n) < MIN_PRECISION) or whole_p / (whole_p + whole_n) < MIN_PRECISION:
+        if whole_p < min_cover or (p + n and p / (p + n) < min_precision) or whole_p / (whole_p + whole_n) < min_precision:
             break
         rules.append(rule)
         x, bad, part = x[~c], bad[~c], part[~c]
@@ -200,8 +200,12 @@ def rules_column(rules: list[Rule], stats: str) -> Column:
     return out
 
 
-def learned_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED) -> list[Rule]:
-    """Rules from at most ``max_labelled`` rows of ``labels`` (label 0 is bad); none if a class is absent."""
+def learned_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "quality", max_labelled: int = MAX_LABELLED, **bounds) -> list[Rule]:
+    """Rules from at most ``max_labelled`` rows of ``labels`` (label 0 is bad); none if a class is absent.
+
+    A null id, label or text isn't used; repeated rows count as often as they
+    occur.  ``bounds`` are those of :func:`learn`.
+    """
     sample = labels.select(F.col(doc_id).alias("_id"), F.col(label).alias("_label")).where("_id is not null and _label is not null").orderBy(F.xxhash64("_id"), "_id", "_label").limit(max_labelled)
     met = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("_text")).where("_text is not null").join(F.broadcast(sample), F.col("_doc") == F.col("_id"))
     got = met.select("_id", "_label", stats_column("_text").alias("_s"), F.xxhash64("_text").alias("_hash")).select("_id", "_label", "_hash", "_s.*").toArrow()
@@ -209,7 +213,7 @@ def learned_rules(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id",
     mixed = np.argsort(K.mix(got.column("_id").to_numpy()[order].astype(np.int64).view(np.uint64)), kind="stable")
     order = order[mixed]
     x = np.stack([got.column(s).to_numpy() for s in STATS], 1)[order] if got.num_rows else np.zeros((0, len(STATS)))
-    return learn(x, got.column("_label").to_numpy()[order] == 0 if got.num_rows else np.zeros(0, bool))
+    return learn(x, got.column("_label").to_numpy()[order] == 0 if got.num_rows else np.zeros(0, bool), **bounds)
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -230,7 +234,11 @@ def judged(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text:
 
 
 def kept(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that no rule rejects, columns unchanged."""
+    """The rows of ``docs`` that no rule rejects, columns unchanged.
+
+    Null and empty texts and texts without words go, whatever the rules; repeated
+    rows stay or go together, and ids may repeat or be null.
+    """
     rules = learned_rules(docs, labels, doc_id=doc_id, text=text, **options)
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     rows = docs.select(whole.alias("_row"), stats_column(text).alias("_s"))

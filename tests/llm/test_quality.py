@@ -1,4 +1,8 @@
+import math
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +57,97 @@ def test_edge_rows(edge, empty, spark):
     kept = quality.kept(edge, odd)
     assert kept.columns == edge.columns and kept.where(F.col("text").isNull()).count() == 0
     assert quality.judged(empty, odd).count() == 0 and quality.kept(empty, none).count() == 0
+
+
+def plain_statistics(text):
+    """The statistics of one text by plain Python."""
+    raw = (text or "").encode()
+    words = re.findall(rb"[^\t\n\v\f\r ]+", raw)
+    if not words:
+        return [0.0] * len(quality.STATS)
+    low = [w.lower() for w in words]
+    letters = max(sum(b >= 0xC0 or chr(b).isascii() and chr(b).isalpha() for b in raw), 1)
+    count = lambda cs: sum(b in cs.encode() for b in raw)
+    fresh = lambda x: 1 - len(set(x)) / len(x) if x else 0.0
+    lines = [tuple(re.findall(rb"[^\t\n\v\f\r ]+", line.lower())) for line in raw.split(b"\n")]
+    symbols = "#$%&*+/<=>@[\\]^_`{|}~"
+    return [
+        len(raw), len(words), sum(map(len, words)) / len(words), sum(65 <= b < 91 for b in raw) / letters, count(symbols) / len(raw), count("0123456789") / len(raw), count("!") / len(words), count("|") / len(words),
+        count(".?!") / len(words), 1 - fresh(low), fresh([tuple(low[i : i + 5]) for i in range(len(low) - 4)]), fresh([x for x in lines if x]), len(words) / len(lines), sum(any(b in symbols.encode() for b in w) for w in words) / len(words),
+    ]
+
+
+def plain_best(rows):
+    """(gain, stat, at_least, bound) of the largest gain, by trying every threshold on every row."""
+    p0, n0 = sum(b for _, b in rows), sum(not b for _, b in rows)
+    best = None
+    for k in range(len(quality.STATS)) if p0 and n0 else ():
+        values = sorted({x[k] for x, _ in rows})
+        for at_least in (False, True):
+            here = None
+            for a, b in zip(values, values[1:]):
+                inside = [bad for x, bad in rows if (x[k] > a) == at_least]
+                p = sum(inside)
+                gain = p * (math.log2(p / len(inside)) - math.log2(p0 / (p0 + n0))) if p else -1.0
+                if here is None or gain > here[0] + 1e-12:
+                    here = (gain, k, at_least, (a + b) / 2)
+            if here and here[0] > 1e-9 and (best is None or here[0] > best[0] + 1e-12):
+                best = here
+    return best
+
+
+def plain_learn(rows, max_conditions=4, max_rules=24):
+    rows = [(x, b, i % 3 == 2) for i, (x, b) in enumerate(rows)]
+    holds = lambda rule, x: all((x[k] >= t) if up else (x[k] <= t) for k, up, t in rule)
+    rules = []
+    while len(rules) < max_rules and sum(b and not p for _, b, p in rows) >= 3 and any(not b for _, b, _ in rows):
+        left, rule = [(x, b) for x, b, p in rows if not p], []
+        while len(rule) < max_conditions and (found := plain_best(left)):
+            rule.append(found[1:])
+            left = [r for r in left if holds(rule[-1:], r[0])]
+        worth = []
+        for size in range(1, len(rule) + 1):
+            c = [b for x, b, p in rows if p and holds(rule[:size], x)]
+            worth.append((2 * sum(c) - len(c)) / len(c) if c else -1.0)
+        rule = rule[: worth.index(max(worth)) + 1] if rule else rule
+        if not rule:
+            break
+        judge, whole = [b for x, b, p in rows if p and holds(rule, x)], [b for x, b, _ in rows if holds(rule, x)]
+        if sum(whole) < 3 or judge and sum(judge) < 0.9 * len(judge) or sum(whole) < 0.9 * len(whole):
+            break
+        rules.append(rule)
+        rows = [r for r in rows if not holds(rule, r[0])]
+    return rules
+
+
+def as_plain(rules):
+    return [[(quality.STATS.index(c.stat), c.at_least, round(c.bound, 9)) for c in r] for r in rules]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_learner_equals_plain_loops(seed):
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.random((150, len(quality.STATS))), 1)  # many ties
+    bad = (x[:, 2] >= 0.7) & (x[:, 4] <= 0.5) | (x[:, 9] >= 0.9) | (rng.random(150) < 0.02)
+    got = as_plain(quality.learn(x, bad))
+    assert got == [[(k, up, round(t, 9)) for k, up, t in r] for r in plain_learn([(r.tolist(), bool(b)) for r, b in zip(x, bad, strict=True)])]
+    assert all(len(r) == 1 for r in quality.learn(x, bad, max_conditions=1)) and len(quality.learn(x, bad, max_rules=1)) <= 1
+
+
+def test_registered_query_equals_plain_loops(spark, sf, edge):
+    """Statistics, rules and verdicts of all documents by plain Python; only the order of the labelled rows is taken from Spark."""
+    from retort.llm import textkernel as K
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    stats = {d: plain_statistics(t) for d, t in texts.items()}
+    learn = [(d, q) for d, q in {(r.doc_id, r.quality) for r in labels.collect()} if d in texts]
+    learn.sort(key=lambda r: int(K.mix(np.array([r[0]], np.uint64))[0]))
+    rules = plain_learn([(stats[d], q == 0) for d, q in learn])
+    got = {r.doc_id: r.rule for r in quality.judged(docs, labels).collect()}
+    assert as_plain(quality.learned_rules(docs, labels)) == [[(k, up, round(t, 9)) for k, up, t in r] for r in rules] and rules
+    for d, x in stats.items():
+        first = next((i for i, r in enumerate(rules, 1) if all((x[k] >= t) if up else (x[k] <= t) for k, up, t in r)), 0)
+        assert got[d] == (first if x[1] else -1), d
+    for t, row in zip([r.text for r in edge.collect()], quality.statistics(pa.array([r.text for r in edge.collect()])), strict=True):
+        assert row.tolist() == pytest.approx(plain_statistics(t))

@@ -12,10 +12,14 @@ bits, the whole would differ in more than ``tau``.  The thresholds are unequal.
 A dynamic programme picks them (and the number of partitions) to minimise the
 work, which it knows from a histogram of each partition over all signatures: a
 Walsh-Hadamard transform of the histogram gives the number of pairs at every
-distance.  A signature is posted under each of its partition's values with
+distance; each transform runs in a task, so the driver gets only its result.  A
+signature is posted under each of its partition's values with
 ``t_i`` bits masked, so two values within ``t_i`` bits meet under one key at
-least; posts are shuffled by key, and pairs under one key are verified in NumPy.
-The search is exact: every pair within both bounds is linked.
+least; posts are shuffled and sorted by key, and pairs under one key stream to
+NumPy and are verified there.  A key with more rows than one task should compare
+is counted and passed over; its rows are then dealt to blocks, and each pair of
+blocks is a task's work.  The search is exact: every pair within both bounds is
+linked, directly or through other links.
 """
 
 from __future__ import annotations
@@ -35,9 +39,11 @@ from .storage import written
 
 TAU = 9
 TAU_PAIRS = 18
-PARTITIONS = (4, 5, 6, 7, 8)
+PARTITIONS = (3, 4, 5, 6, 7, 8)
 #: Measured CPU seconds to post, shuffle and sort one row, and to compare one pair.
 ROW_COST, PAIR_COST = 5e-6, 5e-9
+#: Rows under one key that a task compares; the pairs of a key with more are spread over tasks by blocks of rows.
+RUN = 1 << 17
 _PIECE = 60_000
 _NIBBLE = np.array([sum(((x >> b) & 1) << (16 * b) for b in range(4)) for x in range(16)], np.uint64)
 U64 = np.uint64
@@ -180,6 +186,29 @@ def pairs_by_distance(hist: np.ndarray) -> np.ndarray:
     return np.bincount(np.bitwise_count(np.arange(size)), weights=by_xor)
 
 
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, distance, pairs) from the counts by value of whole parts, one after another."""
+    now, hist = None, np.zeros(0)
+
+    def done() -> pa.RecordBatch:
+        pairs = pairs_by_distance(hist)
+        return pa.record_batch([pa.array(np.full(len(pairs), now)), pa.array(np.arange(len(pairs))), pa.array(pairs)], ["part", "distance", "pairs"])
+
+    for batch in batches:
+        part, value, n = (batch.column(c).to_numpy() for c in ("part", "value", "n"))
+        edge = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+        for a, b in zip(edge, [*edge[1:], len(part)], strict=True):
+            if part[a] != now:
+                if now is not None:
+                    yield done()
+                now = int(part[a])
+                lo, hi = cuts(now // 100)[now % 100]
+                hist = np.zeros(1 << (hi - lo))
+            hist[value[a:b]] += n[a:b]
+    if now is not None:
+        yield done()
+
+
 def allocate(tables: list[np.ndarray], n: int, tau: int) -> tuple[float, list[int]]:
     """Least-cost thresholds with ``sum(t + 1) = tau + 1``; tables: pairs by distance of each partition."""
     best: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
@@ -204,17 +233,15 @@ def plan(nodes: DataFrame, tau: int) -> list[tuple[list[int], int]]:
         both[pos] = n
     n = nodes.count()
     order = bit_order(both.reshape(64, 64), n)
-    rows = nodes.select("sig").mapInArrow(_histogrammer(order), "part bigint, value bigint, n bigint").groupBy("part", "value").agg(F.sum("n").alias("n")).toArrow()
-    part, value, count = (rows.column(c).to_numpy() for c in ("part", "value", "n"))
+    counts = nodes.select("sig").mapInArrow(_histogrammer(order), "part bigint, value bigint, n bigint").groupBy("part", "value").agg(F.sum("n").alias("n"))
+    rows = counts.repartition("part").sortWithinPartitions("part").mapInArrow(_distances, "part bigint, distance bigint, pairs double").collect()  # at most 23 for each of some 30 parts
+    tables: dict[int, dict[int, float]] = {}
+    for part, distance, pairs in rows:
+        tables.setdefault(part, {})[distance] = pairs
     found = []
     for m in PARTITIONS:
-        tables = []
-        for i, (a, b) in enumerate(cuts(m)):
-            hist = np.zeros(1 << (b - a))
-            own = part == 100 * m + i
-            hist[value[own]] = count[own]
-            tables.append(pairs_by_distance(hist))
-        cost, thresholds = allocate(tables, n, tau)
+        own = [np.array([pairs for _, pairs in sorted(tables[100 * m + i].items())]) if 100 * m + i in tables else np.zeros(hi - lo + 1) for i, (lo, hi) in enumerate(cuts(m))]
+        cost, thresholds = allocate(own, n, tau)
         found.append((cost, [(order[a:b], t) for (a, b), t in zip(cuts(m), thresholds, strict=True) if t >= 0]))
     return min(found, key=lambda x: x[0])[1]
 
@@ -249,7 +276,7 @@ def forest(u: np.ndarray, v: np.ndarray, nodes: int) -> np.ndarray:
             return label
 
 
-def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int, run: int = 1024, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int, run: int = 1024, block: int = 256, width: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect all rows with equal keys within both bounds; rows are sorted by key.
 
     Runs of up to ``run`` rows are compared pair by pair.  In a longer run the
@@ -263,10 +290,15 @@ def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int
     size = np.diff(np.r_[begin, n])
 
     def near(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions in ``a`` and ``b`` of close pairs, all of ``a`` against all of ``b``."""
-        i, j = np.nonzero(np.bitwise_count(sig[a][:, None] ^ sig[b][None, :]) <= tau)
-        ok = np.bitwise_count(sig2[a[i]] ^ sig2[b[j]]) <= tau2
-        return i[ok], j[ok]
+        """Positions in ``a`` and ``b`` of close pairs, all of ``a`` against all of ``b``, ``width`` of these at once."""
+        left, right = [], []
+        for at in range(0, len(b), width):
+            c = b[at : at + width]
+            i, j = np.nonzero(np.bitwise_count(sig[a][:, None] ^ sig[c][None, :]) <= tau)
+            ok = np.bitwise_count(sig2[a[i]] ^ sig2[c[j]]) <= tau2
+            left.append(i[ok])
+            right.append(j[ok] + at)
+        return np.concatenate(left), np.concatenate(right)
 
     rows = np.flatnonzero(np.repeat((size > 1) & (size <= run), size))
     last = np.repeat(begin + size, size)
@@ -303,27 +335,85 @@ def link(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray, tau: int, tau2: int
     return cat(us), cat(vs)
 
 
-def _linker(tau: int, tau2: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        key, sig, sig2 = (np.concatenate([b.column(c).to_numpy(zero_copy_only=False) for b in held]) for c in ("key", "sig", "sig2"))
-        order = np.argsort(key)
-        sig, sig2 = sig[order].view(U64), sig2[order].view(U64)
+LINKS = "u bigint, v bigint, n bigint"
+
+
+def _linker(tau: int, tau2: int, most: int | None, piece: int = 1 << 16):
+    """(u, v, null) for edges among rows with one key, (key, null, rows) for keys of more than ``most`` rows; rows come sorted by key."""
+
+    def edges(key: np.ndarray, sig: np.ndarray, sig2: np.ndarray) -> Iterator[pa.RecordBatch]:
         node = node_ids(sig, sig2)
-        u, v = link(key[order], sig, sig2, tau, tau2)
-        if not len(u):
-            return
-        names, place = np.unique(np.concatenate([node[u], node[v]]), return_inverse=True)
-        label = forest(place[: len(u)], place[len(u) :], len(names))
-        own = label != np.arange(len(names))
-        yield pa.record_batch([pa.array(names[own]), pa.array(names[label[own]])], ["u", "v"])
+        u, v = link(key, sig, sig2, tau, tau2)
+        if len(u):
+            names, place = np.unique(np.concatenate([node[u], node[v]]), return_inverse=True)
+            label = forest(place[: len(u)], place[len(u) :], len(names))
+            own = label != np.arange(len(names))
+            yield pa.record_batch([pa.array(names[own]), pa.array(names[label[own]]), pa.nulls(int(own.sum()), pa.int64())], ["u", "v", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        rows, large = 0, None  # large: a key passed over and its rows so far
+
+        def too_large() -> pa.RecordBatch:
+            return pa.record_batch([pa.array([large[0]], pa.int64()), pa.nulls(1, pa.int64()), pa.array([large[1]], pa.int64())], ["u", "v", "n"])
+
+        def work(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, rows, large
+            key, sig, sig2 = (np.concatenate([h[k] for h in held]) for k in range(3))
+            if large is not None:
+                skip = int(np.searchsorted(key, large[0], "right"))
+                large = (large[0], large[1] + skip)
+                key, sig, sig2 = key[skip:], sig[skip:], sig2[skip:]
+                if len(key) or last:
+                    yield too_large()
+                    large = None
+            begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+            size = np.diff(np.r_[begin, len(key)])
+            whole = len(key) if last or not len(key) else int(begin[-1])
+            if most is not None:
+                keep = np.repeat(size <= most, size)
+                for b, s in zip(begin[size > most].tolist(), size[size > most].tolist(), strict=True):
+                    large = (int(key[b]), s)
+                    if b < whole:
+                        yield too_large()
+                        large = None
+                rest = keep[whole:]
+                yield from edges(key[:whole][keep[:whole]], sig[:whole][keep[:whole]], sig2[:whole][keep[:whole]])
+                held = [(key[whole:][rest], sig[whole:][rest], sig2[whole:][rest])]
+            else:
+                yield from edges(key[:whole], sig[:whole], sig2[:whole])
+                held = [(key[whole:], sig[whole:], sig2[whole:])]
+            rows = 0
+
+        for b in batches:
+            if b.num_rows:
+                key, sig, sig2 = (b.column(c).to_numpy(zero_copy_only=False) for c in ("key", "sig", "sig2"))
+                held.append((key, sig.view(U64), sig2.view(U64)))
+                rows += len(key)
+                if rows >= piece:
+                    yield from work(False)
+        if held:
+            yield from work(True)
 
     return run
 
 
-def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, tau_pairs: int = TAU_PAIRS) -> DataFrame:
+def linked(nodes: DataFrame, parts: list[tuple[list[int], int]], tau: int, tau_pairs: int, most: int = RUN) -> DataFrame:
+    """(u, v): edges that connect all nodes within both bounds."""
+    posts = nodes.mapInArrow(_poster(parts), "key bigint, sig bigint, sig2 bigint")
+    found = written(posts.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_linker(tau, tau_pairs, most), LINKS), "links")
+    edges = found.where("v is not null").select("u", "v")
+    large = found.where("v is null").select(F.col("u").alias("_key"), F.ceil(F.col("n") * 3 / F.lit(most)).cast("int").alias("blocks"))
+    if large.isEmpty():
+        return edges
+    dealt = posts.join(large, F.col("key") == F.col("_key")).withColumn("b", F.pmod(F.xxhash64("sig", "sig2"), F.col("blocks")).cast("int"))
+    pairs = dealt.select("key", "sig", "sig2", "b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    pairs = pairs.select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "sig", "sig2")
+    more = pairs.repartition(F.col("key")).sortWithinPartitions("key").mapInArrow(_linker(tau, tau_pairs, None), LINKS)
+    return edges.unionAll(more.select("u", "v"))
+
+
+def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau: int = TAU, tau_pairs: int = TAU_PAIRS, most: int = RUN) -> DataFrame:
     """(doc_id, text_hash, group_id, group_size, kept) for every row of ``docs``.
 
     A group is a connected component of near-duplicate rows; ``group_id`` is its
@@ -336,9 +426,7 @@ def groups(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tau:
     rows = written(rows.select("doc_id", "text_hash", "s.*"), "signatures")
     nodes = written(rows.where("node is not null").select("sig", "sig2").distinct(), "nodes")
     parts = plan(nodes, tau)
-    posts = nodes.mapInArrow(_poster(parts), "key bigint, sig bigint, sig2 bigint")
-    edges = posts.repartition(F.col("key")).mapInArrow(_linker(tau, tau_pairs), "u bigint, v bigint")
-    roots = components(edges)
+    roots = components(linked(nodes, parts, tau, tau_pairs, most))
     lone = rows.where("node is null").select("doc_id", "text_hash", F.col("doc_id").alias("group_id"), F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
     rooted = rows.where("node is not null").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     firsts = rooted.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("least"), F.count("*").alias("group_size"))
@@ -356,6 +444,8 @@ def deduplicated(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     """``docs`` with one row of each group; columns unchanged.
 
     Of rows that agree in doc_id and text one stays, whatever their other columns.
+    Texts without a word (null and empty ones too) are groups of their own, but
+    of those that agree in doc_id one stays as well.
     """
     found = groups(docs, doc_id=doc_id, text=text, **options)
     alone = found.where("kept and group_size = 1").select("doc_id", "text_hash")

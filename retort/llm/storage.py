@@ -29,8 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again.
 
-    The files go when the JVM ends.  A lost executor costs nothing: no task of a
-    later stage depends on the tasks that wrote them.
+    The files go when the JVM ends, or with :func:`discard`.  A lost executor
+    costs nothing: no task of a later stage depends on the tasks that wrote them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -39,7 +39,16 @@ def written(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Dat
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table from :func:`written` that no plan still to be run reads."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -57,7 +57,7 @@ def test_link_connects_what_brute_force_connects(run, block):
     sig = np.array([flip(centre[rng.integers(6)], int(rng.integers(0, 7))) for _ in range(300)])
     sig2 = np.array([flip(centre[0], int(rng.integers(0, 12))) for _ in range(300)])
     key = np.sort(rng.integers(0, 3, 300))
-    u, v = S.link(key, sig, sig2, 6, 16, run, block)
+    u, v = S.link(key, sig, sig2, 6, 16, run, block, 3 * block)
     i, j = np.nonzero((key[:, None] == key[None]) & (np.bitwise_count(sig[:, None] ^ sig[None]) <= 6) & (np.bitwise_count(sig2[:, None] ^ sig2[None]) <= 16))
     assert np.array_equal(S.forest(u, v, 300), S.forest(i, j, 300))
 
@@ -76,6 +76,51 @@ def test_groups_equal_brute_force(spark, sf):
     assert sum(r.kept for r in got) == len(set(want.values())) == S.deduplicated(docs).count()
 
 
+@pytest.mark.parametrize("most,piece,batch", [(4, 1, 1), (4, 7, 5), (20, 50, 3), (1000, 64, 40), (None, 16, 9)])
+def test_keys_of_any_size_stream(most, piece, batch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(batch)
+    key = np.sort(np.concatenate([np.repeat(rng.integers(-9, 9, 8), rng.integers(1, 40, 8)), rng.integers(-1 << 60, 1 << 60, 20)]))
+    sig = rng.integers(0, 1 << 3, len(key)).view(np.uint64)
+    whole = pa.record_batch([pa.array(key), pa.array(sig.view(np.int64)), pa.array(sig.view(np.int64) * 5)], ["key", "sig", "sig2"])
+    out = [r for b in S._linker(1, 64, most, piece)(whole.slice(k, batch) for k in range(0, len(key), batch)) for r in b.to_pylist()]
+    names, count = np.unique(key, return_counts=True)
+    assert sorted((r["u"], r["n"]) for r in out if r["v"] is None) == [(int(k), int(c)) for k, c in zip(names, count, strict=True) if most and c > most]
+    small = np.isin(key, names[count <= most]) if most else np.ones(len(key), bool)
+    i, j = np.nonzero((key[:, None] == key[None]) & small[:, None] & (np.bitwise_count(sig[:, None] ^ sig[None]) <= 1))
+    node = S.node_ids(sig, (sig.view(np.int64) * 5).view(np.uint64))
+    at = {n: k for k, n in enumerate(dict.fromkeys(node.tolist()))}
+    where = np.array([at[n] for n in node.tolist()])
+    edges = [(at[r["u"]], at[r["v"]]) for r in out if r["v"] is not None]
+    u, v = np.array(edges, np.int64).reshape(-1, 2).T
+    assert np.array_equal(S.forest(u, v, len(at)), S.forest(where[i], where[j], len(at)))
+
+
+def test_large_keys_are_dealt_to_blocks(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r.group_id for r in S.near_duplicates(docs).collect()}
+    for most in (2, 6):
+        assert {r.doc_id: r.group_id for r in S.near_duplicates(docs, most=most).collect()} == want
+
+
+def test_distances_of_all_parts_equal_their_transforms():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    rows, want = [], {}
+    for part in (403, 400, 805):
+        lo, hi = S.cuts(part // 100)[part % 100]
+        hist = np.zeros(1 << (hi - lo))
+        for value in rng.integers(0, len(hist), 30).tolist():
+            rows.append((part, value, 2))
+            hist[value] += 2
+        want[part] = S.pairs_by_distance(hist)
+    whole = pa.record_batch([pa.array(list(x)) for x in zip(*rows, strict=True)], ["part", "value", "n"])
+    out = [r for b in S._distances(whole.slice(k, 7) for k in range(0, len(rows), 7)) for r in b.to_pylist()]
+    assert {k: [r["pairs"] for r in out if r["part"] == k] for k in want} == {k: pytest.approx(x) for k, x in want.items()}
+
+
 def test_copies_are_found_and_others_left(spark):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice(["an", "re", "ti", "on", "es", "ha"]) for _ in range(rng.randint(1, 4)))

@@ -44,7 +44,8 @@ def normalised(text: Column | str) -> Column:
     """Blank, words in lower case parted by one blank, blank; null stays null."""
     text = F.col(text) if isinstance(text, str) else text
     apart = F.regexp_replace(text, "([" + "".join(rf"\p{{Is{x}}}" for x in UNSPACED) + "])", " $1 ")
-    text = F.when(F.octet_length(text) == F.length(text), text).otherwise(apart)
+    few = (F.octet_length(text) == F.length(text)) | ~text.rlike(r"[\x{0E00}-\x{10FFFF}]")  # no such script: its replacement is costly
+    text = F.when(few, text).otherwise(apart)
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
 

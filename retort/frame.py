@@ -1,7 +1,8 @@
 """EntityFrame: one immutable DataFrame of objects, metadata and features.
 
-Rows are addressed by the position column ``_pos``; the object column holds a
-SMILES text, a struct or any other value; features are ``f__<name>`` array
+Rows are ordered by the position column ``_pos`` and addressed by their number
+in that order, 0 to n - 1, whatever positions a filter or slice has left; the
+object column holds a SMILES text, a struct or any other value; features are ``f__<name>`` array
 columns; every other column is metadata.  Every operation returns a new frame
 whose plan extends the old one, and appends to an audit history.  Methods name
 the operator they implement in brackets.
@@ -22,7 +23,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .index import POS, RowSelection
+from .index import POS, Layout, RowSelection
+from .storage import scratch
 
 OBJECT = "object"
 PREFIX = "f__"
@@ -58,35 +60,45 @@ def feature_column(name: str) -> str:
     return PREFIX + name
 
 
-def dense(df: DataFrame, *order: Column) -> DataFrame:
-    """``df`` with ``_pos`` renumbered 0 .. n-1 in ``order`` (by default the old ``_pos``).
+def ranked(df: DataFrame, *order: Column, name: str = "_rank") -> DataFrame:
+    """``df`` with the number of each row, 0 .. n-1, in ``order`` (by default of ``_pos``) as the column ``name``.
 
-    Quantiles of a sample cut the order into ranges by value, so that both passes
-    (counts of the ranges, then numbers within them) agree whatever tasks are
-    repeated.  Only the counts, one row for each range, come to the driver, and
-    no task holds more than a range.  Rows equal in ``order`` come in any order.
+    Rows are cut into ranges once, sorted and written to the shared folder with
+    their number in the range; only the counts of the ranges, one row each, come
+    to the driver.  No task holds more than a range, the plan above runs once
+    (but for Spark's sample of the order), and repeated tasks agree.  Rows equal
+    in ``order`` come in any order.
     """
-    order = order or (F.col(POS),)
-    keyed = df.withColumn("_key", F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-    ranges = min(256, max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    sample = keyed.select("_key").orderBy(F.xxhash64("_key")).limit(32 * ranges)
-    picked = sample.agg(F.array_sort(F.collect_list("_key")).alias("s"))
-    step = F.greatest(F.size("s") / F.lit(ranges), F.lit(1.0))
-    edges = F.transform(F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.get("s", F.floor(i * step).cast("int")))
-    bounds = F.broadcast(picked.select(F.filter(edges, lambda e: e.isNotNull()).alias("_edges")))
-    placed = keyed.crossJoin(bounds).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("_key")))).drop("_edges")
+    spark, order = df.sparkSession, order or (F.col(POS),)
+    place = F.monotonically_increasing_id()  # partition and row in it, of the sorted rows
+    path = scratch(spark, "ranked")
+    parts = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place)
+    parts.write.option("compression", "zstd").parquet(path)
+    stored = spark.read.schema(parts.schema).parquet(path).withColumn("_part", F.shiftright("_place", 33))
     base, total = [], 0
-    for r, n in sorted((r[0], r[1]) for r in placed.groupBy("_range").count().collect()):
-        base.append((r, total))
+    for part, n in sorted((r[0], r[1]) for r in stored.groupBy("_part").count().collect()):
+        base.append((part, total))
         total += n
-    bases = F.broadcast(df.sparkSession.createDataFrame(base, "_range int, _base bigint"))
-    number = F.row_number().over(W.partitionBy("_range").orderBy("_key")) - 1
-    others = [F.col(f"`{c}`") for c in df.columns if c != POS]
-    return placed.withColumn("_number", number).join(bases, "_range").select((F.col("_base") + F.col("_number")).alias(POS), *others)
+    bases = F.broadcast(spark.createDataFrame(base, "_part bigint, _base bigint"))  # a row for each range
+    number = F.col("_base") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return stored.join(bases, "_part").select(*[F.col(f"`{c}`") for c in df.columns if c != name], number.alias(name))
+
+
+def dense(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``_pos`` renumbered 0 .. n-1 in ``order`` (by default the old ``_pos``); see :func:`ranked`."""
+    out = ranked(df, *order)
+    return out.select(F.col("_rank").alias(POS), *[F.col(f"`{c}`") for c in df.columns if c != POS])
 
 
 class EntityFrame:
-    def __init__(self, df: DataFrame, kind: str = "entity", history: Sequence[HistoryEntry] = (), read_only: bool = False):
+    """An immutable table; ``layout`` says that positions are an arithmetic progression, where that is known.
+
+    Where it isn't, the first use of row numbers looks: one aggregate over the
+    positions, and a renumbering if they have gaps.  Positions that repeat can't
+    be addressed and are an error then.
+    """
+
+    def __init__(self, df: DataFrame, kind: str = "entity", history: Sequence[HistoryEntry] = (), read_only: bool = False, layout: Layout | None = None):
         if kind not in KINDS:
             raise ValueError(f"unknown kind {kind!r}")
         if POS not in df.columns:
@@ -94,6 +106,7 @@ class EntityFrame:
         if OBJECT not in df.columns:
             df = df.withColumn(OBJECT, F.lit(None).cast("string"))
         self.df, self.kind, self.history, self.read_only = df, kind, tuple(history), read_only
+        self._layout, self._ranked = layout, None
 
     # -- construction ------------------------------------------------------
 
@@ -106,6 +119,7 @@ class EntityFrame:
         else:
             keys = [order] if isinstance(order, str) else list(order)
             out = dense(df.withColumn(POS, F.lit(0).cast("bigint")), *[F.col(k) for k in keys])
+            return cls(out.withColumnsRenamed(names), kind, layout=Layout())
         return cls(out.withColumnsRenamed(names), kind)
 
     @classmethod
@@ -131,10 +145,41 @@ class EntityFrame:
                 kind_ = T.ArrayType(kind_)
             fields.append(T.StructField(feature_column(k), kind_, metadata={"dtype": str(a.dtype), "shape": list(a.shape[1:])}))
         rows = [tuple(_plain(v) for v in r) for r in data.itertuples(index=False)]
-        return cls(spark.createDataFrame(rows, T.StructType(fields)), kind)
+        return cls(spark.createDataFrame(rows, T.StructType(fields)), kind, layout=Layout(n=n))
 
-    def _new(self, df: DataFrame, entry: HistoryEntry | None = None, kind: str | None = None, read_only: bool | None = None) -> EntityFrame:
-        return EntityFrame(df, kind or self.kind, self.history + ((entry,) if entry else ()), self.read_only if read_only is None else read_only)
+    def _new(self, df: DataFrame, entry: HistoryEntry | None = None, kind: str | None = None, read_only: bool | None = None, layout: Layout | None = None) -> EntityFrame:
+        return EntityFrame(df, kind or self.kind, self.history + ((entry,) if entry else ()), self.read_only if read_only is None else read_only, layout)
+
+    def _same_rows(self, df: DataFrame, entry: HistoryEntry | None = None, read_only: bool | None = None) -> EntityFrame:
+        """A frame with these rows at these positions and other columns; a column ``_rank`` is what is known of their numbers."""
+        out = self._new(df.drop("_rank"), entry, read_only=read_only, layout=self._layout)
+        if "_rank" in df.columns:
+            out._ranked = df
+        return out
+
+    # -- row numbers -------------------------------------------------------
+
+    def _numbered(self) -> tuple[DataFrame, Column]:
+        """The frame's plan (with a column ``_rank`` if positions have gaps) and the number of each row."""
+        if self._layout is None and self._ranked is None:
+            self._look()
+        return (self.df, self._layout.number()) if self._layout is not None else (self._ranked, F.col("_rank"))
+
+    def _look(self) -> None:
+        """Whether positions are ``start``, ``start + 1``, ...: by count, ends and a sum of hashes, without a shuffle."""
+        total = F.sum(F.xxhash64(POS).cast("decimal(38,0)"))
+        n, low, high, mark = self.df.agg(F.count("*"), F.min(POS), F.max(POS), total).first()
+        nulls = self.df.where(F.col(POS).isNull()).limit(1).count() if n else 0
+        if nulls:
+            raise ValueError("a position is null")
+        if not n:
+            self._layout = Layout(n=0)
+        elif high - low + 1 == n and self.spark.range(low, high + 1).withColumnRenamed("id", POS).agg(total).first()[0] == mark:
+            self._layout = Layout(low, 1, n)
+        else:
+            if self.df.groupBy(POS).count().where("count > 1").limit(1).count():
+                raise ValueError("positions repeat, so rows can't be addressed by number")
+            self._ranked = ranked(self.df)
 
     # -- catalog [C15] -----------------------------------------------------
 
@@ -154,16 +199,29 @@ class EntityFrame:
         return feature_column(feature) in self.df.columns
 
     def feature_shape(self, name: str) -> tuple[int, ...]:
-        """(rows, width, ...); width from the schema, else from one row."""
+        """(rows, width, ...)."""
+        return (self.count(), *self._inner_shape(name))
+
+    def feature_width(self, name: str) -> int:
+        return self._inner_shape(name)[0]
+
+    def _inner_shape(self, name: str) -> list[int]:
+        """From the schema, else the width of one row; 0 if there is none."""
         self._need_feature(name)
-        shape = self.df.schema[feature_column(name)].metadata.get("shape")
-        if not shape:
-            row = self.df.where(F.col(f"`{feature_column(name)}`").isNotNull()).select(F.size(f"`{feature_column(name)}`")).first()
-            shape = [row[0] if row else 0]
-        return (self.count(), *shape)
+        c = feature_column(name)
+        shape = self.df.schema[c].metadata.get("shape")
+        if shape:
+            return list(shape)
+        row = self.df.where(F.col(f"`{c}`").isNotNull()).select(F.size(f"`{c}`")).first()
+        return [row[0] if row else 0]
 
     def count(self) -> int:
-        return self.df.count()
+        """Number of rows, counted once."""
+        if self._layout is not None and self._layout.n is not None:
+            return self._layout.n
+        if getattr(self, "_count", None) is None:
+            self._count = self.df.count()
+        return self._count
 
     def __len__(self) -> int:
         return self.count()
@@ -190,10 +248,20 @@ class EntityFrame:
     def select_rows(self, rows: Any = None) -> RowSelection:
         return RowSelection.from_raw(rows, self.count() if RowSelection.needs_count(rows) else None)
 
+    def _chosen(self, chosen: RowSelection, *columns: Column) -> DataFrame:
+        """The selected rows with the given columns (by default all)."""
+        columns = columns or tuple(F.col(f"`{c}`") for c in self.df.columns if c != POS)
+        if chosen.kind in ("all", "where"):
+            return chosen.apply(self.df).select(POS, *columns)
+        df, number = self._numbered()
+        if chosen.kind == "range" and not chosen.renumbers and self._layout is not None:
+            return df.where(chosen.within(self._layout)).select(POS, *columns)
+        return chosen.apply(df, number).select(POS, *columns)
+
     def metadata(self, rows: Any = None, cols: str | Sequence[str] | None = None) -> DataFrame:
         cols = self.metadata_columns if cols is None else [cols] if isinstance(cols, str) else list(cols)
         self._need_metadata(*cols)
-        return self.select_rows(rows).apply(self.df.select(POS, *[F.col(f"`{c}`") for c in cols]))
+        return self._chosen(self.select_rows(rows), *[F.col(f"`{c}`") for c in cols]) if cols else self._chosen(self.select_rows(rows)).select(POS)
 
     def feature(self, name: str, rows: Any = None) -> DataFrame:
         return self.features(name, rows)
@@ -201,12 +269,14 @@ class EntityFrame:
     def features(self, names: str | Sequence[str] | None = None, rows: Any = None) -> DataFrame:
         names = self.feature_names if names is None else [names] if isinstance(names, str) else list(names)
         self._need_feature(*names)
-        return self.select_rows(rows).apply(self.df.select(POS, *[F.col(f"`{feature_column(n)}`").alias(n) for n in names]))
+        if not names:
+            return self._chosen(self.select_rows(rows)).select(POS)
+        return self._chosen(self.select_rows(rows), *[F.col(f"`{feature_column(n)}`").alias(n) for n in names])
 
     def objects(self, rows: Any = None) -> Any:
         """The object column; of a single position the object itself."""
         chosen = self.select_rows(rows)
-        out = chosen.apply(self.df.select(POS, OBJECT))
+        out = self._chosen(chosen, F.col(OBJECT))
         return out.first()[1] if chosen.is_scalar else out
 
     def __getitem__(self, key: Any) -> Any:
@@ -229,10 +299,24 @@ class EntityFrame:
         return self.features(args[0], args[1] if len(args) > 1 else None)
 
     def subset(self, rows: Any) -> EntityFrame:
-        """Rows by integer, slice, list, mask or predicate [C9, G2]; positions are renumbered only for lists."""
+        """Rows by number, slice, list, mask or predicate [C9, G2].
+
+        A forward slice or predicate keeps positions, so that edits can be written
+        back to where the rows came from; a list, mask or backward slice numbers
+        them anew.
+        """
         chosen = self.select_rows(rows)
         extra = {"n_indices": chosen.count} if chosen.kind == "take" else {}
-        return self._new(chosen.apply(self.df), HistoryEntry.now("subset", extra, **extra))
+        layout = None
+        if chosen.kind == "all":
+            layout = self._layout
+        elif chosen.renumbers:
+            layout = Layout(n=chosen.count)
+        elif chosen.kind == "range":
+            self._numbered()
+            start, stop, step = chosen.bounds
+            layout = self._layout and self._layout.part(start, None if stop < 0 else stop, step)
+        return self._new(self._chosen(chosen), HistoryEntry.now("subset", extra, **extra), layout=layout)
 
     def where(self, predicate: Column) -> EntityFrame:
         """Rows where ``predicate`` is true; null counts as false [C10]."""
@@ -251,7 +335,7 @@ class EntityFrame:
             if not 0 <= a <= b:
                 raise ValueError("a slice must be 0 <= start <= stop")
         columns = [F.slice(f"`{feature_column(n)}`", cut[n][0] + 1, cut[n][1] - cut[n][0]).alias(feature_column(n)) if n in cut else F.col(f"`{feature_column(n)}`") for n in features]
-        return self._new(self.df.select(POS, OBJECT, *[F.col(f"`{c}`") for c in meta_cols], *columns), read_only=self.read_only or bool(cut))
+        return self._same_rows(self.df.select(POS, OBJECT, *[F.col(f"`{c}`") for c in meta_cols], *columns), read_only=self.read_only or bool(cut))
 
     def valid_mask(self) -> Column:
         """Objects that are there and, for molecules, have an atom [C12]."""
@@ -264,25 +348,32 @@ class EntityFrame:
     def drop_invalid(self) -> EntityFrame:
         return self._new(self.df.where(self.valid_mask()), HistoryEntry.now("drop_invalid"))
 
-    def valid_objects(self) -> DataFrame:
-        """Non-null objects [C14]."""
-        return self.df.where(F.col(OBJECT).isNotNull()).select(POS, OBJECT)
+    def valid_objects(self, drop_invalid: bool = True) -> DataFrame:
+        """Objects, by default the non-null ones only [C14]."""
+        out = self.df.select(POS, OBJECT)
+        return out.where(F.col(OBJECT).isNotNull()) if drop_invalid else out
 
     # -- writes [K1-K13] ---------------------------------------------------
 
     def _values(self, name: str, value: Any, rows: Any) -> tuple[DataFrame, Column, Column]:
         """Plan with the new values, the new value's column, and whether a row is addressed."""
-        if isinstance(value, Column):
-            chosen = self.select_rows(rows)
-            return self.df, value, chosen.condition()
-        if np.isscalar(value) or value is None:
-            return self.df, F.lit(value), self.select_rows(rows).condition()
+        chosen = self.select_rows(rows)
+        if isinstance(value, Column) or np.isscalar(value) or value is None:
+            new = value if isinstance(value, Column) else F.lit(value)
+            df, number = (self.df, None) if chosen.kind in ("all", "where") else self._numbered()
+            return df, new, chosen.condition(number)
         values = list(value)
-        at = list(range(self.count())) if rows is None else list(self.select_rows(rows).positions_or_all())
+        if chosen.kind == "where":
+            raise TypeError("values for the rows of a predicate must be a column or one value")
+        if chosen.kind != "take" and chosen.n is None:
+            chosen = RowSelection.from_raw(rows, self.count())
+        at = list(chosen.positions_or_all())
         if len(values) != len(at):
             raise ValueError(f"{len(values)} values for {len(at)} rows")
-        new = self.spark.createDataFrame([(int(p), _plain(v)) for p, v in dict(zip(at, values, strict=True)).items()], T.StructType([T.StructField("_at", T.LongType()), T.StructField("_new", value_type(values))]))
-        return self.df.join(F.broadcast(new) if len(at) < 1_000_000 else new, F.col(POS) == F.col("_at"), "left"), F.col("_new"), F.col("_at").isNotNull()
+        df, number = self._numbered()
+        pairs = [(int(p), _plain(v)) for p, v in dict(zip(at, values, strict=True)).items()]
+        new = self.spark.createDataFrame(pairs, T.StructType([T.StructField("_at", T.LongType()), T.StructField("_new", value_type(values))]))
+        return df.join(new, number == F.col("_at"), "left"), F.col("_new"), F.col("_at").isNotNull()
 
     def with_metadata(self, name: str, value: Any, rows: Any = None, na: Any = None) -> EntityFrame:
         """Adds or replaces a metadata column [K1]; a partial integer insert needs ``na``."""
@@ -296,7 +387,7 @@ class EntityFrame:
                 raise ValueError("a partial insert of integers needs a value for the other rows (na)")
             rest = F.col(f"`{name}`") if name in self.df.columns else F.lit(float("nan") if na is None and isinstance(kind, T.FractionalType) else na)
             new = F.when(here, new).otherwise(rest)
-        return self._new(df.withColumn(name, new).drop("_at", "_new"), HistoryEntry.now("add_metadata_column", {"name": name}))
+        return self._same_rows(df.withColumn(name, new).drop("_at", "_new"), HistoryEntry.now("add_metadata_column", {"name": name}))
 
     def with_metadata_columns(self, columns: Mapping[str, Any], rows: Any = None, na: Any = None) -> EntityFrame:
         out = self
@@ -323,12 +414,12 @@ class EntityFrame:
         self._writable()
         cols = self.metadata_columns if cols is None else [cols] if isinstance(cols, str) else list(cols)
         self._need_metadata(*cols)
-        return self._new(self.df.drop(*cols), HistoryEntry.now("drop_metadata_columns", {"cols": cols}))
+        return self._same_rows(self.df.drop(*cols), HistoryEntry.now("drop_metadata_columns", {"cols": cols}))
 
     def set_metadata(self, other: DataFrame) -> EntityFrame:
         """Replaces all metadata by the columns of ``other``, matched on ``_pos`` [K5]."""
         self._writable()
-        return self._new(self.df.drop(*self.metadata_columns).join(other, POS, "left"), HistoryEntry.now("set_metadata"))
+        return self._same_rows(self.df.drop(*self.metadata_columns).join(other, POS, "left"), HistoryEntry.now("set_metadata"))
 
     def with_feature(self, name: str, value: Any, rows: Any = None, na: Any = None) -> EntityFrame:
         """Creates, replaces or patches a feature [K6]; rows without a value get NaN (floats) or 0."""
@@ -348,11 +439,11 @@ class EntityFrame:
         if rows is not None:
             kind = df.select(new.alias("x")).schema[0].dataType
             fill = F.lit(float("nan") if na is None and isinstance(kind.elementType, T.FractionalType) else na or 0).cast(kind.elementType)
-            width = (value.shape[1] if not isinstance(value, Column) else None) or self.feature_shape(name)[1]
+            width = (value.shape[1] if not isinstance(value, Column) else None) or self.feature_width(name)
             rest = F.col(f"`{column}`") if column in self.df.columns else F.array_repeat(fill, width)
             new = F.when(here, new).otherwise(rest)
         old = self.df.schema[column].metadata if column in self.df.columns and not meta else {}
-        return self._new(df.withColumn(column, new.alias(column, metadata=meta or old)).drop("_at", "_new"), HistoryEntry.now("update_feature", {"name": name}))
+        return self._same_rows(df.withColumn(column, new.alias(column, metadata=meta or old)).drop("_at", "_new"), HistoryEntry.now("update_feature", {"name": name}))
 
     def with_features(self, values: Mapping[str, Any], rows: Any = None, replace: bool = False) -> EntityFrame:
         """Bulk [K7]; ``replace`` drops all other features."""
@@ -367,7 +458,7 @@ class EntityFrame:
     def drop_feature(self, name: str) -> EntityFrame:
         self._writable()
         self._need_feature(name)
-        return self._new(self.df.drop(feature_column(name)), HistoryEntry.now("drop_feature", {"name": name}))
+        return self._same_rows(self.df.drop(feature_column(name)), HistoryEntry.now("drop_feature", {"name": name}))
 
     def update_objects(self, value: Any, rows: Any = None) -> EntityFrame:
         """Replaces all or some objects [K9, L4]."""
@@ -375,27 +466,33 @@ class EntityFrame:
         df, new, here = self._values(OBJECT, value, rows)
         if rows is not None:
             new = F.when(here, new).otherwise(F.col(OBJECT))
-        return self._new(df.withColumn(OBJECT, new).drop("_at", "_new"), HistoryEntry.now("update_objects"))
+        return self._same_rows(df.withColumn(OBJECT, new).drop("_at", "_new"), HistoryEntry.now("update_objects"))
 
     def copy(self) -> EntityFrame:
         """Frames are immutable; a copy shares the plan [K10, L7]."""
-        return self._new(self.df)
+        return self._same_rows(self.df)
 
     def append_history(self, entry: HistoryEntry) -> EntityFrame:
-        return self._new(self.df, entry)
+        return self._same_rows(self.df, entry)
 
     def reindexed(self) -> EntityFrame:
-        """Dense positions 0 .. n-1 in the old order."""
-        return self._new(dense(self.df))
+        """Positions 0 .. n-1 in the old order."""
+        df, number = self._numbered()
+        return self._new(df.withColumn(POS, number.cast("bigint")).drop("_rank"), layout=Layout(n=self._layout.n if self._layout else None))
 
     def materialized(self, path: str) -> EntityFrame:
         """Written to ``path`` and read again, which cuts the plan [K13, L6]."""
         self.df.write.mode("errorifexists").parquet(path)
-        return self._new(self.spark.read.schema(self.df.schema).parquet(path))
+        return self._same_rows(self.spark.read.schema(self.df.schema).parquet(path))
+
+    def cached(self, features: Sequence[str] | None = None, meta_cols: Sequence[str] | None = None) -> EntityFrame:
+        """Warm columns for repeated use, by default all [A9, L8, X8]; :meth:`uncached` forgets them."""
+        out = self if features is None and meta_cols is None else self.view(features, meta_cols)
+        return out._same_rows(out.df.persist())
 
-    def cached(self) -> EntityFrame:
-        """Warm columns for repeated use [A9, L8]."""
-        return self._new(self.df.persist())
+    def uncached(self) -> EntityFrame:
+        self.df.unpersist()
+        return self
 
     def transform(self, f: Callable[[EntityFrame], EntityFrame]) -> EntityFrame:
         return f(self)

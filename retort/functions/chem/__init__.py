@@ -77,6 +77,12 @@ def canonical_smiles(c: Column) -> Column:
     return kernel(M.write, "string", pa.string())(c)
 
 
+def read_smiles(c: Column, sanitize: bool = True) -> Column:
+    """SMILES as a reader keeps them: checked, aromatic and without plain hydrogen atoms, or with ``sanitize=False`` as they stand."""
+    f = (lambda m: M.write(M.remove_hydrogens(M.sanitize(m)))) if sanitize else M.write
+    return kernel(f, "string", pa.string(), plain=True)(c)
+
+
 def formula(c: Column) -> Column:
     return kernel(P.formula, "string", pa.string())(c)
 

@@ -387,6 +387,11 @@ def _atom_text(mol: Mol, i: int) -> str:
 
 def write(mol: Mol, rank: list[int] | None = None) -> str:
     """SMILES of the graph as it stands, atoms visited by rank."""
+    return write_order(mol, rank)[0]
+
+
+def write_order(mol: Mol, rank: list[int] | None = None) -> tuple[str, list[int]]:
+    """The SMILES, and the atoms in the order in which it names them."""
     rank = ranks(mol) if rank is None else rank
     seen: set[int] = set()
     parts = []
@@ -428,6 +433,7 @@ def write(mol: Mol, rank: list[int] | None = None) -> str:
             return {1.0: "-" if both else "", 2.0: "=", 3.0: "#", 4.0: "$"}[o]
 
         out: list[str] = []
+        visited: list[int] = []
         work: list = [root]
         while work:
             x = work.pop()
@@ -436,6 +442,7 @@ def write(mol: Mol, rank: list[int] | None = None) -> str:
                 continue
             i = x
             out.append(_atom_text(mol, i))
+            visited.append(i)
             for j, _ in closures.get(i, ()):
                 pair = frozenset((i, j))
                 if pair in numbers:
@@ -453,8 +460,9 @@ def write(mol: Mol, rank: list[int] | None = None) -> str:
                     work += [")", j, sign(i, j), "("]
                 else:
                     work += [j, sign(i, j)]
-        parts.append("".join(out))
-    return ".".join(sorted(parts, key=lambda p: (-len(p), p)))
+        parts.append(("".join(out), visited))
+    parts.sort(key=lambda p: (-len(p[0]), p[0]))
+    return ".".join(p for p, _ in parts), [i for _, v in parts for i in v]
 
 
 def canonical(smiles: str) -> str:
@@ -470,9 +478,14 @@ def add_hydrogens(mol: Mol) -> Mol:
     return Mol(atoms, bonds)
 
 
+def plain_hydrogens(mol: Mol) -> set[int]:
+    """Hydrogen atoms that a count on their one heavy neighbour can stand for."""
+    return {i for i, a in enumerate(mol.atoms) if a.symbol == "H" and not (a.charge or a.isotope or a.number) and len(mol.near[i]) == 1 and mol.atoms[next(iter(mol.near[i]))].symbol != "H"}
+
+
 def remove_hydrogens(mol: Mol) -> Mol:
     """Plain hydrogen atoms on one heavy neighbour become implicit."""
-    drop = {i for i, a in enumerate(mol.atoms) if a.symbol == "H" and not (a.charge or a.isotope or a.number) and len(mol.near[i]) == 1 and mol.atoms[next(iter(mol.near[i]))].symbol != "H"}
+    drop = plain_hydrogens(mol)
     atoms = [replace(a, h=a.h + sum(j in drop for j in mol.near[i])) for i, a in enumerate(mol.atoms)]
     return Mol(atoms, mol.bonds).part([i for i in range(len(atoms)) if i not in drop])
 

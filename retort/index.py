@@ -1,8 +1,11 @@
-"""Lowering of row selections to predicates and joins on the position column.
-
-A slice becomes a range predicate and a boolean Column a filter; neither needs a
-join.  A list of positions (order and repeats count) becomes an inner join with
-a small table of (place in the result, position), which is broadcast while it is
+"""Lowering of row selections to predicates and joins on row numbers.
+
+A row's number is its place among the frame's rows, 0 to n - 1; its position
+(``_pos``) only orders it.  Where positions are an arithmetic progression, as in
+a new frame and in slices of one, the number is an expression of the position
+and a slice a range predicate that reaches the scan.  A boolean Column is a
+filter.  A list of numbers (order and repeats count) becomes an inner join with
+a small table of (place in the result, number), which is broadcast while it is
 small and left to the optimizer beyond that.
 """
 
@@ -17,9 +20,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POS = "_pos"
+#: Pairs of two integers up to which a list of rows is broadcast (16 MB).
 BROADCAST_ROWS = 1_000_000
 
 
+@dataclass(frozen=True)
+class Layout:
+    """Positions that are ``start``, ``start + step``, ...; ``n`` of them if known."""
+
+    start: int = 0
+    step: int = 1
+    n: int | None = None
+
+    def number(self) -> Column:
+        p = F.col(POS)
+        if (self.start, self.step) == (0, 1):
+            return p
+        return F.expr(f"({POS} - {self.start}L) div {self.step}L")
+
+    def part(self, start: int, stop: int | None, step: int) -> Layout:
+        """The layout of rows ``start:stop:step`` (bounds not negative)."""
+        ends = [x for x in (stop, self.n) if x is not None]
+        n = len(range(start, min(ends), step)) if self.n is not None else None
+        return Layout(self.start + self.step * start, self.step * step, n)
+
+
 def coerce_bool_mask(mask: Any, n: int) -> np.ndarray:
     """Positions at which a boolean mask of length ``n`` is true."""
     arr = np.asarray(mask)
@@ -88,8 +113,6 @@ class RowSelection:
                     raise ValueError("a slice with a negative step needs the number of rows")
                 return cls("range", n, (raw.start or 0, -1 if raw.stop is None else raw.stop, step))
             start, stop, step = raw.indices(n)
-            if step < 0:
-                return cls("take", n, positions=tuple(range(start, stop, step)))
             return cls("all", n) if (start, stop, step) == (0, n, 1) else cls("range", n, (start, stop, step))
         if isinstance(raw, (bool, np.bool_)):
             raise TypeError("a single boolean is not a selection")
@@ -114,7 +137,7 @@ class RowSelection:
     def count(self) -> int:
         if self.kind == "take":
             return len(self.positions)
-        if self.kind == "range" and self.bounds[1] >= 0:
+        if self.kind == "range" and (self.bounds[1] >= 0 or self.bounds[2] < 0):
             return len(range(*self.bounds))
         if self.kind == "all" and self.n is not None:
             return self.n
@@ -129,31 +152,51 @@ class RowSelection:
             return self.positions
         return range(self.n) if self.kind == "all" else range(*self.bounds)
 
-    def condition(self) -> Column:
-        """A predicate on the position column; for ``take`` it forgets order and repeats."""
+    def within(self, layout: Layout) -> Column:
+        """A range with positive step as bounds on the position itself."""
+        start, stop, step = self.bounds
         p = F.col(POS)
+        c = p >= F.lit(layout.start + layout.step * start)
+        if stop >= 0:
+            c = c & (p < F.lit(layout.start + layout.step * stop))
+        return c & ((p - F.lit(layout.start + layout.step * start)) % F.lit(layout.step * step) == 0) if step > 1 else c
+
+    def condition(self, number: Column | None = None) -> Column:
+        """A predicate on the row number; for ``take`` it forgets order and repeats."""
+        p = F.col(POS) if number is None else number
         if self.kind == "all":
             return F.lit(True)
         if self.kind == "where":
             return F.coalesce(self.predicate, F.lit(False))
         if self.kind == "range":
             start, stop, step = self.bounds
+            if step < 0:
+                return (p <= F.lit(start)) & (p > F.lit(stop)) & ((F.lit(start) - p) % F.lit(-step) == 0)
             c = p >= F.lit(start)
             if stop >= 0:
                 c = c & (p < F.lit(stop))
             return c & ((p - F.lit(start)) % F.lit(step) == 0) if step > 1 else c
         return p.isin(list(dict.fromkeys(self.positions)))
 
-    def apply(self, df: DataFrame, renumber: bool = True) -> DataFrame:
-        """The selected rows; a list renumbers them 0, 1, ... in its order."""
+    @property
+    def renumbers(self) -> bool:
+        """Whether :meth:`apply` gives rows new positions: a list's or a backward slice's."""
+        return self.kind == "take" or (self.kind == "range" and self.bounds[2] < 0)
+
+    def apply(self, df: DataFrame, number: Column | None = None) -> DataFrame:
+        """The selected rows; a list or backward slice renumbers them 0, 1, ... in its order."""
+        number = F.col(POS) if number is None else number
         if self.kind == "all":
             return df
-        if self.kind != "take":
-            return df.where(self.condition())
+        if not self.renumbers:
+            return df.where(self.condition(number))
+        if self.kind == "range":
+            start, _, step = self.bounds
+            return df.where(self.condition(number)).withColumn(POS, F.floor((F.lit(start) - number) / F.lit(-step)).cast("bigint"))
         spark = df.sparkSession
         pairs = spark.createDataFrame([(k, p) for k, p in enumerate(self.positions)], "_to bigint, _from bigint")
         if len(self.positions) <= BROADCAST_ROWS:
             pairs = F.broadcast(pairs)
-        met = df.join(pairs, F.col(POS) == F.col("_from"))
+        met = df.join(pairs, number == F.col("_from"))
         others = [F.col(f"`{c}`") for c in df.columns if c != POS]
-        return met.select((F.col("_to") if renumber else F.col(POS)).alias(POS), *others)
+        return met.select(F.col("_to").alias(POS), *others)

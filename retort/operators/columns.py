@@ -19,7 +19,7 @@ def add_descriptors(frame: EntityFrame, descriptors: Sequence[str] | None = None
     """Descriptors of the object as metadata columns, one kernel for all; NaN for null objects."""
     names = list(descriptors or DEFAULT)
     df = frame.df.withColumn("_d", chem.descriptors(F.col(OBJECT), names))
-    return frame._new(df.withColumns({prefix + n: F.col(f"_d.`{n}`") for n in names}).drop("_d"), HistoryEntry.now("add_descriptors", {"descriptors": names, "prefix": prefix}))
+    return frame._same_rows(df.withColumns({prefix + n: F.col(f"_d.`{n}`") for n in names}).drop("_d"), HistoryEntry.now("add_descriptors", {"descriptors": names, "prefix": prefix}))
 
 
 def numerized(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

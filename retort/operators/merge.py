@@ -28,4 +28,4 @@ def merge_metadata(frame: EntityFrame, other: DataFrame, on: str, check: bool =
     right = other.select(F.col(f"`{on}`").alias("_k"), *[F.col(f"`{c}`").alias(f"_r_{c}") for c in names])
     met = frame.df.join(right, F.col(f"`{on}`").eqNullSafe(F.col("_k")), "left")
     out = met.withColumns({c: F.col(f"`_r_{c}`") for c in names}).drop("_k", *[f"_r_{c}" for c in names])
-    return frame._new(out, HistoryEntry.now("merge_metadata", {"on": on, "columns": names}))
+    return frame._same_rows(out, HistoryEntry.now("merge_metadata", {"on": on, "columns": names}))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..frame import OBJECT, EntityFrame, HistoryEntry, feature_column
-from ..index import POS
+from ..index import POS, Layout
 from .aggregate import first_by_key
 
 
@@ -29,9 +29,12 @@ def concat(frames: Sequence[EntityFrame], handle_missing_features: str = "zeros"
         for n in f.feature_names:
             owner.setdefault(n, f)
     out, offset = None, 0
+    known = all(f._layout is not None and f._layout.n is not None and (f._layout.start, f._layout.step) == (0, 1) for f in frames)
     for k, f in enumerate(frames):
         df = f.df.withColumn(POS, F.col(POS) + F.lit(offset).cast("bigint"))
-        if k < len(frames) - 1:  # positions follow those of the frames before: no shuffle, dense if they were
+        if known:
+            offset += f._layout.n
+        elif k < len(frames) - 1:  # positions follow those of the frames before: no shuffle
             top = f.df.agg(F.max(POS)).first()[0]
             offset += 0 if top is None else top + 1
         for n, o in owner.items():
@@ -44,10 +47,10 @@ def concat(frames: Sequence[EntityFrame], handle_missing_features: str = "zeros"
             if handle_missing_features == "nan" and not isinstance(kind.elementType, T.FractionalType):
                 raise ValueError(f"NaN can't fill the feature {n!r} of {kind.elementType.simpleString()}")
             fill = F.lit(float("nan") if handle_missing_features == "nan" else 0).cast(kind.elementType)
-            df = df.withColumn(c, F.array_repeat(fill, o.feature_shape(n)[1]))
+            df = df.withColumn(c, F.array_repeat(fill, o.feature_width(n)))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     history = tuple(h for f in frames for h in f.history)
-    return EntityFrame(out, frames[0].kind, (*history, HistoryEntry.now("concat", {"n_tables": len(frames), "handle_missing_features": handle_missing_features})))
+    return EntityFrame(out, frames[0].kind, (*history, HistoryEntry.now("concat", {"n_tables": len(frames), "handle_missing_features": handle_missing_features})), layout=Layout(n=offset) if known else None)
 
 
 def append(frame: EntityFrame, more: EntityFrame, handle_missing_features: str = "zeros") -> EntityFrame:

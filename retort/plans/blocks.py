@@ -60,7 +60,7 @@ class Block:
         out = self.process(frame)
         if not isinstance(out, EntityFrame):
             raise TypeError(f"{self.name} must give a frame")
-        return out._new(out.df, HistoryEntry.now(self.name, self.config(), rows_in, out.count() if audit else None))
+        return out._same_rows(out.df, HistoryEntry.now(self.name, self.config(), rows_in, out.count() if audit else None))
 
 
 # -- filters ---------------------------------------------------------------
@@ -260,7 +260,7 @@ class Featurizer(Block):
     def process(self, frame: EntityFrame) -> EntityFrame:
         c = feature_column(self.feature_name)
         column = self.vector(F.col(OBJECT)).alias(c, metadata={"dtype": self.dtype, "shape": [self.width()]})
-        return frame._new(frame.df.withColumn(c, column).withMetadata(c, {"dtype": self.dtype, "shape": [self.width()]}))
+        return frame._same_rows(frame.df.withColumn(c, column).withMetadata(c, {"dtype": self.dtype, "shape": [self.width()]}))
 
 
 class MACCSFeaturizer(Featurizer):
@@ -332,7 +332,7 @@ class FunctionFeaturizer(Featurizer):
 
     def process(self, frame: EntityFrame) -> EntityFrame:
         c = feature_column(self.feature_name)
-        return frame._new(frame.df.withColumn(c, _apply(self.func, self.column, self.returns)))
+        return frame._same_rows(frame.df.withColumn(c, _apply(self.func, self.column, self.returns)))
 
 
 # -- preparations ----------------------------------------------------------
@@ -347,7 +347,7 @@ class Preparation(Block):
         raise NotImplementedError
 
     def process(self, frame: EntityFrame) -> EntityFrame:
-        return frame._new(frame.df.withColumn(OBJECT, self.prepared(F.col(OBJECT))))
+        return frame._same_rows(frame.df.withColumn(OBJECT, self.prepared(F.col(OBJECT))))
 
 
 class Kekulizer(Preparation):

@@ -1,4 +1,4 @@
-"""V2000 connection tables."""
+"""Connection tables: V2000, and V3000 where counts need more than three digits."""
 
 from __future__ import annotations
 
@@ -11,6 +11,9 @@ def read_block(block: str) -> tuple[M.Mol, list[list[float]], str]:
     if len(lines) < 4:
         raise M.ChemError("the block is too short")
     name, counts = lines[0].strip(), lines[3]
+    if counts.rstrip().endswith("V3000"):
+        atoms, bonds, coords = _read_v3000(lines[4:])
+        return _graph(atoms, bonds), coords, name
     try:
         n, m = int(counts[:3]), int(counts[3:6])
         rows = lines[4 : 4 + n]
@@ -25,15 +28,20 @@ def read_block(block: str) -> tuple[M.Mol, list[list[float]], str]:
         raise M.ChemError(f"can't read the connection table: {e}") from e
     if len(rows) < n or any(s not in M.NUMBER for s in symbols):
         raise M.ChemError("the connection table is cut off or has an unknown element")
-    charge = dict(enumerate(old))
+    charge, mass = dict(enumerate(old)), {}
     for line in lines[4 + n + m :]:
-        if line.startswith("M  CHG"):
+        if line.startswith(("M  CHG", "M  ISO")):
             parts = line[6:].split()[1:]
-            charge |= {int(a) - 1: int(q) for a, q in zip(parts[::2], parts[1::2], strict=True)}
+            (charge if line[3] == "C" else mass).update({int(a) - 1: int(q) for a, q in zip(parts[::2], parts[1::2], strict=True)})
         if line.startswith("M  END"):
             break
+    return _graph([(x, charge.get(i, 0), mass.get(i, 0)) for i, x in enumerate(symbols)], bonds), coords, name
+
+
+def _graph(found: list[tuple[str, int, int]], bonds: dict[tuple[int, int], float]) -> M.Mol:
+    """The graph of atoms (symbol, charge, isotope), with hydrogens filled in."""
     ring = {i for b, o in bonds.items() if o == 1.5 for i in b}
-    atoms = [M.Atom(s, i in ring, charge.get(i, 0), bracket=True) for i, s in enumerate(symbols)]
+    atoms = [M.Atom(s, i in ring, q, iso, bracket=True) for i, (s, q, iso) in enumerate(found)]
     graph = M.Mol(atoms, bonds)
     for i, a in enumerate(atoms):
         if a.symbol in M.ORGANIC:
@@ -44,18 +52,59 @@ def read_block(block: str) -> tuple[M.Mol, list[list[float]], str]:
             else:
                 h = next((int(v + shift - used) for v in M.ORGANIC[a.symbol] if v + shift >= used), 0)
             atoms[i] = M.replace(a, h=max(0, h))
-    return M.Mol(atoms, bonds), coords, name
+    return M.Mol(atoms, bonds)
+
+
+def _read_v3000(lines: list[str]) -> tuple[list, dict, list]:
+    rows: list[str] = []
+    more = False
+    for line in lines:
+        if line.startswith("M  END"):
+            break
+        if not line.startswith("M  V30 "):
+            continue
+        text = line[7:]
+        rows.append((rows.pop() if more else "") + text.rstrip("-"))
+        more = text.endswith("-")
+    atoms, bonds, coords, place, part = [], {}, [], {}, ""
+    try:
+        for row in rows:
+            words = row.split()
+            if words[:1] in (["BEGIN"], ["END"]):
+                part = words[1] if words[0] == "BEGIN" else ""
+            elif part == "ATOM":
+                place[words[0]] = len(atoms)
+                extra = dict(w.split("=", 1) for w in words[6:] if "=" in w)
+                if words[1] not in M.NUMBER:
+                    raise M.ChemError(f"unknown element {words[1]}")
+                atoms.append((words[1], int(extra.get("CHG", 0)), int(extra.get("MASS", 0))))
+                coords.append([float(x) for x in words[2:5]])
+            elif part == "BOND":
+                i, j = place[words[2]], place[words[3]]
+                bonds[min(i, j), max(i, j)] = {1: 1.0, 2: 2.0, 3: 3.0, 4: 1.5}[int(words[1])]
+    except (ValueError, KeyError, IndexError) as e:
+        raise M.ChemError(f"can't read the connection table: {e}") from e
+    return atoms, bonds, coords
 
 
 def write_block(mol: M.Mol, name: str = "", coords: list[list[float]] | None = None) -> str:
+    """A V2000 block, or V3000 from 1,000 atoms or bonds on; ``coords`` are by atom, zeros without them."""
     flat = M.kekulize(mol) if any(a.aromatic for a in mol.atoms) else mol
+    if coords is not None and len(coords) != len(flat):
+        raise M.ChemError("there must be coordinates for each atom")
+    at = coords or [[0.0, 0.0, 0.0]] * len(flat)
+    if max(len(flat), len(flat.bonds)) > 999:
+        out = [name, "  retort", "", "  0  0  0     0  0            999 V3000", "M  V30 BEGIN CTAB", f"M  V30 COUNTS {len(flat)} {len(flat.bonds)} 0 0 0", "M  V30 BEGIN ATOM"]
+        for i, (a, (x, y, z)) in enumerate(zip(flat.atoms, at, strict=True), 1):
+            out.append(f"M  V30 {i} {a.symbol} {x:.4f} {y:.4f} {z:.4f} 0" + (f" CHG={a.charge}" if a.charge else "") + (f" MASS={a.isotope}" if a.isotope else ""))
+        out += ["M  V30 END ATOM", "M  V30 BEGIN BOND", *[f"M  V30 {k} {int(o)} {i + 1} {j + 1}" for k, ((i, j), o) in enumerate(sorted(flat.bonds.items()), 1)], "M  V30 END BOND", "M  V30 END CTAB"]
+        return "\n".join([*out, "M  END"])
     out = [name, "  retort", "", f"{len(flat):3d}{len(flat.bonds):3d}  0  0  0  0  0  0  0  0999 V2000"]
-    for i, a in enumerate(flat.atoms):
-        x, y, z = coords[i] if coords else (0.0, 0.0, 0.0)
+    for a, (x, y, z) in zip(flat.atoms, at, strict=True):
         out.append(f"{x:10.4f}{y:10.4f}{z:10.4f} {a.symbol:<3} 0  0  0  0  0  0  0  0  0  0  0  0")
     out += [f"{i + 1:3d}{j + 1:3d}{int(o):3d}  0" for (i, j), o in sorted(flat.bonds.items())]
-    charged = [(i + 1, a.charge) for i, a in enumerate(flat.atoms) if a.charge]
-    for k in range(0, len(charged), 8):
-        part = charged[k : k + 8]
-        out.append(f"M  CHG{len(part):3d}" + "".join(f"{i:4d}{q:4d}" for i, q in part))
+    for tag, values in (("CHG", [(i, a.charge) for i, a in enumerate(flat.atoms, 1) if a.charge]), ("ISO", [(i, a.isotope) for i, a in enumerate(flat.atoms, 1) if a.isotope])):
+        for k in range(0, len(values), 8):
+            part = values[k : k + 8]
+            out.append(f"M  {tag}{len(part):3d}" + "".join(f"{i:4d}{q:4d}" for i, q in part))
     return "\n".join([*out, "M  END"])

@@ -1,13 +1,17 @@
 """Readers: every format becomes (object, name, properties, source, index, _error).
 
-Files are split and parsed by the executors; a record keeps its place as (file
-in the order given, block, line), from which dense positions are made.  The
-object is a SMILES, of a reaction ``reactants>agents>products``.
+Files are split and parsed by the executors.  A record's place is that of its
+line (or block) among all lines of all files in the order given: the lines of
+each split of a file are counted first, so nothing is shuffled or sorted.  Bad
+and blank records leave gaps, which row numbers skip.  The object is a SMILES, of
+a reaction ``reactants>agents>products``, of a block with ``coords=True`` a struct
+of SMILES and coordinates.
 """
 
 from __future__ import annotations
 
 import csv
+import inspect
 import warnings
 from collections.abc import Iterator, Sequence
 from typing import Any
@@ -19,11 +23,11 @@ from pyspark.sql import functions as F
 from ..frame import OBJECT, EntityFrame, HistoryEntry, dense
 from ..functions import chem
 from ..functions.chem import mol as M
-from ..index import POS
+from ..index import POS, Layout
 from .formats import READERS, RecordParseError, RetortIOError, UnsupportedFormatError, detect_format, get_reader, register_format
 from .molblock import read_block
 
-__all__ = ["RecordParseError", "RetortIOError", "UnsupportedFormatError", "batches", "from_records", "from_smarts", "from_smiles", "read_file", "read_records"]
+__all__ = ["RecordParseError", "RetortIOError", "UnsupportedFormatError", "batches", "from_records", "from_smarts", "from_smiles", "iter_batches", "read_file", "read_records"]
 
 RECORD = ("object", "name", "properties", "source", "index", "_error", "_file", "_block", "_line")
 POLICIES = ("raise", "skip", "warn")
@@ -41,10 +45,16 @@ def _ordered(df: DataFrame, paths: Sequence[str]) -> DataFrame:
 
 
 def _indexed(df: DataFrame) -> DataFrame:
-    """``index``: 0-based place of the row in its file."""
-    numbered = dense(df.withColumn(POS, F.lit(0).cast("bigint")), F.col("_file"), F.col("source"), F.col("_block"), F.col("_line"))
-    first = numbered.groupBy("source").agg(F.min(POS).alias("_first"))
-    return numbered.join(F.broadcast(first), "source").withColumn("index", F.col(POS) - F.col("_first")).drop("_first")
+    """``index``: 0-based place of the row in its file; and its position among all rows."""
+    splits = df.groupBy("_file", "source", "_block").agg(F.count("*").alias("n"), F.min("_line").alias("first")).orderBy("_file", "source", "_block").collect()
+    rows, total, own, last = [], 0, 0, None
+    for r in splits:  # one row for each split of a file
+        own = 0 if r.source != last else own
+        rows.append((r.source, r._block, own - r.first, total - r.first))
+        own, total, last = own + r.n, total + r.n, r.source
+    bases = F.broadcast(df.sparkSession.createDataFrame(rows, "source string, _block bigint, _own bigint, _all bigint"))
+    met = df.join(bases, ["source", "_block"])
+    return met.withColumns({"index": F.col("_own") + F.col("_line"), POS: F.col("_all") + F.col("_line")}).drop("_own", "_all")
 
 
 def _column_index(selector: Any, aliases: dict[str, int]) -> int:
@@ -61,7 +71,7 @@ def _column_index(selector: Any, aliases: dict[str, int]) -> int:
     raise ValueError(f"unknown column {selector!r}")
 
 
-def read_smiles(spark: SparkSession, paths: Sequence[str], delimiter: str | None = None, smiles_col: Any = 0, name_col: Any = 1, **_: Any) -> DataFrame:
+def read_smiles(spark: SparkSession, paths: Sequence[str], delimiter: str | None = None, smiles_col: Any = 0, name_col: Any = 1) -> DataFrame:
     """Lines of SMILES and name; blank and ``#`` lines are skipped but counted in ``index`` [A3]."""
     alias = {"smiles": 0, "smi": 0, "name": 1, "id": 1, "title": 1}
     s, n = _column_index(smiles_col, alias), None if name_col is None else _column_index(name_col, alias)
@@ -73,7 +83,7 @@ def read_smiles(spark: SparkSession, paths: Sequence[str], delimiter: str | None
     return used.select(smiles.alias("_text"), (F.get(parts, F.lit(n)) if n is not None else F.lit(None).cast("string")).alias("name"), F.create_map(F.lit("SMILES"), smiles).alias("properties"), "source", "index", POS)
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILES", name_col: Any = None, delimiter: str = ",", multi_line: bool = False, **_: Any) -> DataFrame:
+def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILES", name_col: Any = None, delimiter: str = ",", multi_line: bool = False) -> DataFrame:
     """Header CSV or TSV, all strings; properties are all columns but the SMILES [A4]."""
     out = None
     for path in paths:
@@ -96,21 +106,32 @@ def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILE
     return out
 
 
-def _parser(kind: str):
-    def one(text: str) -> tuple[str | None, str | None, list, str | None]:
+def _parser(kind: str, sanitize: bool = True, remove_hs: bool = True, coords: bool = False):
+    def molecule(block: str) -> tuple[str, str, list]:
+        mol, at, name = read_block(block)
+        keep = [i for i in range(len(mol)) if not remove_hs or i not in M.plain_hydrogens(mol)]
+        mol = M.remove_hydrogens(mol) if remove_hs else mol
+        text, order = M.write_order(M.sanitize(mol) if sanitize else mol)
+        return text, name, [at[keep[i]] for i in order]
+
+    def one(text: str) -> tuple:
         try:
             if kind == "rxn":
-                return (*_reaction(text), None)
+                smiles, name, props = _reaction(text)
+                return smiles, name, props, None, None
             block, _, tail = text.partition("M  END")
-            mol, _, name = read_block(block + "M  END")
-            return M.write(M.perceive(mol)), name or None, _data_items(tail), None
+            smiles, name, at = molecule(block + "M  END")
+            return smiles, name or None, _data_items(tail), None, [at]
         except (ValueError, RecursionError) as e:
-            return None, None, [], str(e)
+            return None, None, [], str(e), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [one(t) for t in batch.column("value").to_pylist()]
-            cols = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.map_(pa.string(), pa.string())), pa.array([g[3] for g in got], pa.string())]
+            text = pa.array([g[0] for g in got], pa.string())
+            if coords:
+                text = pa.StructArray.from_arrays([text, pa.array([g[4] for g in got], pa.list_(pa.list_(pa.list_(pa.float64()))))], ["smiles", "coords"], mask=text.is_null())
+            cols = [text, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.map_(pa.string(), pa.string())), pa.array([g[3] for g in got], pa.string())]
             yield pa.record_batch([*cols, batch.column("source"), batch.column("index"), batch.column(POS)], ["object", "name", "properties", "_error", "source", "index", POS])
 
     return run
@@ -149,25 +170,33 @@ def _reaction(text: str) -> tuple[str, str | None, list]:
     return ">".join(".".join(s) for s in sides), lines[1].strip() or None, []
 
 
-PARSED = f"object string, name string, properties map<string,string>, _error string, source string, index bigint, {POS} bigint"
+OBJECT_3D = "struct<smiles:string,coords:array<array<array<double>>>>"
+
+
+def _parsed(coords: bool = False) -> str:
+    return f"object {OBJECT_3D if coords else 'string'}, name string, properties map<string,string>, _error string, source string, index bigint, {POS} bigint"
+
 
+def read_sdf(spark: SparkSession, paths: Sequence[str], sanitize: bool = True, remove_hs: bool = True, coords: bool = False) -> DataFrame:
+    """Blocks that end with a line of ``$$$$``; a file is split among tasks at these lines [A2].
 
-def read_sdf(spark: SparkSession, paths: Sequence[str], **_: Any) -> DataFrame:
-    """``$$$$`` blocks; a file is split among tasks at the delimiter [A2]."""
-    rows = _ordered(spark.read.option("lineSep", "$$$$").text(list(paths)), paths).withColumn("value", F.regexp_replace("value", r"^\r?\n", ""))
-    return _indexed(rows.where(F.trim(F.regexp_replace("value", r"\s", "")) != "")).mapInArrow(_parser("sdf"), PARSED)
+    ``coords`` keeps coordinates, one set a record, in the order of the SMILES' atoms.
+    """
+    rows = _indexed(_ordered(spark.read.option("lineSep", "\n$$$$").text(list(paths)), paths))
+    body = F.when(F.col("index") == 0, F.col("value")).otherwise(F.regexp_replace("value", r"^[^\n]*\n?", ""))  # the rest of the line before
+    return rows.withColumn("value", body).where(F.trim(F.regexp_replace("value", r"\s", "")) != "").mapInArrow(_parser("sdf", sanitize, remove_hs, coords), _parsed(coords))
 
 
-def read_mol(spark: SparkSession, paths: Sequence[str], **_: Any) -> DataFrame:
+def read_mol(spark: SparkSession, paths: Sequence[str], sanitize: bool = True, remove_hs: bool = True, coords: bool = False) -> DataFrame:
     """One molecule a file; the file's stem is its name if it has none [A6]."""
     rows = _indexed(_ordered(spark.read.text(list(paths), wholetext=True), paths))
-    return rows.mapInArrow(_parser("mol"), PARSED).withColumn("name", F.coalesce("name", _stem(F.col("source"))))
+    return rows.mapInArrow(_parser("mol", sanitize, remove_hs, coords), _parsed(coords)).withColumn("name", F.coalesce("name", _stem(F.col("source"))))
 
 
-def read_rxn(spark: SparkSession, paths: Sequence[str], **_: Any) -> DataFrame:
+def read_rxn(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One reaction a file, named by the file's stem [A5, A20]."""
     rows = _indexed(_ordered(spark.read.text(list(paths), wholetext=True), paths))
-    return rows.mapInArrow(_parser("rxn"), PARSED).withColumn("name", _stem(F.col("source")))
+    return rows.mapInArrow(_parser("rxn"), _parsed()).withColumn("name", _stem(F.col("source")))
 
 
 def _stem(source: Column) -> Column:
@@ -177,31 +206,51 @@ def _stem(source: Column) -> Column:
 def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str = "raise", format_options: dict[str, dict] | None = None, **options: Any) -> DataFrame:
     """Records of files of any mix of formats, in the order given [A1, A7].
 
-    ``on_error``: ``raise`` fails the job at the first bad record, ``skip`` and
-    ``warn`` drop it (``warn`` says so when the plan is made).
+    ``options`` go to the readers that know them, ``format_options`` to those of
+    one format; an option that no reader of the files knows is an error.
+    ``on_error``: ``raise`` fails the job at the first bad record, ``skip`` drops
+    bad ones, and ``warn`` reads all records once to say how many there are and
+    which the first is, and drops them.
     """
     if on_error not in POLICIES:
         raise ValueError(f"on_error must be one of {POLICIES}")
     paths = [paths] if isinstance(paths, str) else list(paths)
     if not paths:
         raise ValueError("no files")
-    out = None
+    known: set[str] = set()
+    out, offset = None, F.lit(0).cast("bigint")
     for k, path in enumerate(paths):
         ext = detect_format(path)
-        rows = get_reader(ext)(spark, [path], **options | (format_options or {}).get(ext, {}))
+        reader, sanitize = get_reader(ext), options.get("sanitize", True)
+        names = inspect.signature(reader).parameters
+        loose = any(p.kind == p.VAR_KEYWORD for p in names.values())
+        shared = {n: v for n, v in options.items() if loose or n in names}
+        known |= set(shared) | ({"sanitize"} if "sanitize" not in names else set())
+        own = (format_options or {}).get(ext, {})
+        if "sanitize" in own and "sanitize" not in names:
+            own, sanitize = {n: v for n, v in own.items() if n != "sanitize"}, own["sanitize"]
+        rows = reader(spark, [path], **shared | own)
         if "_text" in rows.columns:
-            rows = rows.withColumn("object", chem.canonical_smiles(F.col("_text")))
+            rows = rows.withColumn("object", chem.read_smiles(F.col("_text"), sanitize))
             rows = rows.withColumn("_error", F.when(F.col("_text") == "", "no SMILES").when(F.col("object").isNull(), F.concat(F.lit("can't read "), F.col("_text")))).drop("_text")
         one = rows.select("object", "name", "properties", "source", "index", "_error", POS).withColumn("_file", F.lit(k))
         out = one if out is None else out.unionByName(one)
+    if strange := set(options) - known:
+        raise TypeError(f"no reader of these files knows the options {sorted(strange)}")
     bad = F.col("_error").isNotNull()
     if on_error == "raise":
         out = out.withColumn("object", F.when(bad, F.raise_error(F.concat_ws(", ", "source", F.concat(F.lit("record "), F.col("index")), "_error"))).otherwise(F.col("object")))
-    else:
-        if on_error == "warn":
-            warnings.warn("records that can't be read will be dropped", stacklevel=2)
+    elif on_error == "warn":
+        found = out.where(bad).agg(F.count("*"), F.min(F.struct("_file", POS, "source", "index", "_error"))).first()
+        if found[0]:
+            first = RecordParseError(found[1].source, found[1].index, found[1]._error)
+            warnings.warn(f"{found[0]} records can't be read and are dropped, first {first}", stacklevel=2)
+    if on_error != "raise":
         out = out.where(~bad)
-    return dense(out, F.col("_file"), F.col(POS)).drop("_file", "_error")
+    if len(paths) > 1:  # positions of a file follow those of the files before
+        tops = {r[0]: r[1] + 1 for r in out.drop("object").groupBy("_file").agg(F.max(POS)).collect()}
+        offset = F.element_at(F.create_map(*[x for k in range(len(paths)) for x in (F.lit(k), F.lit(sum(tops.get(j, 0) for j in range(k))).cast("bigint"))]), F.col("_file"))
+    return out.withColumn(POS, F.col(POS) + offset).drop("_file", "_error")
 
 
 def from_records(records: DataFrame, kind: str = "molecule", properties: Sequence[str] | None = None) -> EntityFrame:
@@ -223,24 +272,38 @@ def from_records(records: DataFrame, kind: str = "molecule", properties: Sequenc
 
 
 def read_file(spark: SparkSession, path: str | Sequence[str], on_error: str = "raise", kind: str | None = None, max_records: int | None = None, **options: Any) -> EntityFrame:
-    """Files as a frame [A10, A15, A17]; ``max_records`` keeps the first ones by position."""
+    """Files as a frame [A10, A15, A17]; ``max_records`` keeps the first ones by number."""
     first = path if isinstance(path, str) else path[0]
-    records = read_records(spark, path, on_error, **options)
-    if max_records is not None:
-        records = records.where(F.col(POS) < max_records)
-    return from_records(records, kind or ("reaction" if detect_format(first) == "rxn" else "molecule"))
+    frame = from_records(read_records(spark, path, on_error, **options), kind or ("reaction" if detect_format(first) == "rxn" else "molecule"))
+    return frame if max_records is None else frame[:max_records]
 
 
 def batches(records: DataFrame, size: int = 1000) -> tuple[DataFrame, int]:
-    """Records with ``batch_id`` across files, and the number of batches (1 at least) [A8, I13]."""
+    """Records numbered without gaps, with ``batch_id`` across files, and the number of batches (1 at least) [A8, I13]."""
     from ..operators.aggregate import batch_ids
 
-    return batch_ids(records, size), max(1, -(-records.count() // size))
+    frame = EntityFrame(records).reindexed()
+    return batch_ids(frame.df, size), max(1, -(-frame.count() // size))
+
+
+def iter_batches(records: DataFrame, size: int = 1000) -> Iterator[pa.Table]:
+    """Batches of ``size`` records across files, the rest last, one at a time on the driver [A8]."""
+    rows, n = batches(records, size)
+    rows = rows.repartitionByRange("batch_id").sortWithinPartitions("batch_id", POS) if n > 1 else rows.sort(POS)
+    held: list = []
+    now = 0
+    for row in rows.toLocalIterator(prefetchPartitions=True):
+        if row.batch_id != now:
+            yield pa.Table.from_pylist(held)
+            held, now = [], row.batch_id
+        held.append({k: v for k, v in row.asDict(True).items() if k != "batch_id"})
+    if held:
+        yield pa.Table.from_pylist(held)
 
 
-def from_smiles(df: DataFrame, smiles: str = "smiles", order: str | None = None) -> EntityFrame:
+def from_smiles(df: DataFrame, smiles: str = "smiles", order: str | None = None, sanitize: bool = True) -> EntityFrame:
     """A SMILES column parsed; an unreadable one gives a null object and stays in the metadata [A16]."""
-    out = df.withColumn(OBJECT, chem.canonical_smiles(F.col(f"`{smiles}`")))
+    out = df.withColumn(OBJECT, chem.read_smiles(F.col(f"`{smiles}`"), sanitize))
     return EntityFrame.from_frame(out, order or smiles, kind="molecule")
 
 
@@ -280,7 +343,7 @@ def reaction_parts(frame: EntityFrame, side: str = "reactants") -> EntityFrame:
     if side not in ("reactants", "agents", "products"):
         raise ValueError(f"unknown side {side!r}")
     long = frame.df.select(F.col(POS).alias("reaction_index"), F.posexplode(f"{OBJECT}.{side}").alias("part_index", OBJECT))
-    return EntityFrame(dense(long.withColumn(POS, F.lit(0).cast("bigint")), F.col("reaction_index"), F.col("part_index")), "molecule", frame.history)
+    return EntityFrame(dense(long.withColumn(POS, F.lit(0).cast("bigint")), F.col("reaction_index"), F.col("part_index")), "molecule", frame.history, layout=Layout())
 
 
 for _ext, _reader in {"smi": read_smiles, "smiles": read_smiles, "csv": read_csv, "tsv": read_csv, "sdf": read_sdf, "sd": read_sdf, "mol": read_mol, "rxn": read_rxn}.items():

@@ -17,6 +17,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..frame import OBJECT, EntityFrame
 from ..functions.chem import mol as M
@@ -27,14 +28,19 @@ from .molblock import write_block
 
 
 def to_records(frame: EntityFrame) -> DataFrame:
-    """(_pos, object, name, source, index, properties); null and NaN properties are dropped [B8]."""
+    """(_pos, object, name, source, index, properties, and coords of objects that have them); null properties and NaN numbers are dropped [B8]."""
     df = frame.df
     own = [c for c in frame.metadata_columns if c not in ("name", "source", "index")]
-    pairs = [x for c in own for x in (F.lit(c), F.when(F.col(f"`{c}`").cast("string") != "NaN", F.col(f"`{c}`").cast("string")))]
+    real = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    text = lambda c: F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`").cast("string")) if c in real else F.col(f"`{c}`").cast("string")
+    pairs = [x for c in own for x in (F.lit(c), text(c))]
     props = F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull()) if pairs else F.create_map().cast("map<string,string>")
     pick = lambda c, kind: F.col(c).cast(kind).alias(c) if c in df.columns else F.lit(None).cast(kind).alias(c)
-    obj = F.col(OBJECT) if frame.kind != "reaction" or df.schema[OBJECT].dataType.simpleString() == "string" else _text(F.col(OBJECT))
-    return df.select(POS, obj.alias(OBJECT), pick("name", "string"), pick("source", "string"), pick("index", "bigint"), props.alias("properties"))
+    kind = df.schema[OBJECT].dataType
+    solid = isinstance(kind, T.StructType) and "coords" in kind.names
+    obj = F.col(f"{OBJECT}.smiles") if solid else F.col(OBJECT) if frame.kind != "reaction" or isinstance(kind, T.StringType) else _text(F.col(OBJECT))
+    coords = [F.get(F.col(f"{OBJECT}.coords"), F.lit(0)).alias("coords")] if solid else []
+    return df.select(POS, obj.alias(OBJECT), pick("name", "string"), pick("source", "string"), pick("index", "bigint"), props.alias("properties"), *coords)
 
 
 def _text(c):
@@ -43,14 +49,14 @@ def _text(c):
     return reaction_text(c)
 
 
-def smiles_lines(records: DataFrame, delimiter=" ", write_name=True, canonical=True, **_: Any) -> DataFrame:
+def smiles_lines(records: DataFrame, delimiter=" ", write_name=True, canonical=True) -> DataFrame:
     """SMILES and name; not canonical prefers the stored SMILES property [B3]."""
     s = F.col(OBJECT) if canonical else F.coalesce(F.try_element_at("properties", F.lit("SMILES")), F.col(OBJECT))
     line = F.concat_ws(delimiter, s, F.col("name")) if write_name else s
     return records.where(F.col(OBJECT).isNotNull()).select(POS, line.alias("value"))
 
 
-def csv_lines(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "Name", extra_cols: list[str] | None = None, delimiter: str = ",", **_: Any) -> DataFrame:
+def csv_lines(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "Name", extra_cols: list[str] | None = None, delimiter: str = ",") -> DataFrame:
     """Header and rows; the first record's properties make the header unless given [B4]."""
     if extra_cols is None:
         first = records.orderBy(POS).select(F.map_keys("properties")).first()
@@ -68,7 +74,7 @@ def csv_lines(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "N
     return header.unionAll(records.select(POS, F.concat_ws(delimiter, *cells).alias("value")))
 
 
-def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "Name", extra_cols: list[str] | None = None, **_: Any) -> DataFrame:
+def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "Name", extra_cols: list[str] | None = None, delimiter: str = ",") -> DataFrame:
     """The columns of :func:`csv_lines` for a folder of files, each with the header."""
     if extra_cols is None:
         first = records.orderBy(POS).select(F.map_keys("properties")).first()
@@ -88,32 +94,34 @@ def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "N
 def _blocks(include_properties: bool, end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pos, text = [], []
-            for p, s, n, props in zip(*[batch.column(c).to_pylist() for c in (POS, OBJECT, "name", "properties")], strict=True):
-                try:
-                    block = write_block(M.perceive(M.parse(s)), n or "")
-                except (ValueError, RecursionError):
-                    continue
+            text = []
+            coords = batch.column("coords").to_pylist() if "coords" in batch.schema.names else [None] * batch.num_rows
+            for s, n, props, at in zip(*[batch.column(c).to_pylist() for c in (OBJECT, "name", "properties")], coords, strict=True):
+                block = write_block(M.parse(s), n or "", at)  # atoms in the order of the text, as coordinates are
                 if include_properties:
                     block += "".join(f"\n> <{k}>\n{v}\n" for k, v in props or [])
-                pos.append(p)
                 text.append(block + ("\n$$$$" if end else ""))
-            yield pa.record_batch([pa.array(pos, pa.int64()), pa.array(text, pa.string())], [POS, "value"])
+            yield pa.record_batch([batch.column(POS), pa.array(text, pa.string())], [POS, "value"])
 
     return run
 
 
-def sdf_lines(records: DataFrame, include_properties: bool = True, **_: Any) -> DataFrame:
+def _molecules(records: DataFrame) -> DataFrame:
+    """Records with an object; one that can't be read is an error when it is written."""
+    return records.where(F.col(OBJECT).isNotNull())
+
+
+def sdf_lines(records: DataFrame, include_properties: bool = True) -> DataFrame:
     """Mol blocks with their properties; records without a molecule are left out [B2, B10]."""
-    return records.where(F.col(OBJECT).isNotNull()).mapInArrow(_blocks(include_properties, True), f"{POS} bigint, value string")
+    return _molecules(records).mapInArrow(_blocks(include_properties, True), f"{POS} bigint, value string")
 
 
-def mol_lines(records: DataFrame, **_: Any) -> DataFrame:
+def mol_lines(records: DataFrame) -> DataFrame:
     """The first record only [B6]."""
-    return records.where(F.col(OBJECT).isNotNull()).orderBy(POS).limit(1).mapInArrow(_blocks(False, False), f"{POS} bigint, value string")
+    return _molecules(records).orderBy(POS).limit(1).mapInArrow(_blocks(False, False), f"{POS} bigint, value string")
 
 
-def rxn_lines(records: DataFrame, **_: Any) -> DataFrame:
+def rxn_lines(records: DataFrame) -> DataFrame:
     """One reaction file a record [B5]."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -318,8 +318,9 @@ class EntityFrame:
             layout = self._layout and self._layout.part(start, None if stop < 0 else stop, step)
         return self._new(self._chosen(chosen), HistoryEntry.now("subset", extra, **extra), layout=layout)
 
-    def where(self, predicate: Column) -> EntityFrame:
-        """Rows where ``predicate`` is true; null counts as false [C10]."""
+    def where(self, predicate: Column | str) -> EntityFrame:
+        """Rows where ``predicate`` (a column or SQL text) is true; null counts as false [C10]."""
+        predicate = F.expr(predicate) if isinstance(predicate, str) else predicate
         return self._new(self.df.where(F.coalesce(predicate, F.lit(False))), HistoryEntry.now("where"))
 
     def view(self, features: Sequence[str] | None = None, meta_cols: Sequence[str] | None = None, feature_slices: Mapping[str, tuple[int, int]] | None = None) -> EntityFrame:

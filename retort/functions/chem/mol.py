@@ -197,6 +197,8 @@ def parse(smiles: str) -> Mol:
         elif c in "bcnops":
             add(Atom(AROMATIC[c], True))
         elif c in BONDS:
+            if order is not None or last < 0:
+                raise ChemError("a bond after a bond or without an atom")
             order = BONDS[c]
         elif c == "(":
             if last < 0:
@@ -224,8 +226,8 @@ def parse(smiles: str) -> Mol:
         else:
             raise ChemError(f"unexpected {c!r}")
         k += 1
-    if open_ or stack:
-        raise ChemError("a ring or branch isn't closed")
+    if open_ or stack or order is not None:
+        raise ChemError("a ring, branch or bond isn't closed")
     mol = Mol(atoms, bonds)
     for i, a in enumerate(atoms):
         if not a.bracket and a.symbol != "*":

@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..frame import OBJECT, PREFIX, EntityFrame
 from ..index import POS
@@ -34,10 +35,16 @@ class Overlay:
     def _check(self, manifest: dict, frame: EntityFrame) -> None:
         """All differences between the base as it was and as it is [L13]."""
         errors = []
-        names = [f["name"] for f in manifest["schema"]["fields"]]
-        now = self.base.df.columns
-        if sorted(names) != sorted(now):
-            errors.append(f"columns {sorted(set(names) ^ set(now))}")
+        then = {f.name: f for f in T.StructType.fromJson(manifest["schema"]).fields}
+        now = {f.name: f for f in self.base.df.schema.fields}
+        if then.keys() != now.keys():
+            errors.append(f"columns {sorted(then.keys() ^ now.keys())}")
+        for n in sorted(then.keys() & now.keys()):
+            if then[n].dataType != now[n].dataType or then[n].metadata.get("shape") != now[n].metadata.get("shape"):
+                errors.append(f"type of {n}: {then[n].dataType.simpleString()} {then[n].metadata.get('shape') or ''}".rstrip())
+            kept = {f.name: f for f in frame.df.schema.fields}.get(n)
+            if kept is not None and kept.dataType != then[n].dataType and n in (POS, OBJECT):
+                errors.append(f"{n} would become {kept.dataType.simpleString()}")
         if manifest["kind"] != self.base.kind:
             errors.append(f"kind {manifest['kind']}")
         if errors:
@@ -56,7 +63,13 @@ class Overlay:
 
 
 def write_back(base: EntityFrame, delta: EntityFrame) -> EntityFrame:
-    """Rows of ``delta`` over those of ``base`` by position: an outer join in which the delta's columns win."""
+    """Rows of ``delta`` over those of ``base`` by position: an outer join in which the delta's columns win.
+
+    Only the columns that ``delta`` has are joined; Spark broadcasts neither side
+    of a full join, so for edits of a predicate's rows an edit of the whole frame
+    with that predicate (``update_metadata(values, predicate)``) is cheaper: it
+    needs no join.
+    """
     d = delta.df.select(F.col(POS).alias("_dpos"), F.lit(True).alias("_there"), *[F.col(f"`{c}`").alias(f"_d_{c}") for c in delta.df.columns if c != POS])
     met = base.df.join(d, F.col(POS) == F.col("_dpos"), "full_outer")
     columns = [c for c in base.df.columns if c != POS] + [c for c in delta.df.columns if c not in base.df.columns]

@@ -1,13 +1,14 @@
 """Blocks: filters, featurizers, preparations, sources and the sampler [J*, N*, A21, A22, G1].
 
 A block is a plain value that extends a frame's plan.  Blocks that are pure row
-predicates say so (``pure``) and whether they need Python (``native`` if not),
-which lets a pipeline run cheap ones first.  Kernels parse a distinct SMILES
+predicates say so (``pure``) and whether they stay in the JVM (``native``), which
+lets a pipeline run cheap ones first.  Kernels parse a distinct SMILES
 once per worker, and Spark puts neighbouring ones into one Arrow stage.
 """
 
 from __future__ import annotations
 
+import hashlib
 import inspect
 import json
 import os
@@ -20,10 +21,12 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from ..frame import OBJECT, EntityFrame, HistoryEntry, feature_column
+from ..index import POS
 from ..functions import chem
 from ..functions.chem import props
 from ..functions.chem.smarts import compile_pattern
 from ..operators import setops
+from ..storage import scratch
 
 #: Numbers of the elements of drug-like molecules.
 ORGANIC = tuple(chem.M.NUMBER[s] for s in "H C N O F P S Cl Br I".split())
@@ -217,8 +220,10 @@ class UniqueFilter(Block):
         else:
             key = chem.canonical_smiles(F.col(OBJECT))
         out = setops.unique(frame, key, self._seen)
-        if not self.auto_reset:
-            own = out.df.select(key.alias("key"))
+        if not self.auto_reset:  # keys are stored, so that a later run doesn't repeat this one
+            path = scratch(frame.spark, "seen")
+            out.df.select(key.alias("key")).write.parquet(path)
+            own = frame.spark.read.schema("key string").parquet(path)
             self._seen = own if self._seen is None else self._seen.unionAll(own)
         return out
 
@@ -228,6 +233,7 @@ class FunctionFilter(Filter):
 
     def __init__(self, func: Callable, name: str | None = None, column: str = OBJECT):
         self.func, self.label, self.column = func, name, column
+        self.native = _of_columns(func)
 
     @property
     def name(self) -> str:
@@ -237,6 +243,35 @@ class FunctionFilter(Filter):
         return _apply(self.func, self.column, "boolean")
 
 
+class BatchFunction(Block):
+    """A function of whole batches: pandas DataFrame to pandas DataFrame of the columns in ``returns`` [M2, M3, N5].
+
+    It sees all rows of a batch in order and may add, change or drop rows; which
+    rows those are, :meth:`Pipeline.run_batches` or ``batch_size`` says.  Columns are
+    ``_pos``, the object, metadata and features.  A batch is one task's.
+    """
+
+    def __init__(self, func: Callable[[pd.DataFrame], pd.DataFrame], returns: str, batch_size: int = 1000, name: str | None = None):
+        if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
+            raise ValueError("batch_size must be a positive integer")
+        self.func, self.returns, self.batch_size, self.label = func, returns, batch_size, name
+
+    @property
+    def name(self) -> str:
+        return self.label or _valid_name(self.func)
+
+    def process(self, frame: EntityFrame) -> EntityFrame:
+        from ..operators.aggregate import batch_ids
+
+        func = self.func
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            return func(rows.sort_values(POS, ignore_index=True).drop(columns="batch_id"))
+
+        rows = batch_ids(frame.reindexed().df, self.batch_size)
+        return frame._new(rows.groupBy("batch_id").applyInPandas(run, self.returns))
+
+
 # -- featurizers -----------------------------------------------------------
 
 
@@ -484,14 +519,20 @@ def _valid_name(func: Callable) -> str:
     """The function's name, or one from its code's hash for a lambda."""
     name = getattr(func, "__name__", "function")
     if name == "<lambda>":
-        return f"lambda_{abs(hash(json.dumps([func.__code__.co_code.hex(), repr(func.__code__.co_consts)]))) % 10**8}"
+        code = json.dumps([func.__code__.co_code.hex(), [repr(c) for c in func.__code__.co_consts if not inspect.iscode(c)], func.__code__.co_names])
+        return "lambda_" + hashlib.blake2b(code.encode(), digest_size=5).hexdigest()
     return name
 
 
+def _of_columns(func: Callable) -> bool:
+    """Whether a function says that it takes a Column."""
+    first = next(iter(inspect.signature(func).parameters.values()), None)
+    return first is not None and first.annotation in (Column, "Column")
+
+
 def _apply(func: Callable, column: str, returns: str) -> Column:
     """A native expression if ``func`` makes a Column of a Column, else an Arrow-batched pandas UDF."""
-    first = next(iter(inspect.signature(func).parameters.values()), None)
-    if first is not None and first.annotation in (Column, "Column"):
+    if _of_columns(func):
         return func(F.col(column))
 
     def run(s: pd.Series) -> pd.Series:

@@ -3,7 +3,8 @@
 Row blocks give the same result for any batching and any number of tasks, so a
 pipeline runs as one lazy plan.  Runs of neighbouring pure filters are reordered
 so that native predicates come before Python kernels; nothing moves across a
-dedup, a sampler or a preparation.
+dedup, a sampler or a preparation.  Dedup and samples are of the whole table, not
+of a batch; what must see a batch as a whole is a :class:`BatchFunction`.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import warnings
 from collections.abc import Sequence
 
 from ..frame import EntityFrame
-from .blocks import Block, Source
+from .blocks import BatchFunction, Block, Source
 
 
 def ordered(steps: Sequence[Block]) -> list[Block]:
@@ -66,13 +67,14 @@ class Pipeline:
         return frame
 
     def run_batches(self, table: EntityFrame, batch_size: int) -> EntityFrame:
-        """Batch by batch and concatenated again; equal to :meth:`run` for row blocks, and the schema stays when nothing is left."""
-        from ..operators.aggregate import batch_ids
-        from ..operators.setops import concat
+        """:meth:`run` with batches of ``batch_size`` rows for the blocks that work by batch [M2, M3].
 
+        It is one plan, whatever the number of batches: row blocks don't depend on
+        them, and rows that reach a batch block are numbered and dealt to batches
+        there, so a batch is whole after filters too.  The schema stays when
+        nothing is left.
+        """
         if isinstance(batch_size, bool) or not isinstance(batch_size, int) or batch_size < 1:
             raise ValueError("batch_size must be a positive integer")
-        dense = table.reindexed()
-        ids = sorted(r[0] for r in batch_ids(dense.df, batch_size).select("batch_id").distinct().collect())
-        parts = [self.run(table._new(batch_ids(dense.df, batch_size).where(f"batch_id = {b}").drop("batch_id"))) for b in ids]
-        return concat(parts) if parts else self.run(table)
+        steps = [BatchFunction(s.func, s.returns, batch_size, s.label) if isinstance(s, BatchFunction) else s for s in self.steps]
+        return Pipeline(steps).run(table)

@@ -273,10 +273,117 @@ def update_objects_partial(spark: SparkSession, d: str) -> DataFrame:
     return documents(spark, d).update_objects(F.lower(OBJECT), F.col(POS) % 2 == 0).df.select("doc_id", F.col(OBJECT).alias("text"))
 
 
-@query("overlay_commit", "SELECT doc_id, CASE WHEN doc_id < 50 THEN source || '!' ELSE source END AS source FROM documents")
+@query("slice_of_slice", "SELECT doc_id, lang FROM documents WHERE doc_id >= 16 AND doc_id < 70 AND (doc_id - 16) % 6 = 0")
+def slice_of_slice(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[10:190:3][2:20:2].df.select("doc_id", "lang")
+
+
+@query("backward_slice", "SELECT doc_id, (100 - doc_id) // 4 AS pos FROM documents WHERE doc_id <= 100 AND doc_id > 20 AND (100 - doc_id) % 4 = 0")
+def backward_slice(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d)[100:20:-4].df.select("doc_id", F.col(POS).alias("pos"))
+
+
+_FRENCH = "SELECT *, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE lang = 'fr'"
+
+
+@query("take_after_filter", f"SELECT v.pos::BIGINT AS pos, doc_id FROM ({_FRENCH}) JOIN (VALUES (0, 3), (1, 0), (2, 3)) v(pos, num) ON k = v.num")
+def take_after_filter(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).where(F.col("lang") == "fr")[[3, 0, 3]].df.select(F.col(POS).alias("pos"), "doc_id")
+
+
+@query("negative_after_filter", "SELECT doc_id FROM documents WHERE lang = 'de' ORDER BY doc_id DESC LIMIT 5")
+def negative_after_filter(spark: SparkSession, d: str) -> DataFrame:
+    return documents(spark, d).where(F.col("lang") == "de")[-5:].df.select("doc_id")
+
+
+@query("update_values_after_filter", f"SELECT doc_id, CASE k WHEN 0 THEN 'a' WHEN 2 THEN 'b' ELSE lang END AS lang, (k * k)::BIGINT AS square FROM ({_FRENCH})")
+def update_values_after_filter(spark: SparkSession, d: str) -> DataFrame:
+    f = documents(spark, d).where(F.col("lang") == "fr")
+    out = f.update_metadata({"lang": ["a", "b"]}, [0, 2]).with_metadata("square", [k * k for k in range(len(f))])
+    return out.df.select("doc_id", "lang", "square")
+
+
+@query("features_after_filter", "SELECT vec_id, embedding FROM (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM embeddings WHERE label = 3) WHERE k IN (2, 4, 6, 8)")
+def features_after_filter(spark: SparkSession, d: str) -> DataFrame:
+    out = vectors(spark, d).where(F.col("label") == 3)[FEAT, "embedding", slice(2, 10, 2)]
+    return out.select(F.col(POS).alias("vec_id"), "embedding")
+
+
+def _overlay(spark: SparkSession, d: str):
+    """An overlay on a bundle of the documents."""
+    from .operators.overlay import Overlay
+    from .sources import Bundle, save
+
+    path = scratch(spark, "bundle")
+    save(documents(spark, d), path)
+    return Overlay(Bundle(spark, path))
+
+
+def _loud(f: EntityFrame) -> EntityFrame:
+    return f.update_metadata({"source": F.concat("source", F.lit("!"))})
+
+
+_LOUD_SQL = "SELECT doc_id, CASE WHEN doc_id < 50 THEN source || '!' ELSE source END AS source FROM documents"
+
+
+@query("overlay_commit", _LOUD_SQL)
 def overlay_commit(spark: SparkSession, d: str) -> DataFrame:
+    """A slice is edited and committed as rows of the next version, which is loaded."""
+    o = _overlay(spark, d).edit(lambda f: _loud(f[0:50]))
+    return o.bundle.load(o.commit_rows()).df.select("doc_id", "source")
+
+
+@query("overlay_write_back", _LOUD_SQL)
+def overlay_write_back(spark: SparkSession, d: str) -> DataFrame:
     base = documents(spark, d)
-    return write_back(base, base[0:50].update_metadata({"source": F.concat("source", F.lit("!"))})).df.select("doc_id", "source")
+    return write_back(base, _loud(base[0:50])).df.select("doc_id", "source")
+
+
+@query("overlay_materialize", "SELECT doc_id, source || '!' AS source FROM documents WHERE lang = 'es'")
+def overlay_materialize(spark: SparkSession, d: str) -> DataFrame:
+    o = _overlay(spark, d).edit(lambda f: f.where(F.col("lang") == "es")).edit(_loud)
+    return o.materialize(scratch(spark, "plain")).df.select("doc_id", "source")
+
+
+@query("overlay_clone", "SELECT doc_id, lang, 'x' AS tag FROM documents UNION ALL SELECT doc_id, 'y' AS lang, NULL AS tag FROM documents")
+def overlay_clone(spark: SparkSession, d: str) -> DataFrame:
+    """Two overlays from one: neither sees the other's edit."""
+    o = _overlay(spark, d)
+    a, b = o.edit(lambda f: f.with_metadata("tag", "x")), o.edit(lambda f: f.update_metadata({"lang": F.lit("y")}))
+    return a.frame.df.select("doc_id", "lang", "tag").unionAll(b.frame.df.select("doc_id", "lang", F.lit(None).cast("string").alias("tag")))
+
+
+@query("overlay_append", "SELECT doc_id AS pos, doc_id, lang FROM documents UNION ALL SELECT (SELECT count(*) FROM documents) + doc_id AS pos, doc_id, lang FROM documents WHERE doc_id < 20")
+def overlay_append(spark: SparkSession, d: str) -> DataFrame:
+    o = _overlay(spark, d).edit(lambda f: ops.append(f, f[0:20]))
+    return o.bundle.load(o.commit()).df.select(F.col(POS).alias("pos"), "doc_id", "lang")
+
+
+@query("overlay_versions", "SELECT 0 AS version, doc_id, lang FROM documents UNION ALL SELECT 1, doc_id, upper(lang) FROM documents")
+def overlay_versions(spark: SparkSession, d: str) -> DataFrame:
+    """A crashed commit leaves data that no manifest names: it is neither loaded nor kept."""
+    o = _overlay(spark, d).edit(lambda f: f.update_metadata({"lang": F.upper("lang")}))
+    spark.range(3).write.parquet(f"{o.bundle.path}/data/v=1-crashed")
+    o.commit()
+    if o.bundle.vacuum() != 1:
+        raise AssertionError("the crashed commit's data is still there")
+    parts = [o.bundle.load(v).df.select(F.lit(v).alias("version"), "doc_id", "lang") for v in (0, 1)]
+    return parts[0].unionAll(parts[1])
+
+
+@query("bundle_features", "SELECT vec_id, label, embedding FROM embeddings")
+def bundle_features(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import load, save
+
+    path = scratch(spark, "bundle")
+    save(vectors(spark, d), path)
+    return load(spark, path).df.select("vec_id", "label", F.col("f__embedding").alias("embedding"))
+
+
+@query("tombstone_feature", "SELECT vec_id, [1.0::DOUBLE, 2.0::DOUBLE] AS embedding FROM embeddings")
+def tombstone_feature(spark: SparkSession, d: str) -> DataFrame:
+    out = tombstone(vectors(spark, d), "embedding").with_feature("embedding", F.array(F.lit(1.0), F.lit(2.0)))
+    return out.df.select("vec_id", F.col("f__embedding").alias("embedding"))
 
 
 @query("overlay_nested", "SELECT doc_id, n_chars + 1 AS n_chars FROM documents WHERE lang = 'fr' AND n_chars + 1 > 300")
@@ -316,15 +423,20 @@ def batch_ids(spark: SparkSession, d: str) -> DataFrame:
     return ops.aggregate.batch_ids(table(spark, d, "events").withColumn(POS, F.col("event_id")), 1000).select("event_id", "batch_id")
 
 
-@query("batch_pipeline", "SELECT event_id, event_type FROM events WHERE value > 50")
+@query("batch_pipeline", "SELECT event_id, event_type FROM (SELECT *, max(value) OVER (PARTITION BY k // 1000) AS top FROM (SELECT *, row_number() OVER (ORDER BY event_id) - 1 AS k FROM events WHERE value > 50)) WHERE value = top")
 def batch_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    from .plans import FunctionFilter, Pipeline
+    """A filter, then the rows with the largest value of each batch of 1,000 that are left."""
+    from .plans import BatchFunction, FunctionFilter, Pipeline
 
     def high(c: Column) -> Column:
         return c > 50
 
+    def largest(rows):
+        return rows[rows["value"] == rows["value"].max()]
+
     frame = EntityFrame.from_frame(table(spark, d, "events").select("event_id", "event_type", "value"), "event_id")
-    return Pipeline([FunctionFilter(high, "high", column="value")]).run(frame).df.select("event_id", "event_type")
+    steps = [FunctionFilter(high, "high", column="value"), BatchFunction(largest, f"{POS} bigint, object string, event_id bigint, event_type string, value double")]
+    return Pipeline(steps).run_batches(frame, 1000).df.select("event_id", "event_type")
 
 
 @query("stream_unique", "SELECT DISTINCT user_id FROM events")
@@ -542,6 +654,68 @@ def sdf_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return _round_trip(spark, d, "m.sdf").df.select(F.col(OBJECT).alias("smiles"), "name")
 
 
+@query("mol_roundtrip", f"SELECT {SMILES_SQL} AS smiles FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part)")
+def mol_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The format holds one molecule: the first."""
+    return _single(spark, molecules(spark, d), "m.mol").df.select(F.col(OBJECT).alias("smiles"))
+
+
+def _single(spark: SparkSession, frame: EntityFrame, name: str, **options) -> EntityFrame:
+    """One file of the format written and read again."""
+    from .sources import read_file, write_file
+
+    path = f"{scratch(spark, 'single').removeprefix('file://')}/{name}"
+    write_file(frame, path, single=True)
+    return read_file(spark, path, **options)
+
+
+@query("rxn_roundtrip", f"SELECT {SMILES_SQL} || '.O>>' || {SMILES_SQL} AS reaction FROM part WHERE p_partkey < 30 AND length({SMILES_SQL}) > 1")
+def rxn_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A file for each reaction, all read again."""
+    from .sources import read_file, write_file
+
+    path = f"{scratch(spark, 'rxn').removeprefix('file://')}/r.rxn"
+    some = _reactions(spark, d).where((F.col("p_partkey") < 30) & (F.length(F.get(F.col("object.products"), F.lit(0))) > 1))
+    n = write_file(some, path)
+    base = path.removesuffix(".rxn")
+    return read_file(spark, [path, *[f"{base}_{k}.rxn" for k in range(1, n)]]).df.select(F.col(OBJECT).alias("reaction"))
+
+
+@query("read_several_files", f"SELECT 0 AS file, {SMILES_SQL} AS smiles FROM part UNION ALL SELECT 1, {SMILES_SQL} FROM part")
+def read_several_files(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of SMILES lines and one of SDF blocks as one frame, in the order given."""
+    from .sources import read_file, write_file
+
+    path, m = scratch(spark, "several"), molecules(spark, d)
+    write_file(m, f"{path}/a.smi"), write_file(m, f"{path}/b.sdf")
+    out = read_file(spark, [f"{path}/a.smi", f"{path}/b.sdf"])
+    n = m.count()
+    return out[0:n].df.select(F.lit(0).alias("file"), F.col(OBJECT).alias("smiles")).unionAll(out[n:].df.select(F.lit(1).alias("file"), F.col(OBJECT).alias("smiles")))
+
+
+@query("read_skip_errors", f"SELECT {SMILES_SQL} AS smiles, (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS number FROM part WHERE p_partkey % 4 <> 0")
+def read_skip_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth line can't be read; the others keep their order and are numbered without gaps."""
+    from .sources import read_file
+
+    path = f"{scratch(spark, 'errors')}/m.smi"
+    t = molecules(spark, d).df
+    t.orderBy("p_partkey").select(F.when(F.col("p_partkey") % 4 == 0, "C(").otherwise(F.col("smiles")).alias("value")).write.text(path)
+    return read_file(spark, path, on_error="skip").reindexed().df.select(F.col(OBJECT).alias("smiles"), F.col(POS).alias("number"))
+
+
+@query("sdf_coordinates", f"SELECT {SMILES_SQL} AS smiles, list_transform(range(length({SMILES_SQL})), lambda i: [i::DOUBLE, p_size::DOUBLE, 0.5]) AS coords FROM part")
+def sdf_coordinates(spark: SparkSession, d: str) -> DataFrame:
+    """Conformers keep their geometry: a coordinate for each atom, in the order of the SMILES."""
+    from .sources import read_file, write_file
+
+    path = f"{scratch(spark, 'solid')}/m.sdf"
+    at = F.transform(F.sequence(F.lit(0), F.length("smiles") - 1), lambda i: F.array(i.cast("double"), F.col("p_size").cast("double"), F.lit(0.5)))
+    m = molecules(spark, d).df.withColumn(OBJECT, F.struct("smiles", F.array(at).alias("coords")))
+    write_file(EntityFrame(m, "conformer"), path)
+    return read_file(spark, path, coords=True).df.select(F.col("object.smiles").alias("smiles"), F.get("object.coords", F.lit(0)).alias("coords"))
+
+
 @query("bundle_roundtrip", "SELECT doc_id, lang, source, n_chars, text FROM documents")
 def bundle_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     from .sources import load, save
@@ -631,3 +805,91 @@ def reaction_text(spark: SparkSession, d: str) -> DataFrame:
     from .sources.readers import reaction_text as text
 
     return _reactions(spark, d).df.select("p_partkey", text(F.col(OBJECT)).alias("reaction"))
+
+
+#: Phenyl compounds with a chain of k carbons and a group, as SQL: molecules with rings, aromatic atoms, charges, several bonds.
+GROUPS = ("", "O", "N", "C(=O)O", "Cl", "[N+](=O)[O-]", "C#N")
+_K, _G = "(p_size % 12)", f"(p_partkey % {len(GROUPS)})"
+_ROWS = "p_partkey % 13 <> 0 AND p_partkey % 17 <> 0"
+
+
+def _by_group(*values: object) -> str:
+    return f"(CASE {_G} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(values)) + " END)"
+
+
+#: Carbon, hydrogen, nitrogen, oxygen, chlorine.
+_ATOMS = (f"(6 + {_K} + {_by_group(0, 0, 0, 1, 0, 0, 1)})", f"(5 + 2 * {_K} + {_by_group(1, 1, 2, 1, 0, 0, 0)})", _by_group(0, 0, 1, 0, 0, 1, 1), _by_group(0, 1, 0, 2, 0, 2, 0), _by_group(0, 0, 0, 0, 1, 0, 0))
+PHENYL_MASS = "(" + " + ".join(f"{m} * {n}" for m, n in zip((12.011, 1.008, 14.007, 15.999, 35.45), _ATOMS, strict=True)) + ")"
+
+
+def phenyls(spark: SparkSession, d: str, ring: str = "c1ccc({})cc1") -> EntityFrame:
+    """The phenyl compounds; each 13th text is null and each 17th can't be read."""
+    group = F.element_at(F.array(*[F.lit(g) for g in GROUPS]), (F.col("p_partkey") % len(GROUPS) + 1).cast("int"))
+    side = F.concat(F.repeat(F.lit("C"), (F.col("p_size") % 12).cast("int")), group)
+    a, b = ring.split("{}")
+    text = F.when(side == "", F.lit((a + b).replace("()", ""))).otherwise(F.concat(F.lit(a), side, F.lit(b)))
+    text = F.when(F.col("p_partkey") % 13 == 0, None).when(F.col("p_partkey") % 17 == 0, F.lit("c1ccc(C")).otherwise(text)
+    return EntityFrame.from_frame(table(spark, d, "part").select("p_partkey", "p_size", text.alias(OBJECT)), "p_partkey", kind="molecule")
+
+
+@query("ring_validity", f"SELECT p_partkey FROM part WHERE {_ROWS}")
+def ring_validity(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import Pipeline, ValidityFilter
+
+    return Pipeline([ValidityFilter()]).run(phenyls(spark, d)).df.select("p_partkey")
+
+
+@query(
+    "ring_descriptors",
+    f"""SELECT p_partkey, round({PHENYL_MASS}::DOUBLE, 4) AS mw, {_by_group(0, 1, 1, 1, 0, 0, 0)}::DOUBLE AS hbd, {_by_group(0, 1, 1, 1, 0, 2, 1)}::DOUBLE AS hba,
+    {_by_group(0.0, 20.23, 26.02, 37.30, 0.0, 43.14, 23.79)}::DOUBLE AS tpsa, 1.0::DOUBLE AS rings, 1.0::DOUBLE AS aromatic FROM part WHERE {_ROWS}""",
+)
+def ring_descriptors(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import Pipeline, ValidityFilter
+
+    names = ["MolWt", "NumHDonors", "NumHAcceptors", "TPSA", "RingCount", "NumAromaticRings"]
+    out = ops.add_descriptors(Pipeline([ValidityFilter()]).run(phenyls(spark, d)), names).df
+    return out.select("p_partkey", F.round("MolWt", 4).alias("mw"), F.col("NumHDonors").alias("hbd"), F.col("NumHAcceptors").alias("hba"), F.round("TPSA", 2).alias("tpsa"), F.col("RingCount").alias("rings"), F.col("NumAromaticRings").alias("aromatic"))
+
+
+@query("ring_logp_rule", f"SELECT p_partkey FROM part WHERE {_ROWS} AND {_G} IN (0, 1) AND {_K} > 1 AND round(CASE {_G} WHEN 0 THEN 5 * 0.2811 + 0.136 + (-0.0516 + 0.246) + 0.3901 * ({_K} - 2) + 0.5131 ELSE 5 * 0.2811 + 0.136 + (-0.0516 + 0.246) + 0.3901 * ({_K} - 2) + (-0.2035 + 0.246) + (-0.2893 - 0.2677) END, 4) <= 4.5")
+def ring_logp_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Bounds of logP: benzenes with a chain, and phenyl alcohols."""
+    from .plans import Pipeline, PropertyFilter
+
+    f = phenyls(spark, d).where((F.col("p_partkey") % len(GROUPS)).isin(0, 1) & (F.col("p_size") % 12 > 1))
+    return Pipeline([PropertyFilter(max_logp=4.5)]).run(f).df.select("p_partkey")
+
+
+@query("ring_spellings", f"SELECT p_partkey, {_ROWS} AS readable, {_ROWS} AS same, true AS bits FROM part")
+def ring_spellings(spark: SparkSession, d: str) -> DataFrame:
+    """Aromatic and Kekule spellings, from another atom on: one canonical form and one fingerprint of each kind."""
+    a, b = F.col(OBJECT), F.col("other")
+    other = phenyls(spark, d, "C=1C=CC=CC=1{}").df
+    t = phenyls(spark, d).df.join(other.select("p_partkey", F.col(OBJECT).alias("other")), "p_partkey")
+    same = F.coalesce(chem.canonical_smiles(a) == chem.canonical_smiles(b), F.lit(False))
+    bits = (chem.morgan(a) == chem.morgan(b)) & (chem.maccs(a) == chem.maccs(b)) & (chem.gobbi(a) == chem.gobbi(b))
+    return t.select("p_partkey", chem.is_readable(a).alias("readable"), same.alias("same"), bits.alias("bits"))
+
+
+@query("ring_kekulize", f"SELECT p_partkey, (3 + {_by_group(0, 0, 0, 1, 0, 1, 0)})::INTEGER AS double_bonds, false AS aromatic FROM part WHERE {_ROWS}")
+def ring_kekulize(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import Kekulizer, Pipeline, ValidityFilter
+
+    out = Pipeline([ValidityFilter(), Kekulizer()]).run(phenyls(spark, d)).df
+    return out.select("p_partkey", F.regexp_count(OBJECT, F.lit("=")).alias("double_bonds"), F.col(OBJECT).rlike("c").alias("aromatic"))
+
+
+@query("ring_desalt", f"SELECT p_partkey, {_ROWS} AS parent FROM part WHERE p_partkey % 17 <> 0")
+def ring_desalt(spark: SparkSession, d: str) -> DataFrame:
+    """Salts with two small ions lose these; null stays null."""
+    t = phenyls(spark, d).df.where("p_partkey % 17 <> 0")
+    parent = chem.desalted(F.concat(F.lit("[Na+].[Cl-]."), F.col(OBJECT)))
+    return t.select("p_partkey", F.coalesce(parent == chem.canonical_smiles(F.col(OBJECT)), F.lit(False)).alias("parent"))
+
+
+@query("ring_patterns", f"SELECT p_partkey, {_G} = 3 AS acid, {_G} = 5 AS nitro, {_G} = 6 AS nitrile, {_K} > 0 AS benzyl FROM part WHERE {_ROWS}")
+def ring_patterns(spark: SparkSession, d: str) -> DataFrame:
+    t = phenyls(spark, d).df.where("p_partkey % 13 <> 0 AND p_partkey % 17 <> 0")
+    h = t.withColumn("h", chem.substructure_hits(F.col(OBJECT), ["C(=O)[OX2H]", "[N+](=O)[O-]", "C#N", "c[CX4]"]))
+    return h.select("p_partkey", *[F.get("h", F.lit(k)).alias(n) for k, n in enumerate(("acid", "nitro", "nitrile", "benzyl"))])

@@ -102,6 +102,9 @@ def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILE
         others = [x for n, k in place.items() if k != key for x in (F.lit(n), F.col(f"c{k}"))]
         props = F.create_map(*others) if others else F.create_map().cast("map<string,string>")
         one = rows.select(F.coalesce(F.trim(f"c{key}"), F.lit("")).alias("_text"), (F.col(f"c{name % len(names)}") if name is not None else F.lit(None).cast("string")).alias("name"), props.alias("properties"), "source", "index", POS)
+        if out is not None:  # positions follow those of the files before
+            top = out.agg(F.max(POS)).first()[0]
+            one = one.withColumn(POS, F.col(POS) + F.lit(0 if top is None else top + 1))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -219,8 +222,13 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str
         raise ValueError("no files")
     known: set[str] = set()
     out, offset = None, F.lit(0).cast("bigint")
-    for k, path in enumerate(paths):
+    groups: list[tuple[str, list[str]]] = []  # neighbouring files of one format are one scan
+    for path in paths:
         ext = detect_format(path)
+        if not groups or groups[-1][0] != ext:
+            groups.append((ext, []))
+        groups[-1][1].append(path)
+    for k, (ext, group) in enumerate(groups):
         reader, sanitize = get_reader(ext), options.get("sanitize", True)
         names = inspect.signature(reader).parameters
         loose = any(p.kind == p.VAR_KEYWORD for p in names.values())
@@ -229,7 +237,7 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str
         own = (format_options or {}).get(ext, {})
         if "sanitize" in own and "sanitize" not in names:
             own, sanitize = {n: v for n, v in own.items() if n != "sanitize"}, own["sanitize"]
-        rows = reader(spark, [path], **shared | own)
+        rows = reader(spark, group, **shared | own)
         if "_text" in rows.columns:
             rows = rows.withColumn("object", chem.read_smiles(F.col("_text"), sanitize))
             rows = rows.withColumn("_error", F.when(F.col("_text") == "", "no SMILES").when(F.col("object").isNull(), F.concat(F.lit("can't read "), F.col("_text")))).drop("_text")
@@ -243,13 +251,13 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str
     elif on_error == "warn":
         found = out.where(bad).agg(F.count("*"), F.min(F.struct("_file", POS, "source", "index", "_error"))).first()
         if found[0]:
-            first = RecordParseError(found[1].source, found[1].index, found[1]._error)
+            first = RecordParseError(found[1]["source"], found[1]["index"], found[1]["_error"])
             warnings.warn(f"{found[0]} records can't be read and are dropped, first {first}", stacklevel=2)
     if on_error != "raise":
         out = out.where(~bad)
-    if len(paths) > 1:  # positions of a file follow those of the files before
+    if len(groups) > 1:  # positions of a scan follow those of the scans before
         tops = {r[0]: r[1] + 1 for r in out.drop("object").groupBy("_file").agg(F.max(POS)).collect()}
-        offset = F.element_at(F.create_map(*[x for k in range(len(paths)) for x in (F.lit(k), F.lit(sum(tops.get(j, 0) for j in range(k))).cast("bigint"))]), F.col("_file"))
+        offset = F.element_at(F.create_map(*[x for k in range(len(groups)) for x in (F.lit(k), F.lit(sum(tops.get(j, 0) for j in range(k))).cast("bigint"))]), F.col("_file"))
     return out.withColumn(POS, F.col(POS) + offset).drop("_file", "_error")
 
 

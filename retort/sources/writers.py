@@ -15,6 +15,7 @@ from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -136,10 +137,26 @@ def rxn_lines(records: DataFrame) -> DataFrame:
     return records.where(F.col(OBJECT).isNotNull()).select(POS, OBJECT, "name").mapInArrow(run, f"{POS} bigint, value string")
 
 
+def _files(uri: str):
+    """Writes each line to a file of its own, numbered by position but for the first."""
+    base, dot = os.path.splitext(uri)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, text in zip(batch.column(POS).to_pylist(), batch.column("value").to_pylist(), strict=True):
+                system, path = fs.FileSystem.from_uri(uri if not k else f"{base}_{k}{dot}")
+                with system.open_output_stream(path) as file:
+                    file.write((text + "\n").encode())
+            yield pa.record_batch([pa.array([batch.num_rows])], ["n"])
+
+    return run
+
+
 def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: bool = False, **options: Any) -> int:
     """Writes by the path's extension and gives the number of records [B1, B7, B9].
 
-    Reactions to ``.rxn`` make ``base.rxn``, ``base_1.rxn``, ... by position.
+    Reactions to ``.rxn`` make ``base.rxn``, ``base_1.rxn``, ... by number,
+    written by the executors.  Options that the writer doesn't know are an error.
     """
     ext = detect_format(path)
     if ext == "tsv":
@@ -147,23 +164,24 @@ def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: b
     if not overwrite and (exists(frame.spark, path) or os.path.exists(path)):
         raise FileExistsError(path)
     records = to_records(frame)
-    n = records.count()
+    n = frame.count()
     mode = "overwrite" if overwrite else "errorifexists"
     if ext in ("csv", "tsv") and not single:
         csv_table(records, **options).write.mode(mode).option("header", True).option("sep", options.get("delimiter", ",")).option("escape", '"').csv(path)
         return n
-    lines = get_writer(ext)(records, **options).orderBy(POS).select("value")
-    if ext == "rxn" or single or ext == "mol":
+    lines = get_writer(ext)(records, **options)
+    if ext == "rxn":
+        uri = path if "://" in path else Path(path).resolve().as_uri()
+        system, folder = fs.FileSystem.from_uri(uri.rpartition("/")[0])
+        system.create_dir(folder, recursive=True)
+        EntityFrame(lines).reindexed().df.select(POS, "value").mapInArrow(_files(uri), "n bigint").agg(F.sum("n")).collect()
+        return n
+    lines = lines.orderBy(POS).select("value")
+    if single or ext == "mol":
         Path(path).resolve().parent.mkdir(parents=True, exist_ok=True)
-        base, dot = os.path.splitext(path)
-        if ext == "rxn":
-            for k, row in enumerate(lines.toLocalIterator()):
-                with open(path if not k else f"{base}_{k}{dot}", "w") as file:
-                    file.write(row[0] + "\n")
-        else:
-            with open(path, "w") as file:
-                for row in lines.toLocalIterator():
-                    file.write(row[0] + "\n")
+        with open(path, "w") as file:
+            for row in lines.toLocalIterator():
+                file.write(row[0] + "\n")
     else:
         lines.write.mode(mode).text(path)
     return n

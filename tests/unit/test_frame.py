@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from retort import FEAT, META, OBJ, EntityFrame, HistoryEntry
 from retort.frame import dense
-from retort.index import POS
+from retort.index import POS, Layout
 
 
 @pytest.fixture
@@ -118,3 +119,67 @@ def test_dense_whatever_the_partitions(spark):
 
 def test_materialized(frame, tmp_path):
     assert col(frame.materialized(str(tmp_path / "m")).df, "val") == list(range(8))
+
+
+def test_chained_selections_equal_lists(spark):
+    rng = random.Random(11)
+    base = EntityFrame(spark.range(60).selectExpr("id * 7 + 3 AS _pos", "id AS v"))  # positions with gaps
+    for start in (base, base.reindexed(), base.where("v % 3 <> 1"), base[5:50:2]):
+        for _ in range(6):
+            frame, want = start, col(start.df, "v")
+            for _ in range(rng.randint(1, 3)):
+                n = len(want)
+                kind = rng.choice(["slice", "slice", "list", "mask", "where"]) if n else "slice"
+                if kind == "slice":
+                    key = slice(*[rng.choice([None, rng.randint(-n - 3, n + 3)]) for _ in range(2)], rng.choice([None, 1, 2, 3, -1, -2]))
+                    frame, want = frame[key], want[key]
+                elif kind == "list":
+                    key = [rng.randrange(-n, n) for _ in range(rng.randint(0, 5))]
+                    frame, want = frame[key], [want[k] for k in key]
+                elif kind == "mask":
+                    key = [rng.random() < 0.6 for _ in range(n)]
+                    frame, want = frame[key], [v for v, k in zip(want, key, strict=True) if k]
+                else:
+                    m = rng.randint(2, 4)
+                    frame, want = frame.where(F.col("v") % m != 0), [v for v in want if v % m]
+            assert col(frame.df, "v") == want and len(frame) == len(want)
+            for bad in (len(want), -len(want) - 1):
+                with pytest.raises(IndexError):
+                    frame[[bad]]
+            marked = frame.with_metadata("z", [f"z{k}" for k in range(len(want))])
+            assert col(marked.df, "z") == [f"z{k}" for k in range(len(want))]
+            if len(want) > 2:
+                assert [r.v for r in frame[META, "v", [2, 0]].orderBy(POS).collect()] == [want[2], want[0]]
+                part = marked.update_metadata({"v": [-1, -2]}, [len(want) - 1, 1])
+                assert col(part.df, "v") == [-2 if k == 1 else -1 if k == len(want) - 1 else v for k, v in enumerate(want)]
+
+
+def test_filtered_frames_are_addressed_by_number(frame):
+    kept = frame.where(F.col("val") >= 5)
+    assert kept[OBJ, 0] == "obj_5" and kept[OBJ, -1] == "obj_7" and len(kept[0:2]) == 2
+    assert col(kept.with_metadata("z", [1, 2, 3]).df, "z") == [1, 2, 3]
+    assert col(kept.update_objects(["new"], [1]).df, "object") == ["obj_5", "new", "obj_7"]
+    fed = kept.with_feature("fp", np.full((1, 4), 9, np.float32), rows=[2])
+    assert col(fed.df, "f__fp")[2] == [9.0] * 4 and fed.feature_shape("fp") == (3, 4)
+    assert col(kept.with_metadata("w", F.lit(1), slice(1, 3), na=0).df, "w") == [0, 1, 1]
+    with pytest.raises(TypeError):
+        kept.with_metadata("w", [1, 2, 3], F.col("val") > 0)
+    assert [r.fp for r in frame[::-1][FEAT, "fp", 0:1].collect()] == [[0.0] * 4] and col(frame[::-3].df, "val") == [7, 4, 1]
+
+
+def test_positions_that_repeat_are_an_error(spark):
+    f = EntityFrame(spark.createDataFrame([(0, "a"), (2, "b"), (2, "c")], "_pos bigint, v string"))
+    assert f.where("v = 'a'").count() == 1
+    with pytest.raises(ValueError, match="repeat"):
+        f[0:1]
+    with pytest.raises(ValueError, match="null"):
+        EntityFrame(spark.createDataFrame([(0, "a"), (None, "b")], "_pos bigint, v string"))[0:1]
+
+
+def test_slices_of_a_known_frame_reach_the_scan_without_a_job(spark, tmp_path):
+    spark.range(100).selectExpr("id AS _pos", "id AS v").write.parquet(str(tmp_path / "t"))
+    f = EntityFrame(spark.read.parquet(str(tmp_path / "t")), layout=Layout(n=100))
+    part = f[10:90][5:20]
+    plan = part.df._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(_pos,15)" in plan and "Exchange" not in plan and "Join" not in plan
+    assert len(part) == 15 and col(part.df, "v") == list(range(15, 30))

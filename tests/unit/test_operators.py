@@ -106,3 +106,36 @@ def test_unique(spark):
     assert [r[0] for r in rows(ops.unique(f).df, POS)] == [0, 3]
     seen = spark.createDataFrame([("CCO",)], "k string")
     assert [r[0] for r in rows(ops.unique(f, seen=seen).df, POS)] == [0]
+
+
+def test_molecules_without_an_object_are_dropped_by_update(spark, children):
+    parent = EntityFrame.from_rows(spark, ["A", None, "C"], {"score": [9.0, 9.0, 9.0]}, kind="molecule")
+    out = ops.update_from_children(parent, children, metadata_agg={"score": "max"})
+    assert rows(out.df, "object", "score") == [("A", 4.0), ("C", None)]
+
+
+def test_short_and_long_vectors_fold_alike(spark):
+    rng = np.random.default_rng(3)
+    for width in (3, 40):
+        v = rng.random((30, width))
+        v[4, 1] = float("nan")
+        f = EntityFrame.from_rows(spark, ["x"] * 30, {"parent_index": [k % 4 for k in range(30)]}, {"v": v, "w": v})
+        f = f._new(f.df.withColumn("f__v", F.when(F.col(POS) != 2, F.col("f__v")).alias("f__v", metadata=f.df.schema["f__v"].metadata)))
+        out = ops.collapse(f, features_agg={"v": "mean", "w": "max"})
+        for r in out.df.collect():
+            own = [k for k in range(30) if k % 4 == r.parent_index]
+            np.testing.assert_allclose(r["f__v"], v[[k for k in own if k != 2]].mean(0))
+            np.testing.assert_allclose(r["f__w"], v[own].max(0))
+
+
+def test_each_table_is_scanned_once_to_update_parents(spark, tmp_path):
+    for name, rows_ in (("p", 5), ("c", 20)):
+        spark.range(rows_).selectExpr("id AS _pos", "id % 5 AS parent", "double(id) AS s", "array(double(id), 1D) AS f__v").write.parquet(str(tmp_path / name))
+    p, c = (EntityFrame(spark.read.parquet(str(tmp_path / n))) for n in "pc")
+    plan = ops.update_from_children(p, c, "parent", {"s": "max"}, {"v": "mean"}).df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation ") + plan.count("Relation[") == 2
+
+
+def test_first_by_key_drops_later_rows_only(spark):
+    df = spark.createDataFrame([(k, key) for k, key in enumerate(["a", "b", "a", None, "c", "b", "a"])], "_pos bigint, k string")
+    assert [r._pos for r in ops.aggregate.first_by_key(df, ["k"]).orderBy("_pos").collect()] == [0, 1, 4]

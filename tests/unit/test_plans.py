@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import warnings
 
 import pandas as pd
@@ -8,10 +11,11 @@ from pyspark.sql import functions as F
 from retort import EntityFrame
 from retort.index import POS
 from retort.plans import (
-    CatalogFilter, ConformerGenerator, Desalter, DescriptorFeaturizer, ElementFilter, FileSource, FunctionFeaturizer, FunctionFilter, FunctionPreparation, GobbiFeaturizer, HydrogenModifier, Kekulizer, MACCSFeaturizer,
+    BatchFunction, CatalogFilter, ConformerGenerator, Desalter, DescriptorFeaturizer, ElementFilter, FileSource, FunctionFeaturizer, FunctionFilter, FunctionPreparation, GobbiFeaturizer, HydrogenModifier, Kekulizer, MACCSFeaturizer,
     MemorySource, MorganFeaturizer, MWFilter, Pipeline, PropertyFilter, RuleOfFiveFilter, Sampler, Sanitizer, SMARTSFilter, TautomerCanonicalizer, UniqueFilter, ValidityFilter,
 )
 from retort.plans.blocks import register_catalog
+from retort.plans.pipeline import ordered
 
 
 @pytest.fixture
@@ -104,3 +108,28 @@ def test_sources(spark, mols, tmp_path):
         warnings.simplefilter("always")
         assert len(Pipeline([MemorySource(mols), Sampler(3, 1)]).run(mols)) == 3
         assert any("ignores" in str(x.message) for x in w)
+
+
+def test_native_filters_go_first():
+    def native(c: Column) -> Column:
+        return F.length(c) > 5
+
+    slow, fast = MWFilter(1.0), FunctionFilter(native)
+    assert fast.native and not slow.native and not FunctionFilter(lambda s: s.str.len() > 5).native
+    assert ordered([slow, fast, UniqueFilter(), slow, fast])[:2] == [fast, slow]
+
+
+def test_lambda_names_are_those_of_every_process():
+    code = "from retort.plans import FunctionFeaturizer as F; print(F(lambda s: s.str.len() + 7).feature_name)"
+    names = {subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env={**os.environ, "PYTHONHASHSEED": seed}).stdout.strip() for seed in ("1", "2")}
+    assert len(names) == 1 and names.pop().startswith("lambda_")
+
+
+def test_batch_functions_see_whole_batches(mols):
+    def sized(rows):
+        return rows.assign(size=len(rows))
+
+    out = Pipeline([ValidityFilter(), BatchFunction(sized, "_pos bigint, object string, name string, size bigint")]).run_batches(mols, 4)
+    assert [(r.name, r["size"]) for r in out.df.orderBy(POS).collect()] == [("a", 4), ("b", 4), ("c", 4), ("d", 4), ("e", 2), ("h", 2)]
+    with pytest.raises(ValueError):
+        BatchFunction(sized, "x int", 0)

@@ -1,11 +1,16 @@
+import warnings
+
 import pytest
 from pyspark.sql import functions as F
 
-from retort import EntityFrame
+from retort import OBJ, EntityFrame
+from retort.functions.chem import mol as M
 from retort.index import POS
 from retort.operators.overlay import Overlay, write_back
-from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, load, read_file, read_records, save, write_file
+from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, iter_batches, load, read_file, read_records, save, write_file
+from retort.sources.molblock import read_block, write_block
 from retort.sources.readers import from_smarts, n_products, n_reactants, reaction_parts, reaction_text
+from retort.sources.writers import to_records
 
 
 def objs(frame, *cols):
@@ -119,3 +124,85 @@ def test_write_back_appends_new_rows(spark):
     a = EntityFrame.from_rows(spark, ["a", "b"], {"v": [1, 2]})
     d = EntityFrame(spark.createDataFrame([(1, "B", 20, 7), (2, "C", 30, 8)], "_pos bigint, object string, v bigint, extra int"))
     assert objs(write_back(a, d), "v", "extra") == [("a", 1, None), ("B", 20, 7), ("C", 30, 8)]
+
+
+def test_coordinates_follow_their_atoms(spark, tmp_path):
+    text = "CC(=O)Oc1ccccc1C(=O)O"
+    mol = M.parse(text)
+    at = [[float(i), float(a.z), 0.25] for i, a in enumerate(mol.atoms)]
+    df = spark.createDataFrame([(0, (text, [at]), "x")], "_pos bigint, object struct<smiles:string,coords:array<array<array<double>>>>, name string")
+    write_file(EntityFrame(df, "conformer"), str(tmp_path / "a.sdf"), single=True)
+    for hs in (True, False):
+        got = read_file(spark, str(tmp_path / "a.sdf"), coords=True, remove_hs=hs)[OBJ, 0]
+        assert [c[1] for c in got.coords[0]] == [a.z for a in M.parse(got.smiles).atoms] and sorted(c[0] for c in got.coords[0]) == [c[0] for c in at]
+    with pytest.raises(Exception, match="coordinates"):
+        write_file(EntityFrame(spark.createDataFrame([(0, ("CCO", [[[0.0, 0.0, 0.0]]]))], df.drop("name").schema), "conformer"), str(tmp_path / "b.sdf"))
+
+
+def test_hydrogens_and_checks_are_options(spark, tmp_path):
+    full = M.add_hydrogens(M.parse("CO"))
+    (tmp_path / "h.mol").write_text(write_block(full, "m"))
+    assert objs(read_file(spark, str(tmp_path / "h.mol"))) == [("CO",)]
+    assert objs(read_file(spark, str(tmp_path / "h.mol"), remove_hs=False))[0][0].count("[H]") == 4
+    (tmp_path / "v.smi").write_text("C(C)(C)(C)(C)C five\nCO ok\n")
+    assert objs(read_file(spark, str(tmp_path / "v.smi"), "skip"), "name") == [("CO", "ok")]
+    assert len(objs(read_file(spark, str(tmp_path / "v.smi"), sanitize=False))) == 2
+    for options in ({"sanitise": False}, {"remove_hs": False}):
+        with pytest.raises(TypeError, match="options"):
+            read_file(spark, str(tmp_path / "v.smi"), **options)
+    with pytest.raises(TypeError):
+        write_file(read_file(spark, str(tmp_path / "h.mol")), str(tmp_path / "o.smi"), bogus=1)
+
+
+def test_warnings_count_bad_records(spark, tmp_path):
+    (tmp_path / "a.smi").write_text("CO\nbad(\nC\nC1C\n")
+    with pytest.warns(UserWarning, match="2 records.*a.smi, record 1"):
+        assert [o for o, in objs(read_file(spark, str(tmp_path / "a.smi"), "warn"))] == ["CO", "C"]
+    (tmp_path / "b.smi").write_text("CO\n")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error")
+        read_file(spark, str(tmp_path / "b.smi"), "warn")
+
+
+@pytest.mark.parametrize("size", ["64", "4k", "1m"])
+def test_records_end_at_lines_of_dollars_only(spark, tmp_path, size):
+    one = write_block(M.parse("CO"), "price") + "\n> <note>\ncosts $$$$ 5\n  $$$$ more\n\n$$$$\n"
+    for end in ("\n", "\r\n"):
+        (tmp_path / "a.sdf").write_bytes((one * 40).replace("\n", end).encode())
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        try:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = objs(read_file(spark, str(tmp_path / "a.sdf")), "name", "index", "note")
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert got == [("CO", "price", k, "costs $$$$ 5\n  $$$$ more") for k in range(40)]
+
+
+def test_blocks_of_many_atoms(spark, tmp_path):
+    for text in ("C" * 1500, "C" * 999 + "[NH3+]", "[13CH3]" + "C" * 5):
+        block = write_block(M.parse(text), "long")
+        assert block.split("\n")[3].endswith("V3000" if len(text) > 900 else "V2000")
+        mol, coords, name = read_block(block)
+        assert M.write(mol) == M.write(M.parse(text)) and len(coords) == len(mol) and name == "long"
+
+
+def test_iterated_batches_cross_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"{k}.smi").write_text("".join(f"{'C' * (j + 1)} m{k}{j}\n# no\n" for j in range(4)))
+    records = read_records(spark, [str(tmp_path / f"{k}.smi") for k in range(3)])
+    got = [b.column("name").to_pylist() for b in iter_batches(records, 5)]
+    assert [len(b) for b in got] == [5, 5, 2] and sum(got, []) == [f"m{k}{j}" for k in range(3) for j in range(4)]
+
+
+def test_text_that_says_nan_is_kept(spark, tmp_path):
+    f = EntityFrame.from_rows(spark, ["C", "O"], {"note": ["NaN", "x"], "v": [float("nan"), 1.0]}, kind="molecule")
+    props = {r.object: r.properties for r in to_records(f).collect()}
+    assert props == {"C": {"note": "NaN"}, "O": {"note": "x", "v": "1.0"}}
+
+
+def test_commit_checks_types(spark, tmp_path):
+    save(EntityFrame.from_rows(spark, ["a"], {"v": [1]}), str(tmp_path / "b"))
+    o = Overlay(Bundle(spark, str(tmp_path / "b")))
+    o.base = o.base._new(o.base.df.withColumn("v", F.col("v").cast("string")))
+    with pytest.raises(ConflictError, match="type of v: bigint"):
+        o.commit()

@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -62,6 +63,30 @@ def test_masses_and_counts():
     assert of("c1ccccc1.Cl", lambda m: M.write(M.largest_fragment(m))) == "c1ccccc1"
 
 
+@pytest.mark.parametrize(
+    "smiles,value",
+    [("CC(=O)Oc1ccccc1C(=O)O", 1.3101), ("c1ccccc1", 1.6866), ("CCO", -0.0014), ("CN1C=NC2=C1C(=O)N(C(=O)N2C)C", -1.0293), ("CC(C)Cc1ccc(cc1)C(C)C(=O)O", 3.0732), ("CC(=O)O", 0.0909), ("CC(=O)Nc1ccc(O)cc1", 1.3506),
+     ("Oc1ccccc1", 1.3922), ("Nc1ccccc1", 1.2688), ("c1ccncc1", 1.0816), ("O=[N+]([O-])c1ccccc1", 1.5948), ("c1ccc2ccccc2c1", 2.8398), ("C", 0.6361), ("O", -0.8247), ("COc1ccccc1", 1.6952), ("Clc1ccccc1", 2.34)],
+)
+def test_logp_equals_published_values(smiles, value):
+    assert of(smiles, P.logp) == pytest.approx(value, abs=6e-4)
+
+
+@pytest.mark.parametrize(
+    "name,smiles,value",
+    [("MolMR", "c1ccccc1", 26.442), ("Chi0", "CCCC", 3.4142), ("Chi1", "CCCC", 1.9142), ("Chi1v", "CCO", 1.0233), ("Chi0v", "c1ccccc1", 3.4641), ("Kappa1", "CCCCCC", 6.0), ("Kappa2", "CCCCCC", 5.0), ("HallKierAlpha", "c1ccccc1", -0.78),
+     ("BalabanJ", "CCCC", 1.9747), ("NumValenceElectrons", "CCO", 20), ("NumSpiroAtoms", "C1CCC2(C1)CCCC2", 1), ("NumBridgeheadAtoms", "C1CC2CCC1C2", 2), ("FractionCSP3", "CC=O", 0.5), ("fr_benzene", "c1ccc2ccccc2c1", 2), ("fr_amide", "CC(=O)NC", 1),
+     ("fr_ester", "CC(=O)OC", 1), ("fr_nitro", "C[N+](=O)[O-]", 1), ("NumSaturatedHeterocycles", "C1CCOC1", 1), ("NumAliphaticCarbocycles", "C1CCCC1", 1), ("NumAromaticHeterocycles", "c1ccncc1", 1)],
+)
+def test_descriptors_equal_known_values(name, smiles, value):
+    assert of(smiles, P.DESCRIPTORS[name]) == pytest.approx(value, abs=2e-3)
+
+
+@pytest.mark.parametrize("smiles", [*KNOWN, "", "[H][H]", "*"])
+def test_every_descriptor_has_a_value(smiles):
+    assert len(P.DESCRIPTORS) > 100 and all(math.isfinite(f(M.perceive(M.parse(smiles)))) for f in P.DESCRIPTORS.values())
+
+
 @pytest.mark.parametrize(
     "smarts,smiles,n",
     [("[OX2H]", "CCO", 1), ("[OX2H]", "COC", 0), ("C(=O)[OH]", "CC(=O)O", 1), ("c1ccccc1", "c1ccc2ccccc2c1", 2), ("[#6]-!@[#6]", "CC1CC1", 1), ("[$(C=O)]", "CC(=O)C", 1), ("[NX3;H2]", "CCN", 1), ("[!#6]", "CCO", 1),

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,10 +24,29 @@ META_AGGS = ("first", "last", "min", "max", "mean", "sum")
 FEATURE_AGGS = ("mean", "min", "max", "sum", "first", "last")
 
 
+def of_series(how: object) -> bool:
+    """Whether an aggregate is a function that says that it takes a ``pd.Series``."""
+    hints = getattr(how, "__annotations__", {}) if callable(how) else {}
+    return next((v for k, v in hints.items() if k != "return"), None) in (pd.Series, "pd.Series")
+
+
 def meta_agg(name: str, how: str | Callable[[Column], Column], kind: T.DataType, order: Column) -> Column:
-    """Aggregate of a metadata column; an unknown name means ``first`` [E2]."""
+    """Aggregate of a metadata column; an unknown name means ``first`` [E2].
+
+    A function takes the Column, or, if it says that it takes a ``pd.Series``, the
+    group's values as one in a grouped pandas UDF [N7]; its result has the type
+    that its return annotation names (a DDL string), by default the column's.
+    """
     c = F.col(f"`{name}`")
     if callable(how):
+        if of_series(how):
+            returns = how.__annotations__.get("return")
+
+            def run(values: pd.Series) -> float:
+                return how(values)
+
+            run.__annotations__ = {"values": pd.Series, "return": float}
+            return F.pandas_udf(run, returns.strip("'\"") if isinstance(returns, str) else kind)(c)
         return how(c)
     clean = F.when(F.isnan(c), None).otherwise(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c
     if how == "min":
@@ -135,12 +155,16 @@ def collapse(frame: EntityFrame, groupby: str = "parent_index", metadata_agg: Ma
     others = [c for c in frame.metadata_columns if c != groupby]
     kind = df.schema[OBJECT].dataType
     folds = isinstance(kind, T.StructType) and "coords" in kind.names
-    aggregates = [meta_agg(c, metadata_agg.get(c, "first"), df.schema[c].dataType, F.col(POS)).alias(c) for c in others] + [F.lit(0).cast("bigint").alias(POS)]
+    made = {c: meta_agg(c, metadata_agg.get(c, "first"), df.schema[c].dataType, F.col(POS)).alias(c) for c in others}
+    apart = [c for c in others if of_series(metadata_agg.get(c))]  # Spark wants these in an aggregate of their own
+    aggregates = [made[c] for c in others if c not in apart] + [F.lit(0).cast("bigint").alias(POS)]
     if not folds:  # the first object, in the same pass
         aggregates.append(F.min_by(OBJECT, POS).alias(OBJECT))
     out = fold_into(df, groupby, aggregates, {feature_column(n): (features_agg.get(n, "mean"), _known_width(frame, n)) for n in frame.feature_names})
     if folds:
         out = out.join(fold_objects(df, [groupby]), groupby)
+    if apart:
+        out = out.join(df.groupBy(F.col(f"`{groupby}`")).agg(*[made[c] for c in apart]), groupby)
     out = dense(out, F.col(f"`{groupby}`"))
     return EntityFrame(out, "molecule" if frame.kind == "conformer" else frame.kind, (*frame.history, HistoryEntry.now("collapse", {"groupby": groupby})), layout=Layout())
 

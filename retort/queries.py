@@ -893,3 +893,90 @@ def ring_patterns(spark: SparkSession, d: str) -> DataFrame:
     t = phenyls(spark, d).df.where("p_partkey % 13 <> 0 AND p_partkey % 17 <> 0")
     h = t.withColumn("h", chem.substructure_hits(F.col(OBJECT), ["C(=O)[OX2H]", "[N+](=O)[O-]", "C#N", "c[CX4]"]))
     return h.select("p_partkey", *[F.get("h", F.lit(k)).alias(n) for k, n in enumerate(("acid", "nitro", "nitrile", "benzyl"))])
+
+
+@query("collapse_meta_all", "SELECT conv_id, min(turn)::BIGINT AS low, avg(turn) AS mid, sum(turn)::BIGINT AS total, last(role ORDER BY turn) AS role, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id")
+def collapse_meta_all(spark: SparkSession, d: str) -> DataFrame:
+    t = turns(spark, d)
+    t = t.with_metadata_columns({"low": F.col("turn"), "mid": F.col("turn"), "total": F.col("turn"), "n": F.col("turn")})
+    how = {"low": "min", "mid": "mean", "total": "sum", "role": "last", "n": lambda c: F.count(c)}
+    return ops.collapse(t, "conv_id", how).df.select("conv_id", F.col("low").cast("bigint").alias("low"), "mid", F.col("total").cast("bigint").alias("total"), "role", "n")
+
+
+@query("collapse_by_function", "SELECT conv_id, (max(turn) - min(turn))::DOUBLE AS turn, first(role ORDER BY turn) AS role FROM conversations GROUP BY conv_id")
+def collapse_by_function(spark: SparkSession, d: str) -> DataFrame:
+    """A grouped pandas function as the aggregate of one column."""
+
+    def spread(values: pd.Series) -> "double":  # noqa: F821
+        return float(values.max() - values.min())
+
+    return ops.collapse(turns(spark, d), "conv_id", {"turn": spread}).df.select("conv_id", "turn", "role")
+
+
+@query("bulk_columns", "SELECT c_custkey, upper(c_name) AS c_name, c_custkey % 7 AS a, 'k' AS b FROM customer")
+def bulk_columns(spark: SparkSession, d: str) -> DataFrame:
+    f = EntityFrame.from_frame(table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey")
+    f = f.with_metadata_columns({"a": F.col("c_custkey") % 7, "b": "k"}).update_metadata({"c_name": F.upper("c_name")}).copy()
+    return f.metadata().drop(POS)
+
+
+@query("set_metadata", "SELECT c_custkey AS pos, c_nationkey AS nation FROM customer")
+def set_metadata(spark: SparkSession, d: str) -> DataFrame:
+    f = EntityFrame.from_frame(table(spark, d, "customer"), "c_custkey")
+    return f.set_metadata(f.df.select(POS, F.col("c_nationkey").alias("nation"))).df.select(F.col(POS).alias("pos"), "nation")
+
+
+@query("bulk_features", "SELECT vec_id, CASE WHEN vec_id IN (1, 3) THEN [vec_id::DOUBLE, 0.5] ELSE ['nan'::DOUBLE, 'nan'::DOUBLE] END AS some, [embedding[1]] AS head FROM embeddings")
+def bulk_features(spark: SparkSession, d: str) -> DataFrame:
+    f = vectors(spark, d)
+    f = f.with_features({"head": F.slice("f__embedding", 1, 1)}).with_feature("some", [[1.0, 0.5], [3.0, 0.5]], rows=[1, 3])
+    return f.df.select("vec_id", F.col("f__some").alias("some"), F.col("f__head").alias("head"))
+
+
+@query("parse_smiles", f"SELECT p_partkey, {_ROWS} AS parsed, p_partkey % 13 <> 0 AS given FROM part")
+def parse_smiles(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that can't be read keep their row and text, with a null object."""
+    from .sources import from_smiles
+
+    t = phenyls(spark, d).df.select("p_partkey", F.col(OBJECT).alias("smiles"))
+    return from_smiles(t, order="p_partkey").df.select("p_partkey", F.col(OBJECT).isNotNull().alias("parsed"), F.col("smiles").isNotNull().alias("given"))
+
+
+@query("read_first_records", f"SELECT {SMILES_SQL} AS smiles FROM part ORDER BY p_partkey LIMIT 50")
+def read_first_records(spark: SparkSession, d: str) -> DataFrame:
+    from .sources import read_file, write_file
+
+    path = f"{scratch(spark, 'first')}/m.smi"
+    write_file(molecules(spark, d), path)
+    return read_file(spark, path, max_records=50).df.select(F.col(OBJECT).alias("smiles"))
+
+
+@query("object_codec", "SELECT doc_id, text FROM documents")
+def object_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Objects stored as the codec makes them, and read back."""
+    from .sources import load, save
+
+    path = scratch(spark, "codec")
+    save(documents(spark, d), path, object_writer=lambda c: F.encode(c, "UTF-8"))
+    return load(spark, path, object_reader=lambda c: F.decode(c, "UTF-8")).df.select("doc_id", F.col(OBJECT).alias("text"))
+
+
+@query("ring_properties", f"SELECT p_partkey FROM part WHERE {_ROWS} AND {PHENYL_MASS} BETWEEN 120 AND 200")
+def ring_properties(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import Pipeline, PropertyFilter
+
+    return Pipeline([PropertyFilter(min_mw=120, max_mw=200)]).run(phenyls(spark, d)).df.select("p_partkey")
+
+
+@query("ring_unique", f"SELECT min(p_partkey) AS p_partkey FROM part WHERE {_ROWS} GROUP BY {_K}, {_G}")
+def ring_unique(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import Pipeline, UniqueFilter
+
+    return Pipeline([UniqueFilter()]).run(phenyls(spark, d)).df.select("p_partkey")
+
+
+@query("ring_elements", f"SELECT p_partkey FROM part WHERE {_ROWS} AND {_G} NOT IN (4, 2, 5, 6)")
+def ring_elements(spark: SparkSession, d: str) -> DataFrame:
+    from .plans import ElementFilter, Pipeline
+
+    return Pipeline([ElementFilter((1, 6, 8))]).run(phenyls(spark, d)).df.select("p_partkey")

@@ -12,10 +12,11 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..frame import KINDS, EntityFrame, HistoryEntry
+from ..frame import KINDS, OBJECT, EntityFrame, HistoryEntry
 
 FORMAT = 1
 
@@ -113,8 +114,13 @@ class Bundle:
         return len(gone)
 
 
-def save(frame: EntityFrame, path: str, overwrite: bool = False) -> int:
-    """A frame as a bundle [B11]; an existing one is an error, or gets a new version with ``overwrite``."""
+def save(frame: EntityFrame, path: str, overwrite: bool = False, object_writer: Callable[[Column], Column] | None = None) -> int:
+    """A frame as a bundle [B11]; an existing one is an error, or gets a new version with ``overwrite``.
+
+    ``object_writer`` makes what is stored of the object column [N12, X12].
+    """
+    if object_writer is not None:
+        frame = frame._same_rows(frame.df.withColumn(OBJECT, object_writer(F.col(OBJECT))))
     bundle = Bundle(frame.spark, path)
     have = bundle.versions()
     if have and not overwrite:
@@ -122,5 +128,7 @@ def save(frame: EntityFrame, path: str, overwrite: bool = False) -> int:
     return bundle.commit(frame, have[-1] if have else None)
 
 
-def load(spark: SparkSession, path: str, version: int | None = None) -> EntityFrame:
-    return Bundle(spark, path).load(version)
+def load(spark: SparkSession, path: str, version: int | None = None, object_reader: Callable[[Column], Column] | None = None) -> EntityFrame:
+    """A version of a bundle [A23]; ``object_reader`` makes the object column of what is stored."""
+    frame = Bundle(spark, path).load(version)
+    return frame if object_reader is None else frame._same_rows(frame.df.withColumn(OBJECT, object_reader(F.col(OBJECT))))

@@ -1,13 +1,15 @@
 """Molecule graphs from SMILES, in plain Python.
 
-The grammar is OpenSMILES without stereochemistry (its marks are read and
-dropped).  Explicit hydrogen atoms stay atoms and an upper-case ring stays
+The grammar is OpenSMILES.  Of stereochemistry tetrahedral centres and double bonds
+outside rings are kept; a mark that says nothing (two like neighbours), or one of
+another class, is dropped.  Explicit hydrogen atoms stay atoms and an upper-case ring stays
 Kekulé until :func:`perceive` is asked for aromaticity, so both states survive
 as text.  Canonical ranks follow CANGEN (Weininger et al. 1989).
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 
 SYMBOLS = (
@@ -42,8 +44,16 @@ class Atom:
 
 
 class Mol:
-    def __init__(self, atoms: list[Atom], bonds: dict[tuple[int, int], float]):
+    """Atoms, bonds and stereochemistry.
+
+    ``centres``: atom -> (1 for @ or -1 for @@, its neighbours in the order in which
+    the mark was read, -1 for an implicit hydrogen).  ``sides``: double bond (i, j)
+    -> (neighbour of i, neighbour of j, 1 if on one side or -1).
+    """
+
+    def __init__(self, atoms: list[Atom], bonds: dict[tuple[int, int], float], centres: dict[int, tuple[int, tuple[int, ...]]] | None = None, sides: dict[tuple[int, int], tuple[int, int, int]] | None = None):
         self.atoms, self.bonds = atoms, bonds
+        self.centres, self.sides = centres or {}, sides or {}
         self.near: list[dict[int, float]] = [{} for _ in atoms]
         for (i, j), o in bonds.items():
             self.near[i][j] = o
@@ -96,7 +106,22 @@ class Mol:
 
     def part(self, keep: list[int]) -> Mol:
         at = {i: k for k, i in enumerate(keep)}
-        return Mol([self.atoms[i] for i in keep], {(at[i], at[j]): o for (i, j), o in self.bonds.items() if i in at and j in at})
+        bonds = {(min(at[i], at[j]), max(at[i], at[j])): o for (i, j), o in self.bonds.items() if i in at and j in at}
+        centres, sides = {}, {}
+        for i, (sign, near) in self.centres.items():
+            if i in at and sum(j not in at for j in near) <= 1:  # a hydrogen that becomes a count
+                centres[at[i]] = (sign, tuple(at.get(j, -1) for j in near))
+        for (i, j), (a, b, same) in self.sides.items():
+            if i not in at or j not in at:
+                continue
+            if a not in at:
+                a, same = next((x for x in self.near[i] if x in at and x != j), None), -same
+            if b not in at:
+                b, same = next((x for x in self.near[j] if x in at and x != i), None), -same
+            if a is not None and b is not None:
+                x, y = at[i], at[j]
+                sides[min(x, y), max(x, y)] = (at[a], at[b], same) if x < y else (at[b], at[a], same)
+        return Mol([self.atoms[i] for i in keep], bonds, centres, sides)
 
     def rings(self) -> list[tuple[int, ...]]:
         """A smallest set of smallest rings, from the shortest cycle through each bond."""
@@ -144,8 +169,6 @@ class Mol:
 
 
 def _bracket(text: str) -> Atom:
-    import re
-
     m = re.fullmatch(r"(\d+)?(\*|[A-Z][a-z]?|se|as|te|[bcnops])(@{0,2}(?:TH[12]|AL[12]|SP[123]|TB\d+|OH\d+)?)(H\d*)?(\+\+|--|[+-]\d*)?(?::(\d+))?", text)
     if not m:
         raise ChemError(f"can't read the atom [{text}]")
@@ -166,18 +189,32 @@ def parse(smiles: str) -> Mol:
     stack: list[int] = []
     last, order, k = -1, None, 0
     open_: dict[int, tuple[int, float | None]] = {}
+    seen_near: list[list] = []  # neighbours of each atom in the order of the text
+    marks: dict[int, int] = {}
+    up: dict[tuple[int, int], int] = {}  # 1: the second atom is above the first
+    slant = 0
 
     def bond(i: int, j: int, o: float | None) -> None:
         if i == j or (min(i, j), max(i, j)) in bonds:
             raise ChemError("an atom is bonded to itself or twice")
         bonds[min(i, j), max(i, j)] = o or (1.5 if atoms[i].aromatic and atoms[j].aromatic else 1.0)
 
-    def add(a: Atom) -> None:
-        nonlocal last, order
+    def add(a: Atom, chiral: int = 0) -> None:
+        nonlocal last, order, slant
         atoms.append(a)
+        k = len(atoms) - 1
+        seen_near.append([])
         if last >= 0:
-            bond(last, len(atoms) - 1, order)
-        last, order = len(atoms) - 1, None
+            bond(last, k, order)
+            seen_near[last].append(k)
+            seen_near[k].append(last)
+            if slant:
+                up[last, k] = slant
+        if a.bracket and a.h == 1:
+            seen_near[k].append(-1)
+        if chiral:
+            marks[k] = chiral
+        last, order, slant = k, None, 0
 
     while k < len(text):
         c = text[k]
@@ -185,7 +222,9 @@ def parse(smiles: str) -> Mol:
             end = text.find("]", k)
             if end < 0:
                 raise ChemError("a bracket isn't closed")
-            add(_bracket(text[k + 1 : end]))
+            inside = text[k + 1 : end]
+            mark = inside.count("@")
+            add(_bracket(inside), 0 if mark not in (1, 2) or re.search("@(TH|AL|SP|TB|OH)", inside) and "TH" not in inside else 1 if mark == 1 and "TH2" not in inside else -1)
             k = end + 1
             continue
         if text[k : k + 2] in ("Cl", "Br"):
@@ -199,7 +238,7 @@ def parse(smiles: str) -> Mol:
         elif c in BONDS:
             if order is not None or last < 0:
                 raise ChemError("a bond after a bond or without an atom")
-            order = BONDS[c]
+            order, slant = BONDS[c], {"/": 1, "\\": -1}.get(c, 0)
         elif c == "(":
             if last < 0:
                 raise ChemError("a branch without an atom")
@@ -209,7 +248,7 @@ def parse(smiles: str) -> Mol:
                 raise ChemError("a branch isn't open")
             last = stack.pop()
         elif c == ".":
-            last, order = -1, None
+            last, order, slant = -1, None, 0
         elif c.isdigit() or c == "%":
             if c == "%":
                 number, k = int(text[k + 1 : k + 3]), k + 2
@@ -220,9 +259,12 @@ def parse(smiles: str) -> Mol:
             if number in open_:
                 other, before = open_.pop(number)
                 bond(other, last, order or before)
+                seen_near[other][seen_near[other].index(("ring", number))] = last
+                seen_near[last].append(other)
             else:
                 open_[number] = (last, order)
-            order = None
+                seen_near[last].append(("ring", number))
+            order, slant = None, 0
         else:
             raise ChemError(f"unexpected {c!r}")
         k += 1
@@ -232,7 +274,15 @@ def parse(smiles: str) -> Mol:
     for i, a in enumerate(atoms):
         if not a.bracket and a.symbol != "*":
             atoms[i] = replace(a, h=_implicit(mol, i))
-    return Mol(atoms, bonds)
+    centres = {i: (sign, tuple(seen_near[i])) for i, sign in marks.items() if len(seen_near[i]) in (3, 4) and len(seen_near[i]) == len(mol.near[i]) + (atoms[i].h == 1)}
+    sides = {}
+    for (i, j), o in bonds.items() if up else ():
+        if o == 2.0:
+            # where the marked neighbour of each end is, above (1) or below (-1) it
+            a, b = ([(x, up[e, x] if (e, x) in up else -up[x, e]) for x in mol.near[e] if x != f and ((e, x) in up or (x, e) in up)] for e, f in ((i, j), (j, i)))
+            if a and b:
+                sides[i, j] = (a[0][0], b[0][0], a[0][1] * b[0][1])
+    return Mol(atoms, bonds, centres, sides)
 
 
 def _implicit(mol: Mol, i: int) -> int:
@@ -278,7 +328,7 @@ def kekulize(mol: Mol) -> Mol:
     if not match(need):
         raise ChemError("aromatic atoms can't be kekulized")
     bonds = {(i, j): (2.0 if pair.get(i) == j else 1.0) if o == 1.5 else o for (i, j), o in mol.bonds.items()}
-    return Mol([replace(a, aromatic=False) for a in mol.atoms], bonds)
+    return Mol([replace(a, aromatic=False) for a in mol.atoms], bonds, mol.centres, mol.sides)
 
 
 def perceive(mol: Mol) -> Mol:
@@ -325,7 +375,7 @@ def perceive(mol: Mol) -> Mol:
                 ring = next(q for q in rings if frozenset(q) == r)
                 for i, j in zip(ring, ring[1:] + ring[:1], strict=True):
                     bonds[min(i, j), max(i, j)] = 1.5
-    return Mol(atoms, bonds)
+    return Mol(atoms, bonds, mol.centres, {b: x for b, x in mol.sides.items() if bonds[b] == 2.0})
 
 
 def sanitize(mol: Mol) -> Mol:
@@ -347,8 +397,35 @@ def sanitize(mol: Mol) -> Mol:
     return out
 
 
+def _odd(order: list) -> bool:
+    """Whether an odd number of exchanges sorts the entries."""
+    return sum(order[x] > order[y] for y in range(len(order)) for x in range(y)) % 2 == 1
+
+
+def _stereo(mol: Mol, rank: list[int]) -> tuple[dict[int, int], dict[tuple[int, int], int]]:
+    """Sign of each centre by the ranks of its neighbours, and of each double bond by those of its ends; only where like neighbours don't void it."""
+    centres, sides = {}, {}
+    for i, (sign, near) in mol.centres.items():
+        order = [-1 if j < 0 else rank[j] for j in near]
+        if len(set(order)) == len(order):
+            centres[i] = -sign if _odd(order) else sign
+    ring = mol.ring_bonds() if mol.sides else set()
+    for (i, j), (a, b, same) in mol.sides.items():
+        if frozenset((i, j)) in ring:
+            continue
+        for e, f, x in ((i, j, a), (j, i, b)):
+            others = [y for y in mol.near[e] if y not in (f, x)]
+            if others and rank[others[0]] == rank[x] or not others and mol.atoms[x].symbol == "H" and mol.atoms[e].h:
+                break
+            if others and rank[others[0]] > rank[x]:
+                same = -same
+        else:
+            sides[i, j] = same
+    return centres, sides
+
+
 def ranks(mol: Mol) -> list[int]:
-    """Canonical ranks: invariants refined by neighbours, ties broken one at a time."""
+    """Canonical ranks: invariants refined by neighbours and stereochemistry, ties broken one at a time."""
     n = len(mol)
     rings = [0] * n
     for r in mol.rings():
@@ -360,31 +437,41 @@ def ranks(mol: Mol) -> list[int]:
         place = {v: k for k, v in enumerate(sorted(set(values)))}
         return [place[v] for v in values]
 
-    rank = dense(keys)
-    while True:
+    def refined(rank: list[int]) -> list[int]:
         while True:
             new = dense([(rank[i], tuple(sorted((rank[j], o) for j, o in mol.near[i].items()))) for i in range(n)])
             if len(set(new)) == len(set(rank)):
-                break
+                return rank
             rank = new
-        if len(set(rank)) == n:
-            return rank
+
+    rank = refined(dense(keys))
+    while mol.centres or mol.sides:  # atoms alike but for stereochemistry
+        centres, sides = _stereo(mol, rank)
+        ends: dict[int, int] = {}
+        for (i, j), sign in sides.items():
+            ends[i] = ends[j] = sign
+        new = refined(dense([(rank[i], centres.get(i, 0), ends.get(i, 0)) for i in range(n)]))
+        if len(set(new)) == len(set(rank)):
+            break
+        rank = new
+    while len(set(rank)) < n:
         tied = min(r for r in set(rank) if rank.count(r) > 1)
         first = rank.index(tied)
-        rank = [2 * r + (r == tied and i != first) for i, r in enumerate(rank)]
+        rank = refined([2 * r + (r == tied and i != first) for i, r in enumerate(rank)])
+    return dense(rank)
 
 
-def _atom_text(mol: Mol, i: int) -> str:
+def _atom_text(mol: Mol, i: int, mark: str = "") -> str:
     a = mol.atoms[i]
     symbol = a.symbol.lower() if a.aromatic else a.symbol
     simple = a.symbol in ORGANIC and not a.charge and not a.isotope and not a.number and (not a.aromatic or a.symbol.lower() in "bcnops")
     if a.symbol == "*" and not (a.charge or a.isotope or a.h or a.number):
         return "*"
-    if simple and _implicit(mol, i) == a.h:
+    if simple and not mark and _implicit(mol, i) == a.h:
         return symbol
     h = "" if not a.h else "H" if a.h == 1 else f"H{a.h}"
     q = "" if not a.charge else ("+" if a.charge > 0 else "-") + ("" if abs(a.charge) == 1 else str(abs(a.charge)))
-    return f"[{a.isotope or ''}{symbol}{h}{q}{f':{a.number}' if a.number else ''}]"
+    return f"[{a.isotope or ''}{symbol}{mark}{h}{q}{f':{a.number}' if a.number else ''}]"
 
 
 def write(mol: Mol, rank: list[int] | None = None) -> str:
@@ -395,12 +482,14 @@ def write(mol: Mol, rank: list[int] | None = None) -> str:
 def write_order(mol: Mol, rank: list[int] | None = None) -> tuple[str, list[int]]:
     """The SMILES, and the atoms in the order in which it names them."""
     rank = ranks(mol) if rank is None else rank
+    told, turned = _stereo(mol, _classes(mol)) if mol.centres or mol.sides else ({}, {})
     seen: set[int] = set()
     parts = []
     for comp in sorted(mol.components(), key=lambda c: min(rank[i] for i in c)):
         root = min(comp, key=lambda i: (rank[i]))
         closures: dict[int, list[tuple[int, float]]] = {}
         children: dict[int, list[int]] = {}
+        parents: dict[int, int] = {root: -1}
         seen.add(root)
         todo = [(root, -1, iter(sorted(mol.near[root], key=lambda j: rank[j])))]
         children[root] = []
@@ -419,16 +508,27 @@ def write_order(mol: Mol, rank: list[int] | None = None) -> tuple[str, list[int]
                     continue
                 seen.add(j)
                 children[i].append(j)
-                children[j] = []
+                children[j], parents[j] = [], i
                 todo.append((j, i, iter(sorted(mol.near[j], key=lambda x: rank[x]))))
                 break
             else:
                 todo.pop()
         numbers: dict[frozenset[int], int] = {}
         free = list(range(1, 100))
+        slants = _slants(mol, turned, parents, comp, rank)
+
+        def mark(i: int) -> str:
+            if i not in told:
+                return ""
+            sign, near = mol.centres[i]
+            text = ([parents[i]] if parents[i] >= 0 else []) + ([-1] if -1 in near else []) + [j for j, _ in closures.get(i, ())] + children[i]
+            at = [near.index(j) for j in text]
+            return "@" if (sign > 0) != _odd(at) else "@@"
 
         def sign(i: int, j: int) -> str:
             o = mol.near[i][j]
+            if (i, j) in slants:
+                return "/" if slants[i, j] > 0 else "\\"
             both = mol.atoms[i].aromatic and mol.atoms[j].aromatic
             if o == 1.5:
                 return "" if both else ":"
@@ -443,7 +543,7 @@ def write_order(mol: Mol, rank: list[int] | None = None) -> tuple[str, list[int]
                 out.append(x)
                 continue
             i = x
-            out.append(_atom_text(mol, i))
+            out.append(_atom_text(mol, i, mark(i)))
             visited.append(i)
             for j, _ in closures.get(i, ()):
                 pair = frozenset((i, j))
@@ -467,17 +567,92 @@ def write_order(mol: Mol, rank: list[int] | None = None) -> tuple[str, list[int]
     return ".".join(p for p, _ in parts), [i for _, v in parts for i in v]
 
 
+def _classes(mol: Mol) -> list[int]:
+    """Ranks in which only atoms that nothing tells apart are equal: canonical ranks without the breaking of ties."""
+    n = len(mol)
+    rank = [0] * n
+    keys: list = [(a.z, len(mol.near[i]), a.h, a.charge, a.isotope, a.aromatic, a.number) for i, a in enumerate(mol.atoms)]
+    while True:
+        place = {v: k for k, v in enumerate(sorted(set(keys)))}
+        new = [place[k] for k in keys]
+        if len(set(new)) == len(set(rank)) and any(rank):
+            centres, sides = _stereo(mol, new)
+            ends: dict[int, int] = {}
+            for (i, j), sign in sides.items():
+                ends[i] = ends[j] = sign
+            keys = [(new[i], centres.get(i, 0), ends.get(i, 0)) for i in range(n)]
+            if len(set(keys)) == len(set(new)):
+                return new
+            place = {v: k for k, v in enumerate(sorted(set(keys)))}
+            new = [place[k] for k in keys]
+        elif len(set(new)) == 1:
+            return new
+        rank = new
+        keys = [(rank[i], tuple(sorted((rank[j], o) for j, o in mol.near[i].items()))) for i in range(n)]
+
+
+def _slants(mol: Mol, turned: dict[tuple[int, int], int], parents: dict[int, int], comp: list[int], rank: list[int]) -> dict[tuple[int, int], int]:
+    """Slant of single bonds beside double bonds, as written from parent to child: 1 for /, -1 for \\."""
+    slants: dict[tuple[int, int], int] = {}
+    inside = set(comp)
+
+    def side(e: int, x: int) -> int | None:
+        """Where neighbour ``x`` of ``e`` is, if the bond between them slants."""
+        return slants[e, x] if (e, x) in slants else -slants[x, e] if (x, e) in slants else None
+
+    def tilt(e: int, x: int, where: int) -> None:
+        if parents.get(x) == e:
+            slants[e, x] = where
+        else:
+            slants[x, e] = -where
+
+    def depth(i: int) -> int:
+        d = 0
+        while parents.get(i, -1) >= 0:
+            i, d = parents[i], d + 1
+        return d
+
+    for i, j in sorted((b for b in turned if b[0] in inside), key=lambda b: sorted((depth(k), rank[k]) for k in b)):
+        a, b, same = mol.sides[i, j]
+        at = []
+        for e, f, x in ((i, j, a), (j, i, b)):
+            tree = [y for y in mol.near[e] if y != f and (parents.get(y) == e or parents.get(e) == y)]  # ring closures don't slant
+            known = [y for y in tree if side(e, y) is not None]
+            at.append((known or sorted(tree, key=lambda y: (mol.atoms[y].symbol == "H", rank[y])) or [None])[0])
+        if None in at:
+            continue
+        if at[0] != a:
+            same = -same
+        if at[1] != b:
+            same = -same
+        one, two = side(i, at[0]), side(j, at[1])
+        if one is not None and two is not None:
+            continue
+        if one is None and two is None:
+            first, other = (0, 1) if parents.get(j) == i else (1, 0)
+            e, x = ((i, at[0]), (j, at[1]))[first]
+            tilt(e, x, -1 if parents.get(e) == x else 1)
+            one, two = side(i, at[0]), side(j, at[1])
+        if one is None:
+            tilt(i, at[0], same * two)
+        elif two is None:
+            tilt(j, at[1], same * one)
+    return slants
+
+
 def canonical(smiles: str) -> str:
     return write(perceive(parse(smiles)))
 
 
 def add_hydrogens(mol: Mol) -> Mol:
-    atoms, bonds = [replace(a, h=0, bracket=True) for a in mol.atoms], dict(mol.bonds)
+    atoms, bonds, centres = [replace(a, h=0, bracket=True) for a in mol.atoms], dict(mol.bonds), dict(mol.centres)
     for i, a in enumerate(mol.atoms):
         for _ in range(a.h):
             bonds[i, len(atoms)] = 1.0
             atoms.append(Atom("H", bracket=True))
-    return Mol(atoms, bonds)
+            if i in centres:
+                centres[i] = (centres[i][0], tuple(len(atoms) - 1 if j < 0 else j for j in centres[i][1]))
+    return Mol(atoms, bonds, centres, mol.sides)
 
 
 def plain_hydrogens(mol: Mol) -> set[int]:
@@ -489,7 +664,7 @@ def remove_hydrogens(mol: Mol) -> Mol:
     """Plain hydrogen atoms on one heavy neighbour become implicit."""
     drop = plain_hydrogens(mol)
     atoms = [replace(a, h=a.h + sum(j in drop for j in mol.near[i])) for i, a in enumerate(mol.atoms)]
-    return Mol(atoms, mol.bonds).part([i for i in range(len(atoms)) if i not in drop])
+    return Mol(atoms, mol.bonds, mol.centres, mol.sides).part([i for i in range(len(atoms)) if i not in drop])
 
 
 def largest_fragment(mol: Mol) -> Mol:

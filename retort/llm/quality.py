@@ -29,17 +29,11 @@ MAX_CONDITIONS, MAX_RULES = 4, 24
 STATS = ("n_bytes", "n_words", "word_len", "upper", "symbol", "digit", "bang", "pipe", "stop", "distinct_words", "repeated_5grams", "repeated_lines", "line_words", "symbol_words")
 
 _byte = np.arange(256)
-_UPPER = ((_byte >= 65) & (_byte < 91)).astype(np.float64)
-_LETTER = (((_byte | 32) >= 97) & ((_byte | 32) < 123) & (_byte < 128) | (_byte >= 0xC0)).astype(np.float64)
-_SYMBOL = np.isin(_byte, [ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]).astype(np.float64)
-_DIGIT = ((_byte >= 48) & (_byte < 58)).astype(np.float64)
-_STOP = np.isin(_byte, [ord(c) for c in ".?!"]).astype(np.float64)
-
-
-def _sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    run = np.zeros(len(values) + 1)
-    np.cumsum(values, out=run[1:])
-    return run[first[1:]] - run[first[:-1]]
+_UPPER = ((_byte >= 65) & (_byte < 91)).astype(np.uint8)
+_LETTER = (((_byte | 32) >= 97) & ((_byte | 32) < 123) & (_byte < 128) | (_byte >= 0xC0)).astype(np.uint8)
+_SYMBOL = np.isin(_byte, [ord(c) for c in "#$%&*+/<=>@[\\]^_`{|}~"]).astype(np.uint8)
+_DIGIT = ((_byte >= 48) & (_byte < 58)).astype(np.uint8)
+_STOP = np.isin(_byte, [ord(c) for c in ".?!"]).astype(np.uint8)
 
 
 def _repeated(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -47,9 +41,7 @@ def _repeated(h: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
     total = np.bincount(doc, minlength=docs).astype(float)
     if not len(h):
         return np.zeros(docs)
-    with np.errstate(over="ignore"):
-        key = K.mix(h + K.mix(doc.astype(np.uint64)))
-    _, at = np.unique(key, return_index=True)
+    at = K.first_of_each(h, doc)
     return 1 - np.bincount(doc[at], minlength=docs) / np.maximum(total, 1) * (total > 0) - (total == 0)
 
 
@@ -66,8 +58,8 @@ def statistics(column: pa.Array) -> np.ndarray:
         size = np.diff(offsets).astype(float)
         byte = np.maximum(size, 1)
         word = np.maximum(words, 1)
-        letters = np.maximum(_sum(_LETTER[data], offsets), 1)
-        line = np.zeros(len(data) + 1, np.int64)
+        letters = np.maximum(K.segment_sums(_LETTER[data], offsets), 1)
+        line = np.zeros(len(data) + 1, np.int32)
         np.cumsum(data == 10, out=line[1:])
         lines = np.maximum(line[offsets[1:]] - line[offsets[:-1]] + 1, 1)
         grams = K.window_hashes(h, 5)
@@ -77,13 +69,13 @@ def statistics(column: pa.Array) -> np.ndarray:
         new = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(of) else np.zeros(0, np.int64)
         lh = K.range_hashes(h, new, np.r_[new[1:], len(h)]) if len(new) else np.zeros(0, np.uint64)
         symbol = _SYMBOL[data]
-        sword = np.zeros(len(data) + 1)
+        sword = np.zeros(len(data) + 1, np.int32)
         np.cumsum(symbol, out=sword[1:])
         columns = (
-            size, words, (_sum((end - start).astype(float), first)) / word, _sum(_UPPER[data], offsets) / letters, _sum(symbol, offsets) / byte,
-            _sum(_DIGIT[data], offsets) / byte, _sum((data == 33).astype(float), offsets) / word, _sum((data == 124).astype(float), offsets) / word,
-            _sum(_STOP[data], offsets) / word, 1 - _repeated(h, doc, docs), _repeated(grams[inside], doc[: len(grams)][inside], docs),
-            _repeated(lh, doc[new], docs), words / lines, _sum((sword[end] > sword[start]).astype(float), first) / word,
+            size, words, (K.segment_sums(end - start, first)) / word, K.segment_sums(_UPPER[data], offsets) / letters, K.segment_sums(symbol, offsets) / byte,
+            K.segment_sums(_DIGIT[data], offsets) / byte, K.segment_sums((data == 33).view(np.uint8), offsets) / word, K.segment_sums((data == 124).view(np.uint8), offsets) / word,
+            K.segment_sums(_STOP[data], offsets) / word, 1 - _repeated(h, doc, docs), _repeated(grams[inside], doc[: len(grams)][inside], docs),
+            _repeated(lh, doc[new], docs), words / lines, K.segment_sums((sword[end] > sword[start]).view(np.uint8), first) / word,
         )
         out.append(np.stack(columns, 1) * (words > 0)[:, None])
     return np.concatenate(out) if out else np.zeros((0, len(STATS)))

@@ -70,13 +70,8 @@ def _sums(h: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def _distinct(h: np.ndarray, doc: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (doc, hash) in order of doc, and where each doc's begin."""
-    order = np.lexsort((h, doc)) if len(h) < 2 else np.argsort(h, kind="stable")
-    h, doc = h[order], doc[order]
-    order = np.argsort(doc.astype(np.int32), kind="stable")
-    h, doc = h[order], doc[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-    h, doc = h[new], doc[new]
+    at = K.first_of_each(h, doc)
+    h, doc = h[at], doc[at]
     return h, np.searchsorted(doc, np.arange(docs + 1))
 
 

@@ -115,21 +115,54 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple
     return start, end, np.searchsorted(start, offsets)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
-    """64-bit polynomial hash of each word's bytes, finalised with :func:`mix`."""
-    if not len(start):
-        return np.zeros(0, U64)
+def prefix_sums(data: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    """Sums of the polynomial hash up to each byte, from which any span's hash follows."""
+    run = np.zeros(len(data) + 1, U64)
     with np.errstate(over="ignore"):
         value = (fold[data] if fold is not None else data).astype(U64)
         value += U64(1)
         value *= powers(len(data))
-        run = np.zeros(len(data) + 1, U64)
         np.cumsum(value, out=run[1:])
-        h = (run[end] - run[start]) * powers(len(data), inverse=True)[start]
+    return run
+
+
+def span_hashes(run: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span, from :func:`prefix_sums`, finalised with :func:`mix`."""
+    if not len(start):
+        return np.zeros(0, U64)
+    with np.errstate(over="ignore"):
+        h = (run[end] - run[start]) * powers(len(run) - 1, inverse=True)[start]
         h += (end - start).astype(U64)
     return mix(h)
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: np.ndarray | None = LOWER) -> np.ndarray:
+    """64-bit polynomial hash of each word's bytes, finalised with :func:`mix`."""
+    return span_hashes(prefix_sums(data, fold), start, end) if len(start) else np.zeros(0, U64)
+
+
+def segment_sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sums of small integers or floats over ``offsets[d]:offsets[d + 1]``; 0 for an empty segment."""
+    out = np.zeros(len(offsets) - 1, np.float64 if values.dtype.kind == "f" else np.int64)
+    live = offsets[1:] > offsets[:-1]
+    if live.any():
+        out[live] = np.add.reduceat(values, offsets[:-1][live], dtype=out.dtype)
+    return out
+
+
+def first_of_each(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Places of one entry for each distinct (doc, hash), in ascending order."""
+    with np.errstate(over="ignore"):
+        key = mix(h + mix(doc.astype(U64)))
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    keep = np.zeros(len(key), bool)
+    keep[order[new]] = True
+    return np.flatnonzero(keep)
+
+
 def hash_word(word: bytes, fold: np.ndarray | None = LOWER) -> int:
     """The hash :func:`word_hashes` gives a single word."""
     data = np.frombuffer(word, np.uint8)

@@ -61,11 +61,12 @@ def features(part: pa.RecordBatch, column: str = "text", terms: np.ndarray | Non
     data, offsets = K.buffers(part.column(column))
     start, end, first = K.word_spans(data, offsets, K.ALNUM)
     doc = np.repeat(np.arange(part.num_rows), np.diff(first))
-    hashes, docs = [K.word_hashes(data, start, end)], [doc]
+    run = K.prefix_sums(data)
+    hashes, docs = [K.span_hashes(run, start, end)], [doc]
     free = np.ones(len(start), bool) if terms is None or not len(terms) else ~np.isin(hashes[0], terms)
     for size in _PREFIXES:
         long = (end - start > size) & free
-        cut = K.word_hashes(data, start[long], start[long] + size)
+        cut = K.span_hashes(run, start[long], start[long] + size)
         hashes.append(cut ^ np.uint64(size * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
         docs.append(doc[long])
     return np.concatenate(docs), np.concatenate(hashes)
@@ -79,8 +80,7 @@ def _counter(terms: np.ndarray):
             for part in K.slices(batch):
                 toxic = part.column("toxic").to_numpy(zero_copy_only=False) == 1
                 doc, h = features(part, terms=terms)
-                with np.errstate(over="ignore"):
-                    _, at = np.unique(K.mix(h + K.mix(doc.astype(np.uint64))), return_index=True)
+                at = K.first_of_each(h, doc)
                 doc, h = doc[at], h[at]
                 name, place = np.unique(h, return_inverse=True)
                 bad = np.bincount(place, weights=toxic[doc], minlength=len(name)).astype(np.int64)
@@ -92,11 +92,17 @@ def _counter(terms: np.ndarray):
 
 def locate(vocabulary: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, place in the sorted vocabulary) of the features that are in it."""
+    if not len(vocabulary):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begins = np.zeros(1 << 16, bool)  # most hashes begin unlike any in the vocabulary
+    begins[(vocabulary >> np.uint64(48)).astype(np.int64)] = True
+    near = np.flatnonzero(begins[(h >> np.uint64(48)).astype(np.int64)])
+    doc, h = doc[near], h[near]
     at = np.searchsorted(vocabulary, h)
     at[at == len(vocabulary)] = 0
-    hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    pair = np.unique(doc[hit].astype(np.int64) * max(len(vocabulary), 1) + at[hit])
-    return pair // max(len(vocabulary), 1), pair % max(len(vocabulary), 1)
+    hit = vocabulary[at] == h
+    pair = np.unique(doc[hit].astype(np.int64) * len(vocabulary) + at[hit])
+    return pair // len(vocabulary), pair % len(vocabulary)
 
 
 def _indexer(vocabulary: np.ndarray, terms: np.ndarray):

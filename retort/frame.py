@@ -90,6 +90,26 @@ def dense(df: DataFrame, *order: Column) -> DataFrame:
     return out.select(F.col("_rank").alias(POS), *[F.col(f"`{c}`") for c in df.columns if c != POS])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to tasks by position, for a kernel that costs far more than a shuffle of its input.
+
+    A scan has a task for each row group at most, so a small file of many rows is
+    one task's.  Only plain scans with few splits are dealt; other plans stay.
+    """
+    todo = [df._jdf.queryExecution().analyzed()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().split()[0] not in ("Project", "Filter", "SubqueryAlias", "Relation", "LogicalRelation"):
+            return df
+        if "Python" in node.toString().split("\n")[0]:
+            return df
+        below = node.children()
+        todo += [below.apply(k) for k in range(below.size())]
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= 4 * df.sparkSession.sparkContext.defaultParallelism:
+        return df
+    return df.repartition(F.col(POS))
+
+
 class EntityFrame:
     """An immutable table; ``layout`` says that positions are an arithmetic progression, where that is known.
 

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fingerprints as fp
 from . import mol as M
@@ -22,6 +23,8 @@ from . import props as P
 from .smarts import compile_pattern
 
 MEMO = 50_000
+#: Fingerprints that a worker keeps, packed: 256 bytes each at 2,048 bits.
+MEMO_BITS = 8_192
 
 
 @lru_cache(maxsize=MEMO)
@@ -72,9 +75,16 @@ def is_readable(c: Column) -> Column:
     return kernel(lambda m: True, "boolean", pa.bool_(), null=False)(c)
 
 
+def _written(mol: M.Mol) -> str:
+    """Canonical text, kept with a graph that :func:`read` keeps."""
+    if mol._text is None:
+        mol._text = M.write(mol)
+    return mol._text
+
+
 def canonical_smiles(c: Column) -> Column:
     """Canonical SMILES [I1]."""
-    return kernel(M.write, "string", pa.string())(c)
+    return kernel(_written, "string", pa.string())(c)
 
 
 def read_smiles(c: Column, sanitize: bool = True) -> Column:
@@ -124,27 +134,59 @@ def substructure_hits(c: Column, smarts: Sequence[str]) -> Column:
     return kernel(lambda m: [compile_pattern(s).hits(m) for s in patterns], "array<boolean>", pa.list_(pa.bool_()))(c)
 
 
-def _bits(f: Callable[[M.Mol], np.ndarray], width: int) -> Callable[[Column], Column]:
-    return kernel(lambda m: f(m).tolist(), "array<tinyint>", pa.list_(pa.int8()), null=[0] * width)
+_BITS: dict[str, Callable[..., np.ndarray]] = {
+    "morgan": fp.circular,
+    "maccs": fp.structural_keys,
+    "gobbi": lambda m, n_bits, how: fp.fold(fp.pharmacophore(m), n_bits, how),
+    "gobbi_native": fp.pharmacophore,
+}
+
+
+@lru_cache(maxsize=MEMO_BITS)
+def _packed(kind: str, settings: tuple, text: str) -> bytes | None:
+    """The fingerprint of a text, 8 bits a byte, or None where there is none; kept by the worker over batches and tasks."""
+    mol = read(text)
+    try:
+        return None if mol is None else np.packbits(_BITS[kind](mol, *settings)).tobytes()
+    except ValueError:
+        return None
+
+
+def _bits(kind: str, width: int, *settings: object, packed: bool = False) -> Callable[[Column], Column]:
+    """A fingerprint as array<tinyint> of 0 and 1, or packed as binary (first bit highest); zeros for null."""
+    blank = bytes(-(-width // 8))
+
+    @F.arrow_udf(T.BinaryType() if packed else T.ArrayType(T.ByteType(), containsNull=False))
+    def run(column: pa.Array) -> pa.Array:
+        coded = column.dictionary_encode()
+        found = [_packed(kind, settings, t) or blank for t in coded.dictionary.to_pylist()] + [blank]
+        at = coded.indices.fill_null(len(found) - 1)
+        if packed:
+            return pa.array(found, pa.binary()).take(at)
+        rows = np.unpackbits(np.frombuffer(b"".join(found), np.uint8).reshape(len(found), -1), axis=1, count=width).view(np.int8)
+        flat = rows[at.to_numpy(zero_copy_only=False)].ravel()  # Arrow's take of lists goes element by element
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * np.int32(width)), pa.array(flat))
+
+    return run
 
 
-def morgan(c: Column, radius: int = 2, n_bits: int = 2048) -> Column:
+def morgan(c: Column, radius: int = 2, n_bits: int = 2048, packed: bool = False) -> Column:
     """Circular fingerprint; zeros for null [J2]."""
-    return _bits(lambda m: fp.circular(m, radius, n_bits), n_bits)(c)
+    return _bits("morgan", n_bits, radius, n_bits, packed=packed)(c)
 
 
-def maccs(c: Column) -> Column:
+def maccs(c: Column, packed: bool = False) -> Column:
     """167 structural keys; zeros for null [J1]."""
-    return _bits(fp.structural_keys, 167)(c)
+    return _bits("maccs", 167, packed=packed)(c)
 
 
-def gobbi(c: Column, n_bits: int | None = 2048, fold_method: str = "xor") -> Column:
+def gobbi(c: Column, n_bits: int | None = 2048, fold_method: str = "xor", packed: bool = False) -> Column:
     """Pharmacophore vector, folded or native; zeros for null and failures [J4]."""
     if fold_method not in ("xor", "or"):
         raise ValueError(f"unknown fold method {fold_method!r}")
     if n_bits is None:
-        return _bits(fp.pharmacophore, fp.native_length())(c)
-    return _bits(lambda m: fp.fold(fp.pharmacophore(m), n_bits, fold_method), n_bits)(c)
+        return _bits("gobbi_native", fp.native_length(), packed=packed)(c)
+    return _bits("gobbi", n_bits, n_bits, fold_method, packed=packed)(c)
 
 
 def fold_bits(bits: Column, length: int, n_bits: int, method: str = "xor") -> Column:

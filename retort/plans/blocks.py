@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-from ..frame import OBJECT, EntityFrame, HistoryEntry, feature_column
+from ..frame import OBJECT, EntityFrame, HistoryEntry, feature_column, spread
 from ..index import POS
 from ..functions import chem
 from ..functions.chem import props
@@ -295,7 +295,7 @@ class Featurizer(Block):
     def process(self, frame: EntityFrame) -> EntityFrame:
         c = feature_column(self.feature_name)
         column = self.vector(F.col(OBJECT)).alias(c, metadata={"dtype": self.dtype, "shape": [self.width()]})
-        return frame._same_rows(frame.df.withColumn(c, column).withMetadata(c, {"dtype": self.dtype, "shape": [self.width()]}))
+        return frame._same_rows(spread(frame.df).withColumn(c, column).withMetadata(c, {"dtype": self.dtype, "shape": [self.width()]}))
 
 
 class MACCSFeaturizer(Featurizer):

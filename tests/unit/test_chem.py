@@ -185,3 +185,18 @@ def test_triples_are_of_all_points(block, monkeypatch):
         assert np.array_equal(fp.pharmacophore(m), want), s
         sizes.append(n)
     assert max(sizes) > 60
+
+
+def test_fingerprints_are_kept_by_the_worker_and_packed(spark, monkeypatch):
+    calls = []
+    monkeypatch.setitem(chem._BITS, "gobbi", lambda m, n_bits, how: calls.append(n_bits) or fp.fold(fp.pharmacophore(m), n_bits, how))
+    chem._packed.cache_clear()
+    assert len({chem._packed("gobbi", (256, "xor"), "c1ccccc1CO") for _ in range(3)}) == 1 and calls == [256]
+    chem._packed.cache_clear()
+    df = spark.createDataFrame([(0, "c1ccccc1CO"), (1, None), (2, "bad("), (3, "c1ccccc1CO")], "k int, s string")
+    for kind, width in ((chem.morgan, 2048), (chem.maccs, 167), (chem.gobbi, 2048)):
+        out = df.select("k", kind(F.col("s")).alias("bits"), kind(F.col("s"), packed=True).alias("packed")).orderBy("k")
+        assert not out.schema["bits"].dataType.containsNull
+        rows = out.collect()
+        assert all(len(r.bits) == width and np.unpackbits(np.frombuffer(r.packed, np.uint8), count=width).tolist() == r.bits for r in rows)
+        assert [any(r.bits) for r in rows] == [True, False, False, True] and rows[0].bits == rows[3].bits

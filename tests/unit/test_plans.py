@@ -133,3 +133,17 @@ def test_batch_functions_see_whole_batches(mols):
     assert [(r.name, r["size"]) for r in out.df.orderBy(POS).collect()] == [("a", 4), ("b", 4), ("c", 4), ("d", 4), ("e", 2), ("h", 2)]
     with pytest.raises(ValueError):
         BatchFunction(sized, "x int", 0)
+
+
+@pytest.mark.parametrize("block, kernel", [(GobbiFeaturizer(64), ("gobbi", 64, "xor")), (MorganFeaturizer(n_bits=64), ("morgan", 2, 64))])
+def test_featurizers_deal_rows_of_few_splits_to_tasks(spark, tmp_path, block, kernel):
+    from retort.functions import chem
+
+    smiles = ["C" * (k % 5 + 1) for k in range(40)]
+    EntityFrame.from_rows(spark, smiles, kind="molecule").df.coalesce(1).write.parquet(str(tmp_path / "one"))
+    scan = EntityFrame(spark.read.parquet(str(tmp_path / "one")), "molecule")
+    out = block.run(scan)
+    assert out.df._jdf.queryExecution().analyzed().toString().count("RepartitionByExpression") == 1
+    again = block.run(out).df._jdf.queryExecution().analyzed().toString()
+    assert again.count("RepartitionByExpression") == 1  # dealt once
+    assert {r._pos: (r.object, r[-1]) for r in out.df.collect()} == {k: (s, chem._BITS[kernel[0]](chem.read(s), *kernel[1:]).tolist()) for k, s in enumerate(smiles)}

@@ -188,9 +188,8 @@ class EntityFrame:
     def _look(self) -> None:
         """Whether positions are ``start``, ``start + 1``, ...: by count, ends and a sum of hashes, without a shuffle."""
         total = F.sum(F.xxhash64(POS).cast("decimal(38,0)"))
-        n, low, high, mark = self.df.agg(F.count("*"), F.min(POS), F.max(POS), total).first()
-        nulls = self.df.where(F.col(POS).isNull()).limit(1).count() if n else 0
-        if nulls:
+        n, known, low, high, mark = self.df.agg(F.count("*"), F.count(POS), F.min(POS), F.max(POS), total).first()
+        if known < n:
             raise ValueError("a position is null")
         if not n:
             self._layout = Layout(n=0)

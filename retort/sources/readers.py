@@ -13,7 +13,8 @@ from __future__ import annotations
 import csv
 import inspect
 import warnings
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import lru_cache
 from typing import Any
 
 import pyarrow as pa
@@ -31,6 +32,9 @@ __all__ = ["RecordParseError", "RetortIOError", "UnsupportedFormatError", "batch
 
 RECORD = ("object", "name", "properties", "source", "index", "_error", "_file", "_block", "_line")
 POLICIES = ("raise", "skip", "warn")
+ITEMS = pa.map_(pa.string(), pa.string())
+#: Blocks that a worker keeps.
+BLOCKS = 8_192
 
 
 def _ordered(df: DataFrame, paths: Sequence[str]) -> DataFrame:
@@ -44,17 +48,30 @@ def _ordered(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     return df.select("*", plain.alias("source"), F.coalesce(F.get(F.array(F.try_element_at(place, plain)), F.lit(0)), F.lit(0)).alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
 
 
-def _indexed(df: DataFrame) -> DataFrame:
-    """``index``: 0-based place of the row in its file; and its position among all rows."""
-    splits = df.groupBy("_file", "source", "_block").agg(F.count("*").alias("n"), F.min("_line").alias("first")).orderBy("_file", "source", "_block").collect()
+def _indexed(df: DataFrame, used: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``index``: 0-based place of the row in its file, all counted; and its position among the rows of all files that are used.
+
+    ``used`` says of a row, given whether it is its file's first, if it is one; others are dropped.
+    """
+    used = used or (lambda first: F.lit(True))
+    top, other = used(F.lit(True)).cast("int"), used(F.lit(False)).cast("int")
+    first = F.when(F.col("_block") == 0, F.min_by(top - other, "_line")).otherwise(0)  # what the file's first row adds
+    splits = df.groupBy("_file", "source", "_block").agg(F.count("*").alias("n"), (F.sum(other) + first).alias("m"), F.min("_line").alias("first")).collect()
+    place: dict[tuple, int] = {}  # number of a split's first used row; splits of a task follow each other
+    tasks: dict[int, int] = {}
+    for r in sorted(splits, key=lambda r: r.first):
+        task = r.first >> 33
+        place[r.source, r._block] = (task << 33) + tasks.get(task, 0)
+        tasks[task] = tasks.get(task, 0) + r.m
     rows, total, own, last = [], 0, 0, None
-    for r in splits:  # one row for each split of a file
+    for r in sorted(splits, key=lambda r: (r._file, r.source, r._block)):  # one row for each split of a file
         own = 0 if r.source != last else own
-        rows.append((r.source, r._block, own - r.first, total - r.first))
-        own, total, last = own + r.n, total + r.n, r.source
+        rows.append((r.source, r._block, own - r.first, total - place[r.source, r._block]))
+        own, total, last = own + r.n, total + r.m, r.source
     bases = F.broadcast(df.sparkSession.createDataFrame(rows, "source string, _block bigint, _own bigint, _all bigint"))
-    met = df.join(bases, ["source", "_block"])
-    return met.withColumns({"index": F.col("_own") + F.col("_line"), POS: F.col("_all") + F.col("_line")}).drop("_own", "_all")
+    met = df.join(bases, ["source", "_block"]).withColumn("index", F.col("_own") + F.col("_line"))
+    met = met.where(used(F.col("index") == 0)).withColumn("_place", F.monotonically_increasing_id())
+    return met.withColumn(POS, F.col("_all") + F.col("_place")).drop("_own", "_all", "_place")
 
 
 def _column_index(selector: Any, aliases: dict[str, int]) -> int:
@@ -75,10 +92,9 @@ def read_smiles(spark: SparkSession, paths: Sequence[str], delimiter: str | None
     """Lines of SMILES and name; blank and ``#`` lines are skipped but counted in ``index`` [A3]."""
     alias = {"smiles": 0, "smi": 0, "name": 1, "id": 1, "title": 1}
     s, n = _column_index(smiles_col, alias), None if name_col is None else _column_index(name_col, alias)
-    lines = _indexed(_ordered(spark.read.text(list(paths)), paths))
     body = F.trim(F.regexp_replace("value", r"\r$", ""))
+    used = _indexed(_ordered(spark.read.text(list(paths)), paths), lambda first: (body != "") & ~body.startswith("#"))
     parts = F.split(body, r"\s+") if delimiter is None else F.split(F.regexp_replace("value", r"\r$", ""), "\\Q" + delimiter + "\\E")
-    used = lines.where((body != "") & ~body.startswith("#"))
     smiles = F.get(parts, F.lit(s))
     return used.select(smiles.alias("_text"), (F.get(parts, F.lit(n)) if n is not None else F.lit(None).cast("string")).alias("name"), F.create_map(F.lit("SMILES"), smiles).alias("properties"), "source", "index", POS)
 
@@ -109,13 +125,18 @@ def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILE
     return out
 
 
-def _parser(kind: str, sanitize: bool = True, remove_hs: bool = True, coords: bool = False):
-    def molecule(block: str) -> tuple[str, str, list]:
-        mol, at, name = read_block(block)
-        keep = [i for i in range(len(mol)) if not remove_hs or i not in M.plain_hydrogens(mol)]
-        mol = M.remove_hydrogens(mol) if remove_hs else mol
-        text, order = M.write_order(M.sanitize(mol) if sanitize else mol)
-        return text, name, [at[keep[i]] for i in order]
+@lru_cache(maxsize=BLOCKS)
+def _molecule(table: str, sanitize: bool, remove_hs: bool) -> tuple[str, list]:
+    """SMILES and coordinates of a block without its name; a worker reads equal ones once."""
+    mol, at, _ = read_block(f"\n{table}")
+    keep = [i for i in range(len(mol)) if not remove_hs or i not in M.plain_hydrogens(mol)]
+    mol = M.remove_hydrogens(mol) if remove_hs else mol
+    text, order = M.write_order(M.sanitize(mol) if sanitize else mol)
+    return text, [at[keep[i]] for i in order]
+
+
+def _parser(kind: str, sanitize: bool = True, remove_hs: bool = True, coords: bool = False) -> Callable[[pa.Array], dict[str, pa.Array]]:
+    """The columns object, name, properties (but for those of sdf) and _error of an array of blocks."""
 
     def one(text: str) -> tuple:
         try:
@@ -123,19 +144,31 @@ def _parser(kind: str, sanitize: bool = True, remove_hs: bool = True, coords: bo
                 smiles, name, props = _reaction(text)
                 return smiles, name, props, None, None
             block, _, tail = text.partition("M  END")
-            smiles, name, at = molecule(block + "M  END")
-            return smiles, name or None, _data_items(tail), None, [at]
+            name, _, table = block.partition("\n")
+            smiles, at = _molecule(table + "M  END", sanitize, remove_hs)
+            return smiles, name.replace("\r", "").strip() or None, _data_items(tail) if kind != "sdf" else [], None, [at]
         except (ValueError, RecursionError) as e:
             return None, None, [], str(e), None
 
+    def run(blocks: pa.Array) -> dict[str, pa.Array]:
+        got = [one(t) for t in blocks.to_pylist()]
+        text = pa.array([g[0] for g in got], pa.string())
+        if coords:
+            text = pa.StructArray.from_arrays([text, pa.array([g[4] for g in got], pa.list_(pa.list_(pa.list_(pa.float64()))))], ["smiles", "coords"], mask=text.is_null())
+        out = {"object": text, "name": pa.array([g[1] for g in got], pa.string()), "_error": pa.array([g[3] for g in got], pa.string())}
+        return out if kind == "sdf" else out | {"properties": pa.array([g[2] for g in got], ITEMS)}
+
+    return run
+
+
+def _whole(parse: Callable[[pa.Array], dict[str, pa.Array]]) -> Callable:
+    """A parser over the batches of a plan, for formats of a file each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [one(t) for t in batch.column("value").to_pylist()]
-            text = pa.array([g[0] for g in got], pa.string())
-            if coords:
-                text = pa.StructArray.from_arrays([text, pa.array([g[4] for g in got], pa.list_(pa.list_(pa.list_(pa.float64()))))], ["smiles", "coords"], mask=text.is_null())
-            cols = [text, pa.array([g[1] for g in got], pa.string()), pa.array([g[2] for g in got], pa.map_(pa.string(), pa.string())), pa.array([g[3] for g in got], pa.string())]
-            yield pa.record_batch([*cols, batch.column("source"), batch.column("index"), batch.column(POS)], ["object", "name", "properties", "_error", "source", "index", POS])
+            got = parse(batch.column("value"))
+            names = ["object", "name", "properties", "_error"]
+            yield pa.record_batch([*[got[n] for n in names], batch.column("source"), batch.column("index"), batch.column(POS)], [*names, "source", "index", POS])
 
     return run
 
@@ -183,23 +216,39 @@ def _parsed(coords: bool = False) -> str:
 def read_sdf(spark: SparkSession, paths: Sequence[str], sanitize: bool = True, remove_hs: bool = True, coords: bool = False) -> DataFrame:
     """Blocks that end with a line of ``$$$$``; a file is split among tasks at these lines [A2].
 
+    A block without text is no record, but is counted in ``index``.
+
     ``coords`` keeps coordinates, one set a record, in the order of the SMILES' atoms.
     """
-    rows = _indexed(_ordered(spark.read.option("lineSep", "\n$$$$").text(list(paths)), paths))
-    body = F.when(F.col("index") == 0, F.col("value")).otherwise(F.regexp_replace("value", r"^[^\n]*\n?", ""))  # the rest of the line before
-    return rows.withColumn("value", body).where(F.trim(F.regexp_replace("value", r"\s", "")) != "").mapInArrow(_parser("sdf", sanitize, remove_hs, coords), _parsed(coords))
+    lines = _ordered(spark.read.option("lineSep", "\n$$$$").text(list(paths)), paths)
+    body = lambda first: F.when(first, F.col("value")).otherwise(F.regexp_replace("value", r"^[^\n]*\n?", ""))  # without the rest of the line before
+    rows = _indexed(lines, lambda first: body(first).rlike(r"\S")).withColumn("value", body(F.col("index") == 0))
+    parse = _parser("sdf", sanitize, remove_hs, coords)
+
+    @F.arrow_udf(f"object {OBJECT_3D if coords else 'string'}, name string, _error string")
+    def molecule(blocks: pa.Array) -> pa.Array:
+        got = parse(blocks)
+        return pa.StructArray.from_arrays(list(got.values()), list(got))
+
+    @F.arrow_udf("map<string,string>")
+    def items(blocks: pa.Array) -> pa.Array:
+        return pa.array([_data_items(t.partition("M  END")[2]) for t in blocks.to_pylist()], ITEMS)
+
+    # columns of functions, so that a plan that needs only positions or properties doesn't read molecules
+    read = rows.withColumn("_read", molecule("value"))
+    return read.select("_read.object", "_read.name", items("value").alias("properties"), "_read._error", "source", "index", POS)
 
 
 def read_mol(spark: SparkSession, paths: Sequence[str], sanitize: bool = True, remove_hs: bool = True, coords: bool = False) -> DataFrame:
     """One molecule a file; the file's stem is its name if it has none [A6]."""
     rows = _indexed(_ordered(spark.read.text(list(paths), wholetext=True), paths))
-    return rows.mapInArrow(_parser("mol", sanitize, remove_hs, coords), _parsed(coords)).withColumn("name", F.coalesce("name", _stem(F.col("source"))))
+    return rows.mapInArrow(_whole(_parser("mol", sanitize, remove_hs, coords)), _parsed(coords)).withColumn("name", F.coalesce("name", _stem(F.col("source"))))
 
 
 def read_rxn(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """One reaction a file, named by the file's stem [A5, A20]."""
     rows = _indexed(_ordered(spark.read.text(list(paths), wholetext=True), paths))
-    return rows.mapInArrow(_parser("rxn"), _parsed()).withColumn("name", _stem(F.col("source")))
+    return rows.mapInArrow(_whole(_parser("rxn")), _parsed()).withColumn("name", _stem(F.col("source")))
 
 
 def _stem(source: Column) -> Column:
@@ -253,8 +302,8 @@ def read_records(spark: SparkSession, paths: str | Sequence[str], on_error: str
         if found[0]:
             first = RecordParseError(found[1]["source"], found[1]["index"], found[1]["_error"])
             warnings.warn(f"{found[0]} records can't be read and are dropped, first {first}", stacklevel=2)
-    if on_error != "raise":
-        out = out.where(~bad)
+    if on_error != "raise":  # a filter that stays above the parser, which runs once
+        out = out.withColumn("_row", F.monotonically_increasing_id()).where(~bad & (F.col("_row") >= 0)).drop("_row")
     if len(groups) > 1:  # positions of a scan follow those of the scans before
         tops = {r[0]: r[1] + 1 for r in out.drop("object").groupBy("_file").agg(F.max(POS)).collect()}
         offset = F.element_at(F.create_map(*[x for k in range(len(groups)) for x in (F.lit(k), F.lit(sum(tops.get(j, 0) for j in range(k))).cast("bigint"))]), F.col("_file"))

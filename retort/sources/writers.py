@@ -11,12 +11,13 @@ import csv
 import io
 import os
 from collections.abc import Iterator
+from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +28,9 @@ from ..storage import exists
 from .formats import detect_format, get_writer, register_format
 from .molblock import write_block
 
+#: Molecules that a worker keeps.
+BLOCKS = 8_192
+
 
 def to_records(frame: EntityFrame) -> DataFrame:
     """(_pos, object, name, source, index, properties, and coords of objects that have them); null properties and NaN numbers are dropped [B8]."""
@@ -92,16 +96,30 @@ def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "N
     return records.orderBy(POS).select(*out)
 
 
-def _blocks(include_properties: bool, end: bool):
+@lru_cache(maxsize=BLOCKS)
+def _graph(smiles: str) -> M.Mol:
+    return M.parse(smiles)
+
+
+@lru_cache(maxsize=BLOCKS)
+def _flat(smiles: str) -> str:
+    """A block without name and coordinates."""
+    return write_block(M.parse(smiles))
+
+
+def _items() -> Column:
+    """Properties as text after a block."""
+    return F.concat_ws("", F.transform(F.map_entries("properties"), lambda e: F.concat(F.lit("\n> <"), e["key"], F.lit(">\n"), e["value"], F.lit("\n"))))
+
+
+def _blocks(end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text = []
             coords = batch.column("coords").to_pylist() if "coords" in batch.schema.names else [None] * batch.num_rows
-            for s, n, props, at in zip(*[batch.column(c).to_pylist() for c in (OBJECT, "name", "properties")], coords, strict=True):
-                block = write_block(M.parse(s), n or "", at)  # atoms in the order of the text, as coordinates are
-                if include_properties:
-                    block += "".join(f"\n> <{k}>\n{v}\n" for k, v in props or [])
-                text.append(block + ("\n$$$$" if end else ""))
+            for s, n, tail, at in zip(*[batch.column(c).to_pylist() for c in (OBJECT, "name", "_tail")], coords, strict=True):
+                block = (n or "") + (_flat(s) if at is None else write_block(_graph(s), "", at))  # atoms in the order of the text, as coordinates are
+                text.append(block + tail + ("\n$$$$" if end else ""))
             yield pa.record_batch([batch.column(POS), pa.array(text, pa.string())], [POS, "value"])
 
     return run
@@ -109,17 +127,22 @@ def _blocks(include_properties: bool, end: bool):
 
 def _molecules(records: DataFrame) -> DataFrame:
     """Records with an object; one that can't be read is an error when it is written."""
-    return records.where(F.col(OBJECT).isNotNull())
+    return records.where(F.col(OBJECT).isNotNull()).drop("source", "index")
 
 
 def sdf_lines(records: DataFrame, include_properties: bool = True) -> DataFrame:
     """Mol blocks with their properties; records without a molecule are left out [B2, B10]."""
-    return _molecules(records).mapInArrow(_blocks(include_properties, True), f"{POS} bigint, value string")
+    tail = _items() if include_properties else F.lit("")
+    return _molecules(records).withColumn("_tail", tail).drop("properties").mapInArrow(_blocks(True), f"{POS} bigint, value string")
+
+
+#: Rows are sorted before they become text, so that the sort's sample of them doesn't make it.
+sdf_lines.keeps_order = smiles_lines.keeps_order = True
 
 
 def mol_lines(records: DataFrame) -> DataFrame:
     """The first record only [B6]."""
-    return _molecules(records).orderBy(POS).limit(1).mapInArrow(_blocks(False, False), f"{POS} bigint, value string")
+    return _molecules(records).withColumn("_tail", F.lit("")).orderBy(POS).limit(1).mapInArrow(_blocks(False), f"{POS} bigint, value string")
 
 
 def rxn_lines(records: DataFrame) -> DataFrame:
@@ -169,14 +192,16 @@ def write_file(frame: EntityFrame, path: str, overwrite: bool = False, single: b
     if ext in ("csv", "tsv") and not single:
         csv_table(records, **options).write.mode(mode).option("header", True).option("sep", options.get("delimiter", ",")).option("escape", '"').csv(path)
         return n
-    lines = get_writer(ext)(records, **options)
+    writer = get_writer(ext)
+    first = getattr(writer, "keeps_order", False)
+    lines = writer(to_records(frame._new(frame.df.orderBy(POS))) if first else records, **options)
     if ext == "rxn":
         uri = path if "://" in path else Path(path).resolve().as_uri()
         system, folder = fs.FileSystem.from_uri(uri.rpartition("/")[0])
         system.create_dir(folder, recursive=True)
         EntityFrame(lines).reindexed().df.select(POS, "value").mapInArrow(_files(uri), "n bigint").agg(F.sum("n")).collect()
         return n
-    lines = lines.orderBy(POS).select("value")
+    lines = (lines if first else lines.orderBy(POS)).select("value")
     if single or ext == "mol":
         Path(path).resolve().parent.mkdir(parents=True, exist_ok=True)
         with open(path, "w") as file:

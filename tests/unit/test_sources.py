@@ -206,3 +206,20 @@ def test_commit_checks_types(spark, tmp_path):
     o.base = o.base._new(o.base.df.withColumn("v", F.col("v").cast("string")))
     with pytest.raises(ConflictError, match="type of v: bigint"):
         o.commit()
+
+
+def test_positions_and_properties_come_without_molecules(spark, tmp_path, monkeypatch):
+    """Files with blank blocks between and after records are numbered without gaps, by plans that parse no molecule."""
+    one = write_block(M.parse("CO"), "a") + "\n> <note>\nx\n\n$$$$\n"
+    (tmp_path / "m.sdf").mkdir()
+    (tmp_path / "m.sdf" / "part-0.sdf").write_text(one * 3 + "$$$$\n" + one)
+    (tmp_path / "m.sdf" / "part-1.sdf").write_text("\n" + one.partition("\n")[2] + one)
+    (tmp_path / "s.smi").write_text("# head\nCC\n\nCCC x\n")
+    f = read_file(spark, [str(tmp_path / "s.smi"), str(tmp_path / "m.sdf")])
+    plan = f.df.select(POS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "molecule" not in plan and "Arrow" not in plan and "items" not in plan
+    assert [(r[POS], r["index"], r.object, r.note) for r in f.df.orderBy(POS).collect()] == [
+        (0, 1, "CC", None), (1, 3, "CCC", None), (2, 0, "CO", "x"), (3, 1, "CO", "x"), (4, 2, "CO", "x"), (5, 4, "CO", "x"), (6, 0, "CO", "x"), (7, 1, "CO", "x")]
+    assert objs(f[1:4], "index") == [("CCC", 3), ("CO", 0), ("CO", 1)] and f._ranked is None
+    whole = f.df._jdf.queryExecution().executedPlan().toString()
+    assert whole.count("molecule(value") <= 1

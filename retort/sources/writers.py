@@ -10,12 +10,14 @@ from __future__ import annotations
 import csv
 import io
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from pathlib import Path
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,11 @@ from ..functions.chem import mol as M
 from ..index import POS
 from ..storage import exists
 from .formats import detect_format, get_writer, register_format
-from .molblock import write_block
+from .molblock import block_format, write_block
 
 #: Molecules that a worker keeps.
 BLOCKS = 8_192
+END = "\n$$$$"
 
 
 def to_records(frame: EntityFrame) -> DataFrame:
@@ -97,8 +100,21 @@ def csv_table(records: DataFrame, smiles_col: str = "SMILES", name_col: str = "N
 
 
 @lru_cache(maxsize=BLOCKS)
-def _graph(smiles: str) -> M.Mol:
-    return M.parse(smiles)
+def _solid(smiles: str) -> tuple[int, Callable[..., str]]:
+    """How many coordinates a molecule has, and its block of them without name."""
+    mol = M.parse(smiles)
+    return 3 * len(mol), block_format(mol).format
+
+
+def _coordinates(column: pa.ListArray) -> list[list[float] | None]:
+    """The coordinates of each row's atoms one after another, None where there are none."""
+    points = column.flatten()
+    if points.null_count or pc.any(pc.not_equal(points.value_lengths(), 3)).as_py():
+        raise M.ChemError("an atom has three coordinates")
+    values = points.flatten()
+    values = values.to_pylist() if values.null_count or not pa.types.is_floating(values.type) else values.to_numpy().tolist()
+    ends = np.cumsum(3 * column.value_lengths().fill_null(0).to_numpy()).tolist()
+    return [values[a:b] if there else None for a, b, there in zip([0, *ends], ends, column.is_valid().to_pylist(), strict=False)]
 
 
 @lru_cache(maxsize=BLOCKS)
@@ -112,14 +128,21 @@ def _items() -> Column:
     return F.concat_ws("", F.transform(F.map_entries("properties"), lambda e: F.concat(F.lit("\n> <"), e["key"], F.lit(">\n"), e["value"], F.lit("\n"))))
 
 
+def _block(smiles: str, at: list[float] | None) -> str:
+    """A block without name; atoms in the order of the text, as coordinates are."""
+    if at is None:
+        return _flat(smiles)
+    n, block = _solid(smiles)
+    if len(at) != n:
+        raise M.ChemError("there must be coordinates for each atom")
+    return block(*at)
+
+
 def _blocks(end: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = []
-            coords = batch.column("coords").to_pylist() if "coords" in batch.schema.names else [None] * batch.num_rows
-            for s, n, tail, at in zip(*[batch.column(c).to_pylist() for c in (OBJECT, "name", "_tail")], coords, strict=True):
-                block = (n or "") + (_flat(s) if at is None else write_block(_graph(s), "", at))  # atoms in the order of the text, as coordinates are
-                text.append(block + tail + ("\n$$$$" if end else ""))
+            coords = _coordinates(batch.column("coords")) if "coords" in batch.schema.names else [None] * batch.num_rows
+            text = [f"{n or ''}{_block(s, at)}{tail}{END if end else ''}" for s, n, tail, at in zip(*[batch.column(c).to_pylist() for c in (OBJECT, "name", "_tail")], coords, strict=True)]
             yield pa.record_batch([batch.column(POS), pa.array(text, pa.string())], [POS, "value"])
 
     return run

@@ -1,5 +1,7 @@
 import warnings
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,7 @@ from retort import OBJ, EntityFrame
 from retort.functions.chem import mol as M
 from retort.index import POS
 from retort.operators.overlay import Overlay, write_back
-from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, iter_batches, load, read_file, read_records, save, write_file
+from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, iter_batches, load, read_file, read_records, save, write_file, writers
 from retort.sources.molblock import read_block, write_block
 from retort.sources.readers import from_smarts, n_products, n_reactants, reaction_parts, reaction_text
 from retort.sources.writers import to_records
@@ -223,3 +225,20 @@ def test_positions_and_properties_come_without_molecules(spark, tmp_path, monkey
     assert objs(f[1:4], "index") == [("CCC", 3), ("CO", 0), ("CO", 1)] and f._ranked is None
     whole = f.df._jdf.queryExecution().executedPlan().toString()
     assert whole.count("molecule(value") <= 1
+
+
+def test_blocks_of_one_molecule_share_their_text(spark, tmp_path, monkeypatch):
+    """Conformers of a molecule differ in coordinates only; the rest of their blocks is made once by a worker."""
+    rng = np.random.default_rng(1)
+    at = [None if k == 7 else (1e3 * rng.normal(size=(6, 3))).tolist() for k in range(50)]
+    kind = pa.list_(pa.list_(pa.float64()))
+    calls, whole = [], M.kekulize
+    monkeypatch.setattr(M, "kekulize", lambda mol: calls.append(1) or whole(mol))
+    batch = lambda rows: pa.record_batch([pa.array(range(len(rows))), pa.array(["c1ccccc1"] * len(rows)), pa.array(["x"] * len(rows)), pa.array(["\n> <a>\n{}\n"] * len(rows)), pa.array(rows, kind)], [POS, "object", "name", "_tail", "coords"])
+    out = [t for b in writers._blocks(True)([batch(at).slice(0, 20), batch(at).slice(20)]) for t in b.column("value").to_pylist()]
+    assert len(calls) <= 2  # with coordinates and without
+    assert out == [write_block(M.parse("c1ccccc1"), "x", a) + "\n> <a>\n{}\n\n$$$$" for a in at]
+    assert "".join(f"{v:10.4f}" for v in at[3][5]) in out[3]
+    for wrong in ([[0.0] * 3] * 5, [[0.0] * 3] * 5 + [[0.0] * 2], [[0.0] * 3] * 5 + [None]):
+        with pytest.raises(M.ChemError):
+            list(writers._blocks(True)([batch([at[0], wrong])]))

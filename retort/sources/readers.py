@@ -129,7 +129,8 @@ def read_csv(spark: SparkSession, paths: Sequence[str], smiles_col: Any = "SMILE
 def _molecule(table: str, sanitize: bool, remove_hs: bool) -> tuple[str, list]:
     """SMILES and coordinates of a block without its name; a worker reads equal ones once."""
     mol, at, _ = read_block(f"\n{table}")
-    keep = [i for i in range(len(mol)) if not remove_hs or i not in M.plain_hydrogens(mol)]
+    lost = M.plain_hydrogens(mol) if remove_hs else set()
+    keep = [i for i in range(len(mol)) if i not in lost]
     mol = M.remove_hydrogens(mol) if remove_hs else mol
     text, order = M.write_order(M.sanitize(mol) if sanitize else mol)
     return text, [at[keep[i]] for i in order]
@@ -146,7 +147,7 @@ def _parser(kind: str, sanitize: bool = True, remove_hs: bool = True, coords: bo
             block, _, tail = text.partition("M  END")
             name, _, table = block.partition("\n")
             smiles, at = _molecule(table + "M  END", sanitize, remove_hs)
-            return smiles, name.replace("\r", "").strip() or None, _data_items(tail) if kind != "sdf" else [], None, [at]
+            return smiles, name.replace("\r", "").strip() or None, list(_data_items(tail).items()) if kind != "sdf" else [], None, [at]
         except (ValueError, RecursionError) as e:
             return None, None, [], str(e), None
 
@@ -173,21 +174,25 @@ def _whole(parse: Callable[[pa.Array], dict[str, pa.Array]]) -> Callable:
     return run
 
 
-def _data_items(tail: str) -> list[tuple[str, str]]:
-    """``> <name>`` items after a block."""
+def _data_items(tail: str) -> dict[str, str]:
+    """``> <name>`` items after a block; the last of a name counts, at the place of the first."""
     out: dict[str, str] = {}
-    name, value = None, []
-    for line in tail.replace("\r", "").split("\n"):
-        if line.startswith(">"):
-            if name is not None:
-                out[name] = "\n".join(value).strip("\n")
-            a, b = line.find("<"), line.rfind(">")
-            name, value = (line[a + 1 : b] if 0 <= a < b else line[1:].strip()), []
-        elif name is not None:
-            value.append(line)
-    if name is not None:
-        out[name] = "\n".join(value).strip("\n")
-    return list(out.items())
+    for item in f"\n{tail}".replace("\r", "").split("\n>")[1:]:
+        line, _, value = item.partition("\n")
+        a, b = line.find("<"), line.rfind(">")
+        out[line[a + 1 : b] if 0 <= a < b else line.strip()] = value.strip("\n")
+    return out
+
+
+def _item_map(blocks: pa.Array) -> pa.Array:
+    """The data items of blocks as maps."""
+    ends, names, values = [0], [], []
+    for text in blocks.to_pylist():
+        found = _data_items(text.partition("M  END")[2])
+        names += found
+        values += found.values()
+        ends.append(len(names))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
 
 
 def _reaction(text: str) -> tuple[str, str | None, list]:
@@ -232,7 +237,7 @@ def read_sdf(spark: SparkSession, paths: Sequence[str], sanitize: bool = True, r
 
     @F.arrow_udf("map<string,string>")
     def items(blocks: pa.Array) -> pa.Array:
-        return pa.array([_data_items(t.partition("M  END")[2]) for t in blocks.to_pylist()], ITEMS)
+        return _item_map(blocks)
 
     # columns of functions, so that a plan that needs only positions or properties doesn't read molecules
     read = rows.withColumn("_read", molecule("value"))

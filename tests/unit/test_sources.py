@@ -9,7 +9,7 @@ from retort import OBJ, EntityFrame
 from retort.functions.chem import mol as M
 from retort.index import POS
 from retort.operators.overlay import Overlay, write_back
-from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, iter_batches, load, read_file, read_records, save, write_file, writers
+from retort.sources import Bundle, ConflictError, UnsupportedFormatError, batches, detect_format, from_smiles, iter_batches, load, read_file, read_records, readers, save, write_file, writers
 from retort.sources.molblock import read_block, write_block
 from retort.sources.readers import from_smarts, n_products, n_reactants, reaction_parts, reaction_text
 from retort.sources.writers import to_records
@@ -242,3 +242,23 @@ def test_blocks_of_one_molecule_share_their_text(spark, tmp_path, monkeypatch):
     for wrong in ([[0.0] * 3] * 5, [[0.0] * 3] * 5 + [[0.0] * 2], [[0.0] * 3] * 5 + [None]):
         with pytest.raises(M.ChemError):
             list(writers._blocks(True)([batch([at[0], wrong])]))
+
+
+def test_blocks_of_many_atoms_are_read_in_one_go(spark, monkeypatch):
+    """Hydrogens of a block are looked for a fixed number of times, not once for each atom."""
+    mol = M.add_hydrogens(M.parse("C" * 60 + "O"))
+    at = [[float(i), 0.0, 0.5] for i in range(len(mol))]
+    calls, whole = [], M.plain_hydrogens
+    monkeypatch.setattr(M, "plain_hydrogens", lambda m: calls.append(1) or whole(m))
+    got = readers._parser("sdf", coords=True)(pa.array([write_block(mol, "long", at) + "\n> <a>\nx\n"]))
+    assert len(calls) <= 2
+    assert got["_error"].to_pylist() == [None] and got["object"][0]["smiles"].as_py() == M.write(M.parse("C" * 60 + "O"))
+    assert len(got["object"][0]["coords"].as_py()[0]) == 61
+
+
+def test_data_items(spark):
+    tails = ["", "\n> <a>\nx\n\n> <b> (7)\ny\nz\n\n", "\r\n> 25 <a>\r\nx\r\n\r\n>b\n>  <c>\n\n\n> <a>\nlast\n", "\n> no name\n", " > <a>\nx\n"]
+    want = [{}, {"a": "x", "b": "y\nz"}, {"a": "last", "b": "", "c": ""}, {"no name": ""}, {}]
+    assert [readers._data_items(t) for t in tails] == want
+    maps = readers._item_map(pa.array([f"M  END{t}" for t in tails]))
+    assert maps.type == readers.ITEMS and [dict(m) for m in maps.to_pylist()] == want
